@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, language_id
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_documents(spark, sf_dir))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_languages(_documents(spark, sf_dir)).drop("text_sha256")
+
+
 OP5_SQL = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
   count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
@@ -27,7 +31,7 @@ FROM documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_exact_dedup": op5_exact_dedup}
+    return {"op5_exact_dedup": op5_exact_dedup, "op6_language_id": op6_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
