@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id
+from . import exact_dedup, language_id, mixing, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_documents(spark, sf_dir)).drop("text_sha256")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_documents(spark, sf_dir))
 
@@ -21,6 +25,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(_documents(spark, sf_dir)).drop("text_sha256")
 
 
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_documents(spark, sf_dir)).drop("text_sha256")
+
+
 OP5_SQL = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
   count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
@@ -31,7 +39,7 @@ FROM documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_exact_dedup": op5_exact_dedup, "op6_language_id": op6_language_id}
+    return {"op1_simhash_near_dedup": op1_simhash_near_dedup, "op5_exact_dedup": op5_exact_dedup, "op6_language_id": op6_language_id, "op7_source_mix": op7_source_mix}
 
 
 def oracle_sql() -> dict[str, str]:
