@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, mixing, simhash
+from . import exact_dedup, language_id, mixing, simhash, suffix_pieces
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir)).drop("text_sha256")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_pieces.token_digest(_documents(spark, sf_dir))
+
+
 OP5_SQL = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
   count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
@@ -39,7 +43,7 @@ FROM documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash_near_dedup": op1_simhash_near_dedup, "op5_exact_dedup": op5_exact_dedup, "op6_language_id": op6_language_id, "op7_source_mix": op7_source_mix}
+    return {"op1_simhash_near_dedup": op1_simhash_near_dedup, "op5_exact_dedup": op5_exact_dedup, "op6_language_id": op6_language_id, "op7_source_mix": op7_source_mix, "op8_sentencepiece": op8_sentencepiece}
 
 
 def oracle_sql() -> dict[str, str]:
