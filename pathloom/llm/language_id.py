@@ -88,7 +88,7 @@ def _maximised(spark: SparkSession, table: DataFrame, trie: Trie, languages: lis
 
     def expected(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fields, languages, probability = shared.value
-        trie = Trie(*fields)
+        trie = Trie.of(fields)
         number = {x: i for i, x in enumerate(languages)}
         total = np.zeros((trie.size + 1, len(languages)))
         for part in parts:
@@ -158,7 +158,7 @@ def predict(docs: DataFrame, model) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, prior, probability, fields = shared.value
-        scorer = Scorer(Trie(*fields), probability)
+        scorer = Scorer(Trie.of(fields), probability)
         for batch, texts in sliced(batches):
             names, scores = ["und"] * len(texts), np.zeros(len(texts))
             if languages:

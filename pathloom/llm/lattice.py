@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,8 +22,13 @@ class Trie:
     size: int
 
     def plain(self) -> tuple:
-        """The fields without this class, which a broadcast can carry anywhere; Trie(*fields) is the trie again."""
-        return self.byte_class, self.step, self.piece, self.depth, self.size
+        """The fields without this class and with the sparse transitions packed, for a small broadcast."""
+        return self.byte_class, zlib.compress(self.step.tobytes(), 6), self.step.shape, self.step.dtype.str, self.piece, self.depth, self.size
+
+    @classmethod
+    def of(cls, fields: tuple) -> Trie:
+        byte_class, packed, shape, kind, piece, depth, size = fields
+        return cls(byte_class, np.frombuffer(zlib.decompress(packed), dtype=kind).reshape(shape), piece, depth, size)
 
 
 def build_trie(pieces: list[bytes]) -> Trie:
