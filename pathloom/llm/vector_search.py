@@ -1,6 +1,6 @@
 """Exact top-k by inner product over a vector-approximation file.
 
-A vector's approximation is its components cut to 8-bit cells. For a block of queries a task scans
+A vector's approximation is its components cut to cells of CELL_BITS bits. For a block of queries a task scans
 the cells, which bound every inner product from both sides, and then reads exact vectors in the
 order of their bounds until no unread one can reach the k-th result. Equal vectors are one entry
 with their smallest ids, so copies cost nothing.
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 SCALE, EVERY, K = 256, 50, 5
+CELL_BITS = 6
 #: Queries of one scan, about; pairs bounded at a time; exact vectors that a query reads at a time.
 QUERY_BLOCK, PAIRS, READ = 4096, 1 << 20, 8
 EXACT = 1 << 53
@@ -40,7 +41,7 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
 def approximation_file(rows: DataFrame, keep: int) -> DataFrame:
     """(ids, dim, shift, cells, exact): a row for each distinct vector, with its keep smallest ids.
 
-    cells are the components shifted right until they fit 8 bits; exact holds them as 64-bit numbers.
+    cells are the components shifted right until they fit CELL_BITS bits; exact holds them as 64-bit numbers.
     No result of k rows can use more than the k + 1 smallest ids of one vector.
     """
     first = rows.withColumn("__n", F.row_number().over(Window.partitionBy("ints").orderBy("vec_id"))).where(F.col("__n") <= keep)
@@ -54,7 +55,7 @@ def approximation_file(rows: DataFrame, keep: int) -> DataFrame:
                 ints = _matrix(part.column("ints"), dim)
                 most = np.maximum(ints.max(axis=1), -ints.min(axis=1) - 1)
                 shift = np.zeros(len(ints), dtype=np.int64)
-                while (over := (most >> shift) > 127).any():
+                while (over := (most >> shift) >= 1 << (CELL_BITS - 1)).any():
                     shift += over
                 cells = (ints >> shift[:, None]).astype(np.int8)
                 yield pa.record_batch(
@@ -125,7 +126,7 @@ class Search:
         leads = np.full((len(who), k + width), np.iinfo(np.int64).max)
         scores[:, :k], leads[:, :k] = self.score[who], self.lead[who]
         scores[row, k + column], leads[row, k + column] = score, lead
-        best = np.lexsort((leads, -scores), axis=1)[:, :k]
+        best = np.lexsort((leads, ~scores), axis=1)[:, :k]
         self.score[who], self.lead[who] = np.take_along_axis(scores, best, axis=1), np.take_along_axis(leads, best, axis=1)
 
     def results(self) -> pa.RecordBatch:
