@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, mixing, simhash, suffix_pieces, vector_search
+from . import class_lm, exact_dedup, language_id, mixing, simhash, suffix_pieces, vector_search
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_pieces.token_digest(_documents(spark, sf_dir))
 
 
+def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.class_scores(_documents(spark, sf_dir))
+
+
 OP5_SQL = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
   count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
@@ -60,7 +64,7 @@ FROM documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash_near_dedup": op1_simhash_near_dedup, "op3_exact_top_k": op3_exact_top_k, "op5_exact_dedup": op5_exact_dedup, "op6_language_id": op6_language_id, "op7_source_mix": op7_source_mix, "op8_sentencepiece": op8_sentencepiece}
+    return {"op1_simhash_near_dedup": op1_simhash_near_dedup, "op3_exact_top_k": op3_exact_top_k, "op5_exact_dedup": op5_exact_dedup, "op6_language_id": op6_language_id, "op7_source_mix": op7_source_mix, "op8_sentencepiece": op8_sentencepiece, "op9_class_lm": op9_class_lm}
 
 
 def oracle_sql() -> dict[str, str]:
