@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import class_lm, exact_dedup, language_id, mixing, simhash, suffix_pieces, vector_search
+from . import class_lm, exact_dedup, language_id, mixing, simhash, suffix_pieces, toxicity, vector_search
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir)).drop("text_sha256")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -64,7 +68,7 @@ FROM documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash_near_dedup": op1_simhash_near_dedup, "op3_exact_top_k": op3_exact_top_k, "op5_exact_dedup": op5_exact_dedup, "op6_language_id": op6_language_id, "op7_source_mix": op7_source_mix, "op8_sentencepiece": op8_sentencepiece, "op9_class_lm": op9_class_lm}
+    return {"op1_simhash_near_dedup": op1_simhash_near_dedup, "op2_toxicity": op2_toxicity, "op3_exact_top_k": op3_exact_top_k, "op5_exact_dedup": op5_exact_dedup, "op6_language_id": op6_language_id, "op7_source_mix": op7_source_mix, "op8_sentencepiece": op8_sentencepiece, "op9_class_lm": op9_class_lm}
 
 
 def oracle_sql() -> dict[str, str]:
