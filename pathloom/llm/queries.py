@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import class_lm, exact_dedup, language_id, mixing, simhash, suffix_pieces, toxicity, vector_search
+from . import class_lm, exact_dedup, language_id, license_scan, line_dedup, mixing, simhash, suffix_pieces, toxicity, vector_search
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +39,11 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.remove_repeated_lines(_documents(spark, sf_dir))
+    return cleaned.select("doc_id", "n_lines", "removed_lines", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_documents(spark, sf_dir))
 
@@ -58,6 +64,13 @@ def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.class_scores(_documents(spark, sf_dir))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.license_paragraphs(_documents(spark, sf_dir))
+    sure = F.filter("licenses", lambda x: x["confirmed"])
+    families = F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",")
+    return found.select("doc_id", "n_paragraphs", F.size("licenses").alias("n_predicted"), F.size(sure).alias("n_confirmed"), families.alias("families"))
+
+
 OP5_SQL = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
   count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
@@ -68,7 +81,7 @@ FROM documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash_near_dedup": op1_simhash_near_dedup, "op2_toxicity": op2_toxicity, "op3_exact_top_k": op3_exact_top_k, "op5_exact_dedup": op5_exact_dedup, "op6_language_id": op6_language_id, "op7_source_mix": op7_source_mix, "op8_sentencepiece": op8_sentencepiece, "op9_class_lm": op9_class_lm}
+    return {"op1_simhash_near_dedup": op1_simhash_near_dedup, "op2_toxicity": op2_toxicity, "op3_exact_top_k": op3_exact_top_k, "op4_line_dedup": op4_line_dedup, "op5_exact_dedup": op5_exact_dedup, "op6_language_id": op6_language_id, "op7_source_mix": op7_source_mix, "op8_sentencepiece": op8_sentencepiece, "op9_class_lm": op9_class_lm, "op10_license_scan": op10_license_scan}
 
 
 def oracle_sql() -> dict[str, str]:
