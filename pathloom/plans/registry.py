@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions import scalars
-from pathloom.functions.prefix import host_prefix
-from pathloom.operators import as2rel, asinfo, aspa, filters, match, rib, rov, search
+from pathloom.operators import as2rel, asinfo, aspa, filters, match, reports, rib, rov, search
 from pathloom.operators.filters import RouteFilters
+from pathloom.sources import ingest
 from pathloom.sources.views import dumps, elems, sql_with, view
+from pathloom.streaming import streams
+
+from .scratch import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -526,6 +529,148 @@ def aspa_enriched(spark, sf_dir):
     return found.withColumn("providers", F.array_join(F.transform("providers", lambda p: F.concat(p["asn"].cast("string"), F.lit("="), F.coalesce(p["name"], F.lit("")))), ","))
 
 
+# --- reports ------------------------------------------------------------------------------------------
+
+
+def _data(spark, sf_dir) -> reports.Datasets:
+    return reports.Datasets(*(view(spark, sf_dir, v) for v in ("pfx2as", "roas", "aspas", "as2rel", "asinfo_core", "asinfo_as2org", "asinfo_peeringdb")))
+
+
+_IPS = "(SELECT DISTINCT concat('10.', CAST(user_id % 20 AS STRING), '.', CAST(event_id % 70 AS STRING), '.', CAST(event_id % 200 AS STRING)) AS ip FROM events)"
+
+
+@query(
+    f""", {_NAMES}, {_STATES}, hit AS (SELECT q.ip, p.prefix AS matched_prefix, p.origin_asn, rank() OVER (PARTITION BY q.ip ORDER BY p.len DESC) AS r FROM {_keyed("(SELECT ip, concat(ip, '/32') AS prefix FROM " + _IPS + ")")} q JOIN {_keyed('pfx2as')} p ON {_CONTAINS.format(a='q', b='p')})
+SELECT i.ip, h.matched_prefix, h.origin_asn, s.state, n.as_name, c.country FROM {_IPS} i LEFT JOIN hit h ON h.ip = i.ip AND h.r = 1 LEFT JOIN states s ON s.prefix = h.matched_prefix AND s.origin_asn = h.origin_asn LEFT JOIN names n ON n.asn = h.origin_asn LEFT JOIN asinfo_core c ON c.asn = h.origin_asn""",
+    "pfx2as", "roas", *_NAME_VIEWS,
+)
+def ip_lookup(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    part = lambda c, n: (F.col(c) % n).cast("string")
+    ips = events.select(F.concat(F.lit("10."), part("user_id", 20), F.lit("."), part("event_id", 70), F.lit("."), part("event_id", 200)).alias("ip"))
+    return reports.ip_lookup(ips, _data(spark, sf_dir))
+
+
+@query(
+    _states_sql("SELECT origin_asn, count(*) AS total, count(*) AS ipv4, 0 AS ipv6, count(CASE WHEN state = 'valid' THEN 1 END) AS valid, count(CASE WHEN state = 'invalid' THEN 1 END) AS invalid, count(CASE WHEN state = 'not_found' THEN 1 END) AS unknown, count(CASE WHEN state = 'valid' THEN 1 END) * 100.0 / count(*) AS valid_percent FROM states GROUP BY 1"),
+    "pfx2as", "roas",
+)
+def announced_prefix_summary(spark, sf_dir):
+    return reports.announced_summary(reports.labelled_prefixes(_data(spark, sf_dir)))
+
+
+@query(
+    _states_sql("""SELECT origin_asn, prefix, validation, CAST(r AS INTEGER) AS rank, total, total > 4 AS truncated FROM (SELECT origin_asn, prefix, CASE state WHEN 'not_found' THEN 'unknown' ELSE state END AS validation,
+  row_number() OVER (PARTITION BY origin_asn ORDER BY CASE state WHEN 'invalid' THEN 0 WHEN 'not_found' THEN 1 ELSE 2 END, prefix) AS r, count(*) OVER (PARTITION BY origin_asn) AS total FROM states) x WHERE r <= 4"""),
+    "pfx2as", "roas",
+)
+def announced_prefix_first(spark, sf_dir):
+    return reports.announced_first(reports.labelled_prefixes(_data(spark, sf_dir)), 4)
+
+
+@query("SELECT a.asn, count(r.prefix) AS roas, count(r.prefix) AS ipv4, 0 AS ipv6 FROM asinfo_core a LEFT JOIN roas r ON r.origin_asn = a.asn GROUP BY 1", "asinfo_core", "roas")
+def roa_summary_by_asn(spark, sf_dir):
+    return reports.roa_summary(view(spark, sf_dir, "roas"), view(spark, sf_dir, "asinfo_core"))
+
+
+@query(
+    f""", {_NAMES}, {_STATES}, hit AS (SELECT q.query, p.prefix AS matched_prefix, p.origin_asn, CASE WHEN max(CASE WHEN p.prefix = q.query THEN 1 ELSE 0 END) OVER (PARTITION BY q.query) = 1 THEN 'exact' ELSE 'longest' END AS match_type, rank() OVER (PARTITION BY q.query ORDER BY p.len DESC) AS r FROM {_keyed(_ROA_PREFIXES, 'query')} q JOIN {_keyed('pfx2as')} p ON {_CONTAINS.format(a='q', b='p')}),
+cover AS (SELECT q.query, count(*) AS n FROM {_keyed(_ROA_PREFIXES, 'query')} q JOIN {_keyed('roas')} r ON q.num // CAST(pow(2, 32 - r.len) AS BIGINT) = r.num // CAST(pow(2, 32 - r.len) AS BIGINT) GROUP BY 1)
+SELECT h.query, h.matched_prefix, h.origin_asn, h.match_type, s.state, cover.n AS covering_roas, names.as_name, c.country FROM hit h JOIN states s ON s.prefix = h.matched_prefix AND s.origin_asn = h.origin_asn JOIN cover ON cover.query = h.query LEFT JOIN names ON names.asn = h.origin_asn LEFT JOIN asinfo_core c ON c.asn = h.origin_asn WHERE h.r = 1""",
+    "pfx2as", "roas", *_NAME_VIEWS,
+)
+def inspect_prefix(spark, sf_dir):
+    return reports.inspect_prefixes(view(spark, sf_dir, "roas").select(F.col("prefix").alias("query")), _data(spark, sf_dir))
+
+
+@query(
+    f""", {_SIDES}, {_NAMES}, {_STATES}, conn AS (SELECT asn1, count(CASE WHEN rel = -1 THEN 1 END) AS upstreams, count(CASE WHEN rel = 0 THEN 1 END) AS peers, count(CASE WHEN rel = 1 THEN 1 END) AS downstreams FROM sides GROUP BY 1),
+pro AS (SELECT customer_asn, string_agg(CAST(provider_asn AS STRING), ',' ORDER BY provider_asn) AS providers FROM aspas GROUP BY 1)
+SELECT c.asn, names.as_name, c.country, coalesce(conn.upstreams, 0) AS upstreams, coalesce(conn.peers, 0) AS peers, coalesce(conn.downstreams, 0) AS downstreams, (SELECT count(*) FROM roas WHERE origin_asn = c.asn) AS roas, coalesce(pro.providers, '') AS providers,
+ (SELECT count(*) FROM states WHERE origin_asn = c.asn) AS announced, (SELECT count(*) FROM states WHERE origin_asn = c.asn AND state = 'valid') AS valid
+FROM asinfo_core c LEFT JOIN names ON names.asn = c.asn LEFT JOIN conn ON conn.asn1 = c.asn LEFT JOIN pro ON pro.customer_asn = c.asn""",
+    "asinfo_core", "asinfo_as2org", "asinfo_peeringdb", "as2rel", "roas", "aspas", "pfx2as",
+)
+def inspect_asn(spark, sf_dir):
+    rows = reports.inspect_asns(view(spark, sf_dir, "asinfo_core"), _data(spark, sf_dir))
+    kind = lambda k: F.coalesce(F.try_element_at("neighbours", F.lit(k)), F.lit(0))
+    return rows.select(
+        "asn", "as_name", "country", kind("upstream").alias("upstreams"), kind("peer").alias("peers"), kind("downstream").alias("downstreams"), F.col("roas.roas").alias("roas"), F.coalesce(_text("provider_asns"), F.lit("")).alias("providers"),
+        F.coalesce("announced.total", F.lit(0)).alias("announced"), F.coalesce("announced.valid", F.lit(0)).alias("valid"),
+    )
+
+
+@query(
+    "SELECT input, asn, name, country, CAST(r AS INTEGER) AS rank, total, total > 5 AS truncated FROM (SELECT i.input, c.asn, c.name, c.country, row_number() OVER (PARTITION BY i.input ORDER BY c.asn) AS r, count(*) OVER (PARTITION BY i.input) AS total FROM asinfo_core c LEFT JOIN asinfo_as2org o USING (asn) LEFT JOIN asinfo_peeringdb p USING (asn) JOIN (SELECT DISTINCT lower(c_mktsegment) AS input FROM customer) i ON contains(lower(concat_ws(chr(10), c.name, o.name, o.org_name, p.name, p.name_long, p.aka)), i.input)) x WHERE r <= 5",
+    *_NAME_VIEWS,
+)
+def inspect_name(spark, sf_dir):
+    inputs = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.lower("c_mktsegment").alias("input"))
+    return reports.inspect_names(inputs, _data(spark, sf_dir), 5)
+
+
+@query(
+    """SELECT input, CASE WHEN k % 4 < 2 THEN 'asn' WHEN k % 4 = 2 THEN 'prefix' ELSE 'name' END AS query_type, CASE WHEN k % 4 < 2 THEN 64500 + k END AS asn, CASE WHEN k % 4 = 2 THEN CASE WHEN k % 3 = 0 THEN input ELSE concat(input, '/32') END END AS query FROM
+ (SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN concat('as', CAST(64500 + c_custkey AS STRING)) WHEN 1 THEN CAST(64500 + c_custkey AS STRING) WHEN 2 THEN concat('10.1.', CAST(c_custkey % 200 AS STRING), '.0', CASE WHEN c_custkey % 3 = 0 THEN '/24' ELSE '' END) ELSE c_name END AS input FROM customer) x""",
+    "countries",
+)
+def query_type_detect(spark, sf_dir):
+    k = F.col("c_custkey")
+    text = F.when(k % 4 == 0, F.concat(F.lit("as"), (k + 64500).cast("string"))).when(k % 4 == 1, (k + 64500).cast("string"))
+    text = text.when(k % 4 == 2, F.concat(F.lit("10.1."), (k % 200).cast("string"), F.lit(".0"), F.when(k % 3 == 0, "/24").otherwise(""))).otherwise(F.col("c_name"))
+    return reports.typed_inputs(spark.read.parquet(f"{sf_dir}/customer.parquet").select(text.alias("input")))
+
+
+@query("SELECT a.asn AS asn1, b.asn2, coalesce(r.n > 0, FALSE) AS found FROM asinfo_core a JOIN (SELECT DISTINCT asn1 AS asn2 FROM as2rel) b ON (a.asn + b.asn2) % 7 = 0 LEFT JOIN (SELECT asn1, asn2, count(*) AS n FROM (SELECT asn1, asn2 FROM as2rel UNION ALL SELECT asn2, asn1 FROM as2rel) GROUP BY 1, 2) r ON r.asn1 = a.asn AND r.asn2 = b.asn2", "asinfo_core", "as2rel")
+def relation_of_pairs(spark, sf_dir):
+    edges = view(spark, sf_dir, "as2rel")
+    ends = edges.select(F.col("asn1").alias("asn2")).distinct().withColumn("r", (7 - F.col("asn2") % 7) % 7)
+    pairs = view(spark, sf_dir, "asinfo_core").select(F.col("asn").alias("asn1"), (F.col("asn") % 7).alias("r")).join(ends, "r").select("asn1", "asn2")
+    return reports.relation(pairs, edges).select("asn1", "asn2", "found")
+
+
+# --- ingest and streams ---------------------------------------------------------------------------------
+
+
+@query("SELECT collector, prefix, peer_ip AS next_hop, CAST(origin_asn AS STRING) AS as_path, origin_asn, 'IGP' AS origin, CAST(seq % 100 AS BIGINT) AS med FROM rib_dumps", "rib_dumps")
+def text_dump_ingest(spark, sf_dir):
+    """The dumps as fixed-width text, a file for each collector and run of 2000 events, read back as routes."""
+    rows = view(spark, sf_dir, "rib_dumps").withColumn("line", F.format_string(" *> %-17s%-20s%7d%7s%7d%s i", "prefix", "peer_ip", F.col("seq") % 100, F.lit(""), F.lit(0), F.col("origin_asn").cast("string")))
+    header = "    Network          Next Hop            Metric LocPrf Weight Path"
+    files = rows.withColumn("bucket", F.floor(F.col("seq") / 2000)).groupBy("collector", "bucket").agg(F.concat(F.lit(header + "\n"), F.array_join(F.collect_list("line"), "\n")).alias("value"))
+    folder = scratch(spark, "dumps")
+    files.select("collector", "bucket", "value").write.partitionBy("collector", "bucket").text(folder)
+    found = ingest.read_text_dump(spark, f"{folder}/*/*/*.txt")
+    return found.select(F.regexp_extract("file", "collector=([^/]+)/", 1).alias("collector"), "prefix", "next_hop", "as_path", F.get("origin_asns", F.lit(0)).alias("origin_asn"), "origin", "med")
+
+
+@query(f"SELECT {ELEM_SQL} FROM bgp_elems WHERE elem_type = 'A' AND peer_asn IN (64500, 64502, 64504)", "bgp_elems")
+def search_stream(spark, sf_dir):
+    """A search over a stream of element files; its batches together are the search over all of them."""
+    folder = scratch(spark, "stream")
+    rows = elems(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows.repartition(4, "seq").write.parquet(f"{folder}/in")
+    stream = streams.element_stream(spark, f"{folder}/in", rows.schema, 2)
+    wanted = RouteFilters(elem_type="A", peer_asns=["64500", "64502", "64504"])
+    streams.search_stream(stream, wanted, lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"), f"{folder}/marks").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{folder}/out/*").select(*ELEM)
+
+
+@query(_last_sql() + f" SELECT {_ROUTE}, origin_asn FROM last WHERE r = 1 AND elem_type = 'A'", "rib_dumps", "bgp_elems")
+def rib_stream(spark, sf_dir):
+    """Updates as a stream onto a dump: the table after the last batch is that of the replay."""
+    folder = scratch(spark, "state")
+    columns = ["collector", "peer_ip", "peer_asn", "prefix", "seq", "origin_asns"]
+    base = dumps(spark, sf_dir).where(F.col("dump_ts") == _ntz(BASE_TS)).groupBy(*columns[:4]).agg(F.max_by(F.struct("seq", "origin_asns"), "seq").alias("l")).select(*columns[:4], F.lit(-1).cast("bigint").alias("seq"), "l.origin_asns")
+    updates = elems(spark, sf_dir).where((F.col("ts") > _ntz(BASE_TS)) & (F.col("ts") <= _ntz(LAST_TS))).select(*columns, "elem_type")
+    updates.repartitionByRange(4, "seq").write.parquet(f"{folder}/in")
+    state = streams.RoutingState(spark, f"{folder}/state", ["origin_asns"])
+    state.start(base)
+    query = state.follow(streams.element_stream(spark, f"{folder}/in", updates.schema, 2), f"{folder}/marks")
+    query.awaitTermination()
+    return _routes(state.table()).drop("seq")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The routing table at an instant with the validation state of every route."""
     return rov.validated(rib_snapshot(spark, sf_dir), view(spark, sf_dir, "roas"))
