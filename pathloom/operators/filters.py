@@ -192,11 +192,14 @@ class RouteFilters:
         """An absent path is matched as empty text."""
         return F.coalesce("as_path", F.lit("")).rlike(self.as_path_regex) if self.as_path_regex else None
 
-    def time_predicate(self, kind: T.DataType) -> Column | None:
+    def time_predicate(self, rows: DataFrame) -> Column | None:
         start, end = self.time_range()
+        if start is None and end is None:
+            return None
+        kind = rows.schema["ts"].dataType
         parts = [F.col("ts") >= instant(start, kind)] if start is not None else []
         parts += [F.col("ts") <= instant(end, kind)] if end is not None else []
-        return reduce(Column.__and__, parts) if parts else None
+        return reduce(Column.__and__, parts)
 
     def apply_prefixes(self, rows: DataFrame) -> DataFrame:
         if not self.prefixes:
@@ -208,14 +211,14 @@ class RouteFilters:
     def apply(self, elems: DataFrame, data_type: str = "updates") -> DataFrame:
         """elems that pass every dimension; a routing-table dump (rib) has no time filter, as its rows carry old times."""
         self.validate()
-        parts = [self.peer_asn_predicate(), self.peer_ip_predicate(), self.type_predicate(), None if data_type == "rib" else self.time_predicate(elems.schema["ts"].dataType)]
+        parts = [self.peer_asn_predicate(), self.peer_ip_predicate(), self.type_predicate(), None if data_type == "rib" else self.time_predicate(elems)]
         parts += [self.path_predicate(), self.origin_predicate(), self.community_predicate()]
         parts = [p for p in parts if p is not None]
         return self.apply_prefixes(elems.where(reduce(Column.__and__, parts)) if parts else elems)
 
     def safe(self, rows: DataFrame, time: bool = False) -> DataFrame:
         """Only what may be dropped before a replay: other prefixes and peers, and other times of updates."""
-        parts = [self.peer_asn_predicate(), self.time_predicate(rows.schema["ts"].dataType) if time else None]
+        parts = [self.peer_asn_predicate(), self.time_predicate(rows) if time else None]
         parts = [p for p in parts if p is not None]
         return self.apply_prefixes(rows.where(reduce(Column.__and__, parts)) if parts else rows)
 

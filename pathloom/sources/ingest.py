@@ -90,9 +90,9 @@ def read_text_dump(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     header = _headers(lines).where("c_next IS NOT NULL")
     rows = lines.join(header, "file").where(F.col("seq") > F.col("h_line"))
     routes = rows.withColumn("r", F.coalesce(_route(F.col("line"), 0), _route(F.col("line"), 1)))
-    alone = F.trim(F.expr("substring(line, 4, c_next - 4)"))
-    rest = F.trim(F.expr("substring(line, c_next)"))
-    own = F.when(F.col("r").isNotNull(), F.nullif(F.col("r.prefix"), F.lit(""))).when((rest == "") & prefix_key(alone).isNotNull(), alone)
+    # a wrapped prefix stands alone after the status marks, whether or not it runs into the next column
+    alone = F.trim(F.expr("substring(line, 4)"))
+    own = F.when(F.col("r").isNotNull(), F.nullif(F.col("r.prefix"), F.lit(""))).when(prefix_key(alone).isNotNull(), alone)
     last = F.last(own, ignorenulls=True).over(Window.partitionBy("file").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
     found = routes.withColumn("prefix", last).where(F.col("r").isNotNull() & prefix_key(F.col("prefix")).isNotNull())
     tokens = F.filter(F.split(F.col("r.path"), r"\s+"), lambda t: t != "")
@@ -130,13 +130,13 @@ def text_dump_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def _route(line: Column, shift: int) -> Column:
-    """A struct of the parts of a route line, null if there is no address in the column of the next hop."""
+    """A struct of the parts of a route line, null if no address begins in the column of the next hop."""
 
     def part(start: str, end: str | None) -> Column:
         return F.trim(F.expr(f"substring(line, {start} - {shift}, {end} - {start})" if end else f"substring(line, {start} - {shift})"))
 
     next_hop = part("c_next", "c_metric")
-    good = prefix_key(F.concat(next_hop, F.when(next_hop.contains(":"), F.lit("/128")).otherwise(F.lit("/32")))).isNotNull() & ~F.ltrim(line).startswith("Displayed")
+    good = prefix_key(F.concat(next_hop, F.when(next_hop.contains(":"), F.lit("/128")).otherwise(F.lit("/32")))).isNotNull() & F.expr(f"substring(line, c_next - {shift} - 1, 1) = ' '") & ~F.ltrim(line).startswith("Displayed")
     own = F.trim(F.expr(f"substring(line, 4, c_next - {shift} - 4)"))
     return F.when(good, F.struct(own.alias("prefix"), next_hop.alias("next_hop"), part("c_metric", "c_pref").try_cast("bigint").alias("med"), part("c_pref", "c_weight").try_cast("bigint").alias("local_pref"), part("c_path", None).alias("path")))
 
