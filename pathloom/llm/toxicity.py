@@ -23,6 +23,8 @@ from .common import held_out, sliced
 SAMPLE = 20_000
 #: Patterns kept, documents that a pattern is in at least, its share of toxic ones at least, lengths of word beginnings.
 PATTERNS, LEAST_DOCS, LEAST_SHARE, BEGINNINGS = 600, 4, 0.6, (4, 5)
+#: Log-likelihood ratio that a pattern reaches at least, as so many are tried that some would be in toxic documents alone by chance.
+LEAST_RATIO = 25.0
 THRESHOLD = 0.3
 #: Words that a negation reaches.
 REACH = 3
@@ -130,7 +132,11 @@ def learn_patterns(rows: DataFrame) -> dict[str, float]:
 
     counts = rows.select("text", "toxic").mapInArrow(emit, "pattern string, n long, bad long").groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     odds = F.log((F.col("bad") + 0.5) / (F.col("n") - F.col("bad") + 0.5)) - float(np.log(totals[1] / totals[0]))
-    found = counts.where((F.col("bad") >= LEAST_DOCS) & (F.col("bad") >= LEAST_SHARE * F.col("n"))).withColumn("weight", odds)
+    base = totals[1] / (totals[0] + totals[1])
+    good = F.col("n") - F.col("bad")
+    ratio = 2 * (F.col("bad") * F.log(F.col("bad") / (F.col("n") * base)) + F.when(good > 0, good * F.log(F.greatest(good, F.lit(1)) / (F.col("n") * (1 - base)))).otherwise(0.0))
+    often = counts.where((F.col("bad") >= LEAST_DOCS) & (F.col("bad") >= LEAST_SHARE * F.col("n")))
+    found = often.where(ratio >= LEAST_RATIO).withColumn("weight", odds)
     return {r["pattern"]: r["weight"] for r in found.orderBy((F.col("weight") * F.col("bad")).desc(), "pattern").limit(PATTERNS).collect()}
 
 
