@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ID_BYTES, cuts, identify, verified_size
-from .common import keep_rows, sliced, text_digest
+from .common import checkpointed, keep_rows, sliced, text_digest
 
 CHUNK_BITS, CHUNK_LEAST, CHUNK_MOST = 10, 256, 8192
 
@@ -61,9 +61,13 @@ def exact_duplicates(docs: DataFrame, id_sizes: tuple[int, ...] = ID_BYTES) -> D
     """
     size = verified_size(lambda n: chunk_table(docs, n), id_sizes)
     recipes = recipe_table(docs, size)
-    groups = recipes.groupBy(F.col("recipe").alias("__recipe")).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return recipes.join(groups, F.col("recipe") == F.col("__recipe")).select(
-        "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256"
+    groups = recipes.groupBy(F.col("recipe").alias("__recipe")).agg(F.max("doc_id").alias("__keep"), F.count(F.lit(1)).alias("__size"))
+    # only groups of several rows are joined; as a table of their own, so that a join of a huge group can be split
+    joined = recipes.join(checkpointed(groups.where("__size > 1")), F.col("recipe") == F.col("__recipe"), "left")
+    single = F.col("__size").isNull()
+    keep = F.when(single, F.col("doc_id")).otherwise(F.col("__keep"))
+    return joined.select(
+        "doc_id", keep.alias("keep_id"), F.coalesce("__size", F.lit(1)).cast("long").alias("group_size"), F.coalesce(F.col("doc_id") == keep, keep.isNull()).alias("kept"), "text_sha256"
     )
 
 
