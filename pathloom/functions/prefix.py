@@ -81,9 +81,20 @@ def prefix_key(prefix: Column) -> Column:
 
 
 def with_key(df: DataFrame, prefix: str = "prefix", into: str = "key") -> DataFrame:
-    """df with the four parts of the prefix's key as columns into_family and so on; rows without a key are dropped."""
-    keyed = df.withColumn(into, prefix_key(F.col(prefix))).where(F.col(into).isNotNull())
-    return keyed.select("*", *[F.col(f"{into}.{k}").alias(f"{into}_{k}") for k in KEY]).drop(into)
+    """df with the four parts of the prefix's key as columns into_family and so on; rows without a key are dropped.
+
+    The same as prefix_key(), in steps, so that each part of the text is read once for each row.
+    """
+    a, f, h, low, n = (f"__{into}_{x}" for x in ("address", "family", "hi", "lo", "len"))
+    rows = df.withColumns({a: address_text(F.col(prefix)), n: prefix_length(F.col(prefix))})
+    rows = rows.withColumn(f, F.when(F.col(a).rlike(_V4), F.lit(4)).when(F.col(a).rlike(_V6), F.lit(6)).cast("tinyint"))
+    rows = rows.where(F.col(f).isNotNull() & (F.col(n) >= 0) & (F.col(n) <= F.when(F.col(f) == 4, 32).otherwise(128)))
+    rows = rows.withColumn(a, F.when(F.col(f) == 4, F.col(a)).otherwise(_v6_hex(F.col(a))))
+    hi = F.when(F.col(f) == 4, F.lit(0).cast("bigint")).otherwise(F.conv(F.substring(a, 1, 16), 16, -10).try_cast("bigint"))
+    lo = F.when(F.col(f) == 4, _v4_number(F.col(a))).otherwise(F.conv(F.substring(a, 17, 16), 16, -10).try_cast("bigint"))
+    rows = rows.withColumns({h: hi, low: lo})
+    hi, lo = masked(F.col(f), F.col(h), F.col(low), F.col(n))
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns], F.col(f).alias(f"{into}_family"), hi.alias(f"{into}_hi"), lo.alias(f"{into}_lo"), F.col(n).alias(f"{into}_len"))
 
 
 def ancestors(into: str, lengths: Iterable[tuple[int, int]]) -> Column:
@@ -105,6 +116,11 @@ def ancestors(into: str, lengths: Iterable[tuple[int, int]]) -> Column:
     return found if found is not None else F.expr("CAST(array() AS array<struct<family:tinyint,hi:bigint,lo:bigint,len:int>>)")
 
 
-def lengths_present(keyed: DataFrame, into: str = "key") -> list[tuple[int, int]]:
-    """The distinct (family, length) pairs of a keyed table: 162 at most."""
-    return [(r[0], r[1]) for r in keyed.select(f"{into}_family", f"{into}_len").distinct().collect()]
+def lengths_present(df: DataFrame, prefix: str = "prefix") -> list[tuple[int, int]]:
+    """The distinct (family, length) pairs of a column of prefixes, 162 at most; the text is split and not parsed."""
+    rows = df.select(F.when(is_v6(F.col(prefix)), 6).otherwise(4).alias("f"), prefix_length(F.col(prefix)).alias("n")).distinct()
+    return sorted((r["f"], r["n"]) for r in rows.where("n IS NOT NULL").collect() if 0 <= r["n"] <= WIDTH[r["f"]])
+
+
+#: Every (family, length) pair there can be.
+ALL_LENGTHS = [(f, n) for f, width in WIDTH.items() for n in range(width + 1)]

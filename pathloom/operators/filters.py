@@ -23,7 +23,9 @@ from .match import filter_prefixes
 INLINE = 1000
 # Seconds of the units that a duration may name.
 UNITS = {"s": 1, "sec": 1, "m": 60, "min": 60, "h": 3600, "hour": 3600, "hours": 3600, "d": 86400, "day": 86400, "days": 86400, "w": 604800}
+# The fields of an element in their order, and peers that send a whole table of IPv4 or IPv6.
 FIELDS = ("type", "timestamp", "peer_ip", "peer_asn", "prefix", "path_id", "as_path", "origin_asns", "origin", "next_hop", "local_pref", "med", "communities", "atomic", "aggr_asn", "aggr_ip", "collector")
+FULL_FEED_V4, FULL_FEED_V6 = 800_000, 100_000
 DEFAULT_FIELDS = tuple(f for f in FIELDS if f not in ("path_id", "origin_asns", "collector"))
 
 
@@ -228,7 +230,7 @@ class RouteFilters:
         return reduce(Column.__and__, parts) if parts else F.lit(True)
 
 
-def full_feed_peers(peers: DataFrame, least_v4: int = 800_000, least_v6: int = 100_000) -> DataFrame:
+def full_feed_peers(peers: DataFrame, least_v4: int = FULL_FEED_V4, least_v6: int = FULL_FEED_V6) -> DataFrame:
     """Peers that send (nearly) a whole table of either family."""
     return peers.where((F.col("num_v4_pfxs") >= least_v4) | (F.col("num_v6_pfxs") >= least_v6)).select("collector", "peer_ip", "peer_asn").distinct()
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.functions.prefix import KEY, ancestors, lengths_present, with_key
+from pathloom.functions.prefix import ALL_LENGTHS, KEY, ancestors, lengths_present, with_key
 
 
 def _same(left: str, right: str):
@@ -43,7 +43,7 @@ def exact(queries: DataFrame, table: DataFrame, query: str = "query", prefix: st
 def covering(queries: DataFrame, table: DataFrame, query: str = "query", prefix: str = "prefix", keep_length: bool = False) -> DataFrame:
     """Each query with every row of table whose prefix contains it, itself included."""
     q, t = _sides(queries, table, query, prefix)
-    found = _exploded(q, "q", lengths_present(t, "t"), "a").join(t, _same("a", "t"))
+    found = _exploded(q, "q", lengths_present(table, prefix), "a").join(t, _same("a", "t"))
     return _bare(found.withColumn("matched_len", F.col("t_len")) if keep_length else found)
 
 
@@ -57,7 +57,7 @@ def longest(queries: DataFrame, table: DataFrame, query: str = "query", prefix:
 def covered(queries: DataFrame, table: DataFrame, query: str = "query", prefix: str = "prefix") -> DataFrame:
     """Each query with every row of table whose prefix lies in it, itself included."""
     q, t = _sides(queries, table, query, prefix)
-    return _bare(_exploded(t, "t", lengths_present(q, "q"), "a").join(q, _same("a", "q")))
+    return _bare(_exploded(t, "t", lengths_present(queries, query), "a").join(q, _same("a", "q")))
 
 
 def grouped(matches: DataFrame, query: str = "query", asn: str = "origin_asn") -> DataFrame:
@@ -84,14 +84,14 @@ def filter_prefixes(rows: DataFrame, wanted: DataFrame, include_super: bool = Fa
     keyed = with_key(table, "__row_prefix", "r").drop("__row_prefix")
     w = with_key(wanted.select(F.col("prefix").alias("__w")), "__w", "w").drop("__w").distinct()
     if include_super:
-        supers = _exploded(w, "w", lengths_present(keyed, "r"), "s").select(*[F.col(f"s_{k}").alias(f"w_{k}") for k in KEY])
+        supers = _exploded(w, "w", ALL_LENGTHS, "s").select(*[F.col(f"s_{k}").alias(f"w_{k}") for k in KEY])
         up = w.unionByName(supers).distinct()
     else:
         up = w
     flagged = keyed.join(up.select(*[F.col(f"w_{k}").alias(f"u_{k}") for k in KEY], F.lit(True).alias("__up")), _same("r", "u"), "left").drop(*[f"u_{k}" for k in KEY])
     hit = F.coalesce("__up", F.lit(False))
     if include_sub:
-        lengths = lengths_present(w, "w")
+        lengths = lengths_present(wanted)
         pairs = _exploded(keyed.select(*[f"r_{k}" for k in KEY]).distinct(), "r", lengths, "a")
         below = pairs.join(w, _same("a", "w"), "left_semi").select(*[F.col(f"r_{k}").alias(f"b_{k}") for k in KEY]).distinct().withColumn("__down", F.lit(True))
         flagged = flagged.join(below, _same("r", "b"), "left").drop(*[f"b_{k}" for k in KEY])

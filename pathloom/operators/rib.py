@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# How old a base dump may be, and what makes a route.
 LOOK_BACK_DAYS = 30
 ROUTE = ("collector", "peer_ip", "peer_asn", "prefix", "path_id")
 
@@ -89,15 +90,17 @@ def snapshots(events: DataFrame, values: list[str], instants: list) -> DataFrame
     return spans.withColumn("rib_ts", F.explode(lasting)).select("rib_ts", *key, *[F.col(f"last.{v}").alias(v) for v in values])
 
 
-def update_log(events: DataFrame, instants: list) -> DataFrame:
+def update_log(events: DataFrame, instants: list, from_base: bool = False) -> DataFrame:
     """Updates that changed the table between the first instant and the last, each with the instant it leads to.
 
+    With from_base those between the dump and the first instant too.
+
     An update is applied if it is a matching announcement, or if the route was there before it.
     """
     order = Window.partitionBy(*route_key(events)).orderBy("phase", "seq")
     live = (F.col("elem_type") == "A") & F.coalesce("is_match", F.lit(False))
     seen = stamped(events, instants).withColumn("__live", live).withColumn("__before", F.coalesce(F.lag("__live").over(order), F.lit(False)))
-    applied = (F.col("phase") == 1) & (F.col("__live") | F.col("__before")) & (F.col("rib_ts") > instants[0])
+    applied = (F.col("phase") == 1) & (F.col("__live") | F.col("__before")) & (F.lit(from_base) | (F.col("rib_ts") > instants[0]))
     return seen.where(applied).drop("__live", "__before", "phase", "is_match")
 
 

@@ -10,6 +10,13 @@ from pathloom.functions.prefix import host_prefix, lengths_present, prefix_lengt
 from .match import _bare, _exploded, _same, covering
 
 
+# The reasons that go with each state.
+VALID = "ROA exists with matching ASN and valid prefix length"
+NOT_FOUND = "No covering ROA found"
+TOO_LONG = ("Prefix length ", " exceeds max_length in covering ROAs")
+WRONG_ASN = ("ASN ", " not authorized; authorized ASNs: ")
+
+
 def validate(pairs: DataFrame, roas: DataFrame, prefix: str = "prefix", asn: str = "origin_asn") -> DataFrame:
     """pairs with state: valid, invalid or not_found; each distinct pair is validated once.
 
@@ -36,10 +43,10 @@ def detailed(pairs: DataFrame, roas: DataFrame, prefix: str = "prefix", asn: str
     """pairs with state and the reason for it in words; authorised ASes in order."""
     wrong_length = F.array_contains("roa_asns", F.col(asn))
     reason = (
-        F.when(F.col("state") == "valid", "ROA exists with matching ASN and valid prefix length")
-        .when(F.col("state") == "not_found", "No covering ROA found")
-        .when(wrong_length, F.concat(F.lit("Prefix length "), prefix_length(F.col(prefix)).cast("string"), F.lit(" exceeds max_length in covering ROAs")))
-        .otherwise(F.concat(F.lit("ASN "), F.col(asn).cast("string"), F.lit(" not authorized; authorized ASNs: "), F.array_join(F.col("roa_asns").cast("array<string>"), ", ")))
+        F.when(F.col("state") == "valid", VALID)
+        .when(F.col("state") == "not_found", NOT_FOUND)
+        .when(wrong_length, F.concat(F.lit(TOO_LONG[0]), prefix_length(F.col(prefix)).cast("string"), F.lit(TOO_LONG[1])))
+        .otherwise(F.concat(F.lit(WRONG_ASN[0]), F.col(asn).cast("string"), F.lit(WRONG_ASN[1]), F.array_join(F.col("roa_asns").cast("array<string>"), ", ")))
     )
     return validate(pairs, roas, prefix, asn).withColumn("reason", reason).drop("roa_asns")
 
@@ -48,7 +55,7 @@ def covering_roas(queries: DataFrame, roas: DataFrame, query: str = "query") ->
     """ROAs that contain the network address of each query: looser than validation, as a longer ROA prefix counts too."""
     q = with_key(queries.withColumn("__host", host_prefix(F.element_at(F.split(F.trim(query), "/"), 1))), "__host", "q").drop("__host")
     t = with_key(roas.withColumnRenamed("prefix", "roa_prefix"), "roa_prefix", "t")
-    return _bare(_exploded(q, "q", lengths_present(t, "t"), "a").join(t, _same("a", "t")))
+    return _bare(_exploded(q, "q", lengths_present(roas), "a").join(t, _same("a", "t")))
 
 
 def lookup(roas: DataFrame, prefixes: DataFrame | None = None, asns: DataFrame | None = None) -> DataFrame:

@@ -38,6 +38,8 @@ def read_elems(spark: SparkSession, paths: list[str], form: str = "parquet") ->
     """Elements of many files as one table, with ts in UTC and the file they come from.
 
     form is parquet, json (a line each) or psv (columns of ELEM_SCHEMA with | between, lists by spaces).
+    place numbers a file's elements in their order, through the row numbers that Parquet keeps, or else
+    by block of the file and row in it.
     """
     if form == "psv":
         flat = ELEM_SCHEMA.replace("array<bigint>", "string").replace("array<string>", "string")
@@ -45,7 +47,9 @@ def read_elems(spark: SparkSession, paths: list[str], form: str = "parquet") ->
         rows = rows.withColumn("origin_asns", F.when(F.col("origin_asns") != "", path_asns(F.col("origin_asns")))).withColumn("communities", F.when(F.col("communities") != "", F.split("communities", " ")))
     else:
         rows = spark.read.schema(ELEM_SCHEMA).format(form).load(paths)
-    return rows.withColumn("ts", F.timestamp_micros((F.col("timestamp") * 1_000_000).cast("bigint"))).withColumn("file", F.col("_metadata.file_path"))
+    row = F.col("_metadata.row_index") if form == "parquet" else F.monotonically_increasing_id()
+    place = F.struct((F.lit(0) if form == "parquet" else F.col("_metadata.file_block_start")).cast("bigint").alias("block"), row.alias("row"))
+    return rows.withColumn("ts", F.timestamp_micros((F.col("timestamp") * 1_000_000).cast("bigint"))).withColumns({"file": F.col("_metadata.file_path"), "place": place})
 
 
 def write_elems(elems: DataFrame, path: str) -> None:
