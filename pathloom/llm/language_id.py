@@ -27,7 +27,7 @@ PIECE_BYTES = 12
 UNKNOWN = 1e-6
 SMOOTHING = 0.01
 #: Words whose scores a task keeps at a time, and words of one lattice.
-KEPT_WORDS, LATTICE_WORDS = 300_000, 16_384
+KEPT_WORDS, LATTICE_WORDS = 300_000, 8_192
 LEAST_SCORE = 0.5
 
 
@@ -124,7 +124,8 @@ class Scorer:
         for text in texts:
             own = text.split()
             if own and max(map(len, own)) >= SPAN:
-                own = [s[1:] if s[:1] == b" " else b"\x00" + s for w in own for s in spans(w)]
+                # a later span of a long word is marked by a line's end, which no word holds
+                own = [s if i else s[1:] for w in own for i, s in enumerate([spans(w)[0], *(b"\n" + s for s in spans(w)[1:])])]
             words += own
             counts.append(len(own))
         if len(self.known) > KEPT_WORDS:
@@ -133,7 +134,7 @@ class Scorer:
         rows = [self.scores]
         for i in range(0, len(fresh), LATTICE_WORDS):
             part = fresh[i : i + LATTICE_WORDS]
-            lattice = build_lattice(self.trie, [w[1:] if w[:1] == b"\x00" and len(w) > 1 else b" " + w for w in part])
+            lattice = build_lattice(self.trie, [w[1:] if w[:1] == b"\n" else b" " + w for w in part])
             rows.append(np.log(forward(lattice, self.probability[lattice.piece])[lattice.last]))
             for w in part:
                 self.known[w] = len(self.known)

@@ -26,7 +26,7 @@ from .common import sliced, text_digest
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 BYTE_SCORE = -14.0
 #: Words whose ids a task keeps, and bytes of one index, if no word alone is longer.
-KEPT_WORDS, INDEX_BYTES = 300_000, 1 << 19
+KEPT_WORDS, INDEX_BYTES = 300_000, 1 << 18
 
 
 def vocabulary(path: str = VOCABULARY) -> tuple[list[bytes], np.ndarray, np.ndarray, list[bytes], np.ndarray]:

@@ -12,7 +12,7 @@ import numpy as np
 #: Points below which pairs are compared directly.
 DIRECT = 512
 #: Pairs compared at a time.
-BLOCK = 1 << 22
+BLOCK = 1 << 19
 
 
 def distances(points: np.ndarray, vantage: int) -> np.ndarray:
