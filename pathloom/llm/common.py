@@ -73,9 +73,13 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             yield part, doc_bytes(part.column(column))
 
 
-def columns(df: DataFrame, *wanted: str) -> DataFrame:
-    """Only the named columns, so that whatever else a table carries can't clash."""
-    return df.select(*wanted)
+def _packed(docs: DataFrame, text: str) -> DataFrame:
+    """Each row as one struct beside its identity, so that no column name can clash."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row"), F.col("doc_id").alias("__id"), text_digest(text).alias("__sha"))
+
+
+def _same_row() -> Column:
+    return F.col("__sha").eqNullSafe(F.col("__ksha")) & F.col("__id").eqNullSafe(F.col("__kid"))
 
 
 def keep_rows(docs: DataFrame, decisions: DataFrame, text: str = "text") -> DataFrame:
@@ -84,7 +88,12 @@ def keep_rows(docs: DataFrame, decisions: DataFrame, text: str = "text") -> Data
     decisions has columns doc_id and text_sha256. The join is on both, null ids included, so that
     rows that share an id but not a text are judged apart. No column is added or renamed.
     """
-    inner = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row"), F.col("doc_id").alias("__id"), text_digest(text).alias("__sha"))
     right = decisions.select(F.col("doc_id").alias("__kid"), F.col("text_sha256").alias("__ksha"))
-    kept = inner.join(right, F.col("__sha").eqNullSafe(F.col("__ksha")) & F.col("__id").eqNullSafe(F.col("__kid")), "left_semi")
-    return kept.select("__row.*")
+    return _packed(docs, text).join(right, _same_row(), "left_semi").select("__row.*")
+
+
+def repeat_rows(docs: DataFrame, times: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of docs as often as times says (doc_id, text_sha256, n; once for each pair); rows that it hasn't go."""
+    right = times.select(F.col("doc_id").alias("__kid"), F.col("text_sha256").alias("__ksha"), F.col("n").alias("__n"))
+    joined = _packed(docs, text).join(right.where("__n > 0"), _same_row())
+    return joined.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n").cast("long")))).select("__row.*")

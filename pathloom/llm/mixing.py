@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, keep_rows, text_digest
+from .common import checkpointed, repeat_rows, text_digest
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
@@ -135,7 +135,6 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: i
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that the mix takes, each as often as its taken words fill it, rounded to whole documents; columns as in docs."""
-    copies = mix(docs).withColumn("n", F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.nullif(F.col("size"), F.lit(0)))))).where("n > 0")
-    once = copies.groupBy("doc_id", "text_sha256").agg(F.max("n").alias("n"))
-    first = keep_rows(docs, once)
-    return first.unionByName(keep_rows(docs, once.where("n > 1")))
+    filled = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.nullif(F.col("size"), F.lit(0)))))
+    times = mix(docs).withColumn("n", filled).groupBy("doc_id", "text_sha256").agg(F.max("n").alias("n"))
+    return repeat_rows(docs, times)
