@@ -47,9 +47,8 @@ def tokens(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     return b"\n".join(texts).translate(NORMAL).replace(b"\n", b" \x00 ").split() + [LINE], np.array(lines, dtype=np.int64)
 
 
-def shingles(words: list[bytes]) -> set[bytes]:
-    n = min(SHINGLE_WORDS, len(words))
-    return {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
+def shingles(words: list[bytes], size: int) -> set[bytes]:
+    return {b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)}
 
 
 def words_of(text: str) -> list[bytes]:
@@ -61,8 +60,7 @@ def confirmed(words: list[bytes], family: str) -> bool:
     for notice in NOTICES[family]:
         wanted = words_of(notice)
         n = min(SHINGLE_WORDS, len(wanted))
-        own = {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}
-        target = {b" ".join(wanted[i : i + n]) for i in range(len(wanted) - n + 1)}
+        target, own = shingles(wanted, n), shingles(words, n)
         if len(target & own) >= SIMILARITY * len(target):
             return True
     return False
