@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ID_BYTES, identify, verified_size
-from .common import sliced, text_digest
+from .common import checkpointed, sliced, text_digest
 
 #: Lines that the rolling hash spans, one in how many places ends a chunk, lines of a chunk at most and of one that may go at least.
 SPAN_LINES, ONE_IN, MOST_LINES, LEAST_LINES = 2, 4, 32, 2
@@ -75,7 +75,8 @@ def remove_repeated_lines(docs: DataFrame, id_sizes: tuple[int, ...] = ID_BYTES)
     size = verified_size(lambda n: _occurrences(docs, n, True), id_sizes)
     found = _occurrences(docs, size, False).distinct()
     first = F.min(F.struct("doc_id", "text_sha256", "place")).alias("first")
-    repeated = found.groupBy(F.col("id").alias("of")).agg(F.count(F.lit(1)).alias("n"), first).where("n > 1").select("of", "first")
+    # a table of its own, so that the join of a chunk that stands in very many documents can be split
+    repeated = checkpointed(found.groupBy(F.col("id").alias("of")).agg(F.count(F.lit(1)).alias("n"), first).where("n > 1").select("of", "first"))
     gone = found.join(repeated, F.col("id") == F.col("of")).where(~F.struct("doc_id", "text_sha256", "place").eqNullSafe(F.col("first")))
     gone = gone.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.sort_array(F.collect_list("place")).alias("places"))
     rows = docs.select("doc_id", text_digest().alias("text_sha256"), "text")
