@@ -85,13 +85,15 @@ def with_key(df: DataFrame, prefix: str = "prefix", into: str = "key") -> DataFr
 
     The same as prefix_key(), in steps, so that each part of the text is read once for each row.
     """
-    a, f, h, low, n = (f"__{into}_{x}" for x in ("address", "family", "hi", "lo", "len"))
-    rows = df.withColumns({a: address_text(F.col(prefix)), n: prefix_length(F.col(prefix))})
+    p, a, f, o, h, low, n = (f"__{into}_{x}" for x in ("parts", "address", "family", "octets", "hi", "lo", "len"))
+    rows = df.withColumn(p, F.split(prefix, "/"))
+    rows = rows.withColumns({a: F.get(p, F.lit(0)), n: F.when(F.size(p) == 2, F.get(p, F.lit(1)).try_cast("int"))})
     rows = rows.withColumn(f, F.when(F.col(a).rlike(_V4), F.lit(4)).when(F.col(a).rlike(_V6), F.lit(6)).cast("tinyint"))
     rows = rows.where(F.col(f).isNotNull() & (F.col(n) >= 0) & (F.col(n) <= F.when(F.col(f) == 4, 32).otherwise(128)))
-    rows = rows.withColumn(a, F.when(F.col(f) == 4, F.col(a)).otherwise(_v6_hex(F.col(a))))
+    rows = rows.withColumns({o: F.when(F.col(f) == 4, F.split(a, r"\.").cast("array<bigint>")), a: F.when(F.col(f) == 6, _v6_hex(F.col(a)))})
+    number = sum((F.get(o, F.lit(i)) * 256 ** (3 - i) for i in range(1, 4)), F.get(o, F.lit(0)) * 256**3)
     hi = F.when(F.col(f) == 4, F.lit(0).cast("bigint")).otherwise(F.conv(F.substring(a, 1, 16), 16, -10).try_cast("bigint"))
-    lo = F.when(F.col(f) == 4, _v4_number(F.col(a))).otherwise(F.conv(F.substring(a, 17, 16), 16, -10).try_cast("bigint"))
+    lo = F.when(F.col(f) == 4, number).otherwise(F.conv(F.substring(a, 17, 16), 16, -10).try_cast("bigint"))
     rows = rows.withColumns({h: hi, low: lo})
     hi, lo = masked(F.col(f), F.col(h), F.col(low), F.col(n))
     return rows.select(*[F.col(f"`{c}`") for c in df.columns], F.col(f).alias(f"{into}_family"), hi.alias(f"{into}_hi"), lo.alias(f"{into}_lo"), F.col(n).alias(f"{into}_len"))
