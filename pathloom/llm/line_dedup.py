@@ -1,8 +1,9 @@
-"""Removal of repeated runs of lines, by content-defined chunks of lines.
+"""Removal of repeated runs of lines.
 
-A rolling hash over the hashes of the lines says where a chunk of lines ends, so that a passage cuts the
-same way wherever it stands. A chunk of several lines that the corpus holds more than once stays at
-its first place only; chunks are compared byte for byte under their identifiers first.
+remove_repeated_runs() compares every line and every two neighbouring lines, so that a shared run of lines is
+found whole wherever it begins and ends. remove_repeated_lines() compares content-defined chunks alone: a
+rolling hash over the hashes of the lines says where a chunk ends, and a run that has no whole chunk stays.
+What repeats stays at its first place only; bytes are compared under their identifiers first.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from .common import checkpointed, sliced, text_digest
 
 #: Lines that the rolling hash spans, one in how many places ends a chunk, lines of a chunk at most and of one that may go at least.
 SPAN_LINES, ONE_IN, MOST_LINES, LEAST_LINES = 2, 4, 32, 2
+#: A single line of more words than this is a run of its own.
+LONG_LINE_WORDS = 50
 MASK = (1 << 64) - 1
 
 
@@ -100,3 +103,78 @@ def remove_repeated_lines(docs: DataFrame, id_sizes: tuple[int, ...] = ID_BYTES)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(cut, f"doc_id {kind}, n_lines long, removed_lines long, text string")
+
+
+def _line_table(docs: DataFrame, id_bytes: int) -> DataFrame:
+    """(id, chunk) of every line, copies within a slice of a batch once."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in sliced(batches):
+            lines = list({x for t in texts for x in t.split(b"\n")})
+            yield pa.record_batch([pa.array([identify(x, id_bytes) for x in lines], pa.binary()), pa.array(lines, pa.binary())], names=["id", "chunk"])
+
+    return docs.select("text").mapInArrow(emit, "id binary, chunk binary")
+
+
+def _short_runs(docs: DataFrame, id_bytes: int) -> DataFrame:
+    """(doc_id, sha, place, id) of every two neighbouring lines with a word and every long line; id joins the lines' own."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in sliced(batches):
+            doc, place, run = [], [], []
+            for i, text in enumerate(texts):
+                lines = text.split(b"\n")
+                ids = [identify(x, id_bytes) for x in lines]
+                words = [len(x.split(None, LONG_LINE_WORDS)) for x in lines]
+                for a in range(len(lines)):
+                    if words[a] > LONG_LINE_WORDS:
+                        doc.append(i)
+                        place.append(a)
+                        run.append(ids[a])
+                    if a + 1 < len(lines) and (words[a] or words[a + 1]):
+                        doc.append(i)
+                        place.append(a)
+                        run.append(ids[a] + ids[a + 1])
+            index = pa.array(doc, pa.int64())
+            yield pa.record_batch([batch.column("doc_id").take(index), batch.column("sha").take(index), pa.array(place, pa.int32()), pa.array(run, pa.binary())], names=["doc_id", "sha", "place", "id"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.unhex(text_digest()).alias("sha"), "text").mapInArrow(emit, f"doc_id {kind}, sha binary, place int, id binary")
+
+
+def remove_repeated_runs(docs: DataFrame, id_sizes: tuple[int, ...] = ID_BYTES) -> DataFrame:
+    """One row per row of docs: doc_id, n_lines, removed_lines, text (what is left of it).
+
+    A line goes if it, being long, or it and a neighbour stand at an earlier place too: so of a run of two
+    or more lines all go but at its first place, however the lines around it differ. Places are in
+    the order of doc_id (null before all), the text's digest and the line; places that overlap the
+    first one are no repeats. Two neighbours without a word are no run. The first place of every line
+    stays. A null or empty text is one empty line and loses nothing. Rows that repeat both id and text
+    lose the same lines.
+    """
+    size = verified_size(lambda n: _line_table(docs, n), id_sizes)
+    found = _short_runs(docs, size)
+    place = F.struct("doc_id", "sha", "place")
+    # a table of its own, so that the join of a run that stands in very many documents can be split
+    ends = found.groupBy(F.col("id").alias("of")).agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    repeated = checkpointed(ends.where(~F.col("first").eqNullSafe(F.col("last"))).select("of", "first"))
+    lines = (F.length("id") / size).cast("int")
+    overlaps = F.struct("doc_id", "sha").eqNullSafe(F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.sha").alias("sha"))) & (F.col("place") - F.col("first.place") < lines)
+    gone = found.join(repeated, F.col("id") == F.col("of")).where(~overlaps)
+    gone = gone.groupBy(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha")).agg(F.collect_set(F.col("place") * 2 + lines - 1).alias("places"))
+    rows = docs.select("doc_id", F.unhex(text_digest()).alias("sha"), "text")
+    joined = rows.join(gone, F.col("sha").eqNullSafe(F.col("__sha")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left").select("doc_id", "text", "places")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in sliced(batches):
+            left, lines_of, removed = [], [], []
+            for text, places in zip(texts, batch.column("places").to_pylist(), strict=True):
+                lines = text.split(b"\n")
+                lines_of.append(len(lines))
+                out = {a for p in places or () for a in range(p >> 1, (p >> 1) + (p & 1) + 1)}
+                removed.append(len(out))
+                left.append(b"\n".join([x for a, x in enumerate(lines) if a not in out]) if out else text)
+            yield pa.record_batch([batch.column("doc_id"), pa.array(lines_of, pa.int64()), pa.array(removed, pa.int64()), pa.array(left, pa.binary()).cast(pa.string())], names=["doc_id", "n_lines", "removed_lines", "text"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return joined.mapInArrow(cut, f"doc_id {kind}, n_lines long, removed_lines long, text string")

@@ -40,7 +40,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup.remove_repeated_lines(_documents(spark, sf_dir))
+    cleaned = line_dedup.remove_repeated_runs(_documents(spark, sf_dir))
     return cleaned.select("doc_id", "n_lines", "removed_lines", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 

@@ -179,3 +179,43 @@ def test_repeated_lines(spark, odd_docs, no_docs):
     assert sum(r["removed_lines"] for r in got.values()) > 20
     assert line_dedup.remove_repeated_lines(odd_docs).count() == odd_docs.count()
     assert line_dedup.remove_repeated_lines(no_docs).count() == 0
+
+
+def shared_runs(docs, least_words=50):
+    """Lines (document, line) of runs of one or more lines with over least_words words that a document before holds too, by comparing the runs themselves."""
+    out, before = set(), set()
+    for d, text in docs:
+        lines, own = text.split("\n"), set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                run = "\n".join(lines[a:b])
+                own.add(run)
+                if run in before and len(run.split()) > least_words:
+                    out |= {(d, x) for x in range(a, b)}
+        before |= own
+    return out
+
+
+@pytest.mark.parametrize("which", ["made", "data"])
+def test_repeated_runs(spark, odd_docs, no_docs, which):
+    if which == "made":
+        passages = ["\n".join(words(50 + 9 * n + i, 60 if n == 4 else 27) for i in range(n % 4 + 1)) for n in range(1, 6)]
+        rows = [(i, "\n".join([words(200 + i, 20), passages[i % 5], words(300 + i, 9), "", passages[(i + 2) % 5]])) for i in range(9)]
+        rows += [(20, "\n".join(["again and again"] * 5)), (21, "\n\n\n"), (22, "end\n\n\nof it"), (23, ""), (24, "one line")]
+    else:
+        rows = sorted({r["text"]: (r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}.values())
+    got = {r["doc_id"]: r for r in line_dedup.remove_repeated_runs(spark.createDataFrame(rows, "doc_id long, text string"), (1, 16)).collect()}
+    wanted, seen, pairs = shared_runs(rows), set(), set()
+    for d, text in rows:
+        lines = text.split("\n")
+        gone = {a for a, x in enumerate(lines) if len(x.split()) > 50 and (x in seen or x in lines[:a])}
+        for a, pair in enumerate(zip(lines, lines[1:], strict=False)):
+            if "".join(pair).strip() and (pair in pairs or pair in [*zip(lines, lines[1:], strict=False)][: max(0, a - 1)]):
+                gone |= {a, a + 1}
+        pairs |= set(zip(lines, lines[1:], strict=False))
+        seen |= set(lines)
+        assert (got[d]["text"], got[d]["n_lines"], got[d]["removed_lines"]) == ("\n".join(x for a, x in enumerate(lines) if a not in gone), len(lines), len(gone))
+        assert {a for e, a in wanted if e == d} <= gone
+    assert wanted and {x for r in got.values() for x in r["text"].split("\n")} | {""} == seen | {""}
+    assert line_dedup.remove_repeated_runs(odd_docs).count() == odd_docs.count()
+    assert line_dedup.remove_repeated_runs(no_docs).count() == 0
