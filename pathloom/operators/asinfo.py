@@ -37,10 +37,10 @@ def with_name(rows: DataFrame, name_table: DataFrame, asn: str, out: str) -> Dat
 
 
 def text_search(core: DataFrame, as2org: DataFrame, peeringdb: DataFrame, text: str, most: int | None = None) -> DataFrame:
-    """ASes of core with the text, in any case, in one of five names; ordered by AS."""
+    """ASes of core with the text, in any case, in one of six names; ordered by AS."""
     rows = core.join(as2org.select("asn", F.col("name").alias("__a"), F.col("org_name").alias("__o")), "asn", "left").join(peeringdb.select("asn", F.col("name").alias("__p"), F.col("name_long").alias("__l"), F.col("aka").alias("__k")), "asn", "left")
     hit = F.lit(False)
-    for c in ("name", "__a", "__o", "__p", "__k"):
+    for c in ("name", "__a", "__o", "__p", "__l", "__k"):
         hit = hit | F.coalesce(F.contains(F.lower(c), F.lit(text.lower())), F.lit(False))
     found = rows.where(hit).select("asn", "name", "country").distinct().orderBy("asn")
     return found if most is None else found.limit(most)

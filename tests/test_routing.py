@@ -135,6 +135,15 @@ def test_preferred_names(spark):
     assert asinfo.with_name(core.where("asn = 9").union(spark.createDataFrame([(9, "x", "y")], core.schema)), asinfo.names(core, org, pdb), "asn", "n").first()["n"] is None
 
 
+def test_text_search_of_long_names(spark):
+    core = spark.createDataFrame([(1, "core1", "NL"), (2, "core2", "NL"), (3, "core3", "NL")], "asn long, name string, country string")
+    org = spark.createDataFrame([(1, "a1", "O", "org1")], "asn long, name string, org_id string, org_name string")
+    pdb = spark.createDataFrame([(1, "p1", "Long-1", None), (2, "p2", None, "aka2"), (3, "p3", "long-3", "aka3")], "asn long, name string, name_long string, aka string")
+    assert [r["asn"] for r in asinfo.text_search(core, org, pdb, "long-1").collect()] == [1]
+    assert [r["asn"] for r in asinfo.text_search(core, org, pdb, "LONG").collect()] == [1, 3]
+    assert [r["asn"] for r in asinfo.text_search(core, org, pdb, "aka2").collect()] == [2]
+
+
 def test_countries(spark):
     table = spark.createDataFrame([("US", "United States"), ("GB", "United Kingdom"), ("NL", "Netherlands"), ("NE", "Niger"), ("NG", "Nigeria"), ("IN", "India")], "code string, name string")
     assert [r["code"] for r in asinfo.country_lookup(table, "us").collect()] == ["US"]
