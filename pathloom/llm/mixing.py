@@ -3,6 +3,8 @@
 Points of the golden-ratio sequence, one for each slot, fall through the cumulative target shares to
 sources; the slots of a source are ranked in order. The documents of a source, shuffled by a hash and
 laid end to end, are cut into blocks of equal tokens, twice over; the slot of rank r takes block r.
+After the schedule each source is settled to its rounded target: the last block is taken in part, blocks that
+the slots left out are added, and those beyond the target go.
 """
 
 from __future__ import annotations
@@ -80,6 +82,17 @@ def schedule(goal: DataFrame, block: int = BLOCK_TOKENS) -> DataFrame:
     return ranked.join(runs, (F.col("sid") == F.col("__sid")) & (F.col("run") == F.col("__run"))).select("slot", "sid", (F.col("earlier") + F.col("own")).alias("rank"))
 
 
+def settled(goal: DataFrame, block: int = BLOCK_TOKENS) -> DataFrame:
+    """(sid, rank): the scheduled blocks, and after them those that a source still lacks for its rounded target.
+
+    A source's slots differ from its share by few, so few blocks are added to any source.
+    """
+    slots = checkpointed(schedule(goal, block).select("sid", "rank"))
+    dealt = slots.groupBy(F.col("sid").alias("__sid")).agg((F.max("rank") + 1).alias("__dealt"))
+    wanted = goal.select("sid", F.ceil(F.round("target") / block).cast("long").alias("wanted")).join(dealt, F.col("sid") == F.col("__sid"), "left").withColumn("from", F.coalesce("__dealt", F.lit(0)).cast("long"))
+    return slots.union(wanted.where("from < wanted").select("sid", F.explode(F.sequence(F.col("from"), F.col("wanted") - 1)).alias("rank")))
+
+
 def _running(rows: DataFrame, value: str, by: str) -> DataFrame:
     """rows with before: the sum of value over the rows with a smaller by (distinct, from 0 on), through sums of runs."""
     rows = rows.withColumn("__run", F.floor(F.col(by) / 1024))
@@ -109,9 +122,9 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: i
     """One row per row of docs: doc_id, text_sha256, size, source_size, target, taken.
 
     size counts words, 0 for a null text; source_size and target belong to the row's source, null
-    sources being one source, the last. taken is how many of the row's words the scheduled blocks
+    sources being one source, the last. taken is how many of the row's words the settled blocks
     hold, repeats counted: at most most times its size, as a stream is laid out most times and each
-    block is taken once. The order of a stream depends on ids and texts alone, so reruns agree; rows
+    block is taken once. Over the rows of a source it adds up to the target, rounded. The order of a stream depends on ids and texts alone, so reruns agree; rows
     that repeat both are told apart by nothing and share the same words of the stream's order. A row
     without words takes none; without any words every target is 0.
     """
@@ -122,10 +135,10 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: i
     names = goal.select(F.col("source").alias("__source"), "sid", "source_size", "target")
     rows = rows.join(names, F.col("source").eqNullSafe(F.col("__source")), "left")
     laid = checkpointed(streams(rows.select("sid", "doc_id", "text_sha256", "size", "source_size", "target")))
-    pieces = laid.select("sid", "start", "size", "source_size", F.explode(F.array(*[F.lit(i) for i in range(most)])).alias("lap")).withColumn("from", F.col("start") + F.col("lap") * F.col("source_size"))
-    pieces = pieces.withColumn("to", F.col("from") + F.col("size")).withColumn("block", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))))
+    pieces = laid.select("sid", "start", "size", "source_size", F.round("target").cast("long").alias("goal"), F.explode(F.array(*[F.lit(i) for i in range(most)])).alias("lap")).withColumn("from", F.col("start") + F.col("lap") * F.col("source_size"))
+    pieces = pieces.where(F.col("from") < F.col("goal")).withColumn("to", F.least(F.col("from") + F.col("size"), "goal")).withColumn("block", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))))
     overlap = F.least("to", (F.col("block") + 1) * block) - F.greatest("from", F.col("block") * block)
-    slots = schedule(goal.select("sid", "target"), block).select(F.col("sid").alias("__sid"), F.col("rank").alias("__rank"))
+    slots = settled(goal.select("sid", "target"), block).select(F.col("sid").alias("__sid"), F.col("rank").alias("__rank"))
     held = pieces.select("sid", "start", "block", overlap.alias("words")).join(slots, (F.col("sid") == F.col("__sid")) & (F.col("block") == F.col("__rank")))
     taken = held.groupBy(F.col("sid").alias("__sid"), F.col("start").alias("__start")).agg(F.sum("words").alias("taken"))
     mixed = laid.join(taken, (F.col("sid") == F.col("__sid")) & (F.col("start") == F.col("__start")), "left").select("doc_id", "text_sha256", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -137,6 +137,18 @@ def test_mix(spark, odd_docs, which):
         assert sorted(map(tuple, mixing.mix(docs.repartition(3)).collect())) == sorted(map(tuple, got))
 
 
+def test_mix_of_a_long_tail(spark):
+    rows = [(i, f"s{i % 400:03d}", words(i, 5)) for i in range(800)] + [(1000 + i, f"t{i % 60}", words(i, 20)) for i in range(120)] + [(2000, "big", words(1, 700)), (2001, "middle", words(2, 150)), (2002, "one", "word")]
+    sizes, taken = Counter(), Counter()
+    for _, s, t in rows:
+        sizes[s] += len(t.split())
+    source = {i: s for i, s, _ in rows}
+    for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect():
+        taken[source[r["doc_id"]]] += r["taken"]
+        assert 0 <= r["taken"] <= 2 * r["size"]
+    assert {s: taken[s] for s in sizes} == {s: math.floor(t + 0.5) for s, t in plain_targets(sizes).items()}
+
+
 def test_mixed_documents(odd_docs, no_docs):
     assert mixing.mixed_documents(odd_docs).schema == odd_docs.schema
     assert mixing.mix(no_docs).count() == 0 and mixing.mixed_documents(no_docs).count() == 0
