@@ -3,7 +3,8 @@
 A logistic regression over the presence of words and word pairs tells licence families and the class
 of other paragraphs apart. It is trained on notices of each family, varied by rule, against a bounded
 sample of the corpus's own paragraphs and shuffled notices; a part of these sets the probability that a family
-must reach. A prediction counts once the paragraph holds a notice of that family, compared by shingles.
+must reach. A prediction counts once the paragraph holds a notice of that family, compared by shingles. Notices that
+are wrapped over neighbouring lines are looked for by their shingles and judged alike.
 """
 
 from __future__ import annotations
@@ -66,6 +67,67 @@ def confirmed(words: list[bytes], family: str) -> bool:
     return False
 
 
+class Wrapped:
+    """Finds notices that run over several lines: neighbouring lines with words, whatever signs stand around them."""
+
+    def __init__(self):
+        self.number: dict[bytes, int] = {}
+        notices = [words_of(n) for f in FAMILIES for n in NOTICES[f]]
+        for w in (w for n in notices for w in n):
+            self.number.setdefault(w, len(self.number))
+        self.base = len(self.number)
+        self.notices = [(len(n), np.unique(self.keys(np.array([self.number[w] for w in n])))) for n in notices]
+        self.every = np.unique(np.concatenate([k for _, k in self.notices]))
+        self.number[LINE] = -2
+
+    def keys(self, ids: np.ndarray) -> np.ndarray:
+        """A number for each SHINGLE_WORDS words of ids; no two have the same."""
+        out = np.zeros(max(0, len(ids) - SHINGLE_WORDS + 1), dtype=np.int64)
+        for i in range(SHINGLE_WORDS):
+            out = out * self.base + ids[i : i + len(out)]
+        return out
+
+    def find(self, words: list[bytes], ends: np.ndarray) -> list[tuple[int, int, list[bytes]]]:
+        """(first line, last line, words) of each span over several lines of a text that holds SIMILARITY of a notice's shingles; ends has the line after each text."""
+        ids = np.fromiter(map(self.number.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        mark = ids == -2
+        at = np.flatnonzero(~mark)
+        line, ids = (np.cumsum(mark) - mark)[at], ids[at]
+        reach = SHINGLE_WORDS - 1
+        if len(ids) <= reach:
+            return []
+        hit = np.flatnonzero(np.isin(self.keys(ids), self.every))
+        hit = hit[[bool((ids[h : h + SHINGLE_WORDS] >= 0).all()) for h in hit.tolist()]] if len(hit) else hit
+        if not len(hit):
+            return []
+        step = (np.diff(line) > 1) | (np.diff(np.searchsorted(ends, line, side="right")) > 0)
+        block = np.r_[0, np.cumsum(step)]
+        hit = hit[block[hit] == block[hit + reach]]
+        key = self.keys(ids)[hit]
+        found = []
+        for size, wanted in self.notices:
+            need, own = int(np.ceil(SIMILARITY * len(wanted))), np.isin(key, wanted)
+            place, kind = hit[own].tolist(), key[own].tolist()
+            left, held = 0, {}
+            for right, (p, k) in enumerate(zip(place, kind, strict=True)):
+                held[k] = held.get(k, 0) + 1
+                while block[place[left]] != block[p] or held[kind[left]] > 1:
+                    held[kind[left]] -= 1
+                    if not held[kind[left]]:
+                        del held[kind[left]]
+                    left += 1
+                if len(held) >= need:
+                    begin, end = place[left], p
+                    for q in place[right + 1 :]:
+                        if q > begin + size or block[q] != block[p]:
+                            break
+                        end = q
+                    if line[begin] < line[end + reach]:
+                        found.append((int(line[begin]), int(line[end + reach]), [words[i] for i in at[begin : end + SHINGLE_WORDS].tolist()]))
+                    left, held = right + 1, {}
+        return sorted(found, key=lambda x: x[:2])
+
+
 class Classifier:
     """Weights of words and of pairs of neighbouring words for each family and, last, for other paragraphs."""
 
@@ -186,6 +248,8 @@ def license_paragraphs(docs: DataFrame, model: Classifier | None = None) -> Data
     """One row per row of docs: doc_id, n_paragraphs, licenses (array of paragraph, family, probability, confirmed), in order of paragraphs.
 
     A paragraph is a line, the first has number 0. It is listed if a family reaches the model's bar.
+    A notice wrapped over neighbouring lines is listed at the first of them, if its words reach the bar
+    too and no line among them holds the notice alone.
     Null and empty texts are one empty paragraph, which has no feature and is listed nowhere.
     """
     model = model or train(docs)
@@ -193,7 +257,7 @@ def license_paragraphs(docs: DataFrame, model: Classifier | None = None) -> Data
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, model.pairs, model.weights, model.bar))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Classifier(*shared.value)
+        own, wrapped = Classifier(*shared.value), Wrapped()
         for batch, texts in sliced(batches):
             words, lines_of = tokens(texts)
             lines, probability, of_word = own.probabilities(words)
@@ -206,6 +270,19 @@ def license_paragraphs(docs: DataFrame, model: Classifier | None = None) -> Data
                 a, b = np.searchsorted(of_word, [lines[i], lines[i] + 1]).tolist()
                 name = FAMILIES[int(family[i])]
                 found[doc].append({"paragraph": int(lines[i] - (ends[doc] - lines_of[doc])), "family": name, "probability": float(top[i]), "confirmed": confirmed([w for w in words[a:b] if w != LINE], name)})
+            spans = wrapped.find(words, ends)
+            at, share, _ = own.probabilities([w for _, _, part in spans for w in [*part, LINE]])
+            for n, row in zip(at.tolist(), share, strict=True):
+                first, last, part = spans[n]
+                number = int(row[:-1].argmax())
+                doc = int(np.searchsorted(ends, first, side="right"))
+                first, last, name = int(first - (ends[doc] - lines_of[doc])), int(last - (ends[doc] - lines_of[doc])), FAMILIES[number]
+                held = any(x["family"] == name and x["confirmed"] and first <= x["paragraph"] <= last for x in found[doc])
+                if row[number] >= own.bar and confirmed(part, name) and not held:
+                    found[doc] = [x for x in found[doc] if (x["paragraph"], x["family"]) != (first, name)]
+                    found[doc].append({"paragraph": first, "family": name, "probability": float(row[number]), "confirmed": True})
+            for x in found:
+                x.sort(key=lambda y: (y["paragraph"], y["family"]))
             kind = pa.list_(pa.struct([("paragraph", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("confirmed", pa.bool_())]))
             yield pa.record_batch([batch.column("doc_id"), pa.array(lines_of, pa.int64()), pa.array(found, kind)], names=["doc_id", "n_paragraphs", "licenses"])
 

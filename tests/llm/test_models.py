@@ -238,3 +238,23 @@ def test_odd_licences(spark, odd_docs, no_docs):
     assert not any(x["confirmed"] for x in rows[2]["licenses"]) and rows[3]["n_paragraphs"] == 1 and rows[1]["n_paragraphs"] == 3
     assert license_scan.license_paragraphs(odd_docs).count() == odd_docs.count()
     assert license_scan.license_paragraphs(no_docs).count() == 0
+
+
+def test_wrapped_licences(spark):
+    import textwrap
+
+    notices = [(f, n) for f in license_scan.FAMILIES for n in license_scan.NOTICES[f] if len(n) > 70]
+    rows, want = [], {}
+    for i, (family, notice) in enumerate(notices):
+        for j, (head, width) in enumerate((("", 60), (" * ", 40), ("# ", 25), ("// ", 50))):
+            body = "\n".join(head + x for x in textwrap.wrap(f"{notice} and so on.", width))
+            rows.append((10 * i + j, f"Some words before.\n\n{body}\n{head}\nand {words(i, 30)}\nafter"))
+            want[10 * i + j] = [family]
+    half = textwrap.wrap(license_scan.NOTICES["mit"][1], 50)
+    rows += [(900, "\n\n".join(half)), (901, half[0]), (902, "\n".join(half[1:]))]
+    want |= {900: [], 901: [], 902: []}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = license_scan.train(docs)
+    found = license_scan.license_paragraphs(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), model).collect()
+    assert {r["doc_id"]: [x["family"] for x in r["licenses"] if x["confirmed"]] for r in found} == want
+    assert all(x["paragraph"] == 2 for r in found for x in r["licenses"] if x["confirmed"])
