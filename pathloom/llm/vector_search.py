@@ -3,7 +3,7 @@
 A vector's approximation is its components cut to cells of CELL_BITS bits. For a block of queries a task scans
 the cells, which bound every inner product from both sides, and then reads exact vectors in the
 order of their bounds until no unread one can reach the k-th result. Equal vectors are one entry
-with their smallest ids, so copies cost nothing.
+with their smallest ids, so copies cost little. A query's own id is left out before every cut.
 """
 
 from __future__ import annotations
@@ -39,13 +39,15 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
 
 
 def approximation_file(rows: DataFrame, keep: int) -> DataFrame:
-    """(ids, dim, shift, cells, exact): a row for each distinct vector, with its keep smallest ids.
+    """(ids, dim, shift, cells, exact): a row for each distinct vector, with its keep smallest distinct ids, each up to keep - 1 times.
 
     cells are the components shifted right until they fit CELL_BITS bits; exact holds them as 64-bit numbers.
-    No result of k rows can use more than the k + 1 smallest ids of one vector.
+    A result of k rows uses at most the k + 1 smallest distinct ids of one vector, the query's own among them, and k rows of one.
     """
-    first = rows.withColumn("__n", F.row_number().over(Window.partitionBy("ints").orderBy("vec_id"))).where(F.col("__n") <= keep)
-    grouped = first.groupBy("ints").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    times = rows.groupBy("ints", "vec_id").agg(F.least(F.count(F.lit(1)), F.lit(keep - 1)).cast("int").alias("times"))
+    first = times.withColumn("__n", F.row_number().over(Window.partitionBy("ints").orderBy("vec_id"))).where(F.col("__n") <= keep)
+    held = F.array_sort(F.collect_list(F.struct("vec_id", "times")))
+    grouped = first.groupBy("ints").agg(F.flatten(F.transform(held, lambda x: F.array_repeat(x["vec_id"], x["times"]))).alias("ids"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,7 +69,7 @@ def approximation_file(rows: DataFrame, keep: int) -> DataFrame:
 
 
 class Search:
-    """The running best of a block of queries of one dimension: exact scores, and the entries' smallest ids."""
+    """The running best of a block of queries of one dimension: exact scores, the entries' smallest ids but the query's own, and their numbers here."""
 
     def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
         self.query_ids, self.queries = query_ids, queries
@@ -75,7 +77,10 @@ class Search:
         self.exact_float = int(np.abs(queries).sum(axis=1).max(initial=0)) * 128 < EXACT
         self.score = np.full((len(queries), k), np.iinfo(np.int64).min)
         self.lead = np.full((len(queries), k), np.iinfo(np.int64).max)
+        self.entry = np.full((len(queries), k), -1)
         self.ids: dict[int, list[int]] = {}
+        self.seen = 0
+        self.by_id = np.argsort(query_ids)
 
     def bounds(self, cells: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper bounds of all inner products of queries and entries."""
@@ -95,9 +100,20 @@ class Search:
     def _read(self, batch: pa.RecordBatch, lower: np.ndarray, upper: np.ndarray) -> None:
         k = self.score.shape[1]
         floor = self.score[:, -1]
+        # an entry that has no id but the query's own is none of its candidates
+        all_ids = batch.column("ids").to_pylist()
+        sole = np.array([x[0] if x[0] == x[-1] else -1 for x in all_ids])
+        single = np.array([x[0] == x[-1] for x in all_ids])
+        ordered = self.query_ids[self.by_id]
+        near = np.minimum(np.searchsorted(ordered, sole), len(ordered) - 1)
+        own_entry = np.flatnonzero(single & (ordered[near] == sole))
+        own_query = self.by_id[near[own_entry]]
+        lower[own_query, own_entry] = np.iinfo(np.int64).min
         if lower.shape[1] >= k:
             floor = np.maximum(floor, np.partition(lower, -k, axis=1)[:, -k])
-        query, entry = np.nonzero(upper >= floor[:, None])
+        live = upper >= floor[:, None]
+        live[own_query, own_entry] = False
+        query, entry = np.nonzero(live)
         if not len(query):
             return
         bound = upper[query, entry]
@@ -107,16 +123,19 @@ class Search:
         used, position = np.unique(entry, return_inverse=True)
         held = batch.take(pa.array(used))
         exact = np.frombuffer(b"".join(held.column("exact").to_pylist()), dtype=np.int64).reshape(len(used), -1)
-        ids = held.column("ids").to_pylist()
-        lead = np.array([x[0] for x in ids])
+        ids = [all_ids[i] for i in used.tolist()]
+        first, second = np.array([x[0] for x in ids]), np.array([next((y for y in x if y != x[0]), x[0]) for x in ids])
+        lead = np.where(first[position] == self.query_ids[query], second[position], first[position])
+        number = self.seen + np.arange(len(used))
+        self.seen += len(used)
         for turn in range(0, int(place.max()) + 1, READ):
             now = np.flatnonzero((place >= turn) & (place < turn + READ) & (bound >= self.score[query, -1]))
             if len(now):
-                self._merge(query[now], np.einsum("ij,ij->i", self.queries[query[now]], exact[position[now]]), lead[position[now]])
-        final = np.isin(lead, self.lead)
-        self.ids.update((int(a), b) for a, b, c in zip(lead, ids, final, strict=True) if c)
+                self._merge(query[now], np.einsum("ij,ij->i", self.queries[query[now]], exact[position[now]]), lead[now], number[position[now]])
+        final = np.isin(number, self.entry)
+        self.ids.update((int(a), b) for a, b, c in zip(number, ids, final, strict=True) if c)
 
-    def _merge(self, query: np.ndarray, score: np.ndarray, lead: np.ndarray) -> None:
+    def _merge(self, query: np.ndarray, score: np.ndarray, lead: np.ndarray, entry: np.ndarray) -> None:
         k = self.score.shape[1]
         who, start = np.unique(query, return_index=True)
         column = np.arange(len(query)) - start[np.searchsorted(who, query)]
@@ -124,15 +143,16 @@ class Search:
         width = int(column.max()) + 1
         scores = np.full((len(who), k + width), np.iinfo(np.int64).min)
         leads = np.full((len(who), k + width), np.iinfo(np.int64).max)
-        scores[:, :k], leads[:, :k] = self.score[who], self.lead[who]
-        scores[row, k + column], leads[row, k + column] = score, lead
+        entries = np.full((len(who), k + width), -1)
+        scores[:, :k], leads[:, :k], entries[:, :k] = self.score[who], self.lead[who], self.entry[who]
+        scores[row, k + column], leads[row, k + column], entries[row, k + column] = score, lead, entry
         best = np.lexsort((leads, ~scores), axis=1)[:, :k]
-        self.score[who], self.lead[who] = np.take_along_axis(scores, best, axis=1), np.take_along_axis(leads, best, axis=1)
+        self.score[who], self.lead[who], self.entry[who] = (np.take_along_axis(x, best, axis=1) for x in (scores, leads, entries))
 
     def results(self) -> pa.RecordBatch:
-        row, column = np.nonzero(self.lead != np.iinfo(np.int64).max)
+        row, column = np.nonzero(self.entry >= 0)
         return pa.record_batch(
-            [pa.array(self.query_ids[row], pa.int64()), pa.array(self.score[row, column], pa.int64()), pa.array([self.ids[x] for x in self.lead[row, column].tolist()], pa.list_(pa.int64()))],
+            [pa.array(self.query_ids[row], pa.int64()), pa.array(self.score[row, column], pa.int64()), pa.array([self.ids[x] for x in self.entry[row, column].tolist()], pa.list_(pa.int64()))],
             names=["query_id", "score", "ids"],
         )
 
@@ -162,7 +182,7 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, scale: int = SCALE
         shared = spark.sparkContext.broadcast({d: (np.array(ids), np.array(ints, dtype=np.int64)) for d, (ids, ints) in by_dim.items()})
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            searches = {d: Search(ids, ints, k + 1) for d, (ids, ints) in shared.value.items()}
+            searches = {d: Search(ids, ints, k) for d, (ids, ints) in shared.value.items()}
             for batch in batches:
                 dims = batch.column("dim").to_numpy()
                 for d in np.unique(dims).tolist():

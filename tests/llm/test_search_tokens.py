@@ -41,6 +41,18 @@ def test_top_k(spark, case):
     assert sorted(map(tuple, vector_search.top_k(df).collect())) == brute_top(rows)
 
 
+def test_top_k_of_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "PAIRS", 40)
+    same, some = vectors(7, 1)[0], vectors(8, 60)
+    rows = [(50, same)] * 2 + [(i, same) for i in range(51, 56)] + [(100 + i, v) for i, v in enumerate(some)]
+    rows += [(200, [3 * (1 + n) * x for x in same]) for n in range(9)] + [(300, same)] * 8 + [(7, [2 * x for x in same])] * 7 + [(7, same)] * 3 + [(8, v) for v in some[:20]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, vector_search.top_k(df).collect()))
+    assert got == brute_top(rows)
+    near = spark.createDataFrame(rows[:7] + [(60, [x / 2 for x in same])], "vec_id long, embedding array<float>")
+    assert [r["vec_id"] for r in vector_search.top_k(near).orderBy("rank").collect()] == [51, 52, 53, 54, 55]
+
+
 def test_top_k_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(vector_search, "QUERY_BLOCK", 3)
     monkeypatch.setattr(vector_search, "PAIRS", 64)
