@@ -2,18 +2,20 @@
 
 The distinct words of a batch are laid end to end and indexed by a suffix array. Every piece of the
 vocabulary is searched for by bisection, which gives the range of its occurrences; these are the
-edges of all words' lattices at once. Sorted by position, they are relaxed to the best path.
+edges of all words' lattices at once. Sorted by word, merge rank and position they are relaxed: in each
+round every word takes its best edge that joins just two symbols, until no edge does. So the ids
+are those that the model itself gives, and decoding gives the text back byte for byte.
 
-The vocabulary is that of a public model. A piece's score comes from its place in the vocabulary's
-order, as -log(2 + place): the model orders its pieces by merge rank and has no probabilities. Bytes
-that no piece covers take the model's byte pieces, each at BYTE_SCORE. So the encoding is the best
-path under these scores, which need not be the one that merging in rank order would find. Decoding
-gives the text back byte for byte.
+The one difference: the model reads the sign U+2581 in a text as a space, which couldn't be decoded;
+here it takes byte pieces, as other characters without a piece do.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -24,21 +26,19 @@ from pyspark.sql import functions as F
 from .common import sliced, text_digest
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-BYTE_SCORE = -14.0
-#: Words whose ids a task keeps, and bytes of one index, if no word alone is longer.
-KEPT_WORDS, INDEX_BYTES = 300_000, 1 << 18
+#: Words whose ids a task keeps, bytes of one index, and bytes of a word that is relaxed along with others; longer ones have a heap each.
+KEPT_WORDS, INDEX_BYTES, TOGETHER = 500_000, 1 << 18, 48
+#: A word: spaces and what follows them, or a sign that no piece holds. No piece has a space behind another character.
+WORD = re.compile(rb"[\n\t]| +[^ \n\t]*|[^ \n\t]+")
+MARK = "▁".encode()
 
 
-def vocabulary(path: str = VOCABULARY) -> tuple[list[bytes], np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-    """(pieces, their ids, their scores, each id's bytes, ids of the 256 bytes).
-
-    The mark of a word's start is a space here. Pieces of several such marks are left out, so that no
-    match crosses words.
-    """
+def vocabulary(path: str = VOCABULARY) -> tuple[list[bytes], np.ndarray, list[bytes], np.ndarray]:
+    """(pieces by merge rank, their ids, each id's bytes, ids of the 256 bytes); the mark of a space is a space here."""
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=path)
-    pieces, ids, of_id, of_byte = [], [], [], np.zeros(256, dtype=np.int32)
+    found, of_id, of_byte = [], [], np.zeros(256, dtype=np.int32)
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i)
         if model.is_byte(i):
@@ -48,76 +48,42 @@ def vocabulary(path: str = VOCABULARY) -> tuple[list[bytes], np.ndarray, np.ndar
             of_id.append(b"")
         else:
             of_id.append(piece.replace("▁", " ").encode())
-            if "▁" not in piece[1:]:
-                pieces.append(of_id[-1])
-                ids.append(i)
-    score = -np.log(2.0 + np.arange(len(pieces)))
-    return pieces, np.array(ids, dtype=np.int32), score, of_id, of_byte
-
-
-def _packed(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The eight bytes from each position on as a big-endian number, zeros beyond the end."""
-    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)]).astype(np.uint64)
-    key = np.zeros(len(data), dtype=np.uint64)
-    for i in range(8):
-        key = (key << np.uint64(8)) | padded[i : i + len(data)]
-    full = np.zeros(len(at), dtype=np.uint64)
-    inside = at < len(data)
-    full[inside] = key[at[inside]]
-    return full
+            found.append((-model.get_score(i), i))
+    ids = [i for _, i in sorted(found)]
+    pieces = [of_id[i] for i in ids]
+    if any(WORD.fullmatch(p) is None or p in (b"\n", b"\t") for p in pieces):
+        raise ValueError(f"{path} has pieces that cross words")
+    return pieces, np.array(ids, dtype=np.int32), of_id, of_byte
 
 
 class Index:
-    """A suffix array of data, ordered by the first depth bytes of each suffix, and bisection in it."""
+    """A suffix array of data, sorted by the first eight bytes and, where a longer piece begins so, by all that pieces need."""
 
-    def __init__(self, data: np.ndarray, depth: int):
+    def __init__(self, data: bytes):
         self.data = data
-        n = len(data)
-        key = _packed(data, np.arange(n))
-        self.array = np.argsort(key, kind="stable")
-        sorted_key = key[self.array]
-        done, self.keys = 8, [sorted_key]
-        rank = np.zeros(n, dtype=np.int64)
-        rank[self.array] = np.cumsum(np.r_[0, (sorted_key[1:] != sorted_key[:-1]).astype(np.int64)])
-        while done < depth and n and rank[self.array[-1]] + 1 < n:
-            after = np.zeros(n, dtype=np.int64)
-            after[:-done] = rank[done:] + 1 if n > done else after[:-done]
-            both = rank * (n + 1) + after
-            self.array = np.argsort(both, kind="stable")
-            ordered = both[self.array]
-            rank = np.zeros(n, dtype=np.int64)
-            rank[self.array] = np.cumsum(np.r_[0, (ordered[1:] != ordered[:-1]).astype(np.int64)])
-            done *= 2
-        self.key = key
-
-    def ranges(self, pieces: list[bytes], low: np.ndarray, high: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each piece the half-open range of the array's suffixes that begin with it; low and high bound its first eight bytes."""
-        first = self.key[self.array]
-        a = np.searchsorted(first, low, side="left")
-        b = np.searchsorted(first, high, side="right")
-        for i in np.flatnonzero((lengths > 8) & (b > a)).tolist():
-            lo, hi, rest, at = int(a[i]), int(b[i]), pieces[i], 8
-            while at < len(rest) and lo < hi:
-                part = rest[at : at + 8]
-                where = self.array[lo:hi] + at
-                value = np.where(where < len(self.data), self.key[np.minimum(where, len(self.data) - 1)], np.uint64(0))
-                start = np.uint64(int.from_bytes(part.ljust(8, b"\0"), "big"))
-                stop = np.uint64(int.from_bytes(part.ljust(8, b"\xff"), "big"))
-                lo, hi = lo + int(np.searchsorted(value, start, side="left")), lo + int(np.searchsorted(value, stop, side="right"))
-                at += 8
-            a[i], b[i] = lo, hi
-        return a, b
+        padded = np.concatenate([np.frombuffer(data, dtype=np.uint8), np.zeros(8, dtype=np.uint8)]).astype(np.uint64)
+        key = np.zeros(len(data), dtype=np.uint64)
+        for i in range(8):
+            key = (key << np.uint64(8)) | padded[i : i + len(data)]
+        self.array = np.argsort(key)
+        self.first = key[self.array]
 
 
 class Encoder:
     """Encodes many words at once; the ids of words met before are kept, up to KEPT_WORDS."""
 
-    def __init__(self, pieces: list[bytes], ids: np.ndarray, score: np.ndarray, of_id: list[bytes], of_byte: np.ndarray):
-        self.pieces, self.ids, self.score, self.of_id, self.of_byte = pieces, ids, score, of_id, of_byte
+    def __init__(self, pieces: list[bytes], ids: np.ndarray, of_id: list[bytes], of_byte: np.ndarray):
+        self.pieces, self.ids, self.of_id, self.of_byte = pieces, ids, of_id, of_byte
         self.lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-        self.low = np.array([int.from_bytes(p[:8].ljust(8, b"\0"), "big") for p in pieces], dtype=np.uint64)
-        self.high = np.array([int.from_bytes(p[:8].ljust(8, b"\xff"), "big") for p in pieces], dtype=np.uint64)
         self.depth = int(self.lengths.max(initial=1))
+        short = np.flatnonzero(self.lengths <= 8)
+        self.short = short
+        self.low, self.high = (np.array([int.from_bytes(pieces[i].ljust(8, f), "big") for i in short.tolist()], dtype=np.uint64) for f in (b"\0", b"\xff"))
+        begins: dict[int, list[int]] = {}
+        for i in np.flatnonzero(self.lengths > 8).tolist():
+            begins.setdefault(int.from_bytes(pieces[i][:8], "big"), []).append(i)
+        self.long = list(begins.values())
+        self.long_first = np.array(list(begins), dtype=np.uint64)
         self._forget()
 
     def _forget(self) -> None:
@@ -125,80 +91,133 @@ class Encoder:
         self.flat = np.zeros(0, dtype=np.int32)
         self.starts = np.zeros(1, dtype=np.int64)
 
-    def _edges(self, words: list[bytes], data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        index = Index(data, self.depth)
-        a, b = index.ranges(self.pieces, self.low, self.high, self.lengths)
-        count = b - a
-        hit = np.flatnonzero(count > 0)
-        n = count[hit]
+    def edges(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(start, piece) of every occurrence of every piece."""
+        index = Index(data)
+        a, b = np.searchsorted(index.first, self.low, side="left"), np.searchsorted(index.first, self.high, side="right")
+        hit = np.flatnonzero(b > a)
+        n = (b - a)[hit]
         inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        return index.array[np.repeat(a[hit], n) + inside], np.repeat(hit, n)
+        starts, found = [index.array[np.repeat(a[hit], n) + inside]], [np.repeat(self.short[hit], n)]
+        a, b = np.searchsorted(index.first, self.long_first, side="left"), np.searchsorted(index.first, self.long_first, side="right")
+        for i in np.flatnonzero(b > a).tolist():
+            places = sorted((data[p : p + self.depth], p) for p in index.array[a[i] : b[i]].tolist())
+            for piece in self.long[i]:
+                wanted = self.pieces[piece]
+                lo = hi = bisect_left(places, (wanted,))
+                while hi < len(places) and places[hi][0].startswith(wanted):
+                    hi += 1
+                if hi > lo:
+                    starts.append(np.array([p for _, p in places[lo:hi]], dtype=np.int64))
+                    found.append(np.full(hi - lo, piece, dtype=np.int64))
+        return np.concatenate(starts), np.concatenate(found)
+
+    def parts(self, word: bytes) -> list[bytes]:
+        """A word cut where no piece could cross, read by windows; a window grows only where pieces cross each of its places."""
+        out, at, window = [], 0, INDEX_BYTES
+        while at < len(word):
+            data = word[at : at + window]
+            start, piece = self.edges(data)
+            crossed = np.zeros(len(data) + 1, dtype=np.int64)
+            np.add.at(crossed, start + 1, 1)
+            np.add.at(crossed, start + self.lengths[piece], -1)
+            whole = at + len(data) == len(word)
+            last = len(data) if whole else len(data) - self.depth
+            lead = (np.frombuffer(data, dtype=np.uint8) & 0xC0) != 0x80
+            free = (np.cumsum(crossed)[: len(data)] == 0) & lead
+            cuts = np.flatnonzero(free)
+            cuts = cuts[(cuts > 0) & (cuts <= last)]
+            if not whole and not len(cuts):
+                window *= 2
+                continue
+            ends = [*cuts.tolist(), len(data)] if whole else cuts.tolist()
+            out += [data[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+            at, window = at + ends[-1], INDEX_BYTES
+        return out
 
     def _best(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in order, number of ids of each word)."""
-        data = np.frombuffer(b"".join(words), dtype=np.uint8)
+        joined = b"".join(words)
+        data = np.frombuffer(joined, dtype=np.uint8)
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         ends = np.cumsum(sizes)
         begins = ends - sizes
         word = np.repeat(np.arange(len(words)), sizes)
-        start, piece = self._edges(words, data)
-        size = self.lengths[piece]
-        # a piece that a word's end cuts short isn't in the word; spaces stand first only, but other bytes may run on
-        fits = start + size <= ends[word[start]]
-        start, piece, size = start[fits], piece[fits], size[fits]
-        every = np.arange(len(data))
-        start = np.concatenate([start, every])
-        ident = np.concatenate([self.ids[piece], self.of_byte[data]])
-        gain = np.concatenate([self.score[piece], np.full(len(data), BYTE_SCORE)])
-        size = np.concatenate([size, np.ones(len(data), dtype=np.int64)])
-        w = word[start]
-        source, reach = start + w, start + size - begins[w]
-        target, nodes = source + size, len(data) + len(words)
-        order = np.lexsort((source, reach * nodes + target))
-        source, target, ident, gain, reach = source[order], target[order], ident[order], gain[order], reach[order]
-        best = np.full(nodes, -np.inf)
-        first = begins + np.arange(len(words))
-        best[first] = 0.0
-        back, by = np.zeros(nodes, dtype=np.int64), np.zeros(nodes, dtype=np.int32)
-        bounds = np.searchsorted(reach, np.arange(1, int(reach[-1]) + 2))
-        for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            to = target[i:j]
-            heads = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
-            value = best[source[i:j]] + gain[i:j]
-            top = np.maximum.reduceat(value, heads)
-            own = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, j - i]))
-            winners = np.flatnonzero(value == top[own])
-            winners = winners[np.r_[True, own[winners][1:] != own[winners][:-1]]]
-            at = to[heads]
-            best[at], back[at], by[at] = top, source[i:j][winners], ident[i:j][winners]
-        node, alive, found, owner = first + sizes, np.arange(len(words)), [], []
-        while len(alive):
-            found.append(by[node])
-            owner.append(alive)
-            node = back[node]
-            going = node != first[alive]
-            node, alive = node[going], alive[going]
-        owner, found = np.concatenate(owner)[::-1], np.concatenate(found)[::-1]
-        order = np.argsort(owner, kind="stable")
-        return found[order], np.bincount(owner, minlength=len(words))
+        cut = np.append((data & 0xC0) != 0x80, True)
+        cut[begins] = True
+        places = np.flatnonzero(cut)
+        after = np.zeros(len(data) + 1, dtype=np.int64)
+        after[places[:-1]] = places[1:]
+        start, piece = self.edges(joined)
+        stop = start + self.lengths[piece]
+        fits = (stop <= ends[word[start]]) & cut[start]
+        start, piece, stop = start[fits], piece[fits], stop[fits]
+        token = np.full(len(data), -1, dtype=np.int64)
+        single = stop == after[start]
+        token[start[single]] = piece[single]
+        start, piece, stop = start[~single], piece[~single], stop[~single]
+        owner = word[start]
+        order = np.argsort((owner << 40) | (piece << 20) | np.minimum(start - begins[owner], (1 << 20) - 1), kind="stable")
+        start, piece, stop, owner = start[order], piece[order], stop[order], owner[order]
+        for w in np.flatnonzero(sizes > TOGETHER).tolist():
+            i, j = np.searchsorted(owner, [w, w + 1])
+            _relax_alone(start[i:j], stop[i:j], piece[i:j], cut, after, token, int(begins[w]), int(ends[w]))
+        together = sizes[owner] <= TOGETHER
+        start, piece, stop, owner = start[together], piece[together], stop[together], owner[together]
+        active = np.zeros(len(words), dtype=bool)
+        while len(start):
+            middle = after[start]
+            alive = cut[start] & cut[stop] & (middle != stop)
+            start, piece, stop, owner = start[alive], piece[alive], stop[alive], owner[alive]
+            ready = np.flatnonzero(after[after[start]] == stop)
+            if not len(ready):
+                break
+            of = owner[ready]
+            best = ready[np.r_[True, of[1:] != of[:-1]]]
+            cut[after[start[best]]] = False
+            after[start[best]] = stop[best]
+            token[start[best]] = piece[best]
+            active[:] = False
+            active[of] = True
+            going = active[owner]
+            start, piece, stop, owner = start[going], piece[going], stop[going], owner[going]
+        heads = np.flatnonzero(cut[:-1])
+        kind = token[heads]
+        count = np.where(kind >= 0, 1, after[heads] - heads)
+        stops = np.cumsum(count)
+        out = np.empty(int(stops[-1]), dtype=np.int32)
+        known = kind >= 0
+        out[(stops - count)[known]] = self.ids[kind[known]]
+        n = count[~known]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat((stops - count)[~known], n) + step] = self.of_byte[data[np.repeat(heads[~known], n) + step]]
+        per_word = np.add.reduceat(count, np.searchsorted(heads, begins))
+        return out, per_word
 
     def learn(self, words: list[bytes]) -> None:
         fresh = [w for w in dict.fromkeys(words) if w not in self.known]
-        flat, counts, i = [self.flat], [], 0
-        while i < len(fresh):
+        if not fresh:
+            return
+        pieces_of, flat = [], []
+        for w in fresh:
+            own = [w] if len(w) <= TOGETHER else self.parts(w)
+            pieces_of.append(len(own))
+            flat += own
+        ids, counts, i = [self.flat], [], 0
+        while i < len(flat):
             j, total = i, 0
-            while j < len(fresh) and (j == i or total + len(fresh[j]) <= INDEX_BYTES):
-                total += len(fresh[j])
+            while j < len(flat) and (j == i or total + len(flat[j]) <= INDEX_BYTES):
+                total += len(flat[j])
                 j += 1
-            ids, n = self._best(fresh[i:j])
-            flat.append(ids)
+            found, n = self._best(flat[i:j])
+            ids.append(found)
             counts.append(n)
             i = j
         for w in fresh:
             self.known[w] = len(self.known)
-        if fresh:
-            self.flat = np.concatenate(flat)
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(counts))])
+        total = np.add.reduceat(np.concatenate(counts), np.cumsum([0, *pieces_of[:-1]]))
+        self.flat = np.concatenate(ids)
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(total)])
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text; no ids for an empty one."""
@@ -206,7 +225,7 @@ class Encoder:
             self._forget()
         words, counts = [], []
         for text in texts:
-            own = [b" " + w for w in text.split(b" ")] if text else []
+            own = WORD.findall(b" " + text) if text else []
             words += own
             counts.append(len(own))
         self.learn(words)
@@ -222,6 +241,28 @@ class Encoder:
         return b"".join(map(self.of_id.__getitem__, ids.tolist()))[1:]
 
 
+def _relax_alone(start: np.ndarray, stop: np.ndarray, piece: np.ndarray, cut: np.ndarray, after: np.ndarray, token: np.ndarray, begin: int, end: int) -> None:
+    """Relax one long word from begin to end by a heap of the edges that join two symbols; cut, after and token are changed in place."""
+    rank = dict(zip(zip(start.tolist(), stop.tolist(), strict=True), piece.tolist(), strict=True))
+    places = (np.flatnonzero(cut[begin:end]) + begin).tolist()
+    following = dict(zip(places, [*places[1:], end], strict=True))
+    before = dict(zip([*places[1:], end], places, strict=True))
+    queue = [(r, s, e) for (s, e), r in rank.items() if following.get(following[s]) == e]
+    heapify(queue)
+    while queue:
+        r, s, e = heappop(queue)
+        middle = following.get(s)
+        if middle is None or following.get(middle) != e:
+            continue
+        del following[middle]
+        following[s], before[e] = e, s
+        cut[middle] = False
+        after[s], token[s] = e, r
+        for x, y in ((before.get(s), e), (s, following.get(e))):
+            if x is not None and y is not None and (x, y) in rank:
+                heappush(queue, (rank[x, y], x, y))
+
+
 def _shared(docs: DataFrame, path: str):
     return docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
@@ -244,7 +285,7 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     shared = _shared(encoded, path)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_id = shared.value[3]
+        of_id = shared.value[2]
         for batch in batches:
             texts = [b"".join(map(of_id.__getitem__, ids or []))[1:].decode("utf-8", "replace") for ids in batch.column("ids").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
@@ -257,8 +298,9 @@ def token_digest(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """One row per row of docs: doc_id, text_sha256, n_chars, n_tokens, ids_xxh64, decoded_sha256.
 
     ids_xxh64 is the XXH64 (hex) of the ids as 32-bit little-endian numbers; decoded_sha256 that of the
-    text decoded from them. Null counts as empty: no tokens. Ties between paths go to the edge that
-    begins first. Ids and texts themselves come from encode() and decode().
+    text decoded from them. Null counts as empty: no tokens. Repeated rows come each time, an empty
+    table gives no rows, and no column but doc_id and text is read. A text without spaces is cut where no piece could
+    cross, so that an index stays small. Ids and texts themselves come from encode() and decode().
     """
     import hashlib
 

@@ -1,7 +1,10 @@
 import math
+import random
 
 import numpy as np
+import pandas as pd
 import pytest
+from sentencepiece import SentencePieceProcessor
 
 from pathloom.llm import suffix_pieces, vector_search
 from tests.llm.conftest import words
@@ -70,43 +73,40 @@ def test_top_k_of_few_rows(spark):
 # --- pieces -------------------------------------------------------------------------------------------
 
 
-def brute_ids(word):
-    pieces, ids, score, _, of_byte = VOCABULARY
-    of = {p: (s, i) for p, i, s in zip(pieces, ids.tolist(), score.tolist(), strict=True)}
-    best, back = [0.0] + [-math.inf] * len(word), [None] * (len(word) + 1)
-    for end in range(1, len(word) + 1):
-        for start in range(max(0, end - 64), end):
-            edges = [of[word[start:end]]] if word[start:end] in of else []
-            edges += [(suffix_pieces.BYTE_SCORE, int(of_byte[word[start]]))] if end - start == 1 else []
-            for gain, ident in edges:
-                if best[start] + gain > best[end]:
-                    best[end], back[end] = best[start] + gain, (start, ident)
-    out, at = [], len(word)
-    while at:
-        at, ident = back[at][0], back[at][1]
-        out.append(ident)
-    return best[-1], out[::-1]
+MODEL = SentencePieceProcessor(model_file=suffix_pieces.VOCABULARY)
+LETTERS = "abcdeéñ 中\n\t'"
+TEXTS = ["", " ", "Hello  world\n foo\tb", "日本語 テキスト привет распределение", "a" * 3000, "\x00\x01 é ", words(1, 300), "The quick brown fox", "ÀÉ\r\nx y", "ab" * 500 + " " * 77 + "z", "日本語のテキスト、空白なし。" * 60, "<s> <0x0A> </s> <unk>", "👍🏽 ok 𝔘"]
 
 
-TEXTS = ["", " ", "Hello  world\n foo\tb", "日本語 テキスト ▁ привет распределение", "a" * 300, "\x00\x01 é ", words(1, 300), "The quick brown fox", "ÀÉ\r\nx▁▁y"]
+def test_ids_are_those_of_the_model():
+    docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").text.fillna("").tolist()
+    rng = random.Random(3)
+    texts = TEXTS + docs + ["".join(rng.choice(LETTERS) for _ in range(rng.randrange(400))) for _ in range(200)]
+    encoder = suffix_pieces.Encoder(*VOCABULARY)
+    for text, ids in zip(texts, encoder.encode([t.encode() for t in texts]), strict=True):
+        assert ids.tolist() == MODEL.encode(text)
+        assert encoder.decode(ids) == text.encode()
 
 
-def test_encoding_is_the_best_path():
+def test_a_sign_that_looks_like_the_mark_comes_back():
     encoder = suffix_pieces.Encoder(*VOCABULARY)
-    score = dict(zip(VOCABULARY[1].tolist(), VOCABULARY[2].tolist(), strict=True))
-    for text, ids in zip(TEXTS, encoder.encode([t.encode() for t in TEXTS]), strict=True):
-        own = [b" " + w for w in text.encode().split(b" ")] if text else []
-        best = sum(brute_ids(w)[0] for w in own)
-        assert sum(score.get(i, suffix_pieces.BYTE_SCORE) for i in ids.tolist()) == pytest.approx(best)
-        assert encoder.decode(ids) == text.encode()
-        assert [x.tolist() for x in encoder.encode([text.encode()])] == [ids.tolist()]
+    for text in ("x▁▁y", "▁", "a ▁ b"):
+        assert encoder.decode(encoder.encode([text.encode()])[0]) == text.encode()
+
+
+@pytest.mark.parametrize("text", ["日本語のテキスト、空白なし。" * 400, "ab" * 3000, "Donaudampfschifffahrtsgesellschaft" * 90, "=" * 5000 + "é" * 900])
+def test_long_words_are_cut_where_no_piece_crosses(text, monkeypatch):
+    monkeypatch.setattr(suffix_pieces, "INDEX_BYTES", 256)
+    encoder = suffix_pieces.Encoder(*VOCABULARY)
+    assert b"".join(encoder.parts(text.encode())) == text.encode()
+    assert encoder.encode([text.encode()])[0].tolist() == MODEL.encode(text)
 
 
 def test_suffix_array_finds_every_occurrence():
     data = words(3, 200).encode() + "приветствие приветствие".encode()
     pieces = [b"w", b"w1", b" w", "приветствие".encode(), "приве".encode(), b"absent", b"wabsentabsent"]
-    encoder = suffix_pieces.Encoder(pieces, np.arange(len(pieces), dtype=np.int32), np.zeros(len(pieces)), pieces, np.arange(256, dtype=np.int32))
-    start, piece = encoder._edges([data], np.frombuffer(data, dtype=np.uint8))
+    encoder = suffix_pieces.Encoder(pieces, np.arange(len(pieces), dtype=np.int32), pieces, np.arange(256, dtype=np.int32))
+    start, piece = encoder.edges(data)
     for n, p in enumerate(pieces):
         assert sorted(start[piece == n].tolist()) == [i for i in range(len(data)) if data[i : i + len(p)] == p]
 
