@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -71,24 +72,99 @@ def test_nothing_to_learn(odd_docs):
 # --- toxicity ---------------------------------------------------------------------------------------
 
 
+def plain_context(marks):
+    """(place, targeted, negated, reported) of each match of a clause, word by word."""
+    out = []
+    for i, x in enumerate(marks):
+        if x & (toxicity.INSULT | toxicity.THREAT):
+            near = marks[max(0, i - toxicity.REACH) : i]
+            out.append((i, any(y & toxicity.TARGET for y in marks), any(y & toxicity.NEGATION for y in near), any(y & toxicity.REPORT for y in marks[:i])))
+    return out
+
+
+def test_composition_is_the_context_of_each_match():
+    grammar, rng = toxicity.Grammar({"moron": 4.0}), random.Random(5)
+    bits = (0, 0, 0, toxicity.INSULT, toxicity.THREAT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT)
+    for _ in range(2000):
+        marks = tuple(rng.choice(bits) | rng.choice(bits) for _ in range(rng.randrange(1, 12)))
+        got = [(i, bool(x & toxicity.TARGETED), bool(x & toxicity.NEGATED), bool(x & toxicity.REPORTED)) for i, x in grammar.clause(marks)]
+        assert got == plain_context(marks)
+
+
+def test_composing_transducers_chains_their_outputs():
+    """Every word of up to four symbols: the composed machine writes what the second makes of the first one's output."""
+    import itertools
+
+    def run(machine, word):
+        paths = [(s, []) for s in machine.starts]
+        for x in word:
+            paths = [(machine.arcs[s, x][0], [*out, machine.arcs[s, x][1]]) for s, out in paths if (s, x) in machine.arcs]
+        return [out for s, out in paths if s in machine.finals]
+
+    symbols = [0, toxicity.INSULT, toxicity.TARGET, toxicity.NEGATION]
+    first, second = toxicity.negation(symbols), toxicity.target([x | c for x in symbols for c in (0, toxicity.NEGATED)])
+    both = toxicity.compose(first, second)
+    for n in range(5):
+        for word in itertools.product(symbols, repeat=n):
+            assert run(both, word) == [z for y in run(first, word) for z in run(second, y)]
+            assert len(run(both, word)) == 1
+
+
 def test_arcs_of_a_clause():
-    grammar = toxicity.Grammar({"moron": 4.0, "vequ*": 3.0})
-    arcs = dict(zip(toxicity.ARCS, grammar.features(b"You moron. He is not a moron! She said: moron"), strict=True))
-    assert arcs["targeted"] == pytest.approx(math.log1p(4.0)) and arcs["negated"] == pytest.approx(math.log1p(4.0))
-    assert arcs["plain"] == pytest.approx(math.log1p(4.0)) and arcs["most"] == 4.0
-    assert dict(zip(toxicity.ARCS, grammar.features(b"she said moron"), strict=True))["reported"] > 0
-    assert grammar.features(b"vequno,") [0] == pytest.approx(math.log1p(3.0))
+    grammar = toxicity.Grammar({"moron": 4.0, "vequ*": 3.0, "vequno*": 5.0})
+    arcs = dict(zip(toxicity.ARCS, grammar.features(b"You moron. Anna was not a moron! Tom said: moron\nsomeone said moron"), strict=True))
+    assert arcs["insult"] == pytest.approx(math.log1p(16.0)) and arcs["targeted"] == pytest.approx(math.log1p(4.0))
+    assert arcs["negated"] == pytest.approx(math.log1p(4.0)) == arcs["most"] and arcs["reported"] == pytest.approx(math.log1p(8.0))
+    assert grammar.features(b"vequna, vequnona")[0] == pytest.approx(math.log1p(8.0))
+    assert dict(zip(toxicity.ARCS, grammar.features(b"I will kill you"), strict=True))["threat"] == pytest.approx(math.log1p(toxicity.GIVEN))
     assert grammar.features(b"nothing here") == [0.0] * len(toxicity.ARCS) == grammar.features(b"")
 
 
+def test_beginnings_that_say_no_more_go():
+    found = {"idio*": (9, 9, 4.0), "idiot": (9, 9, 4.0), "abcd*": (8, 7, 2.0), "abcde*": (6, 6, 3.0)}
+    assert toxicity.plain_patterns(found) == {"idiot": 4.0, "abcd*": 2.0, "abcde*": 3.0}
+
+
+def test_every_arc_has_its_sign():
+    rng = np.random.default_rng(2)
+    features, toxic = np.abs(rng.normal(size=(300, len(toxicity.ARCS)))), rng.integers(0, 2, 300).astype(float)
+    features[:, 1] = features[:, 4] = 0.0
+    weights = toxicity.fit(features, toxic)[:-1]
+    assert (np.sign(weights) == np.sign(toxicity.PRIOR_MEAN)).all() and (np.abs(weights) >= toxicity.LEAST_WEIGHT).all()
+    assert weights[1] == pytest.approx(toxicity.PRIOR_MEAN[1]) and weights[4] == pytest.approx(toxicity.PRIOR_MEAN[4])
+
+
 def test_toxic_documents_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     some = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
-    found = toxicity.toxic_scores(some, labels).join(labels, "doc_id").where("held_out").collect()
-    caught = [r for r in found if r["toxic"] == 1]
-    clean = [r for r in found if r["toxic"] == 0]
-    assert sum(r["predicted"] for r in caught) > 0.8 * len(caught)
-    assert sum(r["predicted"] for r in clean) < 0.05 * len(clean)
+    found = toxicity.toxic_scores(some, labels).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    for lang in ("en", "de", "fr", "es"):
+        caught = [r["predicted"] for r in found if r["toxic"] == 1 and r["lang"] == lang]
+        clean = [r["predicted"] for r in found if r["toxic"] == 0 and r["lang"] == lang]
+        assert sum(caught) >= 0.9 * len(caught)
+        assert sum(clean) <= max(0.025 * len(clean), 2)
+
+
+def test_scores_are_the_grammar_s(spark):
+    """Every score against patterns, features and the logistic sum worked out here from the labelled rows."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    text = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["toxic"] in (0, 1) and crc(r["doc_id"]) % 4 != 2 and r["doc_id"] in text}
+    every, bad = toxicity.pattern_counts([text[i] for i in toxic], list(toxic.values()))
+    ones = sum(toxic.values())
+    base, found = ones / len(toxic), {}
+    for k, n in every.items():
+        b, g = bad[k], n - bad[k]
+        if b >= toxicity.LEAST_DOCS and b >= toxicity.LEAST_SHARE * n and b > base * n:
+            ratio = 2 * (b * math.log(b / (n * base)) + (g * math.log(g / (n * (1 - base))) if g else 0))
+            if ratio >= toxicity.LEAST_RATIO:
+                found[k] = (n, b, math.log((b + 0.5) / (g + toxicity.CLEAN)) - math.log(ones / (len(toxic) - ones)))
+    weights, arcs = toxicity.train(docs, labels)
+    assert weights == pytest.approx(toxicity.plain_patterns(found)) and weights
+    grammar = toxicity.Grammar(weights)
+    for r in toxicity.toxic_scores(docs, labels).collect():
+        want = 1 / (1 + math.exp(-float(np.dot(arcs[:-1], grammar.features(text[r["doc_id"]])) + arcs[-1])))
+        assert r["score"] == pytest.approx(want) and r["predicted"] == (want >= 0.3) and r["held_out"] == (crc(r["doc_id"]) % 4 == 2)
 
 
 def test_odd_toxicity(spark, odd_docs, no_docs):
