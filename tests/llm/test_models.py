@@ -270,6 +270,81 @@ def test_base_scores(spark, odd_docs, which):
         assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def plain_scores(docs, most):
+    """Score of each text, the classes of all words chosen here: seeds by exchange, the head in two sweeps, the rest once."""
+    k = class_lm.CLASSES
+    tokens = {i: plain_tokens(t) for i, t in docs}
+    train = [t for i, t in tokens.items() if i is not None and crc(i) % 10]
+    count = Counter(w for t in train for w in t)
+    words = sorted((w for w in count if w != "\n"), key=lambda w: (-count[w], w.encode()))
+    head, seeds = words[:most], words[: class_lm.SEEDS]
+    symbol = {w: i for i, w in enumerate(seeds)} | {"\n": len(seeds)}
+    pairs = np.zeros((len(seeds) + 2, len(seeds) + 2))
+    for t in train:
+        for a, b in zip(["\n", *t], t, strict=False):
+            pairs[symbol.get(a, len(seeds) + 1), symbol.get(b, len(seeds) + 1)] += 1
+    cls = dict(zip(seeds, class_lm.exchange(pairs, k).tolist(), strict=False)) | {"\n": k}
+
+    def sweep(movable):
+        table, found = np.zeros((k + 2, k + 2)), {w: np.zeros(2 * (k + 2)) for w in movable}
+        for t in train:
+            for a, b in zip(["\n", *t], t, strict=False):
+                x, y = cls.get(a, k + 1), cls.get(b, k + 1)
+                table[x, y] += 1
+                if b in found:
+                    found[b][x] += 1
+                if a in found and a != "\n":
+                    found[a][k + 2 + y] += 1
+        gains = class_lm.class_gains(table, k)
+        return {w: int((v @ gains).argmax()) for w, v in found.items()}
+
+    for _ in range(class_lm.SWEEPS):
+        cls |= sweep(head[len(seeds) :])
+    cls |= sweep(words[most:])
+    follows, once, size = np.zeros((k + 2, k + 1)), np.zeros(k + 2), Counter()
+    for t in train:
+        for a, b in zip(["\n", *t], t, strict=False):
+            rows = [cls[a]] + ([k + 1] if count[a] == 1 and a != "\n" else [])
+            for row in rows:
+                follows[row, cls[b]] += 1
+                once[row] += count[b] == 1 and b != "\n"
+            size[cls[b]] += 1
+    alpha, share = class_lm.ALPHA, class_lm.SHARE
+    unseen = (once + alpha) / (follows.sum(axis=1) + 2 * alpha)
+    step = (follows + alpha) / (follows + alpha).sum(axis=1, keepdims=True)
+    base = sum(count.values()) + 0.1 * (len(count) + 1)
+    out = {}
+    for i, t in tokens.items():
+        before, total = k, 0.0
+        for w in t:
+            n = count[w]
+            model = (1 - unseen[before]) * step[before, cls[w]] * n / size[cls[w]] if n else unseen[before]
+            total += math.log10(share * model + (1 - share) * (n + 0.1) / base)
+            before = cls[w] if n else k + 1
+        out[i] = total
+    return out
+
+
+@pytest.mark.parametrize("most", [1 << 17, 1600])
+def test_class_scores(spark, monkeypatch, most):
+    """Every score against a plain version; with a small head most words are tail words."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    counted = class_lm.word_counts(docs.where(~class_lm.held_out("doc_id", 10, 0)))
+    want_head = counted.where(F.col("word") != class_lm.END).orderBy(F.col("n").desc(), "word").limit(most).collect()
+    monkeypatch.setattr(class_lm, "head_words", lambda counts: ([bytes(r["word"]) for r in want_head], np.array([r["n"] for r in want_head])))
+    want = plain_scores([tuple(r) for r in docs.collect()], most)
+    got = {r["doc_id"]: r["score"] for r in class_lm.class_scores(docs.repartition(3)).collect()}
+    assert got.keys() == want.keys()
+    assert sum(abs(got[i] - want[i]) < 1e-6 * abs(want[i]) + 1e-9 for i in want) >= 0.98 * len(want)
+
+
+def test_head_words_are_as_many_as_asked(spark):
+    counts = spark.createDataFrame([(f"w{i}".encode(), 1 + (i < 50)) for i in range(4000)], "word binary, n long")
+    head, n = class_lm.head_words(counts, 1000)
+    assert 850 <= len(head) <= 1150 and set(n[:50].tolist()) == {2} and sorted(n, reverse=True) == n.tolist()
+    assert len(class_lm.head_words(counts, 5000)[0]) == 4000
+
+
 def test_scores_of_no_rows(spark, no_docs):
     assert class_lm.class_scores(no_docs).count() == 0
     only_held = spark.createDataFrame([(next(i for i in range(100) if crc(i) % 10 == 0), "a b")], "doc_id long, text string")
