@@ -17,22 +17,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, held_out, keep_rows, sliced, text_digest
-from .lattice import SPAN, Trie, backward, build_lattice, build_trie, forward, spans
+from .lattice import WINDOW, Trie, backward, build_lattice, build_trie, forward, groups, log_sums
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Labelled documents of a language that training reads, about; all where there are fewer.
 SAMPLE_PER_LANGUAGE = 1500
 ROUNDS = 3
-PIECE_BYTES = 12
 UNKNOWN = 1e-6
 SMOOTHING = 0.01
-#: Words whose scores a task keeps at a time, and words of one lattice.
-KEPT_WORDS, LATTICE_WORDS = 300_000, 8_192
+#: Words whose scores a task keeps at a time.
+KEPT_WORDS = 300_000
 LEAST_SCORE = 0.5
 
 
-def vocabulary(path: str = VOCABULARY, longest: int = PIECE_BYTES) -> list[bytes]:
-    """The model's ordinary pieces of at most longest bytes; the mark of a word's start becomes a space, and stands only first."""
+def vocabulary(path: str = VOCABULARY) -> list[bytes]:
+    """The model's ordinary pieces; the mark of a word's start becomes a space. Those of several marks are in no word."""
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=path)
@@ -42,13 +41,18 @@ def vocabulary(path: str = VOCABULARY, longest: int = PIECE_BYTES) -> list[bytes
             piece = model.id_to_piece(i)
             if "▁" not in piece[1:]:
                 found.append(piece.replace("▁", " ").encode())
-    return [p for p in dict.fromkeys(found) if len(p) <= longest]
+    return list(dict.fromkeys(found))
 
 
 def _learnable(docs: DataFrame) -> DataFrame:
     return docs.where(~held_out("doc_id", 4, 2) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
 
 
+def _training_words(word: bytes) -> list[bytes]:
+    """The word; expected counts of a very long one come from its windows, as both directions of one lattice are held."""
+    return [word] if len(word) <= WINDOW else [word[i : i + WINDOW] for i in range(0, len(word), WINDOW)]
+
+
 def train(docs: DataFrame, vocabulary_path: str = VOCABULARY, sample: int = SAMPLE_PER_LANGUAGE, rounds: int = ROUNDS):
     """(languages, log priors, piece probabilities with the unknown byte last, trie) from the labelled rows outside the held-out part.
 
@@ -69,7 +73,7 @@ def train(docs: DataFrame, vocabulary_path: str = VOCABULARY, sample: int = SAMP
         for batch, texts in sliced(batches):
             found: Counter = Counter()
             for lang, text in zip(batch.column("lang").to_pylist(), texts, strict=True):
-                found.update((lang, s) for w in text.split() for s in spans(w))
+                found.update((lang, s) for w in text.split() for s in _training_words(b" " + w))
             keys = list(found)
             yield pa.record_batch([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()), pa.array([found[k] for k in keys], pa.int64())], names=["lang", "word", "n"])
 
@@ -92,16 +96,17 @@ def _maximised(spark: SparkSession, table: DataFrame, trie: Trie, languages: lis
         number = {x: i for i, x in enumerate(languages)}
         total = np.zeros((trie.size + 1, len(languages)))
         for part in parts:
-            for i in range(0, len(part), LATTICE_WORDS):
-                rows = part.iloc[i : i + LATTICE_WORDS]
+            for i, j in groups(part["word"].tolist()):
+                rows = part.iloc[i:j]
                 words = rows["word"].tolist()
                 lang = rows["lang"].map(number).to_numpy()
                 lattice = build_lattice(trie, words)
                 word_of = np.searchsorted(lattice.first, lattice.source, side="right") - 1
                 weight = probability[lattice.piece, lang[word_of]][:, None]
-                ahead, behind = forward(lattice, weight), backward(lattice, weight)
-                whole = ahead[lattice.last][:, 0]
-                share = ahead[lattice.source][:, 0] * weight[:, 0] * behind[lattice.target][:, 0] / whole[word_of] * rows["n"].to_numpy()[word_of]
+                (ahead, ahead_scale), (behind, behind_scale) = forward(lattice, weight), backward(lattice, weight)
+                with np.errstate(divide="ignore"):
+                    ahead, behind = np.log(ahead[:, 0]) + ahead_scale[:, 0], np.log(behind[:, 0]) + behind_scale[:, 0]
+                share = np.exp(ahead[lattice.source] + np.log(weight[:, 0]) + behind[lattice.target] - ahead[lattice.last][word_of]) * rows["n"].to_numpy()[word_of]
                 np.add.at(total, (lattice.piece, lang[word_of]), share)
         piece, lang = np.nonzero(total)
         yield pd.DataFrame({"piece": piece.astype("int32"), "lang": lang.astype("int32"), "n": total[piece, lang]})
@@ -123,19 +128,15 @@ class Scorer:
         words, counts = [], []
         for text in texts:
             own = text.split()
-            if own and max(map(len, own)) >= SPAN:
-                # a later span of a long word is marked by a line's end, which no word holds
-                own = [s if i else s[1:] for w in own for i, s in enumerate([spans(w)[0], *(b"\n" + s for s in spans(w)[1:])])]
             words += own
             counts.append(len(own))
         if len(self.known) > KEPT_WORDS:
             self.known, self.scores = {}, self.scores[:0]
         fresh = [w for w in dict.fromkeys(words) if w not in self.known]
         rows = [self.scores]
-        for i in range(0, len(fresh), LATTICE_WORDS):
-            part = fresh[i : i + LATTICE_WORDS]
-            lattice = build_lattice(self.trie, [w[1:] if w[:1] == b"\n" else b" " + w for w in part])
-            rows.append(np.log(forward(lattice, self.probability[lattice.piece])[lattice.last]))
+        for i, j in groups(fresh):
+            part = fresh[i:j]
+            rows.append(log_sums(self.trie, [b" " + w for w in part], self.probability))
             for w in part:
                 self.known[w] = len(self.known)
         self.scores = np.vstack(rows)

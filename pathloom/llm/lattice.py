@@ -1,4 +1,8 @@
-"""Piece lattices of many words at once, as numpy arrays, and sums over all their paths."""
+"""Piece lattices of many words at once, as numpy arrays, and sums over all their paths.
+
+Sums are kept as numbers and, for words of many bytes, logarithms of a scale beside them, so that a word
+of any length is summed whole. A very long word is read by windows, the sums at the last nodes being carried on.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +11,12 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Bytes of a word that one lattice spans; a longer word is scored in spans of this length, all of them.
-SPAN = 32
+#: Offset from which sums are scaled anew, every so many bytes, and the size that the largest gets then.
+FREE, EVERY, HEIGHT = 32, 8, 1e200
+#: Bytes of a window of a very long word; shorter words are read at once.
+WINDOW = 1 << 14
+#: Bytes of one lattice, if no word alone is longer.
+LATTICE_BYTES = 1 << 17
 
 
 @dataclass
@@ -105,38 +113,101 @@ def build_lattice(trie: Trie, words: list[bytes]) -> Lattice:
     return Lattice(source[order], target[order], np.concatenate(found)[order], reach[order], first, first + lengths, nodes)
 
 
-def forward(lattice: Lattice, weights: np.ndarray) -> np.ndarray:
-    """Sums over all paths into each node; weights has a row for each edge and a column for each model."""
-    total = np.zeros((lattice.nodes, weights.shape[1]))
-    total[lattice.first] = 1.0
+def forward(lattice: Lattice, weights: np.ndarray, begin: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, scales): over all paths into each node, a sum is sums * exp(scales); weights has a row for each edge and a column for each model.
+
+    begin gives sums that nodes have already, instead of one at the start of each word.
+    """
+    models = weights.shape[1]
+    total = np.zeros((lattice.nodes, models)) if begin is None else begin
+    ahead = 0 if begin is None else int(np.flatnonzero(begin.any(axis=1)).max(initial=0))
+    if begin is None:
+        total[lattice.first] = 1.0
+    scale = np.zeros((lattice.nodes, models))
+    sizes = lattice.last - lattice.first
+    running = np.zeros((len(sizes), models))
     most = int(lattice.reach[-1]) if len(lattice.reach) else 0
+    back = int((lattice.target - lattice.source).max(initial=1))
     bounds = np.searchsorted(lattice.reach, np.arange(1, most + 2))
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        target = lattice.target[a:b]
-        heads = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])
-        total[target[heads]] = np.add.reduceat(total[lattice.source[a:b]] * weights[a:b], heads, axis=0)
-    return total
-
-
-def backward(lattice: Lattice, weights: np.ndarray) -> np.ndarray:
-    """Sums over all paths from each node to the end of its word."""
-    total = np.zeros((lattice.nodes, weights.shape[1]))
-    total[lattice.last] = 1.0
-    start = lattice.reach - (lattice.target - lattice.source)
-    order = np.argsort(start * lattice.nodes + lattice.source, kind="stable")
-    sorted_start = start[order]
-    most = int(sorted_start[-1]) if len(order) else -1
-    bounds = np.searchsorted(sorted_start, np.arange(0, most + 2))
-    for k in range(most, -1, -1):
-        e = order[bounds[k] : bounds[k + 1]]
-        if len(e):
-            source = lattice.source[e]
-            heads = np.flatnonzero(np.r_[True, source[1:] != source[:-1]])
-            total[source[heads]] = np.add.reduceat(total[lattice.target[e]] * weights[e], heads, axis=0)
-    return total
-
-
-def spans(word: bytes) -> list[bytes]:
-    """A word, a space before it, in spans of at most SPAN bytes."""
-    word = b" " + word
-    return [word] if len(word) <= SPAN else [word[i : i + SPAN] for i in range(0, len(word), SPAN)]
+    for offset, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True), 1):
+        if b > a:
+            target = lattice.target[a:b]
+            heads = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])
+            total[target[heads]] += np.add.reduceat(total[lattice.source[a:b]] * weights[a:b], heads, axis=0)
+        if offset >= FREE and offset % EVERY == 0:
+            going = np.flatnonzero(sizes > offset)
+            if len(going):
+                # begin may have sums for nodes ahead
+                near = np.minimum(lattice.first[going][:, None] + np.arange(max(0, offset - back), offset + 1 + (0 if begin is None else ahead)), lattice.last[going][:, None])
+                block = total[near]
+                top = block.max(axis=1)
+                shift = np.log(top) - np.log(HEIGHT)
+                total[near] = block / top[:, None] * HEIGHT
+                running[going] += shift
+                scale[near] += shift[:, None]
+                later = lattice.first[going][:, None] + np.arange(offset + 1, offset + max(EVERY, back) + 1)
+                inside = later <= lattice.last[going][:, None]
+                scale[later[inside]] = np.broadcast_to(running[going][:, None], (*later.shape, models))[inside]
+    return total, scale
+
+
+def groups(words: list[bytes]) -> list[tuple[int, int]]:
+    """Bounds of runs of words that have at most LATTICE_BYTES bytes together; a longer word comes alone."""
+    out, start, total = [], 0, 0
+    for i, w in enumerate(words):
+        if total and total + len(w) > LATTICE_BYTES:
+            out.append((start, i))
+            start, total = i, 0
+        total += len(w)
+    return [*out, (start, len(words))] if words else []
+
+
+def mirrored(lattice: Lattice) -> tuple[Lattice, np.ndarray, np.ndarray]:
+    """The lattice of the words read backwards, where its edges are in lattice, and where each node is."""
+    word = np.searchsorted(lattice.first, np.arange(lattice.nodes), side="right") - 1
+    node = lattice.first[word] + lattice.last[word] - np.arange(lattice.nodes)
+    source, target = node[lattice.target], node[lattice.source]
+    reach = target - lattice.first[word[lattice.source]]
+    order = np.argsort(reach * lattice.nodes + target, kind="stable")
+    return Lattice(source[order], target[order], lattice.piece[order], reach[order], lattice.first, lattice.last, lattice.nodes), order, node
+
+
+def backward(lattice: Lattice, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, scales) over all paths from each node to the end of its word."""
+    other, order, node = mirrored(lattice)
+    total, scale = forward(other, weights[order])
+    return total[node], scale[node]
+
+
+def log_sums(trie: Trie, words: list[bytes], probability: np.ndarray) -> np.ndarray:
+    """The logarithm of each word's sum over all segmentations, a column for each model; words are not empty."""
+    out = np.zeros((len(words), probability.shape[1]))
+    short = [i for i, w in enumerate(words) if len(w) <= WINDOW]
+    if short:
+        lattice = build_lattice(trie, [words[i] for i in short])
+        total, scale = forward(lattice, probability[lattice.piece])
+        out[short] = np.log(total[lattice.last]) + scale[lattice.last]
+    for i, w in enumerate(words):
+        if len(w) > WINDOW:
+            out[i] = _by_windows(trie, w, probability)
+    return out
+
+
+def _by_windows(trie: Trie, word: bytes, probability: np.ndarray) -> np.ndarray:
+    carried, done = np.zeros((1, probability.shape[1])), np.zeros(probability.shape[1])
+    carried[0] = 1.0
+    for at in range(0, len(word), WINDOW):
+        part = word[at : at + WINDOW + trie.depth]
+        step = min(WINDOW, len(word) - at)
+        lattice = build_lattice(trie, [part])
+        own = lattice.source < step
+        lattice = Lattice(lattice.source[own], lattice.target[own], lattice.piece[own], lattice.reach[own], lattice.first, lattice.last, lattice.nodes)
+        begin = np.zeros((lattice.nodes, probability.shape[1]))
+        begin[: len(carried)] = carried[: lattice.nodes]
+        total, scale = forward(lattice, probability[lattice.piece], begin)
+        # nodes ahead may have sums in other scales; all come to that of the window's last node
+        carried = total[step:] * np.exp(np.minimum(scale[step:] - scale[step], 700.0))
+        top = carried[0].copy()
+        carried /= top
+        done += np.log(top) + scale[step]
+    return done

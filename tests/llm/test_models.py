@@ -34,16 +34,65 @@ def test_forward_sums_all_segmentations():
                 ways[end] += ways[start] * ((p[pieces.index(part), k] if part in pieces else 0) + (p[-1, k] if len(part) == 1 else 0))
         return ways[-1]
 
-    own = [b" ab", b" abab", b"zb", b" ba\xc3", b"a"]
+    own = [b" ab", b" abab", b"zb", b" ba\xc3", b"a", b" " + b"abzab" * 40]
     graph = lattice.build_lattice(trie, own)
-    ahead, behind = lattice.forward(graph, p[graph.piece]), lattice.backward(graph, p[graph.piece])
+    (ahead, up), (behind, down) = lattice.forward(graph, p[graph.piece]), lattice.backward(graph, p[graph.piece])
     for i, w in enumerate(own):
-        assert np.allclose(ahead[graph.last[i]], [total(w, 0), total(w, 1)])
-        assert np.allclose(behind[graph.first[i]], ahead[graph.last[i]])
+        want = [math.log(total(w, 0)), math.log(total(w, 1))]
+        assert np.allclose(np.log(ahead[graph.last[i]]) + up[graph.last[i]], want)
+        assert np.allclose(np.log(behind[graph.first[i]]) + down[graph.first[i]], want)
+        # every node: what leads to it times what follows it is at most the whole, and all at the ends of the only paths
+        both = np.log(ahead) + up + np.log(behind) + down
+        assert (both[graph.first[i] : graph.last[i] + 1] <= np.array(want) + 1e-9).all()
+    assert np.allclose(lattice.log_sums(trie, own, p), [[math.log(total(w, k)) for k in (0, 1)] for w in own])
     kept = lattice.Trie.of(trie.plain())
     assert (kept.step == trie.step).all() and kept.size == trie.size
 
 
+def logs_of_all_segmentations(word, pieces, p):
+    """Logarithm of the sum over all segmentations, by logarithms alone."""
+    number, most = {x: i for i, x in enumerate(pieces)}, max(map(len, pieces))
+    ways = np.full(len(word) + 1, -np.inf)
+    ways[0] = 0.0
+    for end in range(1, len(word) + 1):
+        ways[end] = ways[end - 1] + math.log(p[-1])
+        for start in range(max(0, end - most), end):
+            i = number.get(word[start:end])
+            if i is not None:
+                ways[end] = np.logaddexp(ways[end], ways[start] + math.log(p[i]))
+    return ways[-1]
+
+
+@pytest.mark.parametrize("window", [64, 1 << 14])
+def test_words_of_any_length_are_summed_whole(monkeypatch, window):
+    monkeypatch.setattr(lattice, "WINDOW", window)
+    pieces = language_id.vocabulary()[::7]
+    trie = lattice.build_trie(pieces)
+    p = np.random.default_rng(4).random((len(pieces) + 1, 1)) * 1e-4
+    p[-1] = 1e-6
+    own = [" Donaudampfschifffahrtsgesellschaftskapitänsmützenfarbton", " 日本語のテキスト、空白なし。" * 30, " ა" * 1 + "ა" * 400, " " + "the" * 700, " a", " internationalization" * 12]
+    got = lattice.log_sums(trie, [w.encode() for w in own], p)
+    for w, g in zip(own, got[:, 0].tolist(), strict=True):
+        assert g == pytest.approx(logs_of_all_segmentations(w.encode(), pieces, p[:, 0]), rel=1e-9)
+
+
+def test_scores_of_languages_are_bayes_rule(spark):
+    """Whole results on the smallest table against sums by logarithms with the trained probabilities."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("length(text) < 400")
+    model = language_id.train(docs)
+    languages, prior, probability, _ = model
+    pieces = language_id.vocabulary()
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in language_id.predict(docs, model).collect():
+        if re.search(r"[^\W\d_]", text[r["doc_id"]] or ""):
+            words_of = [(" " + w).encode() for w in re.split(r"[\x20\x09-\x0D]+", text[r["doc_id"]]) if w]
+            logs = np.array([prior[k] + sum(logs_of_all_segmentations(w, pieces, probability[:, k]) for w in words_of) for k in range(len(languages))])
+            share = np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum()
+            assert r["lang_pred"] == languages[int(logs.argmax())] and r["score"] == pytest.approx(share.max(), abs=1e-6)
+        else:
+            assert r["lang_pred"] == "und" and r["score"] == 0
+
+
 def test_languages_of_held_out_documents(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     found = language_id.identify_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
