@@ -92,6 +92,22 @@ def keep_rows(docs: DataFrame, decisions: DataFrame, text: str = "text") -> Data
     return _packed(docs, text).join(right, _same_row(), "left_semi").select("__row.*")
 
 
+def keep_one_row_each(docs: DataFrame, decisions: DataFrame, text: str = "text") -> DataFrame:
+    """Like keep_rows(), but of rows that share both doc_id and text one stays, the one whose columns hash lowest.
+
+    decisions has a row for each row of docs that it means. Only rows that repeat are grouped, by partial aggregation, so
+    that any number of them can share an id, or have none.
+    """
+    counted = checkpointed(decisions.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")))
+    repeated = counted.where("n > 1")
+    if repeated.isEmpty():
+        return keep_rows(docs, counted, text)
+    right = repeated.select(F.col("doc_id").alias("__kid"), F.col("text_sha256").alias("__ksha"))
+    rows = _packed(docs, text).join(right, _same_row(), "left_semi")
+    single = rows.groupBy("__id", "__sha").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row")).select("__row.*")
+    return keep_rows(docs, counted.where("n = 1"), text).unionByName(single)
+
+
 def repeat_rows(docs: DataFrame, times: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs as often as times says (doc_id, text_sha256, n; once for each pair); rows that it hasn't go."""
     right = times.select(F.col("doc_id").alias("__kid"), F.col("text_sha256").alias("__ksha"), F.col("n").alias("__n"))

@@ -1,8 +1,9 @@
 """Exact document deduplication over content-defined chunk recipes.
 
-Every text is cut where a rolling hash of its bytes says so. The distinct chunks are compared byte
-for byte under their identifiers; once each identifier is verified to stand for one byte string, a
-text is its ordered list of identifiers, and only those short recipes are grouped and joined.
+Every text is cut where a rolling hash of its bytes says so, and is its ordered list of chunk identifiers, its
+recipe; recipes are stored once. Identifiers that occur more than once are verified: only chunks under
+these move, and are compared byte for byte; if one identifier stands for two byte strings, longer ones
+are taken. Then only recipes are grouped and joined.
 """
 
 from __future__ import annotations
@@ -10,44 +11,75 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ID_BYTES, cuts, identify, verified_size
-from .common import checkpointed, keep_rows, sliced, text_digest
+from .chunks import ID_BYTES, cuts, identify, unverified
+from .common import checkpointed, keep_one_row_each, sliced, stored, text_digest
 
 CHUNK_BITS, CHUNK_LEAST, CHUNK_MOST = 10, 256, 8192
+#: Bits of the map of identifiers that occur more than once, 16 MB at most.
+SLOTS = 1 << 27
 
 
-def chunk_table(docs: DataFrame, id_bytes: int) -> DataFrame:
-    """(id, chunk) of every chunk of every text; copies within a slice of a batch come once."""
+def recipe_table(docs: DataFrame, id_bytes: int) -> DataFrame:
+    """(doc_id, text_sha256, recipe): a row for each document; the recipe is its identifiers in order."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in sliced(batches):
-            found = set()
+        for batch, texts in sliced(batches):
+            recipes = []
             for text, ends in zip(texts, cuts(texts, CHUNK_BITS, CHUNK_LEAST, CHUNK_MOST), strict=True):
-                start = 0
-                for end in ends:
-                    found.add(text[start:end])
-                    start = end
-            every = list(found)
-            yield pa.record_batch([pa.array([identify(c, id_bytes) for c in every], pa.binary()), pa.array(every, pa.binary())], names=["id", "chunk"])
+                recipes.append([identify(text[a:b], id_bytes) for a, b in zip([0, *ends], ends, strict=False)])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("text_sha256"), pa.array(recipes, pa.list_(pa.binary()))], names=["doc_id", "text_sha256", "recipe"])
 
-    return docs.select("text").mapInArrow(emit, "id binary, chunk binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("text_sha256"), "text")
+    return rows.mapInArrow(emit, "doc_id long, text_sha256 string, recipe array<binary>")
 
 
-def recipe_table(docs: DataFrame, id_bytes: int) -> DataFrame:
-    """(doc_id, text_sha256, recipe): a row for each document; the recipe is its identifiers in order."""
+def _slot(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SLOTS)) + 1
+
+
+def repeated_slots(recipes: DataFrame) -> dict[int, bytes]:
+    """A bitmap over hashes of the identifiers that occur more than once; of bounded size, so that tasks can hold it.
+
+    Other identifiers may share a bit, the more the fuller it is: then more chunks are compared than need be.
+    """
+    ids = recipes.select(F.explode("recipe").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(_slot("id").alias("slot"))
+    bits = ids.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    return {r["bucket"]: bytes(r["bits"]) for r in bits.collect()}
+
+
+def compared_chunks(docs: DataFrame, id_bytes: int, slots: dict[int, bytes]) -> DataFrame:
+    """(id, chunk) of the chunks whose identifiers may occur more than once; copies within a slice of a batch come once."""
+    shared = docs.sparkSession.sparkContext.broadcast(slots)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in sliced(batches):
-            recipes = []
+        slots = shared.value
+        for _, texts in sliced(batches):
+            found = {}
             for text, ends in zip(texts, cuts(texts, CHUNK_BITS, CHUNK_LEAST, CHUNK_MOST), strict=True):
-                recipes.append(b"".join(identify(text[a:b], id_bytes) for a, b in zip([0, *ends], ends, strict=False)))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("text_sha256"), pa.array(recipes, pa.binary())], names=["doc_id", "text_sha256", "recipe"])
+                for a, b in zip([0, *ends], ends, strict=False):
+                    found[text[a:b]] = None
+            ids = [identify(c, id_bytes) for c in found]
+            # the same hash as xxhash64() of the column, and the place of its bit
+            place = [xxhash.xxh64_intdigest(i, 42) for i in ids]
+            place = [(p if p < 1 << 63 else p - (1 << 64)) % SLOTS for p in place]
+            some = [(i, c) for i, c, p in zip(ids, found, place, strict=True) if (bits := slots.get(p // 32768 + 1)) and bits[p % 32768 // 8] >> p % 8 & 1]
+            yield pa.record_batch([pa.array([i for i, _ in some], pa.binary()), pa.array([c for _, c in some], pa.binary())], names=["id", "chunk"])
+
+    return docs.select("text").mapInArrow(emit, "id binary, chunk binary")
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("text_sha256"), "text")
-    return rows.mapInArrow(emit, "doc_id long, text_sha256 string, recipe binary")
+
+def verified_recipes(docs: DataFrame, id_sizes: tuple[int, ...] = ID_BYTES) -> DataFrame:
+    """recipe_table() of the first size at which every identifier that occurs more than once stands for one byte string, stored."""
+    for size in id_sizes:
+        recipes = stored(recipe_table(docs, size))
+        slots = repeated_slots(recipes)
+        if not slots or unverified(compared_chunks(docs, size, slots)).isEmpty():
+            return recipes
+    raise ValueError(f"identifiers of {id_sizes[-1]} bytes still stand for different bytes")
 
 
 def exact_duplicates(docs: DataFrame, id_sizes: tuple[int, ...] = ID_BYTES) -> DataFrame:
@@ -59,8 +91,7 @@ def exact_duplicates(docs: DataFrame, id_sizes: tuple[int, ...] = ID_BYTES) -> D
     group_size counts rows. In a group without any id every row is kept. An empty table gives an
     empty result; other columns are not looked at.
     """
-    size = verified_size(lambda n: chunk_table(docs, n), id_sizes)
-    recipes = recipe_table(docs, size)
+    recipes = verified_recipes(docs, id_sizes)
     groups = recipes.groupBy(F.col("recipe").alias("__recipe")).agg(F.max("doc_id").alias("__keep"), F.count(F.lit(1)).alias("__size"))
     # only groups of several rows are joined; as a table of their own, so that a join of a huge group can be split
     joined = recipes.join(checkpointed(groups.where("__size > 1")), F.col("recipe") == F.col("__recipe"), "left")
@@ -72,5 +103,8 @@ def exact_duplicates(docs: DataFrame, id_sizes: tuple[int, ...] = ID_BYTES) -> D
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that exact_duplicates() keeps, whole and unchanged."""
-    return keep_rows(docs, exact_duplicates(docs).where("kept"))
+    """One row of each group of equal texts, whole and unchanged: that with the largest doc_id.
+
+    Of rows that share id and text, or that have no id, one stays.
+    """
+    return keep_one_row_each(docs, exact_duplicates(docs).where("kept"))
