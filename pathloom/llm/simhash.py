@@ -13,12 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vp_tree
-from .common import checkpointed, keep_rows, sliced, text_digest
+from .common import checkpointed, keep_one_row_each, sliced, text_digest
 from .components import stars
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 2
 #: The tree that deals fingerprints out: about so many in a leaf, so many leaves at least, and the sample that it is built on.
 LEAF_ROWS, LEAST_DEPTH, SAMPLE = 16_384, 6, 16_384
+#: Points of a leaf beyond which it is dealt anew.
+LEAF_MOST = 4 * LEAF_ROWS
 
 
 def fingerprint(text: bytes) -> int:
@@ -50,12 +52,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(emit, "doc_id long, text_sha256 string, fp long")
 
 
-def link_edges(points: DataFrame, radius: int = RADIUS, leaf_rows: int = LEAF_ROWS, least_depth: int = LEAST_DEPTH) -> DataFrame:
+def link_edges(points: DataFrame, radius: int = RADIUS, leaf_rows: int = LEAF_ROWS, least_depth: int = LEAST_DEPTH, leaf_most: int = LEAF_MOST) -> DataFrame:
     """(a, b): edges that join all fingerprints of points (distinct, column fp) within radius of each other, chains included.
 
     A tree on a sample of bounded size deals every fingerprint to its leaf and, next to a boundary, to
-    the leaves across it; each leaf is searched by a tree of its own. A leaf gives a point and the
-    least point of its group there, so that a dense group costs its size and not its square.
+    the leaves across it; each leaf is searched by a tree of its own, and gives a point and the least point of its
+    group there. A leaf of more than leaf_most points, which no vantage point could part, is not one task: its points
+    are dealt by what they share, see dense_edges().
     """
     spark = points.sparkSession
     count = points.count()
@@ -75,32 +78,82 @@ def link_edges(points: DataFrame, radius: int = RADIUS, leaf_rows: int = LEAF_RO
         moved = root != np.arange(len(fp))
         return pd.DataFrame({"a": fp[moved], "b": fp[root[moved]]})
 
-    return points.select("fp").mapInArrow(deal, "leaf long, fp long").groupBy("leaf").applyInPandas(search, "a long, b long")
+    dealt = checkpointed(points.select("fp").mapInArrow(deal, "leaf long, fp long"))
+    # leaves are at most as many as the sample has rows
+    dense = [r["leaf"] for r in dealt.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf_most).collect()]
+    if not dense:
+        return dealt.groupBy("leaf").applyInPandas(search, "a long, b long")
+    edges = dealt.where(~F.col("leaf").isin(dense)).groupBy("leaf").applyInPandas(search, "a long, b long")
+    return edges.union(dense_edges(dealt.where(F.col("leaf").isin(dense)).select("fp").distinct(), radius, leaf_rows))
+
+
+def dense_edges(points: DataFrame, radius: int, group_rows: int = LEAF_ROWS) -> DataFrame:
+    """(a, b): edges that join all fingerprints of points within radius of each other, however many are near one another.
+
+    Two such fingerprints share all but radius of their eight bytes, so they meet under what is left when these are
+    masked, for one of the ways to choose them. Under one mask and rest lie at most 256 ** radius fingerprints.
+    """
+    ways = vp_tree.masks(radius)
+    shared = checkpointed(points)
+    buckets = max(1, -(-len(ways) * shared.count() // group_rows))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column("fp").to_numpy()
+            for way, mask in enumerate(ways):
+                rest = fp.view(np.uint64) & ~mask
+                yield pa.record_batch([pa.array(np.full(len(fp), way), pa.int32()), pa.array(rest.view(np.int64), pa.int64()), pa.array(fp, pa.int64())], names=["way", "rest", "fp"])
+
+    def search(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["way", "rest", "fp"])
+        way, rest, fp = (part[c].to_numpy() for c in ("way", "rest", "fp"))
+        first = np.flatnonzero(np.r_[True, (way[1:] != way[:-1]) | (rest[1:] != rest[:-1])])
+        a, b = [], []
+        for i, j in zip(first.tolist(), [*first[1:].tolist(), len(fp)], strict=True):
+            if j - i > 1:
+                root = vp_tree.linked(fp[i:j].view(np.uint64), radius)
+                moved = np.flatnonzero(root != np.arange(j - i))
+                a.append(fp[i:j][moved])
+                b.append(fp[i:j][root[moved]])
+        return pd.DataFrame({"a": np.concatenate(a) if a else np.zeros(0, dtype=np.int64), "b": np.concatenate(b) if b else np.zeros(0, dtype=np.int64)})
+
+    rows = shared.mapInArrow(deal, "way int, rest long, fp long").withColumn("bucket", F.pmod(F.xxhash64("way", "rest"), F.lit(buckets)))
+    return rows.groupBy("bucket").applyInPandas(search, "a long, b long").distinct()
 
 
 def fingerprint_text(column: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
+def labelled(docs: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, text_sha256, fp) of each row, (point, label, component_id) of each fingerprint); the label is a component's least fingerprint."""
+    rows = checkpointed(fingerprints(docs))
+    points = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    star = stars(link_edges(points, radius))
+    labels = points.join(star, F.col("fp") == F.col("a"), "left").select("fp", "least", F.coalesce("b", "fp").alias("label"))
+    least = checkpointed(labels.groupBy(F.col("label").alias("of")).agg(F.min("least").alias("component_id")))
+    return rows, checkpointed(labels.join(least, F.col("label") == F.col("of")).select(F.col("fp").alias("point"), "label", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row per row of docs: doc_id, text_sha256, fingerprint (16 hex digits), component_id.
 
     Two texts link if their fingerprints differ in at most radius bits; component_id is the smallest
     doc_id that links reach, the row's own included. A text without words (null, empty, white space)
-    has fingerprint zero and links like any other. Equal fingerprints are one point of the search,
-    so any number of copies costs one. Null ids take part in linking and are never a component_id,
-    which is null only where a component has no other. Rows that repeat an id are rows like others.
+    has fingerprint zero and links like any other; a text of any length has one fingerprint. Equal fingerprints are one
+    point of the search, so any number of copies costs one. Null ids take part in linking and are never a component_id,
+    which is null only where a component has no other. Rows that repeat an id are rows like others; an empty table gives no rows.
     """
-    rows = checkpointed(fingerprints(docs))
-    points = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    star = stars(link_edges(points, radius))
-    labelled = points.join(star, F.col("fp") == F.col("a"), "left").select("fp", "least", F.coalesce("b", "fp").alias("label"))
-    least = checkpointed(labelled.groupBy(F.col("label").alias("of")).agg(F.min("least").alias("component_id")))
-    component = checkpointed(labelled.join(least, F.col("label") == F.col("of")).select(F.col("fp").alias("point"), "component_id"))
-    return rows.join(component, F.col("fp") == F.col("point")).select("doc_id", "text_sha256", fingerprint_text().alias("fingerprint"), "component_id")
+    rows, points = labelled(docs, radius)
+    return rows.join(points, F.col("fp") == F.col("point")).select("doc_id", "text_sha256", fingerprint_text().alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are the smallest doc_id of their component, whole and unchanged; rows of components without ids stay."""
-    found = near_duplicates(docs)
-    return keep_rows(docs, found.where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))))
+    """One row of each component, whole and unchanged: that with the smallest doc_id, then the smallest digest; one without an id only if none has one."""
+    rows, points = labelled(docs)
+    # a component's row is among those of its fingerprints, of each of which the first is enough
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_sha256")).alias("first")
+    least = rows.groupBy("fp").agg(first).join(points, F.col("fp") == F.col("point")).groupBy("label").agg(F.min("first").alias("first"))
+    chosen = least.select(F.col("first.doc_id").alias("__kid"), F.col("first.text_sha256").alias("__ksha"))
+    same = F.col("doc_id").eqNullSafe(F.col("__kid")) & F.col("text_sha256").eqNullSafe(F.col("__ksha"))
+    return keep_one_row_each(docs, rows.join(checkpointed(chosen), same, "left_semi").select("doc_id", "text_sha256"))

@@ -7,6 +7,8 @@ two points within r of each other meet in at least one side, so every such pair
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 
 #: Points below which pairs are compared directly.
@@ -15,6 +17,11 @@ DIRECT = 512
 BLOCK = 1 << 19
 
 
+def masks(r: int) -> list[np.uint64]:
+    """All choices of r of the eight bytes of a fingerprint."""
+    return [np.uint64(sum(0xFF << 8 * b for b in chosen)) for chosen in combinations(range(8), min(r, 8))]
+
+
 def distances(points: np.ndarray, vantage: int) -> np.ndarray:
     return np.bitwise_count(points ^ np.uint64(vantage)).astype(np.int16)
 

@@ -54,6 +54,15 @@ def test_exact_duplicates(odd_docs, sizes):
     assert sorted((str(r[0]), str(r[1]), *r[2:]) for r in got.collect()) == expected_exact(texts_of(odd_docs))
 
 
+def test_only_chunks_of_repeated_identifiers_are_compared(spark):
+    rows = [(i, words(i, 400)) for i in range(60)] + [(100 + i, words(i, 400)) for i in range(5)] + [(200, words(7, 400) + " and " + words(300, 300))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    recipes = exact_dedup.recipe_table(docs, 16)
+    times = Counter(bytes(i) for r in recipes.collect() for i in r["recipe"])
+    compared = {bytes(r["id"]) for r in exact_dedup.compared_chunks(docs, 16, exact_dedup.repeated_slots(recipes)).collect()}
+    assert compared == {i for i, n in times.items() if n > 1} and 0 < len(compared) < len(times) / 3
+
+
 def test_identifiers_that_never_verify_are_an_error(spark):
     docs = spark.createDataFrame([(i, words(i, 50)) for i in range(600)], "doc_id long, text string")
     with pytest.raises(ValueError):
@@ -68,7 +77,29 @@ def test_exact_duplicates_of_no_rows(no_docs):
 def test_exact_stage_keeps_columns(odd_docs):
     kept = exact_dedup.drop_exact_duplicates(odd_docs)
     assert kept.schema == odd_docs.schema
-    assert Counter(t for _, t in set(texts_of(kept))) == Counter({t: 1 for _, t in texts_of(odd_docs)})
+    assert Counter(t for _, t in texts_of(kept)) == Counter({t: 1 for _, t in texts_of(odd_docs)})
+
+
+def test_stages_keep_one_row_of_each_group(spark):
+    """Tables ingested twice, and many rows without an id: one row of each group stays."""
+    near = words(2, 400)
+    rows = [(i % 5, words(i % 5, 40), f"s{i}") for i in range(20)] + [(None, "the same text", "x")] * 30 + [(None, near, "y"), (None, near + " end", "y"), (7, "the other", None), (7, "the other", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    exact = exact_dedup.drop_exact_duplicates(docs)
+    assert sorted(t for _, t in texts_of(exact)) == sorted({r[1] for r in rows}) and exact.schema == docs.schema
+    left = simhash.drop_near_duplicates(docs)
+    fps = sorted({r[1]: None for r in rows})
+    of = plain_components([plain_fingerprint(t) for t in fps])
+    assert left.count() == len(set(of))
+    got = {t: i for i, t in texts_of(left)}
+    by_text = {}
+    for i, t, _ in rows:
+        by_text.setdefault(t, []).append(i)
+    for c in set(of):
+        members = [t for t, k in zip(fps, of, strict=True) if k == c]
+        ids = [i for t in members for i in by_text[t] if i is not None]
+        (kept,) = [t for t in members if t in got]
+        assert got[kept] == min(ids, default=None)
 
 
 def plain_fingerprint(text):
@@ -154,6 +185,28 @@ def test_edges_over_leaves(spark):
         assert {star.get(p, p) for p in members} == {min(members)}
 
 
+@pytest.mark.parametrize("kind", ["ball", "chain"])
+def test_dense_leaves_are_dealt_anew(spark, kind):
+    """Points that no vantage point parts: all within a few bits of one centre, or a chain of steps of two bits."""
+    rng = np.random.default_rng(8)
+    centre = rng.integers(0, 1 << 63, dtype=np.uint64)
+    if kind == "ball":
+        points = np.unique(np.array([int(centre) ^ (1 << a) ^ (1 << b) ^ (1 << c) for a, b, c in rng.integers(0, 64, (1200, 3)).tolist()], dtype=np.uint64))
+    else:
+        points = np.unique(np.cumsum(np.zeros(1, dtype=np.uint64)) ^ np.array([int(centre) ^ ((1 << 2 * i) - 1) for i in range(32)] + [int(x) for x in rng.integers(0, 1 << 63, 300)], dtype=np.uint64))
+    df = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp long")
+    of = plain_components([int(p) for p in points])
+    groups = defaultdict(set)
+    for p, c in zip(points.view(np.int64).tolist(), of, strict=True):
+        groups[c].add(p)
+    for edges in (simhash.dense_edges(df, 2, 100), simhash.link_edges(df, least_depth=1, leaf_most=50)):
+        found = {tuple(r) for r in edges.collect()}
+        assert all((int(np.int64(a).view(np.uint64)) ^ int(np.int64(b).view(np.uint64))) for a, b in found)
+        star = {r["a"]: r["b"] for r in stars(spark.createDataFrame(list(found), "a long, b long")).collect()}
+        for members in groups.values():
+            assert {star.get(p, p) for p in members} == {min(members)}
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 300)] + [(7, 7)]
     got = {r["a"]: r["b"] for r in stars(spark.createDataFrame(edges, "a long, b long")).collect()}
