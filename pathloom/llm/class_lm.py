@@ -29,6 +29,8 @@ HEAD, SEEDS, CLASSES, SEED_SWEEPS, SWEEPS = 131_072, 1024, 48, 12, 2
 SHARE, ALPHA = 0.95, 0.5
 #: Tokens that a task works on at a time, if no text is longer.
 TOKENS = 1 << 19
+#: Bits of a head word's number.
+NUMBER_BITS = 22
 #: The end of a text, which no word can be.
 END = b"\n"
 
@@ -75,26 +77,25 @@ def code(docs: DataFrame, head: list[bytes]) -> DataFrame:
         head = shared.value
         number = dict(zip(head, range(len(head)), strict=True))
         size = len(head)
+        end = np.array([size], dtype=np.int32)
         for batch, texts in sliced(batches):
-            flat, ends, tails = [], [], []
+            flat, ends, tails, total = [], [], [], 0
             for text in texts:
                 words = words_of(text)
-                ids = list(map(number.get, words, repeat(-1)))
-                if -1 in ids:
-                    own: dict[bytes, int] = {}
-                    ids = [i if i >= 0 else size + 1 + own.setdefault(w, len(own)) for i, w in zip(ids, words, strict=True)]
-                    tails.append(list(own))
-                else:
-                    tails.append([])
-                flat += ids
-                flat.append(size)
-                ends.append(len(flat))
-            coded = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(flat, pa.int32()))
+                ids = np.fromiter(map(number.get, words, repeat(-1)), dtype=np.int32, count=len(words))
+                own: dict[bytes, int] = {}
+                for i in np.flatnonzero(ids < 0).tolist():
+                    ids[i] = size + 1 + own.setdefault(words[i], len(own))
+                tails.append(list(own))
+                flat += (ids, end)
+                total += len(ids) + 1
+                ends.append(total)
+            coded = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(np.concatenate(flat), pa.int32()))
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), coded, pa.array(tails, pa.list_(pa.binary()))], names=["doc_id", "held_out", "ids", "tails"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", held_out("doc_id", 10, 0).alias("held_out"), "text").mapInArrow(emit, f"doc_id {kind}, held_out boolean, ids array<int>, tails array<binary>")
-    return stored(rows.withColumn("row", F.monotonically_increasing_id()))
+    return stored(rows.withColumn("row", F.monotonically_increasing_id())).withColumn("head", F.lit(len(head)))
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -125,8 +126,7 @@ def pair_counts(coded: DataFrame, symbols: np.ndarray, size: int) -> np.ndarray:
             before = np.r_[symbols[-2], now[:-1]]
             before[starts] = symbols[-2]
             both = (now >= 0) & (before >= 0)
-            pair, n = np.unique(before[both] * size + now[both], return_counts=True)
-            total[pair] += n
+            total += np.bincount(before[both] * size + now[both], minlength=size * size)
         pair = np.flatnonzero(total)
         yield pa.record_batch([pa.array(pair, pa.int64()), pa.array(total[pair], pa.int64())], names=["pair", "n"])
 
@@ -199,11 +199,11 @@ def class_gains(table: np.ndarray, classes: int) -> np.ndarray:
     return np.vstack([left, right])
 
 
-def choose_classes(contexts: DataFrame, gains: np.ndarray) -> DataFrame:
+def choose_classes(contexts: DataFrame, gains: np.ndarray, read) -> DataFrame:
     """(word, class, n): the best class of each word by its neighbours, and how many left ones it has.
 
-    contexts has rows of a word, as many as there are, each with slots (binary, a byte for each kind of
-    neighbour) and times (binary, 32 bits for each). Rows are sorted by word within partitions and added up as they
+    contexts has rows of a word, as many as there are, and is partitioned by word; read(batch) gives how many kinds of neighbour
+    each row has, these kinds and how often each. Rows are sorted by word within partitions and added up as they
     come, so that a word of any number of rows takes the memory of one.
     """
     shared = contexts.sparkSession.sparkContext.broadcast(gains)
@@ -224,11 +224,8 @@ def choose_classes(contexts: DataFrame, gains: np.ndarray) -> DataFrame:
                 continue
             new = np.fromiter((a != b for a, b in zip(words, [held, *words[:-1]], strict=True)), dtype=bool, count=len(words))
             run = np.cumsum(new)
-            slots = batch.column("slots")
-            lengths = pa.compute.binary_length(slots).to_numpy(zero_copy_only=False).astype(np.int64)
-            place = np.frombuffer(b"".join(slots.to_pylist()), dtype=np.uint8)
-            times = np.frombuffer(b"".join(batch.column("times").to_pylist()), dtype="<i4")
-            sums = np.bincount(np.repeat(run, lengths) * size + place, weights=times, minlength=(int(run[-1]) + 1) * size).reshape(-1, size)
+            lengths, place, times = read(batch)
+            sums = np.bincount(np.repeat(run, lengths) * size + place, weights=times, minlength=(int(run[-1]) + 1) * size).astype(float).reshape(-1, size)
             sums[0] += carry[0]
             names = [held, *[w for w, x in zip(words, new.tolist(), strict=True) if x]]
             first = 0 if held is not None else 1
@@ -270,48 +267,43 @@ def head_contexts(coded: DataFrame, classes_of: np.ndarray, classes: int, first:
     return coded.where("NOT held_out").select("ids").mapInArrow(emit, "word long, slots binary, times binary").repartition("word")
 
 
+def _read_binaries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    slots = batch.column("slots")
+    return pa.compute.binary_length(slots).to_numpy(zero_copy_only=False).astype(np.int64), np.frombuffer(b"".join(slots.to_pylist()), dtype=np.uint8), np.frombuffer(b"".join(batch.column("times").to_pylist()), dtype="<i4")
+
+
 def _binaries(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     """values from each start to its end, these being in turn, as binaries."""
     offsets = np.append(starts, ends[-1]) * values.itemsize
     return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def tail_occurrences(coded: DataFrame, classes_of: np.ndarray, classes: int) -> DataFrame:
-    """(word, row, place, train, before, after, slots, times): each tail word of each text, partitioned by word.
+def _unpacked(near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the word on the left, of that on the right, whether the text trains) of near; numbers are below zero for tail words."""
+    return (near >> NUMBER_BITS + 1) - 1, (near >> 1 & (1 << NUMBER_BITS) - 1) - 1, near & 1
 
-    before is the class of the word on the left times 2, 1 more if that was seen once, and after the number of the word on the right; below zero for tail words.
-    """
-    shared = coded.sparkSession.sparkContext.broadcast(classes_of)
-    size = 2 * (classes + 2)
+
+def tail_occurrences(coded: DataFrame) -> DataFrame:
+    """(word, row, place, near): each tail word of each text, partitioned by word; near holds its neighbours, see _unpacked()."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = shared.value
-        head = len(of) - 2
         for rows, ids, starts in _tokens(batches):
+            head = rows.column("head")[0].as_py()
             at = np.flatnonzero(ids > head)
             if not len(at):
                 continue
-            cls = of[np.minimum(ids, head + 1)]
             before = np.r_[head, ids[:-1]]
             before[starts] = head
             row = np.searchsorted(starts, at, side="right") - 1
             tails = rows.column("tails")
             first = np.r_[0, np.cumsum(tails.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
             words = tails.flatten().take(pa.array(first[row] + ids[at] - head - 1))
-            left, right = before[at], ids[at + 1]
+            left, right = (np.where(x > head, 0, x + 1) for x in (before[at], ids[at + 1]))
             train = ~np.array(rows.column("held_out").to_pylist())[row]
-            slots = np.stack([of[np.minimum(left, head + 1)], size // 2 + cls[at + 1]], axis=1).astype(np.uint8)
-            times = np.repeat(train[:, None], 2, axis=1).astype("<i4")
-            two = np.arange(len(at)) * 2
-            yield pa.record_batch(
-                [
-                    words, rows.column("row").take(pa.array(row)), pa.array(at - starts[row], pa.int32()), pa.array(train), pa.array(np.where(left > head, -1, left), pa.int32()),
-                    pa.array(np.where(right > head, -1, right), pa.int32()), _binaries(slots.ravel(), two, two + 2), _binaries(times.ravel(), two, two + 2),
-                ],
-                names=["word", "row", "place", "train", "before", "after", "slots", "times"],
-            )
+            near = (left << NUMBER_BITS | right) << 1 | train
+            yield pa.record_batch([words, rows.column("row").take(pa.array(row)), pa.array(at - starts[row], pa.int32()), pa.array(near, pa.int64())], names=["word", "row", "place", "near"])
 
-    return coded.select("row", "held_out", "ids", "tails").mapInArrow(emit, "word binary, row long, place int, train boolean, before int, after int, slots binary, times binary").repartition("word")
+    return coded.select("row", "held_out", "head", "ids", "tails").mapInArrow(emit, "word binary, row long, place int, near long").repartition("word")
 
 
 def resolved_tails(occurrences: DataFrame, gains: np.ndarray, once: np.ndarray, classes_of: np.ndarray) -> DataFrame:
@@ -319,23 +311,35 @@ def resolved_tails(occurrences: DataFrame, gains: np.ndarray, once: np.ndarray,
 
     symbol is the word's class times 2, 1 more if it was seen once, and below zero if never; before is that of the word on the left.
     """
-    chosen = choose_classes(occurrences, gains).where("n > 0").select(F.col("word").alias("of"), "class", F.col("n").alias("times_seen"))
+    shared = occurrences.sparkSession.sparkContext.broadcast((once, classes_of))
+    half = len(gains) // 2
+
+    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        left, right, train = _unpacked(batch.column("near").to_numpy())
+        # the last of classes_of is that of tail words, and so is number -1
+        kinds = np.stack([shared.value[1][left], half + shared.value[1][right]], axis=1)[train == 1]
+        return 2 * train, kinds.ravel(), np.ones(kinds.size)
+
+    chosen = choose_classes(occurrences, gains, read).where("n > 0").select(F.col("word").alias("of"), "class", F.col("n").alias("times_seen"))
     joined = occurrences.join(chosen, F.col("word") == F.col("of"), "left")
     symbol = F.coalesce(F.col("class") * 2 + (F.col("times_seen") == 1).cast("int"), F.lit(-1))
-    rows = joined.select("row", "place", "train", "before", "after", symbol.alias("symbol"), F.coalesce("times_seen", F.lit(0)).cast("long").alias("n"))
-    shared = occurrences.sparkSession.sparkContext.broadcast((once, classes_of))
+    rows = joined.select("row", "place", "near", symbol.alias("symbol"), F.coalesce("times_seen", F.lit(0)).cast("long").alias("n"))
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, classes_of = shared.value
         last = -1
         for batch in batches:
-            symbol, before = batch.column("symbol").to_numpy(), batch.column("before").to_numpy()
+            symbol = batch.column("symbol").to_numpy()
             if not len(symbol):
                 continue
+            left, right, train = _unpacked(batch.column("near").to_numpy())
             # a tail word on the left is the row before, as rows are sorted by text and place
-            known = np.where(before >= 0, classes_of[np.maximum(before, 0)] * 2 + once[np.maximum(before, 0)], np.r_[last, symbol[:-1]])
+            known = np.where(left >= 0, classes_of[left] * 2 + once[left], np.r_[last, symbol[:-1]])
             last = int(symbol[-1])
-            yield pa.record_batch([batch.column("row"), batch.column("train"), pa.array(known, pa.int32()), batch.column("symbol"), batch.column("n"), batch.column("after")], names=["row", "train", "before", "symbol", "n", "after"])
+            yield pa.record_batch(
+                [batch.column("row"), pa.array(train == 1), pa.array(known, pa.int32()), batch.column("symbol"), batch.column("n"), pa.array(right, pa.int32())],
+                names=["row", "train", "before", "symbol", "n", "after"],
+            )
 
     sorted_rows = rows.repartition("row").sortWithinPartitions("row", "place")
     return stored(sorted_rows.mapInArrow(resolve, "row long, train boolean, before int, symbol int, n long, after int"))
@@ -402,11 +406,11 @@ def train(docs: DataFrame) -> tuple[DataFrame, DataFrame, Model]:
     classes_of = exchange(pair_counts(coded, symbols, seeds + 2), k)[symbols]
     for _ in range(SWEEPS if seeds < size else 0):
         gains = class_gains(pair_counts(coded, classes_of, k + 2), k)
-        for r in choose_classes(head_contexts(coded, classes_of, k, seeds), gains).collect():
+        for r in choose_classes(head_contexts(coded, classes_of, k, seeds), gains, _read_binaries).collect():
             classes_of[r["word"]] = r["class"]
     gains = class_gains(pair_counts(coded, classes_of, k + 2), k)
     once = np.r_[n == 1, False, False].astype(np.int64)
-    tails = resolved_tails(tail_occurrences(coded, classes_of, k), gains, once, classes_of)
+    tails = resolved_tails(tail_occurrences(coded), gains, once, classes_of)
     symbols = classes_of * 2 + once
     symbols[-1] = -1
     pairs = pair_counts(coded, symbols, 2 * (k + 1)) + _tail_pairs(tails, symbols, 2 * (k + 1))
