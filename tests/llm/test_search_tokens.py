@@ -13,7 +13,7 @@ VOCABULARY = suffix_pieces.vocabulary()
 
 
 def brute_top(rows, k=5, every=50):
-    ok = [(i, v) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    ok = [(i, v) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     ints = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in ok]
     queries = {}
     for i, v in ints:
@@ -37,7 +37,7 @@ def test_top_k(spark, case):
         same = vectors(2, 3)
         rows = [(i, same[i % 3]) for i in range(300)] + [(1000 + i, v) for i, v in enumerate(vectors(3, 60))]
     elif case == "odd":
-        rows += [(None, rows[0][1]), (500, None), (550, []), (600, [float("nan")] * 16), (650, [None] * 16), (700, [float("inf")] + [0.0] * 15), (750, [1.0, 2.0]), (751, [2.0, 1.0]), (50, rows[3][1]), (7, rows[7][1]), (800, [0.0] * 16)]
+        rows += [(None, rows[0][1]), (500, None), (550, []), (551, []), (600, [float("nan")] * 16), (650, [None] * 16), (700, [float("inf")] + [0.0] * 15), (750, [1.0, 2.0]), (751, [2.0, 1.0]), (50, rows[3][1]), (7, rows[7][1]), (800, [0.0] * 16)]
     elif case == "large":
         rows = [(i, [x * 1000 * (1 + i % 5) for x in v]) for i, v in rows]
     df = spark.createDataFrame([(i, v, 0, "x") for i, v in rows], "vec_id long, embedding array<float>, label int, ids string")
@@ -64,6 +64,27 @@ def test_top_k_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, vector_search.top_k(df).collect())) == brute_top(rows)
 
 
+def test_only_a_part_of_the_exact_vectors_is_read(spark, monkeypatch):
+    read = []
+    inner = vector_search._read
+    monkeypatch.setattr(vector_search, "_read", lambda pairs, entries, queries: read.append(pairs.count()) or inner(pairs, entries, queries))
+    rows = list(enumerate(vectors(9, 3000)))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, vector_search.top_k(df).collect())) == brute_top(rows)
+    assert sum(read) < 0.05 * 60 * 3000
+
+
+def test_bounds_hold_for_large_numbers():
+    rng = np.random.default_rng(3)
+    for size in (10, 1 << 20, 1 << 28):
+        queries, ints = rng.integers(-size, size, (7, 16)), rng.integers(-size, size, (40, 16))
+        shift = np.full(40, max(0, int(size).bit_length() - vector_search.CELL_BITS + 1))
+        scan = vector_search.Scan(np.arange(7), queries, 5)
+        lower, upper = scan.bounds((ints >> shift[:, None]).astype(np.int8), shift)
+        exact = [[sum(a * b for a, b in zip(q, x, strict=True)) for x in ints.tolist()] for q in queries.tolist()]
+        assert all(lower[i, j] <= exact[i][j] <= upper[i, j] for i in range(7) for j in range(40))
+
+
 def test_top_k_of_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.5]), (1, [0.25, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in vector_search.top_k(df).collect()] == [(0, 1, 1, 64 * 256 + 128 * 256)]
