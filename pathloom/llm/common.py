@@ -109,7 +109,8 @@ def keep_one_row_each(docs: DataFrame, decisions: DataFrame, text: str = "text")
 
 
 def repeat_rows(docs: DataFrame, times: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs as often as times says (doc_id, text_sha256, n; once for each pair); rows that it hasn't go."""
-    right = times.select(F.col("doc_id").alias("__kid"), F.col("text_sha256").alias("__ksha"), F.col("n").alias("__n"))
+    """The rows of docs as often as times says (doc_id, text_sha256, n, slot; once for each pair), rows in the order of slot, those that come again after; rows that it hasn't go."""
+    right = times.select(F.col("doc_id").alias("__kid"), F.col("text_sha256").alias("__ksha"), F.col("n").alias("__n"), F.col("slot").alias("__slot"))
     joined = _packed(docs, text).join(right.where("__n > 0"), _same_row())
-    return joined.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n").cast("long")))).select("__row.*")
+    laps = joined.select("__row", "__slot", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n").cast("long"))).alias("__lap"))
+    return laps.repartitionByRange("__lap", "__slot").sortWithinPartitions("__lap", "__slot").select("__row.*")

@@ -83,14 +83,16 @@ def schedule(goal: DataFrame, block: int = BLOCK_TOKENS) -> DataFrame:
 
 
 def settled(goal: DataFrame, block: int = BLOCK_TOKENS) -> DataFrame:
-    """(sid, rank): the scheduled blocks, and after them those that a source still lacks for its rounded target.
+    """(sid, rank, slot): the scheduled blocks, and after them those that a source still lacks for its rounded target.
 
-    A source's slots differ from its share by few, so few blocks are added to any source.
+    A source's slots differ from its share by few, so few blocks are added to any source; their slots follow all others, by rank.
     """
-    slots = checkpointed(schedule(goal, block).select("sid", "rank"))
+    slots = checkpointed(schedule(goal, block).select("sid", "rank", "slot"))
     dealt = slots.groupBy(F.col("sid").alias("__sid")).agg((F.max("rank") + 1).alias("__dealt"))
+    last = int(math.ceil((goal.agg(F.sum("target")).first()[0] or 0.0) / block))
     wanted = goal.select("sid", F.ceil(F.round("target") / block).cast("long").alias("wanted")).join(dealt, F.col("sid") == F.col("__sid"), "left").withColumn("from", F.coalesce("__dealt", F.lit(0)).cast("long"))
-    return slots.union(wanted.where("from < wanted").select("sid", F.explode(F.sequence(F.col("from"), F.col("wanted") - 1)).alias("rank")))
+    added = wanted.where("from < wanted").select("sid", "from", F.explode(F.sequence(F.col("from"), F.col("wanted") - 1)).alias("rank"))
+    return slots.union(added.select("sid", "rank", F.lit(last) + F.col("rank") - F.col("from")))
 
 
 def _running(rows: DataFrame, value: str, by: str) -> DataFrame:
@@ -119,14 +121,15 @@ def streams(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK_TOKENS) -> DataFrame:
-    """One row per row of docs: doc_id, text_sha256, size, source_size, target, taken.
+    """One row per row of docs: doc_id, text_sha256, size, source_size, target, taken, first_slot.
 
     size counts words, 0 for a null text; source_size and target belong to the row's source, null
     sources being one source, the last. taken is how many of the row's words the settled blocks
     hold, repeats counted: at most most times its size, as a stream is laid out most times and each
     block is taken once. Over the rows of a source it adds up to the target, rounded. The order of a stream depends on ids and texts alone, so reruns agree; rows
     that repeat both are told apart by nothing and share the same words of the stream's order. A row
-    without words takes none; without any words every target is 0.
+    without words takes none; without any words every target is 0, and an empty table gives no rows. first_slot is the first
+    slot of the schedule that takes of the row, null if none does: the order of the mixed stream.
     """
     rows = docs.select(F.col("doc_id"), F.col("source"), text_digest().alias("text_sha256"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     rows = checkpointed(rows)
@@ -138,16 +141,21 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: i
     pieces = laid.select("sid", "start", "size", "source_size", F.round("target").cast("long").alias("goal"), F.explode(F.array(*[F.lit(i) for i in range(most)])).alias("lap")).withColumn("from", F.col("start") + F.col("lap") * F.col("source_size"))
     pieces = pieces.where(F.col("from") < F.col("goal")).withColumn("to", F.least(F.col("from") + F.col("size"), "goal")).withColumn("block", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))))
     overlap = F.least("to", (F.col("block") + 1) * block) - F.greatest("from", F.col("block") * block)
-    slots = settled(goal.select("sid", "target"), block).select(F.col("sid").alias("__sid"), F.col("rank").alias("__rank"))
+    slots = settled(goal.select("sid", "target"), block).select(F.col("sid").alias("__sid"), F.col("rank").alias("__rank"), "slot")
     held = pieces.select("sid", "start", "block", overlap.alias("words")).join(slots, (F.col("sid") == F.col("__sid")) & (F.col("block") == F.col("__rank")))
-    taken = held.groupBy(F.col("sid").alias("__sid"), F.col("start").alias("__start")).agg(F.sum("words").alias("taken"))
-    mixed = laid.join(taken, (F.col("sid") == F.col("__sid")) & (F.col("start") == F.col("__start")), "left").select("doc_id", "text_sha256", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    empty = rows.where("size = 0").select("doc_id", "text_sha256", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    taken = held.groupBy(F.col("sid").alias("__sid"), F.col("start").alias("__start")).agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
+    mixed = laid.join(taken, (F.col("sid") == F.col("__sid")) & (F.col("start") == F.col("__start")), "left").select("doc_id", "text_sha256", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
+    empty = rows.where("size = 0").select("doc_id", "text_sha256", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"))
     return mixed.union(empty)
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the mix takes, each as often as its taken words fill it, rounded to whole documents; columns as in docs."""
+    """The rows of docs that the mix takes, each as often as its taken words fill it, rounded to whole documents; columns as in docs.
+
+    Partitions and their rows are in the order of the schedule's slots, so that reading them in turn reads the mixed stream.
+    A row taken twice comes again half a stream later. Rows that share id and text, null ids included, are taken alike; nulls in other columns pass.
+    """
+    found = mix(docs)
     filled = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.nullif(F.col("size"), F.lit(0)))))
-    times = mix(docs).withColumn("n", filled).groupBy("doc_id", "text_sha256").agg(F.max("n").alias("n"))
+    times = found.withColumn("n", filled).groupBy("doc_id", "text_sha256").agg(F.max("n").alias("n"), F.min("first_slot").alias("slot"))
     return repeat_rows(docs, times)

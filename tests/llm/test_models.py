@@ -259,7 +259,47 @@ def test_mix(spark, odd_docs, which):
         for r in got:
             taken[source[r["doc_id"]]] += r["taken"]
         assert all(abs(taken[s] - goal[s]) <= 8 * mixing.BLOCK_TOKENS for s in goal)
-        assert sorted(map(tuple, mixing.mix(docs.repartition(3)).collect())) == sorted(map(tuple, got))
+        assert sorted(map(str, mixing.mix(docs.repartition(3)).collect())) == sorted(map(str, got))
+        assert all((r["first_slot"] is None) == (r["taken"] == 0) for r in got)
+        order = {r["doc_id"]: r["first_slot"] for r in got}
+        stream = [order[r["doc_id"]] for r in mixing.mixed_documents(docs).collect()]
+        falls = [i for i in range(1, len(stream)) if stream[i] < stream[i - 1]]
+        assert len(falls) == 1 and len(stream) > 200
+
+
+def plain_taken(docs, block):
+    """Words taken of each document: sources by cumulative shares of golden-ratio points, their documents laid end to end twice in the order of their hashes."""
+    sizes = Counter()
+    for _, _, s, n, _ in docs:
+        sizes[s] += n
+    goal = plain_targets(sizes)
+    names = sorted(s for s in sizes)
+    total, taken, at = sum(goal.values()), Counter(), 0.0
+    highs = []
+    for s in names:
+        at += goal[s]
+        highs.append(at / total)
+    slots = Counter()
+    for i in range(math.ceil(total / block)):
+        point = i * mixing.GOLDEN % 1.0
+        slots[next(s for s, h in zip(names, highs, strict=True) if point < h or s == names[-1])] += 1
+    for s in names:
+        wanted = math.floor(goal[s] + 0.5)
+        blocks = max(slots[s], math.ceil(wanted / block))
+        stream = [(i, n) for _, i, _, n, _ in sorted(d for d in docs if d[2] == s and d[3])] * 2
+        start = 0
+        for i, n in stream:
+            taken[i] += max(0, min(start + n, wanted, blocks * block) - start)
+            start += n
+    return taken
+
+
+def test_taken_words_by_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    key = F.pmod(F.xxhash64("doc_id", mixing.text_digest()), F.lit(1 << 40))
+    rows = [(r["k"], r["doc_id"], r["source"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")), None) for r in docs.select("doc_id", "source", "text", key.alias("k")).collect()]
+    want = plain_taken(rows, mixing.BLOCK_TOKENS)
+    assert {r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect()} == {i: want[i] for _, i, *_ in rows}
 
 
 def test_mix_of_a_long_tail(spark):
