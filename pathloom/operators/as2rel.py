@@ -11,8 +11,6 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.functions.scalars import percent_text
-
 
 def symmetric(edges: DataFrame) -> DataFrame:
     """Each edge from both its ends, the sign of the relation turned for the second."""
@@ -61,9 +59,9 @@ def with_percentages(counts: DataFrame, most: int) -> DataFrame:
     return counts.withColumn("connected_pct", share(F.col("connected"))).withColumn("peer_pct", share(peer)).withColumn("as1_upstream_pct", share(F.col("as1_upstream"))).withColumn("as2_upstream_pct", share(F.col("as2_upstream")))
 
 
-def percentage_texts(counts: DataFrame, most: int) -> DataFrame:
-    whole = F.lit(most)
-    return counts.withColumn("connected_text", percent_text(F.col("connected"), whole))
+def percentage_texts(counts: DataFrame) -> DataFrame:
+    """counts of with_percentages() with each share as text, to a tenth of a percent."""
+    return counts.withColumns({f"{n}_text": F.format_string("%.1f%%", F.col(f"{n}_pct")) for n in ("connected", "peer", "as1_upstream", "as2_upstream")})
 
 
 def by_relation(counts: DataFrame, kind: str) -> DataFrame:
@@ -125,3 +123,38 @@ def connectivity_top(edges: DataFrame, asns: DataFrame, top: int) -> DataFrame:
     ranked = connectivity(edges, asns).withColumn("rank", F.row_number().over(order))
     ranked = ranked.where(F.col("rank") <= top) if top else ranked
     return ranked.withColumn("peers_percent", F.col("peers_count") * 100.0 / most if most else F.lit(0.0))
+
+
+def search(
+    edges: DataFrame, asns: list[int], names: DataFrame | None = None, kind: str | None = None, min_percent: float | None = None, sort_by_asn: bool = False, sole_upstream: bool = False, texts: bool = False
+) -> DataFrame:
+    """Relations as one call: of one AS all its neighbours, of two the pair, of more all connected pairs among them.
+
+    kind (upstream, downstream or peer) and min_percent narrow them down; names (asn, as_name) adds asn2_name; texts adds
+    the shares as text. sole_upstream gives the customers whose one upstream is the AS instead. Rows are in order.
+    """
+    if not asns:
+        raise ValueError("no AS to search for")
+    spark = edges.sparkSession
+    if sole_upstream:
+        if len(asns) > 1:
+            raise ValueError("customers of one upstream are asked for one AS at a time")
+        found = single_homed(edges, asns[0], min_percent)
+        if names is None:
+            return found
+        return found.join(names.select(F.col("asn").alias("customer_asn"), F.col("as_name").alias("customer_name")), "customer_asn", "left").orderBy(F.col("visibility").desc(), "customer_asn")
+    if len(asns) > 2 and kind:
+        raise ValueError("a kind of relation is one of one AS or of a pair")
+    if len(asns) == 1:
+        counts = neighbours(edges, spark.createDataFrame([(asns[0],)], "asn long"))
+    elif len(asns) == 2:
+        counts = pair(edges, spark.createDataFrame([tuple(asns)], "asn1 long, asn2 long"))
+    else:
+        counts = pairs_among(edges, spark.createDataFrame([(a,) for a in asns], "asn long"))
+    counts = with_percentages(counts, max_peers(edges))
+    counts = by_relation(counts, kind) if kind else counts
+    counts = min_visibility(counts, min_percent) if min_percent is not None else counts
+    counts = percentage_texts(counts) if texts else counts
+    if names is not None:
+        counts = counts.join(names.select(F.col("asn").alias("asn2"), F.col("as_name").alias("asn2_name")), "asn2", "left")
+    return ordered(counts, sort_by_asn)

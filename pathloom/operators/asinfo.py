@@ -36,13 +36,18 @@ def with_name(rows: DataFrame, name_table: DataFrame, asn: str, out: str) -> Dat
     return rows.join(name_table.select(F.col("asn").alias("__n"), F.col("as_name").alias(out)), F.col(asn) == F.col("__n"), "left").drop("__n")
 
 
+def searched_names(core: DataFrame, as2org: DataFrame, peeringdb: DataFrame) -> DataFrame:
+    """ASes of core (asn, name, country) with the five names that searches look at, as an array of lower-case texts."""
+    rows = core.select("asn", "name", "country").join(as2org.select("asn", F.col("name").alias("__a"), F.col("org_name").alias("__o")), "asn", "left")
+    rows = rows.join(peeringdb.select("asn", F.col("name").alias("__p"), F.col("name_long").alias("__l")), "asn", "left")
+    texts = F.array_compact(F.array(*[F.lower(c) for c in ("name", "__a", "__o", "__p", "__l")]))
+    return rows.select("asn", "name", "country", texts.alias("__texts"))
+
+
 def text_search(core: DataFrame, as2org: DataFrame, peeringdb: DataFrame, text: str, most: int | None = None) -> DataFrame:
-    """ASes of core with the text, in any case, in one of six names; ordered by AS."""
-    rows = core.join(as2org.select("asn", F.col("name").alias("__a"), F.col("org_name").alias("__o")), "asn", "left").join(peeringdb.select("asn", F.col("name").alias("__p"), F.col("name_long").alias("__l"), F.col("aka").alias("__k")), "asn", "left")
-    hit = F.lit(False)
-    for c in ("name", "__a", "__o", "__p", "__l", "__k"):
-        hit = hit | F.coalesce(F.contains(F.lower(c), F.lit(text.lower())), F.lit(False))
-    found = rows.where(hit).select("asn", "name", "country").distinct().orderBy("asn")
+    """ASes of core with the text, in any case, in their name, their as2org name or organisation, or PeeringDB's name or long name; ordered by AS."""
+    rows = searched_names(core, as2org, peeringdb)
+    found = rows.where(F.exists("__texts", lambda t: F.contains(t, F.lit(text.lower())))).select("asn", "name", "country").distinct().orderBy("asn")
     return found if most is None else found.limit(most)
 
 

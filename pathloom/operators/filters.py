@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .match import filter_prefixes
+from .match import filter_prefixes, listed_prefixes
 
-#: Values up to this many stand in the predicate itself; longer lists become a table for a semi or anti join.
-INLINE = 1000
+#: Prefixes up to this many are a predicate; longer lists become a table for joins. AS numbers of a country up to this many are one too.
+INLINE, INLINE_ASNS = 1000, 50_000
 # Seconds of the units that a duration may name.
 UNITS = {"s": 1, "sec": 1, "m": 60, "min": 60, "h": 3600, "hour": 3600, "hours": 3600, "d": 86400, "day": 86400, "days": 86400, "w": 604800}
 # The fields of an element in their order, and peers that send a whole table of IPv4 or IPv6.
@@ -58,11 +58,17 @@ def check_community(value: str) -> str:
     return value
 
 
-def community_regex(patterns: list[str]) -> str:
-    """One anchored expression for community patterns, with ! before it if they are negated."""
-    values, negated = signed(patterns, "community")
-    bodies = (":".join(r"\d+" if p == "*" else p for p in check_community(v).split(":")) for v in values)
-    return f"{'!' if negated else ''}^(?:{'|'.join(bodies)})$"
+def community_matches(patterns: list[str], communities: str = "communities") -> Column:
+    """Whether any of the communities is one of the patterns, part by part; a part is a number or *, for any number."""
+    wanted = [[None if p == "*" else int(p) for p in check_community(v).split(":")] for v in patterns]
+
+    def one(text: Column) -> Column:
+        parts = F.split(text, ":")
+        numbers = F.transform(parts, lambda p: p.try_cast("bigint"))
+        hits = [(F.size(parts) == len(w)) & F.forall(numbers, lambda n: n.isNotNull()) & reduce(Column.__and__, [F.lit(True), *(F.get(numbers, F.lit(i)) == n for i, n in enumerate(w) if n is not None)]) for w in wanted]
+        return reduce(Column.__or__, hits)
+
+    return F.coalesce(F.exists(communities, one), F.lit(False))
 
 
 def seconds(text: str) -> float:
@@ -117,7 +123,8 @@ class RouteFilters:
         for v in self.peer_ips:
             ipaddress.ip_address(v)
         if self.communities:
-            community_regex(self.communities)
+            for v in signed(self.communities, "community")[0]:
+                check_community(v)
         if self.elem_type is not None and self.elem_type.lower() not in ("a", "w"):
             raise ValueError(f"invalid element type {self.elem_type!r}: a or w")
         if self.as_path_regex and re.search(r"\(\?[=!<]", self.as_path_regex):
@@ -183,9 +190,9 @@ class RouteFilters:
         """Any community matches; negated, none does, and elements without communities pass."""
         if not self.communities:
             return None
-        pattern = community_regex(self.communities)
-        hit = F.coalesce(F.exists("communities", lambda c: c.rlike(pattern.removeprefix("!"))), F.lit(False))
-        return ~hit if pattern.startswith("!") else hit
+        values, negated = signed(self.communities, "community")
+        hit = community_matches(values)
+        return ~hit if negated else hit
 
     def type_predicate(self) -> Column | None:
         return F.col("elem_type") == self.elem_type.upper() if self.elem_type else None
@@ -207,7 +214,10 @@ class RouteFilters:
         if not self.prefixes:
             return rows
         values, negated = signed(self.prefixes, "prefix")
-        wanted = rows.sparkSession.createDataFrame([(check_prefix(v),) for v in values], "prefix string")
+        values = [check_prefix(v) for v in values]
+        if len(values) <= INLINE:
+            return listed_prefixes(rows, values, self.include_super, self.include_sub, negated)
+        wanted = rows.sparkSession.createDataFrame([(v,) for v in values], "prefix string")
         return filter_prefixes(rows, wanted, self.include_super, self.include_sub, negated)
 
     def apply(self, elems: DataFrame, data_type: str = "updates") -> DataFrame:
@@ -240,11 +250,16 @@ def full_feed_only(elems: DataFrame, peers: DataFrame) -> DataFrame:
 
 
 def country_flag(elems: DataFrame, asinfo: DataFrame, country: str, out: str = "in_country") -> DataFrame:
-    """elems with a flag: any origin is registered in the country. Elements stay one row each."""
+    """elems with a flag: any origin is registered in the country. Elements stay one row each.
+
+    The country's AS numbers are a predicate, no element being moved; of a table that gives it more than INLINE_ASNS they are joined to the distinct sets of origins.
+    """
     asns = asinfo.where(F.upper("country") == country.upper()).select(F.col("asn").alias("__asn")).distinct()
-    origins = elems.select(F.explode("origin_asns").alias("__o")).distinct().join(asns, F.col("__o") == F.col("__asn"), "left_semi")
-    sets = elems.select("origin_asns").where("origin_asns IS NOT NULL").distinct().withColumn("__o", F.explode("origin_asns")).join(origins.withColumnRenamed("__o", "__hit"), F.col("__o") == F.col("__hit"), "left_semi")
-    sets = sets.select(F.col("origin_asns").alias("__set")).distinct().withColumn(out, F.lit(True))
+    known = [r["__asn"] for r in asns.limit(INLINE_ASNS + 1).collect()]
+    if len(known) <= INLINE_ASNS:
+        return elems.withColumn(out, F.coalesce(F.exists("origin_asns", lambda o: o.isin(known)), F.lit(False)) if known else F.lit(False))
+    sets = elems.select(F.col("origin_asns").alias("__set")).where("__set IS NOT NULL").distinct()
+    sets = sets.withColumn("__o", F.explode("__set")).join(asns, F.col("__o") == F.col("__asn"), "left_semi").select("__set").distinct().withColumn(out, F.lit(True))
     return elems.join(sets, F.col("origin_asns") == F.col("__set"), "left").drop("__set").withColumn(out, F.coalesce(out, F.lit(False)))
 
 

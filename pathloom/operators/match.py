@@ -6,10 +6,13 @@ other side has, so that every match is a hash match.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import ipaddress
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.functions.prefix import ALL_LENGTHS, KEY, ancestors, lengths_present, with_key
+from pathloom.functions.prefix import ALL_LENGTHS, KEY, WIDTH, ancestors, lengths_present, masked, with_key
 
 
 def _same(left: str, right: str):
@@ -48,10 +51,17 @@ def covering(queries: DataFrame, table: DataFrame, query: str = "query", prefix:
 
 
 def longest(queries: DataFrame, table: DataFrame, query: str = "query", prefix: str = "prefix") -> DataFrame:
-    """Each query with the rows of the longest prefix that contains it; several rows of one prefix all stay."""
-    found = covering(queries, table, query, prefix, keep_length=True)
-    order = Window.partitionBy(*queries.columns).orderBy(F.col("matched_len").desc())
-    return found.withColumn("__r", F.rank().over(order)).where("__r = 1").drop("__r", "matched_len")
+    """Each query with the rows of the longest prefix that contains it; several rows of one prefix all stay.
+
+    The length is found for each distinct query key, by a maximum that is taken on the map side too; only then are rows joined.
+    """
+    q, t = _sides(queries, table, query, prefix)
+    keys = t.select(*[f"t_{k}" for k in KEY]).distinct()
+    asked = q.select(*[f"q_{k}" for k in KEY]).distinct()
+    best = _exploded(asked, "q", lengths_present(table, prefix), "a").join(keys, _same("a", "t"))
+    best = best.groupBy(*[F.col(f"q_{k}").alias(f"b_{k}") for k in KEY]).agg(F.max(F.struct("t_len", "t_family", "t_hi", "t_lo")).alias("m"))
+    best = best.select(*[f"b_{k}" for k in KEY], *[F.col(f"m.t_{k}").alias(f"a_{k}") for k in KEY])
+    return _bare(q.join(best, _same("q", "b")).join(t, _same("a", "t"))).drop(*[f"b_{k}" for k in KEY])
 
 
 def covered(queries: DataFrame, table: DataFrame, query: str = "query", prefix: str = "prefix") -> DataFrame:
@@ -75,6 +85,48 @@ def search_union(queries: DataFrame, table: DataFrame, query: str = "query", pre
     return first
 
 
+def _parts(text: str) -> tuple[int, int, int]:
+    """(family, address as a number, length) of a prefix, host bits cleared."""
+    net = ipaddress.ip_network(text, strict=False)
+    return net.version, int(net.network_address), net.prefixlen
+
+
+def _halves(family: int, number: int) -> tuple[int, int]:
+    """The signed 64-bit halves of a key."""
+    if family == 4:
+        return 0, number
+    return tuple(x - (1 << 64) if x >> 63 else x for x in (number >> 64, number & (1 << 64) - 1))
+
+
+def _among(family: int, hi: Column, lo: Column, numbers: set[int]) -> Column:
+    """Whether (hi, lo) is the key of one of the numbers, all network addresses of a family."""
+    by_hi: dict[int, list[int]] = {}
+    for h, low in sorted(_halves(family, n) for n in numbers):
+        by_hi.setdefault(h, []).append(low)
+    parts = [lo.isin(lows) if family == 4 else (hi == h) & lo.isin(lows) for h, lows in by_hi.items()]
+    return reduce(Column.__or__, parts)
+
+
+def listed_prefixes(rows: DataFrame, wanted: list[str], include_super: bool = False, include_sub: bool = False, negated: bool = False, prefix: str = "prefix") -> DataFrame:
+    """filter_prefixes() for a list that someone typed: a predicate on the row's key, so that no row is moved."""
+    keyed = with_key(rows.withColumn("__row_prefix", F.col(prefix)), "__row_prefix", "r").drop("__row_prefix")
+    family, hi, lo, length = (F.col(f"r_{k}") for k in KEY)
+    nets = {_parts(w) for w in wanted}
+    same: dict[tuple[int, int], set[int]] = {}
+    below: dict[tuple[int, int], set[int]] = {}
+    for f, number, n in nets:
+        for k in range(n + 1) if include_super else [n]:
+            same.setdefault((f, k), set()).add(number >> WIDTH[f] - k << WIDTH[f] - k)
+        if include_sub:
+            below.setdefault((f, n), set()).add(number)
+    hits = [(family == f) & (length == k) & _among(f, hi, lo, numbers) for (f, k), numbers in sorted(same.items())]
+    for (f, n), numbers in sorted(below.items()):
+        high, low = masked(family, hi, lo, F.lit(n))
+        hits.append((family == f) & (length >= n) & _among(f, high, low, numbers))
+    hit = reduce(Column.__or__, hits)
+    return keyed.where(~hit if negated else hit).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
 def filter_prefixes(rows: DataFrame, wanted: DataFrame, include_super: bool = False, include_sub: bool = False, negated: bool = False, prefix: str = "prefix") -> DataFrame:
     """The rows whose prefix is in wanted (column prefix), is a super-prefix of one there, or a sub-prefix, as asked; or no such row, negated.
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.functions.prefix import host_prefix, is_v6
+from pathloom.functions.prefix import host_prefix, is_v6, prefix_length
 from pathloom.functions.scalars import parse_asn, query_type, truncated_name
 
 from . import as2rel, asinfo, aspa, match, rov
@@ -29,8 +29,6 @@ class Datasets:
         return asinfo.names(self.core, self.as2org, self.peeringdb)
 
 
-#: Texts of one search of names.
-MOST_TEXTS = 10_000
 SEVERITY = {"invalid": 0, "unknown": 1, "not_found": 1, "valid": 2}
 
 
@@ -70,6 +68,18 @@ def roa_summary(roas: DataFrame, asns: DataFrame) -> DataFrame:
     return filled.fillna(0, ["roas", "ipv4", "ipv6"])
 
 
+def roa_first(roas: DataFrame, asns: DataFrame, most: int) -> DataFrame:
+    """The first ROAs of each AS by prefix, with its true total and whether it was cut."""
+    of = roas.join(asns.select(F.col("asn").alias("origin_asn")).distinct(), "origin_asn", "left_semi")
+    return first_with_flag(of, ["origin_asn"], ["prefix", "max_length", "ta"], most)
+
+
+def covering_roa_first(queries: DataFrame, roas: DataFrame, most: int) -> DataFrame:
+    """The first ROAs that cover each query, longer ones first, with their true total and whether they were cut."""
+    found = rov.covering_roas(queries.select("query").distinct(), roas)
+    return first_with_flag(found, ["query"], [prefix_length(F.col("roa_prefix")).desc(), "roa_prefix", "origin_asn", "max_length", "ta"], most)
+
+
 def announced_summary(labelled: DataFrame) -> DataFrame:
     """Announced prefixes of each AS of labelled (prefix, origin_asn, validation): by family and by label."""
     v6 = is_v6(F.col("prefix"))
@@ -90,20 +100,45 @@ def labelled_prefixes(data: Datasets) -> DataFrame:
     return states.withColumn("validation", F.when(F.col("state") == "not_found", "unknown").otherwise(F.col("state"))).drop("state")
 
 
-def inspect_asns(asns: DataFrame, data: Datasets, top: int = 5) -> DataFrame:
-    """One row for each AS of asns: name and country, connectivity, ROAs, providers, announced prefixes."""
-    some = asns.select("asn").distinct()
-    named = asinfo.with_name(some, data.names(), "asn", "as_name").join(data.core.select("asn", "country"), "asn", "left")
-    counts = as2rel.connectivity_counts(data.edges, some, top).groupBy(F.col("asn").alias("a1")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "n")))).alias("neighbours"))
-    listed = as2rel.connectivity_top(data.edges, some, top).groupBy(F.col("asn").alias("a2")).agg(F.sort_array(F.collect_list(F.struct("kind", "rank", "neighbour", "peers_count"))).alias("top_neighbours"))
-    roas = roa_summary(data.roas, some).select(F.col("asn").alias("a3"), F.struct("roas", "ipv4", "ipv6").alias("roas"))
-    own = aspa.of_customers(data.aspas, some).select(F.col("customer_asn").alias("a4"), "provider_asns")
-    semi = labelled_prefixes(data).join(some.select(F.col("asn").alias("origin_asn")), "origin_asn", "left_semi")
-    announced = announced_summary(semi)
-    announced = announced.select(F.col("origin_asn").alias("a5"), F.struct(*[c for c in announced.columns if c != "origin_asn"]).alias("announced"))
-    rows = named
-    for part, key in ((counts, "a1"), (listed, "a2"), (roas, "a3"), (own, "a4"), (announced, "a5")):
-        rows = rows.join(part, F.col("asn") == F.col(key), "left").drop(key)
+#: Sections of a report on an AS.
+SECTIONS = ("connectivity", "roas", "providers", "announced")
+
+
+def inspect_asns(asns: DataFrame, data: Datasets, top: int = 5, sections: tuple[str, ...] = SECTIONS) -> DataFrame:
+    """One row for each AS of asns: name and country, and of the chosen sections connectivity with named neighbours, ROAs, named providers, announced prefixes.
+
+    Lists hold the first top entries; counts are of all.
+    """
+    if unknown := set(sections) - set(SECTIONS):
+        raise ValueError(f"unknown sections {sorted(unknown)}; there are {', '.join(SECTIONS)}")
+    some, names = asns.select("asn").distinct(), data.names()
+    rows = asinfo.with_name(some, names, "asn", "as_name").join(data.core.select("asn", "country"), "asn", "left")
+
+    def listed(of: DataFrame, by: str, order: list[str], out: str) -> DataFrame:
+        fields = [c for c in of.columns if c != by and c not in order]
+        return of.groupBy(F.col(by).alias("__of")).agg(F.sort_array(F.collect_list(F.struct(*order, *fields))).alias(out))
+
+    parts = []
+    if "connectivity" in sections:
+        counts = as2rel.connectivity_counts(data.edges, some, top)
+        parts.append(counts.groupBy(F.col("asn").alias("__of")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "n")))).alias("neighbours")))
+        named = asinfo.with_name(as2rel.connectivity_top(data.edges, some, top), names, "neighbour", "neighbour_name")
+        parts.append(listed(named.select("asn", "kind", "rank", "neighbour", "neighbour_name", "peers_count"), "asn", ["kind", "rank"], "top_neighbours"))
+    if "roas" in sections:
+        parts.append(roa_summary(data.roas, some).select(F.col("asn").alias("__of"), F.struct("roas", "ipv4", "ipv6").alias("roas")))
+        parts.append(listed(roa_first(data.roas, some, top).select("origin_asn", "rank", "prefix", "max_length", "ta", "truncated"), "origin_asn", ["rank"], "first_roas"))
+    if "providers" in sections:
+        own = aspa.of_customers(data.aspas, some)
+        parts.append(own.select(F.col("customer_asn").alias("__of"), "provider_asns"))
+        named = asinfo.with_name(own.select("customer_asn", F.explode("provider_asns").alias("provider_asn")), names, "provider_asn", "provider_name")
+        parts.append(listed(named, "customer_asn", ["provider_asn"], "providers"))
+    if "announced" in sections:
+        labelled = labelled_prefixes(data).join(some.select(F.col("asn").alias("origin_asn")), "origin_asn", "left_semi")
+        summary = announced_summary(labelled)
+        parts.append(summary.select(F.col("origin_asn").alias("__of"), F.struct(*[c for c in summary.columns if c != "origin_asn"]).alias("announced")))
+        parts.append(listed(announced_first(labelled, top).select("origin_asn", "rank", "prefix", "validation", "truncated"), "origin_asn", ["rank"], "first_announced"))
+    for part in parts:
+        rows = rows.join(part, F.col("asn") == F.col("__of"), "left").drop("__of")
     return rows
 
 
@@ -121,31 +156,75 @@ def inspect_prefixes(queries: DataFrame, data: Datasets) -> DataFrame:
 
 
 def inspect_names(names: DataFrame, data: Datasets, most: int) -> DataFrame:
-    """ASes with each text (input) in one of their names: the first by number, true totals, whether cut.
+    """ASes with each text (input) in one of the names that searches look at: the first by number, true totals, whether cut.
+
+    A text and a name meet in the text's rarest run of three characters (in the whole text, if it is shorter), and are then
+    compared, so any number of texts is searched for at once. An empty text is in no name.
+    """
+    asked = names.select("input").distinct().withColumn("__i", F.lower("input")).where("__i <> ''")
+    rows = asinfo.searched_names(data.core, data.as2org, data.peeringdb)
+    sizes = [r["n"] for r in asked.select(F.least(F.char_length("__i"), F.lit(3)).alias("n")).distinct().collect()]
 
-    The texts are typed in by users; a list beyond MOST_TEXTS is refused, as each is held against all names.
+    def runs(text, size: int):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text) - (size - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(size)))
+
+    def of_texts(size: int):
+        return F.flatten(F.transform("__texts", lambda t: runs(t, size)))
+
+    every = F.array_distinct(F.flatten(F.array(*map(of_texts, sorted(sizes))))) if sizes else F.array(F.lit(""))
+    grams = rows.withColumn("__gram", F.explode(every))
+    often = grams.groupBy(F.col("__gram").alias("__g")).agg(F.count(F.lit(1)).alias("__n"))
+    own = F.array_distinct(F.when(F.char_length("__i") < 3, F.array("__i")).otherwise(runs(F.col("__i"), 3)))
+    rarest = asked.select("input", "__i", F.explode(own).alias("__own")).join(often, F.col("__own") == F.col("__g"), "left")
+    rarest = rarest.groupBy("input", "__i").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__own")).alias("__r")).select("input", "__i", F.col("__r.__own").alias("__key"))
+    hits = grams.join(rarest, F.col("__gram") == F.col("__key")).where(F.exists("__texts", lambda t: F.contains(t, F.col("__i"))))
+    return first_with_flag(hits.select("input", "asn", "name", "country"), ["input"], ["asn"], most)
+
+
+def inspect_countries(inputs: DataFrame, table: DataFrame, data: Datasets, most: int) -> DataFrame:
+    """ASes of the country that each text (input) names or is the code of: the first by number, true totals, whether cut."""
+    found = asinfo.resolve_countries(inputs.select("input").distinct(), table).where("state = 'resolved'")
+    core = data.core.select("asn", "name", F.upper("country").alias("__c"))
+    rows = found.join(core, F.upper("code") == F.col("__c")).select("input", "code", "asn", "name")
+    return first_with_flag(rows, ["input"], ["asn"], most)
+
+
+def inspect(inputs: DataFrame, data: Datasets, top: int = 5, forced: str | None = None, sections: tuple[str, ...] = SECTIONS, countries: DataFrame | None = None) -> dict[str, DataFrame]:
+    """A mixed batch of inputs: a table for each type of input, and how many there are of each.
+
+    forced (asn, prefix, name or country) reads every input as of that type; sections are those of ASes. countries (code, name)
+    is needed for the table of countries alone.
     """
-    if names.select("input").distinct().count() > MOST_TEXTS:
-        raise ValueError(f"more than {MOST_TEXTS} texts to search for")
-    rows = data.core.join(data.as2org.select("asn", F.col("name").alias("__a"), F.col("org_name").alias("__o")), "asn", "left")
-    rows = rows.join(data.peeringdb.select("asn", F.col("name").alias("__p"), F.col("name_long").alias("__l"), F.col("aka").alias("__k")), "asn", "left")
-    text = F.lower(F.concat_ws("\n", "name", "__a", "__o", "__p", "__l", "__k"))
-    hits = rows.select("asn", "name", "country", text.alias("__t")).join(F.broadcast(names.select("input").distinct()), F.contains(F.col("__t"), F.lower("input"))).drop("__t")
-    return first_with_flag(hits, ["input"], ["asn"], most)
-
-
-def inspect(inputs: DataFrame, data: Datasets, top: int = 5) -> dict[str, DataFrame]:
-    """A mixed batch of inputs: a table for each type of input, and how many there are of each."""
-    typed = typed_inputs(inputs)
-    return {
-        "counts": type_counts(inputs), "asn": inspect_asns(typed.where("asn IS NOT NULL"), data, top),
-        "prefix": inspect_prefixes(typed.where("query_type = 'prefix'"), data), "name": inspect_names(typed.where("query_type = 'name'"), data, top),
+    if forced not in (None, "asn", "prefix", "name", "country"):
+        raise ValueError(f"unknown type {forced!r}: asn, prefix, name or country")
+    typed = typed_inputs(inputs, forced)
+    found = {
+        "counts": typed.groupBy("query_type").agg(F.count(F.lit(1)).alias("n")), "asn": inspect_asns(typed.where("asn IS NOT NULL"), data, top, sections),
+        "prefix": inspect_prefixes(typed.where("query IS NOT NULL"), data), "name": inspect_names(typed.where("query_type = 'name'"), data, top),
+        "covering_roas": covering_roa_first(typed.where("query IS NOT NULL"), data.roas, top),
     }
+    if countries is not None:
+        found["country"] = inspect_countries(typed.where("query_type = 'country'"), countries, data, top)
+    return found
+
+
+MODES = {"longest": match.longest, "super": match.covering, "sub": match.covered, "exact": match.exact}
 
 
-def prefix_search(queries: DataFrame, data: Datasets, name_width: int = 20) -> DataFrame:
-    """Longest, covering and covered matches of each query with state and shortened name."""
-    rows = rov.validated(match.search_union(queries, data.pfx2as.select("prefix", "origin_asn")), data.roas, "matched_prefix")
+def prefix_search(queries: DataFrame, data: Datasets, name_width: int = 20, mode: str | None = None) -> DataFrame:
+    """Matches of each query (query) with state and shortened name: longest, covering and covered ones, or those of one mode (longest, super, sub, exact).
+
+    A query that is an AS number gives the prefixes that it originates.
+    """
+    if mode not in (None, *MODES):
+        raise ValueError(f"unknown mode {mode!r}: {', '.join(MODES)}")
+    pairs = data.pfx2as.select("prefix", "origin_asn")
+    typed = queries.select("query").distinct().withColumn("__asn", parse_asn(F.col("query")))
+    prefixes = typed.where("__asn IS NULL").select("query")
+    found = match.search_union(prefixes, pairs) if mode is None else MODES[mode](prefixes, pairs).select("query", "matched_prefix", "origin_asn", F.lit(mode).alias("match_type"))
+    own = typed.where("__asn IS NOT NULL").join(pairs.withColumnRenamed("prefix", "matched_prefix"), F.col("__asn") == F.col("origin_asn"))
+    found = found.unionByName(own.select("query", "matched_prefix", "origin_asn", F.lit("asn").alias("match_type")))
+    rows = rov.validated(found, data.roas, "matched_prefix")
     return asinfo.with_name(rows, data.names(), "origin_asn", "as_name").withColumn("as_name", truncated_name(F.col("as_name"), name_width))
 
 
@@ -158,8 +237,12 @@ def relation(pairs: DataFrame, edges: DataFrame) -> DataFrame:
 def ip_lookup(addresses: DataFrame, data: Datasets) -> DataFrame:
     """Each address (ip) with its longest prefix, origin, name, country and state; addresses without a prefix have nulls."""
     queries = addresses.select("ip").distinct().withColumn("query", host_prefix(F.col("ip")))
-    hits = match.longest(queries.select("query").distinct(), data.pfx2as.select("prefix", "origin_asn"))
-    hits = rov.validated(hits, data.roas, "matched_prefix")
+    pairs = data.pfx2as.select("prefix", "origin_asn")
+    # state, name and country depend on the pair alone, and there are fewer pairs than addresses
+    known = rov.validated(pairs.distinct(), data.roas)
     country = data.core.select(F.col("asn").alias("__c"), "country")
-    hits = asinfo.with_name(hits, data.names(), "origin_asn", "as_name").join(country, F.col("origin_asn") == F.col("__c"), "left").drop("__c")
+    known = asinfo.with_name(known, data.names(), "origin_asn", "as_name").join(country, F.col("origin_asn") == F.col("__c"), "left")
+    known = known.select(F.col("prefix").alias("__p"), F.col("origin_asn").alias("__o"), "state", "as_name", "country")
+    hits = match.longest(queries.select("query").distinct(), pairs)
+    hits = hits.join(known, (F.col("matched_prefix") == F.col("__p")) & F.col("origin_asn").eqNullSafe(F.col("__o")), "left").drop("__p", "__o")
     return queries.join(hits, "query", "left").drop("query")

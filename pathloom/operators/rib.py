@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# How old a base dump may be, and what makes a route.
+# How old a base dump may be, and what makes a route; where several dumps are replayed at once, each has routes of its own.
 LOOK_BACK_DAYS = 30
-ROUTE = ("collector", "peer_ip", "peer_asn", "prefix", "path_id")
+ROUTE = ("collector", "peer_ip", "peer_asn", "prefix", "path_id", "dump_ts")
 
 
 def route_key(events: DataFrame) -> list[str]:
@@ -66,41 +66,44 @@ def snapshot(events: DataFrame, values: list[str]) -> DataFrame:
     return last.where(live).select(*route_key(events), *[F.col(f"last.{v}").alias(v) for v in values])
 
 
-def stamped(events: DataFrame, instants: list, column: str = "ts") -> DataFrame:
-    """events with rib_ts: the first of the instants (literals in order) at or after the event; base rows get the first; later events go."""
-    first = F.when(F.col("phase") == 0, instants[0])
-    for i in instants:
-        first = first.when(F.col(column) <= i, i)
+def _sorted_instants(instants: list | str) -> Column:
+    """Instants as an array: literals in order, or a column that has those of the event's dump."""
+    return F.col(instants) if isinstance(instants, str) else F.array(*instants)
+
+
+def stamped(events: DataFrame, instants: list | str, column: str = "ts") -> DataFrame:
+    """events with rib_ts: the first of the instants at or after the event; base rows get the first; later events go."""
+    at = _sorted_instants(instants)
+    first = F.when(F.col("phase") == 0, F.get(at, F.lit(0))).otherwise(F.get(F.filter(at, lambda i: i >= F.col(column)), F.lit(0)))
     return events.withColumn("rib_ts", first).where("rib_ts IS NOT NULL")
 
 
-def snapshots(events: DataFrame, values: list[str], instants: list) -> DataFrame:
-    """The routes at each of several instants of one dump: rib_ts, key and values.
+def snapshots(events: DataFrame, values: list[str], instants: list | str) -> DataFrame:
+    """The routes at each of several instants: rib_ts, key and values.
 
     Each event falls into the interval that ends at its instant; the last one of each route and
     interval is carried forward over the intervals, so events are never multiplied by instants.
     """
     key = route_key(events)
     row = F.struct("elem_type", "is_match", *values)
-    folded = stamped(events, instants).groupBy(*key, "rib_ts").agg(F.max_by(row, F.struct("phase", "seq")).alias("last"))
+    folded = stamped(events, instants).groupBy(*key, "rib_ts").agg(F.max_by(row, F.struct("phase", "seq")).alias("last"), F.any_value(_sorted_instants(instants)).alias("__at"))
     until = F.lead("rib_ts").over(Window.partitionBy(*key).orderBy("rib_ts"))
     spans = folded.withColumn("until", until).where((F.col("last.elem_type") == "A") & F.coalesce(F.col("last.is_match"), F.lit(False)))
-    every = F.array(*instants)
-    lasting = F.filter(every, lambda i: (i >= F.col("rib_ts")) & (F.col("until").isNull() | (i < F.col("until"))))
+    lasting = F.filter("__at", lambda i: (i >= F.col("rib_ts")) & (F.col("until").isNull() | (i < F.col("until"))))
     return spans.withColumn("rib_ts", F.explode(lasting)).select("rib_ts", *key, *[F.col(f"last.{v}").alias(v) for v in values])
 
 
-def update_log(events: DataFrame, instants: list, from_base: bool = False) -> DataFrame:
-    """Updates that changed the table between the first instant and the last, each with the instant it leads to.
-
-    With from_base those between the dump and the first instant too.
+def update_log(events: DataFrame, instants: list | str, first: Column | None = None) -> DataFrame:
+    """Updates that changed the table behind the first instant, each with the instant it leads to.
 
+    first is that instant, if it isn't the first of instants.
     An update is applied if it is a matching announcement, or if the route was there before it.
     """
+    first = F.get(_sorted_instants(instants), F.lit(0)) if first is None else first
     order = Window.partitionBy(*route_key(events)).orderBy("phase", "seq")
     live = (F.col("elem_type") == "A") & F.coalesce("is_match", F.lit(False))
     seen = stamped(events, instants).withColumn("__live", live).withColumn("__before", F.coalesce(F.lag("__live").over(order), F.lit(False)))
-    applied = (F.col("phase") == 1) & (F.col("__live") | F.col("__before")) & (F.lit(from_base) | (F.col("rib_ts") > instants[0]))
+    applied = (F.col("phase") == 1) & (F.col("__live") | F.col("__before")) & (F.col("rib_ts") > first)
     return seen.where(applied).drop("__live", "__before", "phase", "is_match")
 
 

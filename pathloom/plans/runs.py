@@ -60,39 +60,35 @@ def routing_tables(
     spark: SparkSession, catalog: DataFrame, instants: list[Column], wanted: RouteFilters, values: list[str], collectors: list[str] | None = None, peers: DataFrame | None = None,
     asinfo: DataFrame | None = None, country: str | None = None, form: str = "parquet",
 ) -> tuple[DataFrame, DataFrame]:
-    """(routes, updates) of each collector at sorted instants: tables with rib_ts, and the changes that lead from each to the next.
+    """(routes, updates) of each collector at instants: tables with rib_ts, and the changes that lead from each to the next.
 
-    Every collector needs a dump before every instant. Instants that share a base dump are replayed
-    together. The order of events is that of files by start and of elements in them. The first instant
-    of all has no changes.
+    Every collector needs a dump before every instant. All dumps are replayed by one job: a dump and the updates up to its
+    last instant are events of their own routes, and the spans of a collector's dumps don't overlap.
+    The order of events is that of files by start and of elements in them. The first instant of all has no changes.
     """
     if collectors:
         catalog = catalog.where(F.col("collector_id").isin(collectors))
     selected = rib.require_dumps(rib.base_dumps(catalog, instants))
-    routes = updates = None
-    for group in selected.groupBy("dump_ts").agg(F.sort_array(F.collect_set("rib_ts")).alias("at"), F.collect_set("collector_id").alias("collectors")).orderBy("dump_ts").collect():
-        own = selected.where((F.col("dump_ts") == F.lit(group["dump_ts"])) & F.col("collector_id").isin(group["collectors"]))
-        at = [F.lit(t).cast(catalog.schema["ts_start"].dataType) for t in group["at"]]
-        base = _ordered(_read(spark, own, form), own.select("url", F.col("dump_ts").alias("start")))
-        files = rib.update_files(catalog, own)
-        changes = _read(spark, files, form)
-        changes = _ordered(changes, files.select("url", F.col("ts_start").alias("start"))) if changes is not None else base.limit(0)
-        changes = changes.where((F.col("ts") > F.lit(group["dump_ts"])) & (F.col("ts") <= at[-1]))
-        safe = replace(wanted, start_ts=None, end_ts=None, duration=None)
-        events = rib.events_of(safe.safe(base).drop("elem_type"), safe.safe(changes), safe.announce_predicate())
-        if peers is not None:
-            events = filters.full_feed_only(events, peers)
-        if asinfo is not None and country:
-            events = filters.country_flag(events, asinfo, country, "__in").withColumn("is_match", F.col("is_match") & F.col("__in")).drop("__in")
-        found, log = rib.snapshots(events, values, at), rib.update_log(events, at, from_base=routes is not None)
-        routes = found if routes is None else routes.unionByName(found)
-        updates = log if updates is None else updates.unionByName(log, allowMissingColumns=True)
-    return routes, updates
-
-
-def _ordered(elems: DataFrame, starts: DataFrame) -> DataFrame:
-    """elems with seq: the start of their file in seconds, then their place in it."""
-    of = starts.distinct().select(F.col("url").alias("__url"), F.col("start").cast("timestamp").cast("long").alias("__start"))
+    groups = selected.groupBy("collector_id", "dump_ts").agg(F.sort_array(F.collect_set("rib_ts")).alias("instants"), F.max("rib_ts").alias("last_ts"))
+    dumps = selected.select("collector_id", "dump_ts", "url").distinct().join(groups, ["collector_id", "dump_ts"])
+    base = _ordered(_read(spark, dumps, form), dumps.select("url", F.col("dump_ts").alias("start"), "dump_ts", "instants", "last_ts"))
+    files = rib.update_files(catalog, selected).join(groups, ["collector_id", "dump_ts"])
+    changes = _read(spark, files, form)
+    changes = base.limit(0) if changes is None else _ordered(changes, files.select("url", F.col("ts_start").alias("start"), "dump_ts", "instants", "last_ts"))
+    changes = changes.where((F.col("ts") > F.col("dump_ts")) & (F.col("ts") <= F.col("last_ts")))
+    safe = replace(wanted, start_ts=None, end_ts=None, duration=None)
+    events = rib.events_of(safe.safe(base).drop("elem_type", "last_ts"), safe.safe(changes).drop("last_ts"), safe.announce_predicate())
+    if peers is not None:
+        events = filters.full_feed_only(events, peers)
+    if asinfo is not None and country:
+        events = filters.country_flag(events, asinfo, country, "__in").withColumn("is_match", F.col("is_match") & F.col("__in")).drop("__in")
+    first = F.lit(selected.agg(F.min("rib_ts")).first()[0])
+    return rib.snapshots(events, values, "instants").drop("dump_ts"), rib.update_log(events, "instants", first).drop("dump_ts", "instants")
+
+
+def _ordered(elems: DataFrame, files: DataFrame) -> DataFrame:
+    """elems with seq, the start of their file in seconds and then their place in it, and what else files has of their file; once for each row of files."""
+    of = files.distinct().withColumn("__start", F.col("start").cast("timestamp").cast("long")).drop("start")
     plain = lambda c: F.regexp_replace(c, r"^file:/+", "/")
-    joined = elems.withColumn("__key", plain("file")).join(of.withColumn("__key", plain("__url")).drop("__url"), "__key")
+    joined = elems.withColumn("__key", plain("file")).join(of.withColumn("__key", plain("url")).drop("url"), "__key")
     return joined.withColumn("seq", F.struct(F.col("__start").alias("start"), F.col("place").alias("place"))).drop("__key", "__start", "place")

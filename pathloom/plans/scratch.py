@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,7 +14,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder where spark.checkpoint.dir says; a local one only where Spark itself is local and none is set."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="pathloom-")
+        # local Spark alone: nobody else reads it, so it goes with the process
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
     return f"{shared}/{name}-{uuid.uuid4().hex}"

@@ -97,8 +97,7 @@ def read_text_dump(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     # a wrapped prefix stands alone after the status marks, whether or not it runs into the next column
     alone = F.trim(F.expr("substring(line, 4)"))
     own = F.when(F.col("r").isNotNull(), F.nullif(F.col("r.prefix"), F.lit(""))).when(prefix_key(alone).isNotNull(), alone)
-    last = F.last(own, ignorenulls=True).over(Window.partitionBy("file").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    found = routes.withColumn("prefix", last).where(F.col("r").isNotNull() & prefix_key(F.col("prefix")).isNotNull())
+    found = _carried(routes, own, "prefix").where(F.col("r").isNotNull() & prefix_key(F.col("prefix")).isNotNull())
     tokens = F.filter(F.split(F.col("r.path"), r"\s+"), lambda t: t != "")
     code = origin_code(F.when(F.size(tokens) > 0, F.element_at(tokens, -1)))
     asns = path_asns(F.when(code.isNotNull(), F.array_join(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), " ")).otherwise(F.array_join(tokens, " ")))
@@ -110,9 +109,25 @@ def read_text_dump(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def _numbered(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = whole.select("file", F.posexplode(F.split("value", "\n")).alias("seq", "line"))
-    return lines.withColumn("line", F.rtrim(F.regexp_replace("line", "\r$", "")))
+    """(file, block, seq, line): lines of text files with their numbers. A file is read in blocks, by as many tasks; only the numbers of lines of blocks are summed over it."""
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("__at"), F.rtrim(F.regexp_replace("value", "\r$", "")).alias("line"))
+    blocks = lines.groupBy(F.col("file").alias("__file"), F.col("block").alias("__block")).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a block's lines are neighbours in their task, so that their numbers follow one another
+    joined = lines.join(blocks.withColumn("__before", before), (F.col("file") == F.col("__file")) & (F.col("block") == F.col("__block")))
+    return joined.select("file", "block", (F.col("__before") + F.col("__at") - F.col("__first")).alias("seq"), "line")
+
+
+def _carried(rows: DataFrame, value: Column, out: str) -> DataFrame:
+    """rows with the last value that isn't null at or before each line of its file: within its block, or else of the blocks before."""
+    own = F.last("__value", ignorenulls=True).over(Window.partitionBy("file", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("__value", value)
+    ends = rows.where("__value IS NOT NULL").groupBy("file", "block").agg(F.max_by("__value", "seq").alias("__end"))
+    every = rows.select("file", "block").distinct().join(ends, ["file", "block"], "left")
+    earlier = F.last("__end", ignorenulls=True).over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    every = every.select(F.col("file").alias("__file"), F.col("block").alias("__block"), earlier.alias("__earlier"))
+    joined = rows.withColumn("__own", own).join(every, (F.col("file") == F.col("__file")) & (F.col("block") == F.col("__block")))
+    return joined.withColumn(out, F.coalesce("__own", "__earlier")).drop("__value", "__own", "__earlier", "__file", "__block")
 
 
 def _headers(lines: DataFrame) -> DataFrame:
@@ -158,15 +173,29 @@ def read_asinfo(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return tables
 
 
-def read_as2rel(spark: SparkSession, path: str) -> DataFrame:
-    """AS relationships of a JSON array or of JSON lines; the key (asn1, asn2, rel) comes once, the last by counts."""
-    rows = spark.read.schema(AS2REL_SCHEMA).option("multiLine", True).json(path).where("asn1 IS NOT NULL AND asn2 IS NOT NULL")
+def _json_form(spark: SparkSession, path: str) -> str:
+    """array if the first text that isn't blank begins with a bracket, else lines."""
+    first = spark.read.text(path).where(F.trim("value") != "").select(F.ltrim("value").substr(1, 1).alias("c")).limit(1).collect()
+    return "array" if first and first[0]["c"] == "[" else "lines"
+
+
+def read_json(spark: SparkSession, path: str, schema: str, form: str | None = None) -> DataFrame:
+    """Records of a JSON array, on however many lines, or of JSON lines; form says which, else the first text does. Lines that are no records are dropped."""
+    form = form or _json_form(spark, path)
+    if form not in ("array", "lines"):
+        raise ValueError(f"unknown form {form!r}: array or lines")
+    return spark.read.schema(schema).option("multiLine", form == "array").option("mode", "DROPMALFORMED").json(path)
+
+
+def read_as2rel(spark: SparkSession, path: str, form: str | None = None) -> DataFrame:
+    """AS relationships of a JSON array or of JSON lines; the key (asn1, asn2, rel) comes once, with its largest counts."""
+    rows = read_json(spark, path, AS2REL_SCHEMA, form).where("asn1 IS NOT NULL AND asn2 IS NOT NULL")
     return rows.groupBy("asn1", "asn2", "rel").agg(F.max("paths_count").alias("paths_count"), F.max("peers_count").alias("peers_count"))
 
 
 def read_pfx2as(spark: SparkSession, path: str) -> DataFrame:
     """Prefixes and origins of JSON, without default routes and text that is no prefix, labelled unknown."""
-    rows = spark.read.schema(PFX2AS_SCHEMA).option("multiLine", True).json(path)
+    rows = read_json(spark, path, PFX2AS_SCHEMA)
     return rows.where(~F.col("prefix").endswith("/0") & prefix_key(F.col("prefix")).isNotNull()).withColumn("validation", F.lit("unknown"))
 
 
@@ -177,20 +206,22 @@ def with_validation(pfx2as: DataFrame, roas: DataFrame) -> DataFrame:
 
 
 def read_roas(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.schema(ROA_SCHEMA).option("multiLine", True).json(path)
+    rows = read_json(spark, path, ROA_SCHEMA)
     return rows.where(prefix_key(F.col("prefix")).isNotNull())
 
 
 def read_aspas(spark: SparkSession, path: str) -> DataFrame:
     """One row for each customer and provider."""
-    rows = spark.read.schema(ASPA_SCHEMA).option("multiLine", True).json(path)
+    rows = read_json(spark, path, ASPA_SCHEMA)
     return rows.select("customer_asn", F.explode("provider_asns").alias("provider_asn")).distinct()
 
 
 def roa_snapshot(roas: DataFrame, date: str | None = None, source: str | None = None, collector: str | None = None) -> DataFrame:
-    """ROAs of a table by date, source and collector: of one day, or the latest without a date."""
+    """ROAs of a table by date, source and collector: of one day, or without a date the latest of the source, if one is named, or of all."""
     if date is None:
-        return roas.where(F.col("date") == F.lit(roas.agg(F.max("date")).first()[0]))
+        rows = roas if source is None else roas.where(F.col("source") == source.lower())
+        rows = rows if collector is None else rows.where(F.col("collector") == collector)
+        return rows.where(F.col("date") == F.lit(rows.agg(F.max("date")).first()[0]))
     source = (source or DEFAULT_ROA_SOURCE).lower()
     if source not in ROA_SOURCES:
         raise ValueError(f"unknown ROA source {source!r}: {', '.join(ROA_SOURCES)}")
@@ -212,6 +243,18 @@ def read_prefix_list(spark: SparkSession, path: str) -> DataFrame:
     return rows.distinct()
 
 
+def store_pfx2as(rows: DataFrame, path: str) -> dict[str, int]:
+    """Write prefixes and origins in place of those before, each (prefix, origin_asn) once and ordered by address, so that a reader prunes by it; how many records and prefixes there are."""
+    key = prefix_key(F.col("prefix"))
+    table = rows.withColumn("__k", key).where("__k IS NOT NULL")
+    values = [c for c in rows.columns if c not in ("prefix", "origin_asn")]
+    table = table.groupBy("prefix", "origin_asn", "__k").agg(*[F.max(c).alias(c) for c in values]) if values else table.distinct()
+    table = table.select("prefix", "origin_asn", *values, F.col("__k.family").alias("family"), F.col("__k.hi").alias("net_hi"), F.col("__k.lo").alias("net_lo"), F.col("__k.len").alias("net_len"))
+    table.repartitionByRange("family", "net_hi", "net_lo", "net_len").sortWithinPartitions("family", "net_hi", "net_lo", "net_len").write.mode("overwrite").parquet(path)
+    counts = rows.sparkSession.read.parquet(path).agg(F.count(F.lit(1)).alias("records"), F.countDistinct("prefix").alias("prefixes")).first()
+    return counts.asDict()
+
+
 def write_table(df: DataFrame, path: str, *partitions: str) -> None:
     """A dataset written whole in place of the one before."""
     writer = df.write.mode("overwrite")

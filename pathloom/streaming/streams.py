@@ -32,43 +32,80 @@ def search_stream(stream: DataFrame, filters: RouteFilters, sink: Callable[[Data
 
 
 class RoutingState:
-    """The routing table as a stream of updates leaves it, one Parquet table for each batch.
+    """The routing table as a stream of updates leaves it, kept in parts by hash of the route.
 
-    A batch is folded onto the table before it, an update deciding only if its seq is past that of the
-    stored one, so late and repeated updates change nothing. Withdrawn routes stay as marks with
-    their seq. A batch that runs again starts from the same table and gives the same one.
+    A batch is folded onto the parts that it touches, an update deciding only if its seq is past that of the
+    stored one, so late and repeated updates change nothing; other parts stay where they are. A small table for each
+    batch says in which batch each part was written last. Withdrawn routes stay as marks with their
+    seq, those that are keep_marks behind the part's last seq being forgotten. A batch that runs again starts from the same
+    parts and writes the same ones.
     """
 
-    def __init__(self, spark: SparkSession, path: str, values: list[str], filters: RouteFilters | None = None):
+    def __init__(self, spark: SparkSession, path: str, values: list[str], filters: RouteFilters | None = None, parts: int = 64, keep_marks: int | None = None):
         self.spark, self.path, self.values, self.filters = spark, path, values, filters or RouteFilters()
-        self.batches = 0
+        self.parts, self.keep_marks, self.batches = parts, keep_marks, 0
 
-    def _at(self, number: int) -> str:
-        return f"{self.path}/batch={number:09d}"
+    def _rows(self, number: int) -> str:
+        return f"{self.path}/rows/batch={number:09d}"
+
+    def _index(self, number: int) -> str:
+        return f"{self.path}/index/batch={number:09d}"
+
+    def _places(self, number: int) -> dict[int, int]:
+        """The batch that wrote each part that there is after a batch; a row for each part."""
+        return {r["part"]: r["written"] for r in self.spark.read.parquet(self._index(number)).collect()}
+
+    def _read(self, places: dict[int, int], like: DataFrame) -> DataFrame:
+        by_batch: dict[int, list[int]] = {}
+        for part, written in places.items():
+            by_batch.setdefault(written, []).append(part)
+        rows = like.limit(0)
+        for written, parts in sorted(by_batch.items()):
+            rows = rows.unionByName(self.spark.read.schema(like.schema).parquet(self._rows(written)).where(F.col("part").isin(parts)))
+        return rows
+
+    def _write(self, rows: DataFrame, number: int, before: dict[int, int], touched: list[int]) -> None:
+        rows.repartition("part").write.mode("overwrite").partitionBy("part").parquet(self._rows(number))
+        places = before | dict.fromkeys(touched, number)
+        self.spark.createDataFrame(sorted(places.items()), "part int, written int").coalesce(1).write.mode("overwrite").parquet(self._index(number))
+        self.batches = number
+
+    def _with_part(self, rows: DataFrame) -> DataFrame:
+        key = [c for c in ROUTE if c in rows.columns]
+        return rows.select(*key, "seq", "elem_type", "is_match", *self.values, F.pmod(F.xxhash64(*key), F.lit(self.parts)).cast("int").alias("part"))
 
     def start(self, base: DataFrame) -> None:
         """Write the table that the stream begins with; base has key columns, seq and values."""
-        rows = base.withColumn("elem_type", F.lit("A")).withColumn("is_match", self.filters.announce_predicate())
-        rows.write.mode("overwrite").parquet(self._at(0))
+        rows = self._with_part(base.withColumn("elem_type", F.lit("A")).withColumn("is_match", self.filters.announce_predicate()))
+        self._write(rows, 0, {}, list(range(self.parts)))
 
     def apply(self, batch: DataFrame, number: int) -> None:
         """Fold one batch; number counts from 0."""
-        before = self.spark.read.parquet(self._at(number))
-        key = [c for c in ROUTE if c in before.columns]
-        updates = self.filters.safe(batch).withColumn("is_match", self.filters.announce_predicate())
-        columns = [*key, "seq", "elem_type", "is_match", *self.values]
-        both = before.select(*columns).unionByName(updates.select(*columns))
-        rest = F.struct(*[c for c in columns if c not in key])
-        last = both.groupBy(*key).agg(F.max_by(rest, "seq").alias("l")).select(*key, "l.*")
-        last.write.mode("overwrite").parquet(self._at(number + 1))
-        self.batches = number + 1
+        updates = self._with_part(self.filters.safe(batch).withColumn("is_match", self.filters.announce_predicate())).persist()
+        before = self._places(number)
+        touched = [r["part"] for r in updates.select("part").distinct().collect()]
+        both = self._read({p: before[p] for p in touched}, updates).unionByName(updates)
+        key = [c for c in ROUTE if c in updates.columns]
+        rest = F.struct(*[c for c in updates.columns if c not in (*key, "part")])
+        last = both.groupBy(*key, "part").agg(F.max_by(rest, "seq").alias("l")).select(*key, "l.*", "part")
+        if self.keep_marks is not None:
+            ends = both.groupBy(F.col("part").alias("__part")).agg(F.max("seq").alias("__end"))
+            live = (F.col("elem_type") == "A") & F.coalesce("is_match", F.lit(False))
+            last = last.join(ends, F.col("part") == F.col("__part")).where(live | (F.col("seq") > F.col("__end") - self.keep_marks)).drop("__part", "__end")
+        self._write(last.select(*updates.columns), number + 1, before, touched)
+        updates.unpersist()
 
     def follow(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
         return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(self.apply).start()
 
     def table(self, number: int | None = None) -> DataFrame:
         """The routes that are there after number batches, or after the last that this object applied."""
-        rows = self.spark.read.parquet(self._at(self.batches if number is None else number))
-        return rows.where((F.col("elem_type") == "A") & F.coalesce("is_match", F.lit(False))).drop("elem_type", "is_match")
-
-
+        places = self._places(self.batches if number is None else number)
+        like = self.spark.read.parquet(self._rows(0))
+        rows = self._read(places, like)
+        return rows.where((F.col("elem_type") == "A") & F.coalesce("is_match", F.lit(False))).drop("elem_type", "is_match", "part")
+
+    def unused(self, number: int) -> list[str]:
+        """Folders of batches that no table from batch number on reads, for the caller to delete once no batch before it can run again."""
+        used = {w for n in range(number, self.batches + 1) for w in self._places(n).values()}
+        return [self._rows(n) for n in range(self.batches + 1) if n not in used] + [self._index(n) for n in range(number)]

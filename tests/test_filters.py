@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import scalars
 from pathloom.operators import filters
-from pathloom.operators.filters import RouteFilters, community_regex
+from pathloom.operators.filters import RouteFilters, community_matches
 
 ELEMS = "seq long, ts timestamp, collector string, elem_type string, peer_asn long, peer_ip string, prefix string, as_path string, origin_asns array<long>, communities array<string>"
 
@@ -50,9 +50,17 @@ def test_accepted():
     RouteFilters(origin_asns=["0", "4294967295"], prefixes=["1.1.1.0/24", "2001:db8::/32"], communities=["*:*", "57866:104:31", "1:*"], duration="90m", end_ts="2024-01-01 10:00:00+02:00").validate()
 
 
-def test_community_expressions():
-    assert community_regex(["1299:*", "*:100"]) == r"^(?:1299:\d+|\d+:100)$"
-    assert community_regex(["!57866:104:31"]) == "!^(?:57866:104:31)$"
+def test_communities(spark):
+    rows = [["1299:7"], ["7:100"], ["57866:104:31"], ["57866:104:32", "1:1"], ["1299:100:3"], [], None, ["x:100"], ["1299:07"]]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(rows)], "i long, communities array<string>")
+    of = lambda patterns: [r["i"] for r in df.where(community_matches(patterns)).orderBy("i").collect()]
+    assert of(["1299:*", "*:100"]) == [0, 1, 8] and of(["57866:104:31"]) == [2] and of(["*:*:*"]) == [2, 3, 4] and of(["1299:8"]) == []
+
+
+def test_a_large_country_is_joined(spark, elems, monkeypatch):
+    monkeypatch.setattr(filters, "INLINE_ASNS", 1)
+    asinfo = spark.createDataFrame([(5, "x", "NL"), (3, "y", "nl"), (9, "z", "NL")], "asn long, name string, country string")
+    assert sorted(r["seq"] for r in filters.in_country(elems, asinfo, "nl").collect()) == [1, 2, 4]
 
 
 def test_filter_files():

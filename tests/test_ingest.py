@@ -8,26 +8,68 @@ from pathloom.operators.filters import RouteFilters
 from pathloom.sources import ingest
 from pathloom.streaming import streams
 
-HEADER = "    Network          Next Hop            Metric LocPrf Weight Path"
-PREAMBLE = "BGP table version is 1350657, local router ID is 45.112.180.132, vrf id 0\nDefault local pref 100, local AS 3856\nStatus codes:  s suppressed\n\n"
+#: Columns of a dump and their widths, the prefix column behind three status signs.
+COLUMNS = (("Network", 17), ("Next Hop", 20), ("Metric", 7), ("LocPrf", 7), ("Weight", 7))
 
 
-def route(prefix, next_hop, metric="", pref="", weight="0", path="13335 i"):
-    return f" *> {prefix:<17}{next_hop:<20}{metric:>7}{pref:>7}{weight:>7}{path}"
+def dump_line(cells, path, status=" *> "):
+    """A dump's line: names and addresses to the left of their columns, numbers to the right."""
+    (_, a), (_, b), *numbers = COLUMNS
+    return status + cells[0].ljust(a) + cells[1].ljust(b) + "".join(str(c).rjust(w) for c, (_, w) in zip(cells[2:], numbers, strict=True)) + path
 
 
-def test_text_dumps(spark, tmp_path):
-    first = [HEADER, route("1.0.0.0/24", "103.77.108.11", "0", "100"), route("", "103.77.108.12", path="1 2 {3 4 } 5 e"), " *>  2001:db8:aaaa:bbbb::/64", route("", "2001:db8::1", path="7 ?")[0:4] + route("", "2001:db8::1", path="7 ?")[5:], route("2.0.0.0/16", "1.1.1.1", path=""), "Displayed  4 routes"]
-    (tmp_path / "dump-2026-07-01-0000.txt").write_text(PREAMBLE + "\n".join(first) + "\n")
-    (tmp_path / "other.2026.07.02.txt").write_text(HEADER + "\r\n" + route("9.9.9.0/24", "9.9.9.9") + "\r\n")
-    (tmp_path / "broken.txt").write_text("no table here\n")
-    rows = ingest.read_text_dump(spark, str(tmp_path)).orderBy("file", "seq").collect()
-    assert [(r["prefix"], r["next_hop"], r["as_path"], r["origin_asns"], r["origin"], r["med"], r["local_pref"]) for r in rows] == [
-        ("1.0.0.0/24", "103.77.108.11", "13335", [13335], "IGP", 0, 100), ("1.0.0.0/24", "103.77.108.12", "1 2 4 5", [5], "EGP", None, None), ("2001:db8:aaaa:bbbb::/64", "2001:db8::1", "7", [7], "INCOMPLETE", None, None),
-        ("2.0.0.0/16", "1.1.1.1", "", None, None, None, None), ("9.9.9.0/24", "9.9.9.9", "13335", [13335], "IGP", None, None),
+def title():
+    return "    " + COLUMNS[0][0].ljust(17) + COLUMNS[1][0].ljust(20) + "".join(n.ljust(w) for n, w in COLUMNS[2:]) + "Path"
+
+
+@pytest.mark.parametrize("block", [None, 90])
+def test_text_dumps(spark, tmp_path, block):
+    """Plain, continued and wrapped routes; with small blocks a file is read by many tasks."""
+    wrapped = dump_line(("", "2001:db8:ff::9", "", "", 0), "64510 ?")
+    lines = [
+        "BGP table version is 12, local router ID is 198.51.100.7, vrf id 3", "Default local pref 100, local AS 64499", "", title(), dump_line(("203.0.113.0/24", "192.0.2.11", 5, 200, 0), "64501 i"),
+        dump_line(("", "192.0.2.12", "", "", 0), "64502 64503 {64504 64505 } 64506 e"), dump_line(("", "192.0.2.13", "", "", 0), "64502 i"), " *>  2001:db8:1234:5678::/64", wrapped[:4] + wrapped[5:], dump_line(("198.51.0.0/16", "192.0.2.14", "", "", 0), ""), "Displayed  5 routes",
     ]
-    assert {(r["peer_ip"], r["peer_asn"], str(r["ts"])) for r in rows} == {("45.112.180.132", 3856, "2026-07-01 00:00:00"), ("0.0.0.0", 0, "2026-07-02 12:00:00")}
-    assert {r["file"].rsplit("/", 1)[1]: r["has_header"] for r in ingest.text_dump_headers(spark, str(tmp_path)).collect()} == {"dump-2026-07-01-0000.txt": True, "other.2026.07.02.txt": True, "broken.txt": False}
+    (tmp_path / "table-2025-03-04-0500.txt").write_text("\n".join(lines) + "\n")
+    (tmp_path / "part.2025.03.05.txt").write_text(title() + "\r\n" + dump_line(("192.0.2.0/25", "192.0.2.1", "", "", 0), "64511 i") + "\r\n")
+    (tmp_path / "notes.txt").write_text("nothing here\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    if block:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    try:
+        found = ingest.read_text_dump(spark, str(tmp_path))
+        assert not block or spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 5
+        rows = found.orderBy("file", "seq").collect()
+        headers = {r["file"].rsplit("/", 1)[1]: r["has_header"] for r in ingest.text_dump_headers(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    got = {(r["file"].rsplit("/", 1)[1][:4], r["seq"]): (r["prefix"], r["next_hop"], r["as_path"], r["origin_asns"], r["origin"], r["med"], r["local_pref"]) for r in rows}
+    assert got == {
+        ("tabl", 4): ("203.0.113.0/24", "192.0.2.11", "64501", [64501], "IGP", 5, 200), ("tabl", 5): ("203.0.113.0/24", "192.0.2.12", "64502 64503 64505 64506", [64506], "EGP", None, None),
+        ("tabl", 6): ("203.0.113.0/24", "192.0.2.13", "64502", [64502], "IGP", None, None), ("tabl", 8): ("2001:db8:1234:5678::/64", "2001:db8:ff::9", "64510", [64510], "INCOMPLETE", None, None),
+        ("tabl", 9): ("198.51.0.0/16", "192.0.2.14", "", None, None, None, None), ("part", 1): ("192.0.2.0/25", "192.0.2.1", "64511", [64511], "IGP", None, None),
+    }
+    assert {(r["peer_ip"], r["peer_asn"], str(r["ts"])) for r in rows} == {("198.51.100.7", 64499, "2025-03-04 05:00:00"), ("0.0.0.0", 0, "2025-03-05 12:00:00")}
+    assert headers == {"table-2025-03-04-0500.txt": True, "part.2025.03.05.txt": True, "notes.txt": False}
+
+
+@pytest.mark.parametrize("form", ["lines", "array", "one line", "spread"])
+def test_relations_in_either_form(spark, tmp_path, form):
+    records = [{"asn1": 64500 + i, "asn2": 64600, "paths_count": i, "peers_count": 2 * i, "rel": i % 3 - 1} for i in range(5)]
+    text = {"lines": "\n".join(map(json.dumps, records)) + "\nno record\n", "array": "[\n" + ",\n".join(map(json.dumps, records)) + "\n]\n", "one line": json.dumps(records), "spread": "\n\n  " + json.dumps(records, indent=2)}[form]
+    (tmp_path / "relations.json").write_text(text)
+    got = ingest.read_as2rel(spark, str(tmp_path / "relations.json"))
+    assert sorted(r["asn1"] for r in got.collect()) == [64500 + i for i in range(5)]
+    with pytest.raises(ValueError):
+        ingest.read_as2rel(spark, str(tmp_path / "relations.json"), "csv")
+
+
+def test_prefix_store(spark, tmp_path):
+    rows = [("203.0.113.0/24", 64500), ("203.0.113.0/24", 64500), ("203.0.113.0/24", 64501), ("2001:db8::/32", 64500), ("none", 1), (None, 2)]
+    assert ingest.store_pfx2as(spark.createDataFrame(rows, "prefix string, origin_asn long"), str(tmp_path / "a")) == {"records": 3, "prefixes": 2}
+    labelled = spark.createDataFrame([(*r, "unknown") for r in rows], "prefix string, origin_asn long, validation string")
+    assert ingest.store_pfx2as(labelled, str(tmp_path / "a")) == {"records": 3, "prefixes": 2}
+    assert ingest.store_pfx2as(labelled.limit(0), str(tmp_path / "b")) == {"records": 0, "prefixes": 0}
 
 
 def test_datasets(spark, tmp_path):
@@ -40,10 +82,10 @@ def test_datasets(spark, tmp_path):
     assert {k: v.count() for k, v in tables.items()} == {"core": 2, "as2org": 1, "peeringdb": 0, "hegemony": 1, "population": 0}
     edges = ingest.read_as2rel(spark, put("rel.json", [{"asn1": 1, "asn2": 2, "paths_count": 3, "peers_count": 4, "rel": -1}, {"asn1": 1, "asn2": 2, "paths_count": 3, "peers_count": 9, "rel": -1}]))
     assert [tuple(r) for r in edges.select("asn1", "asn2", "rel", "peers_count").collect()] == [(1, 2, -1, 9)]
-    table = ingest.read_pfx2as(spark, put("p.json", [{"prefix": "1.0.0.0/24", "origin_asn": 13335}, {"prefix": "0.0.0.0/0", "origin_asn": 1}, {"prefix": "::/0", "origin_asn": 1}, {"prefix": "bad", "origin_asn": 1}, {"prefix": "9.0.0.0/8", "origin_asn": 9}]))
-    roas = ingest.read_roas(spark, put("r.json", [{"prefix": "1.0.0.0/24", "max_length": 24, "origin_asn": 13335, "ta": "apnic"}, {"prefix": "x", "max_length": 1, "origin_asn": 1, "ta": ""}]))
-    assert {r["prefix"]: r["validation"] for r in table.collect()} == {"1.0.0.0/24": "unknown", "9.0.0.0/8": "unknown"} and roas.count() == 1
-    assert {r["prefix"]: r["validation"] for r in ingest.with_validation(table, roas).collect()} == {"1.0.0.0/24": "valid", "9.0.0.0/8": "unknown"}
+    table = ingest.read_pfx2as(spark, put("p.json", [{"prefix": "203.0.113.0/24", "origin_asn": 64500}, {"prefix": "0.0.0.0/0", "origin_asn": 1}, {"prefix": "::/0", "origin_asn": 1}, {"prefix": "bad", "origin_asn": 1}, {"prefix": "198.51.100.0/24", "origin_asn": 64509}]))
+    roas = ingest.read_roas(spark, put("r.json", [{"prefix": "203.0.113.0/24", "max_length": 24, "origin_asn": 64500, "ta": "t"}, {"prefix": "x", "max_length": 1, "origin_asn": 1, "ta": ""}]))
+    assert {r["prefix"]: r["validation"] for r in table.collect()} == {"203.0.113.0/24": "unknown", "198.51.100.0/24": "unknown"} and roas.count() == 1
+    assert {r["prefix"]: r["validation"] for r in ingest.with_validation(table, roas).collect()} == {"203.0.113.0/24": "valid", "198.51.100.0/24": "unknown"}
     pairs = ingest.read_aspas(spark, put("a.json", [{"customer_asn": 1, "provider_asns": [3, 2, 3]}, {"customer_asn": 5, "provider_asns": []}]))
     assert sorted(map(tuple, pairs.collect())) == [(1, 2), (1, 3)]
     assert sorted(r[0] for r in ingest.read_prefix_list(spark, put("l.txt", "# all\n1.0.0.0/8 # one\n\n 2001:db8::/32\n")).collect()) == ["1.0.0.0/8", "2001:db8::/32"]

@@ -91,6 +91,9 @@ def test_prefix_filters(spark, up, down, negated):
     hit = lambda p: any(p == w or (up and contains(p, w)) or (down and contains(w, p)) for w in wanted)
     assert sorted(r["prefix"] for r in kept.collect()) == sorted(p for p in rows if hit(p) != negated)
     assert kept.columns == df.columns
+    joined = match.filter_prefixes(df, spark.createDataFrame([(w,) for w in wanted], "prefix string"), up, down, negated)
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, kept.collect()))
+    assert "Exchange" not in kept._jdf.queryExecution().toString()
 
 
 def test_origin_validation(spark):

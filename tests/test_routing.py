@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pathloom.operators import as2rel, asinfo, aspa, rib, search
+from pathloom.operators import as2rel, asinfo, aspa, reports, rib, search
 from pathloom.operators.filters import RouteFilters
 from pathloom.streaming import streams
 
@@ -109,8 +109,17 @@ def test_state_stream_equals_replay(spark, tmp_path):
     state.follow(streams.element_stream(spark, str(tmp_path / "in"), u.schema, 1), str(tmp_path / "marks")).awaitTermination()
     want = rib.snapshot(rib.events_of(b.drop("elem_type"), u), ["origin_asns"])
     assert state.batches == 3
+    few = streams.RoutingState(spark, str(tmp_path / "few"), ["origin_asns"], parts=3, keep_marks=1000)
+    few.start(first)
+    few.apply(u.where("seq <= 100"), 0)
+    few.apply(u.where("seq > 100").limit(1), 1)
+    written = few._places(2)
+    assert sorted(written) == [0, 1, 2] and sorted(set(written.values())) in ([1, 2], [0, 1, 2]) and list(written.values()).count(2) == 1
+    few.apply(u.where("seq > 100"), 1)
+    few.apply(u, 2)
     row = lambda df: sorted(str([r[c] for c in [*key, "origin_asns"]]) for r in df.collect())
-    assert row(state.table()) == row(want)
+    assert row(state.table()) == row(want) == row(few.table())
+    assert few.unused(3) and not set(few.unused(3)) & {few._rows(n) for n in few._places(3).values()}
 
 
 def test_ordering_and_statistics(spark):
@@ -141,7 +150,13 @@ def test_text_search_of_long_names(spark):
     pdb = spark.createDataFrame([(1, "p1", "Long-1", None), (2, "p2", None, "aka2"), (3, "p3", "long-3", "aka3")], "asn long, name string, name_long string, aka string")
     assert [r["asn"] for r in asinfo.text_search(core, org, pdb, "long-1").collect()] == [1]
     assert [r["asn"] for r in asinfo.text_search(core, org, pdb, "LONG").collect()] == [1, 3]
-    assert [r["asn"] for r in asinfo.text_search(core, org, pdb, "aka2").collect()] == [2]
+    assert asinfo.text_search(core, org, pdb, "aka2").count() == 0 and [r["asn"] for r in asinfo.text_search(core, org, pdb, "P2").collect()] == [2]
+    data = reports.Datasets(*[None] * 4, core, org, pdb)
+    asked = spark.createDataFrame([("LONG-",), ("g-3",), ("e",), ("or",), ("aka",), ("",), ("org1",)], "input string")
+    got = {}
+    for r in reports.inspect_names(asked, data, 2).collect():
+        got.setdefault(r["input"], []).append((r["rank"], r["asn"], r["total"], r["truncated"]))
+    assert {k: sorted(v) for k, v in got.items()} == {"LONG-": [(1, 1, 2, False), (2, 3, 2, False)], "g-3": [(1, 3, 1, False)], "e": [(1, 1, 3, True), (2, 2, 3, True)], "or": [(1, 1, 3, True), (2, 2, 3, True)], "org1": [(1, 1, 1, False)]}
 
 
 def test_countries(spark):
@@ -164,6 +179,16 @@ def test_relationships(spark):
     assert as2rel.with_percentages(as2rel.aggregated(edges.limit(0)), 0).count() == 0
     with pytest.raises(ValueError):
         as2rel.by_relation(edges, "sibling")
+    names = spark.createDataFrame([(2, "two"), (1, "one")], "asn long, as_name string")
+    rows = as2rel.search(edges, [2], names, texts=True).collect()
+    assert [(r["asn2"], r["asn2_name"], r["connected"], r["connected_text"], r["as1_upstream_text"]) for r in rows] == [(1, "one", 8, "80.0%", "100.0%"), (3, None, 0, "0.0%", "60.0%"), (4, None, 0, "0.0%", "40.0%")]
+    assert [r["asn2"] for r in as2rel.search(edges, [2], kind="downstream", min_percent=50).collect()] == [1]
+    assert [(r["asn1"], r["asn2"]) for r in as2rel.search(edges, [1, 2]).collect()] == [(1, 2)]
+    assert [(r["asn1"], r["asn2"]) for r in as2rel.search(edges, [4, 2, 5], sort_by_asn=True).collect()] == [(2, 4), (4, 5)]
+    assert [tuple(r) for r in as2rel.search(edges, [2], names, sole_upstream=True).select("customer_asn", "customer_name").collect()] == [(1, "one"), (3, None)]
+    for bad in ({"asns": []}, {"asns": [1, 2], "sole_upstream": True}, {"asns": [1, 2, 3], "kind": "peer"}):
+        with pytest.raises(ValueError):
+            as2rel.search(edges, **bad)
     aspas = spark.createDataFrame([(1, 3), (1, 2), (2, 3)], "customer_asn long, provider_asn long")
     assert {r[0]: r[1] for r in aspa.providers(aspas).collect()} == {1: [2, 3], 2: [3]}
     assert {r[0]: r[1] for r in aspa.of_providers(aspas, spark.createDataFrame([(2,)], "asn long")).collect()} == {1: [2, 3]}
