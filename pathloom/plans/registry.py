@@ -408,7 +408,15 @@ def asinfo_preferred_name(spark, sf_dir):
     return _names(spark, sf_dir)
 
 
-@query("SELECT DISTINCT c.asn, c.name, c.country FROM asinfo_core c LEFT JOIN asinfo_as2org o USING (asn) LEFT JOIN asinfo_peeringdb p USING (asn) WHERE contains(lower(c.name), 'ma') OR contains(lower(o.name), 'ma') OR contains(lower(o.org_name), 'ma') OR contains(lower(p.name), 'ma') OR contains(lower(p.name_long), 'ma') OR contains(lower(p.aka), 'ma')", *_NAME_VIEWS)
+_NAMED = "SELECT DISTINCT c.asn, c.name, c.country FROM asinfo_core c LEFT JOIN asinfo_as2org o USING (asn) LEFT JOIN asinfo_peeringdb p USING (asn) WHERE contains(lower(c.name), '{0}') OR contains(lower(o.name), '{0}') OR contains(lower(o.org_name), '{0}') OR contains(lower(p.name), '{0}') OR contains(lower(p.name_long), '{0}')"
+
+
+@query(_NAMED.format("ong-1"), *_NAME_VIEWS)
+def asinfo_long_name_search(spark, sf_dir):
+    return asinfo.text_search(*(view(spark, sf_dir, v) for v in _NAME_VIEWS), "ONG-1")
+
+
+@query(_NAMED.format("ma"), *_NAME_VIEWS)
 def asinfo_text_search(spark, sf_dir):
     return asinfo.text_search(*(view(spark, sf_dir, v) for v in _NAME_VIEWS), "MA")
 
@@ -601,7 +609,7 @@ def inspect_asn(spark, sf_dir):
 
 
 @query(
-    "SELECT input, asn, name, country, CAST(r AS INTEGER) AS rank, total, total > 5 AS truncated FROM (SELECT i.input, c.asn, c.name, c.country, row_number() OVER (PARTITION BY i.input ORDER BY c.asn) AS r, count(*) OVER (PARTITION BY i.input) AS total FROM asinfo_core c LEFT JOIN asinfo_as2org o USING (asn) LEFT JOIN asinfo_peeringdb p USING (asn) JOIN (SELECT DISTINCT lower(c_mktsegment) AS input FROM customer) i ON contains(lower(concat_ws(chr(10), c.name, o.name, o.org_name, p.name, p.name_long, p.aka)), i.input)) x WHERE r <= 5",
+    "SELECT input, asn, name, country, CAST(r AS INTEGER) AS rank, total, total > 5 AS truncated FROM (SELECT i.input, c.asn, c.name, c.country, row_number() OVER (PARTITION BY i.input ORDER BY c.asn) AS r, count(*) OVER (PARTITION BY i.input) AS total FROM asinfo_core c LEFT JOIN asinfo_as2org o USING (asn) LEFT JOIN asinfo_peeringdb p USING (asn) JOIN (SELECT DISTINCT lower(c_mktsegment) AS input FROM customer) i ON contains(lower(concat_ws(chr(10), c.name, o.name, o.org_name, p.name, p.name_long)), i.input)) x WHERE r <= 5",
     *_NAME_VIEWS,
 )
 def inspect_name(spark, sf_dir):

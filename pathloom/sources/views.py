@@ -52,26 +52,44 @@ SELECT concat('10.', CAST(s_suppkey % 16 AS STRING), CASE WHEN s_suppkey % 4 = 0
 FROM {supplier}""",
     "aspas": """
 SELECT DISTINCT 64700 + l_partkey % 23 AS customer_asn, 64600 + l_suppkey % 20 AS provider_asn
-FROM {lineitem} WHERE l_linenumber = 1 AND l_partkey % 5 = 0""",
+FROM {lineitem}""",
+    "pfx2as_v6": """
+SELECT DISTINCT concat('2001:', CAST(100 + p_partkey % 16 AS STRING), CASE WHEN p_size % 3 = 0 THEN '::/32' ELSE concat(':', CAST(p_partkey % 64 AS STRING), '::/48') END) AS prefix,
+  64700 + p_partkey % 23 AS origin_asn
+FROM {part}""",
+    "roas_v6": """
+SELECT concat('2001:', CAST(100 + s_suppkey % 16 AS STRING), CASE WHEN s_suppkey % 4 = 0 THEN '::/32' ELSE concat(':', CAST(s_suppkey % 64 AS STRING), '::/48') END) AS prefix,
+  CASE WHEN s_suppkey % 4 = 0 THEN 40 ELSE 48 END AS max_length,
+  64700 + s_suppkey % 23 AS origin_asn, concat('ta', CAST(s_nationkey % 5 AS STRING)) AS ta
+FROM {supplier}""",
+    "elems_v6": """
+SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'W' ELSE 'A' END AS elem_type,
+  concat('2001:', CAST(100 + user_id % 16 AS STRING), ':', CAST((event_id * 7) % 64 AS STRING), '::/48') AS prefix
+FROM {events}""",
+    "dated_roas": """
+SELECT concat('10.', CAST(s_suppkey % 16 AS STRING), '.', CAST(s_suppkey % 64 AS STRING), '.0/24') AS prefix, 24 AS max_length, 64700 + s_suppkey % 23 AS origin_asn,
+  concat('2024-01-0', CAST(1 + s_suppkey % 9 AS STRING)) AS date, CASE s_suppkey % 3 WHEN 0 THEN 'ripe' WHEN 1 THEN 'rpkiviews' ELSE 'rpkispools' END AS source,
+  CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'views-1' ELSE 'sobornost' END AS collector
+FROM {supplier}""",
     "asinfo_core": """
 SELECT 64500 + c_custkey AS asn, c_name AS name, concat('N', CAST(c_nationkey AS STRING)) AS country
-FROM {customer} WHERE c_custkey < 300""",
+FROM {customer}""",
     "asinfo_as2org": """
 SELECT 64500 + c_custkey AS asn, concat('as2org-', CAST(c_custkey AS STRING)) AS name, concat('ORG-', CAST(c_custkey % 40 AS STRING)) AS org_id,
   CASE WHEN c_custkey % 7 = 0 THEN '' ELSE concat(c_mktsegment, '-', CAST(c_custkey % 40 AS STRING)) END AS org_name,
   concat('N', CAST(c_nationkey AS STRING)) AS country
-FROM {customer} WHERE c_custkey < 300 AND c_custkey % 3 <> 0""",
+FROM {customer} WHERE c_custkey % 3 <> 0""",
     "asinfo_peeringdb": """
 SELECT 64500 + c_custkey AS asn, concat('pdb-', CAST(c_custkey AS STRING)) AS name,
   CASE WHEN c_custkey % 4 = 0 THEN concat('long-', CAST(c_custkey AS STRING)) END AS name_long,
   CASE WHEN c_custkey % 10 = 0 THEN concat('aka-', CAST(c_custkey AS STRING)) WHEN c_custkey % 10 = 2 THEN '' END AS aka
-FROM {customer} WHERE c_custkey < 300 AND c_custkey % 2 = 0""",
+FROM {customer} WHERE c_custkey % 2 = 0""",
     "asinfo_hegemony": """
 SELECT 64500 + c_custkey AS asn, CAST(c_custkey % 100 AS DOUBLE) / 100 AS ipv4, CAST(c_custkey % 50 AS DOUBLE) / 100 AS ipv6
-FROM {customer} WHERE c_custkey < 300 AND c_custkey % 5 = 0""",
+FROM {customer} WHERE c_custkey % 5 = 0""",
     "asinfo_population": """
 SELECT 64500 + c_custkey AS asn, c_custkey * 1000 AS user_count, c_custkey * 10 AS sample_count
-FROM {customer} WHERE c_custkey < 300 AND c_custkey % 6 = 0""",
+FROM {customer} WHERE c_custkey % 6 = 0""",
     "countries": """
 SELECT concat('N', CAST(n_nationkey AS STRING)) AS code, n_name AS name FROM {nation}""",
     "peers": """
@@ -102,4 +120,4 @@ def dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sql_with(body: str, *names: str) -> str:
     """body with the named views before it, for DuckDB."""
     used = [f"{n} AS ({re.sub(r'[{}]', '', VIEWS[n])})" for n in names]
-    return f"WITH {', '.join(used)}\n{body}"
+    return f"WITH {', '.join(used)}\n{body}" if used else body
