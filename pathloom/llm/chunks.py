@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A 32-bit number for each byte, by rule.
@@ -16,6 +16,8 @@ GEAR = np.array([zlib.crc32(bytes([b])) for b in range(256)], dtype=np.uint32)
 WINDOW = 16
 #: Lengths in bytes of the identifiers that are tried in turn.
 ID_BYTES = (16, 32, 64)
+#: Bits of a map of identifiers, 16 MB at most.
+SLOTS = 1 << 27
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
@@ -75,9 +77,26 @@ def unverified(chunks: DataFrame) -> DataFrame:
     return chunks.select("id", "chunk").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def verified_size(chunks_of, sizes=ID_BYTES) -> int:
-    """The first size at which every identifier in chunks_of(size) stands for one byte string."""
-    for size in sizes:
-        if unverified(chunks_of(size)).isEmpty():
-            return size
-    raise ValueError(f"identifiers of {sizes[-1]} bytes still stand for different bytes")
+def slot_of(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SLOTS)) + 1
+
+
+def slots_of(ids: DataFrame) -> dict[int, bytes]:
+    """A bitmap over hashes of ids (column id, repeats allowed), of bounded size, so that tasks can hold it.
+
+    Other identifiers may share a bit, the more the fuller it is: then more bytes are compared than need be.
+    """
+    slots = ids.select(slot_of("id").alias("slot"))
+    bits = slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    return {r["bucket"]: bytes(r["bits"]) for r in bits.collect()}
+
+
+def in_slots(ids: list[bytes], slots: dict[int, bytes]) -> list[bool]:
+    """Whether each id's bit is set; the hash is that of slot_of()."""
+    out = []
+    for i in ids:
+        p = xxhash.xxh64_intdigest(i, 42)
+        p = (p if p < 1 << 63 else p - (1 << 64)) % SLOTS
+        bits = slots.get(p // 32768 + 1)
+        out.append(bool(bits and bits[p % 32768 // 8] >> p % 8 & 1))
+    return out

@@ -11,16 +11,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ID_BYTES, cuts, identify, unverified
+from .chunks import ID_BYTES, cuts, identify, in_slots, slots_of, unverified
 from .common import checkpointed, keep_one_row_each, sliced, stored, text_digest
 
 CHUNK_BITS, CHUNK_LEAST, CHUNK_MOST = 10, 256, 8192
-#: Bits of the map of identifiers that occur more than once, 16 MB at most.
-SLOTS = 1 << 27
 
 
 def recipe_table(docs: DataFrame, id_bytes: int) -> DataFrame:
@@ -37,18 +34,9 @@ def recipe_table(docs: DataFrame, id_bytes: int) -> DataFrame:
     return rows.mapInArrow(emit, "doc_id long, text_sha256 string, recipe array<binary>")
 
 
-def _slot(column: str) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(SLOTS)) + 1
-
-
 def repeated_slots(recipes: DataFrame) -> dict[int, bytes]:
-    """A bitmap over hashes of the identifiers that occur more than once; of bounded size, so that tasks can hold it.
-
-    Other identifiers may share a bit, the more the fuller it is: then more chunks are compared than need be.
-    """
-    ids = recipes.select(F.explode("recipe").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(_slot("id").alias("slot"))
-    bits = ids.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    return {r["bucket"]: bytes(r["bits"]) for r in bits.collect()}
+    """A bitmap of the identifiers that occur more than once."""
+    return slots_of(recipes.select(F.explode("recipe").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
 
 
 def compared_chunks(docs: DataFrame, id_bytes: int, slots: dict[int, bytes]) -> DataFrame:
@@ -63,10 +51,7 @@ def compared_chunks(docs: DataFrame, id_bytes: int, slots: dict[int, bytes]) ->
                 for a, b in zip([0, *ends], ends, strict=False):
                     found[text[a:b]] = None
             ids = [identify(c, id_bytes) for c in found]
-            # the same hash as xxhash64() of the column, and the place of its bit
-            place = [xxhash.xxh64_intdigest(i, 42) for i in ids]
-            place = [(p if p < 1 << 63 else p - (1 << 64)) % SLOTS for p in place]
-            some = [(i, c) for i, c, p in zip(ids, found, place, strict=True) if (bits := slots.get(p // 32768 + 1)) and bits[p % 32768 // 8] >> p % 8 & 1]
+            some = [(i, c) for i, c, hit in zip(ids, found, in_slots(ids, slots), strict=True) if hit]
             yield pa.record_batch([pa.array([i for i, _ in some], pa.binary()), pa.array([c for _, c in some], pa.binary())], names=["id", "chunk"])
 
     return docs.select("text").mapInArrow(emit, "id binary, chunk binary")

@@ -214,24 +214,39 @@ def test_components_of_a_chain_and_a_star(spark):
     assert stars(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_repeated_lines(spark, odd_docs, no_docs):
-    passage = "\n".join(words(50 + i, 12) for i in range(12))
-    rows = [(i, words(i, 20) + "\n" + passage + "\n" + words(100 + i, 20)) for i in range(5)] + [(9, None), (10, ""), (None, passage), (11, "one line")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r for r in line_dedup.remove_repeated_lines(docs, (1, 16)).collect()}
-    seen, order = set(), sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
-    for i, text in order:
-        lines, kept = (text or "").split("\n"), []
-        for a, b in line_dedup.line_chunks((text or "").encode()):
-            chunk = tuple(lines[a:b])
-            if len(chunk) < 2 or chunk not in seen:
-                kept += chunk
-            if len(chunk) >= 2:
-                seen.add(chunk)
-        assert (got[i]["text"], got[i]["n_lines"], got[i]["removed_lines"]) == ("\n".join(kept), len(lines), len(lines) - len(kept))
-    assert sum(r["removed_lines"] for r in got.values()) > 20
-    assert line_dedup.remove_repeated_lines(odd_docs).count() == odd_docs.count()
-    assert line_dedup.remove_repeated_lines(no_docs).count() == 0
+def test_chunk_bounds_move_with_the_content():
+    ids = [chunks.identify(words(i, 9).encode(), 16) for i in range(400)]
+    bounds = line_dedup.chunk_bounds(ids)
+    assert [a for a, _ in bounds] == [0, *[b for _, b in bounds[:-1]]] and bounds[-1][1] == 400 and all(0 < b - a <= line_dedup.MOST_LINES for a, b in bounds)
+    assert 60 <= len(bounds) <= 140
+    moved = line_dedup.chunk_bounds([chunks.identify(b"new", 16)] * 3 + ids)
+    assert len({(a + 3, b + 3) for a, b in bounds} & set(moved)) >= len(bounds) - 2
+    assert line_dedup.chunk_bounds([]) == []
+
+
+def test_chunks_take_most_of_a_long_passage(spark):
+    """Whole chunks of a passage go as such; only the lines around them are looked up in pairs."""
+    passage = "\n".join(words(50 + i, 12) for i in range(60))
+    docs = spark.createDataFrame([(i, words(i, 20) + "\n" + passage + "\n" + words(100 + i, 20)) for i in range(5)], "doc_id long, text string")
+    lines = line_dedup.line_table(docs, 16)
+    later = line_dedup.chunk_places(lines, 16).where("doc_id > 0")
+    found = line_dedup.run_places(lines.withColumn("places", line_dedup.F.array()), 16)
+    runs = line_dedup._repeated(line_dedup.chunk_places(lines, 16)).collect()
+    assert sum(len(r["of"]) // 16 for r in runs) > 30 and all(r["first"]["doc_id"] == 0 for r in runs)
+    known = [bytes(r["of"]) for r in runs]
+    gone = later.where(line_dedup.F.col("id").isin(known)).groupBy("doc_id", "sha").agg(line_dedup.F.collect_set("place").alias("places"))
+    rest = line_dedup.run_places(lines.join(gone, ["doc_id", "sha"], "left"), 16)
+    assert rest.count() == found.count() and rest.where("id IS NULL").count() > 0.3 * 4 * 59
+    got = line_dedup.remove_repeated_runs(docs).collect()
+    assert {r["doc_id"]: r["removed_lines"] for r in got} == {0: 0, 1: 60, 2: 60, 3: 60, 4: 60}
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 8, 12, 20])
+def test_planted_passages_go_whole(spark, n):
+    passages = [[words(1000 * n + 50 * p + i, 30) for i in range(n)] for p in range(6)]
+    rows = [(10 * p + d, "\n".join([words(7 * p + d, 15), words(9 * p + d, 8), *passages[p], words(5000 + 7 * p + d, 9)])) for p in range(6) for d in range(3)]
+    got = line_dedup.remove_repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["removed_lines"] for r in got} == {i: n if i % 10 else 0 for i, _ in rows}
 
 
 def shared_runs(docs, least_words=50):
