@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,19 +29,33 @@ def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read again: for tables too wide or long for a checkpoint."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gone_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    """Have a folder of intermediate tables deleted when the driver's JVM ends, in whatever file system it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, for tables written between stages."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     return named or _local_folder(spark)
 
 
+_LOCAL: list[str] = []
+
+
 def _local_folder(spark: SparkSession) -> str:
+    """A folder of this process where Spark is local, gone with the process."""
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return tempfile.mkdtemp(prefix="pathloom-")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="pathloom-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+    return _LOCAL[0]
 
 
 def text_digest(column: str = "text") -> Column:

@@ -182,6 +182,10 @@ def identify_languages(docs: DataFrame) -> DataFrame:
 
 
 def drop_unidentified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows whose language is known with a posterior of at least least; und rows go."""
+    """The rows whose language is known with a posterior of at least least, whole and unchanged; und rows go.
+
+    Null and empty texts and those without a letter are und. Rows without an id are judged by their text, rows that repeat stay
+    or go together, and nulls in other columns don't matter. Where nothing can be learned every row goes.
+    """
     found = identify_languages(docs)
     return keep_rows(docs, found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)))
