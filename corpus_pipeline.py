@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from pathloom.llm import exact_dedup, language_id, mixing, simhash, suffix_pieces
-from pathloom.llm.common import shared_folder
+from pathloom.llm.common import gone_at_exit, shared_folder
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,17 +20,17 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts keep the one with the largest doc_id."""
+    """Of equal texts keep one row, that with the largest doc_id."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies keep the smallest doc_id."""
+    """Of each component of near copies keep one row, that with the smallest doc_id."""
     return simhash.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take each source to its target weight; a document taken twice comes twice."""
+    """Take each source to its target weight, in the order of the schedule; a document taken twice comes twice."""
     return mixing.mixed_documents(docs)
 
 
@@ -58,4 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+    gone_at_exit(spark, folder)
     return docs
