@@ -83,10 +83,11 @@ def prefix_key(prefix: Column) -> Column:
 def with_key(df: DataFrame, prefix: str = "prefix", into: str = "key") -> DataFrame:
     """df with the four parts of the prefix's key as columns into_family and so on; rows without a key are dropped.
 
-    The same as prefix_key(), in steps, so that each part of the text is read once for each row.
+    The same as prefix_key(), in steps, so that each part of the text is read once for each row. Its parts come by an explode of
+    one element, past which the optimizer moves no condition: it would repeat the expression that prefix may be in each of them.
     """
     p, a, f, o, h, low, n = (f"__{into}_{x}" for x in ("parts", "address", "family", "octets", "hi", "lo", "len"))
-    rows = df.withColumn(p, F.split(prefix, "/"))
+    rows = df.select("*", F.explode(F.array(F.split(prefix, "/"))).alias(p))
     rows = rows.withColumns({a: F.get(p, F.lit(0)), n: F.when(F.size(p) == 2, F.get(p, F.lit(1)).try_cast("int"))})
     rows = rows.withColumn(f, F.when(F.col(a).rlike(_V4), F.lit(4)).when(F.col(a).rlike(_V6), F.lit(6)).cast("tinyint"))
     rows = rows.where(F.col(f).isNotNull() & (F.col(n) >= 0) & (F.col(n) <= F.when(F.col(f) == 4, 32).otherwise(128)))

@@ -110,21 +110,25 @@ def _among(family: int, hi: Column, lo: Column, numbers: set[int]) -> Column:
 def listed_prefixes(rows: DataFrame, wanted: list[str], include_super: bool = False, include_sub: bool = False, negated: bool = False, prefix: str = "prefix") -> DataFrame:
     """filter_prefixes() for a list that someone typed: a predicate on the row's key, so that no row is moved."""
     keyed = with_key(rows.withColumn("__row_prefix", F.col(prefix)), "__row_prefix", "r").drop("__row_prefix")
-    family, hi, lo, length = (F.col(f"r_{k}") for k in KEY)
-    nets = {_parts(w) for w in wanted}
     same: dict[tuple[int, int], set[int]] = {}
     below: dict[tuple[int, int], set[int]] = {}
-    for f, number, n in nets:
+    for f, number, n in {_parts(w) for w in wanted}:
         for k in range(n + 1) if include_super else [n]:
             same.setdefault((f, k), set()).add(number >> WIDTH[f] - k << WIDTH[f] - k)
         if include_sub:
             below.setdefault((f, n), set()).add(number)
-    hits = [(family == f) & (length == k) & _among(f, hi, lo, numbers) for (f, k), numbers in sorted(same.items())]
-    for (f, n), numbers in sorted(below.items()):
-        high, low = masked(family, hi, lo, F.lit(n))
-        hits.append((family == f) & (length >= n) & _among(f, high, low, numbers))
-    hit = reduce(Column.__or__, hits)
-    return keyed.where(~hit if negated else hit).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+    def hit(key: Column) -> Column:
+        family, hi, lo, length = (key[k] for k in KEY)
+        hits = [(family == f) & (length == k) & _among(f, hi, lo, numbers) for (f, k), numbers in sorted(same.items())]
+        for (f, n), numbers in sorted(below.items()):
+            high, low = masked(family, hi, lo, F.lit(n))
+            hits.append((family == f) & (length >= n) & _among(f, high, low, numbers))
+        return reduce(Column.__or__, hits)
+
+    # the key is bound once; as columns its expression would be repeated for each of the conditions
+    found = F.exists(F.array(F.struct(*[F.col(f"r_{k}").alias(k) for k in KEY])), hit)
+    return keyed.where(~found if negated else found).select(*[F.col(f"`{c}`") for c in rows.columns])
 
 
 def filter_prefixes(rows: DataFrame, wanted: DataFrame, include_super: bool = False, include_sub: bool = False, negated: bool = False, prefix: str = "prefix") -> DataFrame:
