@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at a time.
@@ -89,6 +89,21 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             yield part, doc_bytes(part.column(column))
 
 
+def with_ordinal(df: DataFrame, *order: Column) -> DataFrame:
+    """df with a column ordinal: 0, 1, 2, ... in this order, which must tell rows apart for reruns to agree.
+
+    The sort is by ranges; only the number of rows of each range is summed, in a table of as many rows as there are ranges.
+    """
+    ordered = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    counts = ordered.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    place = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1).cast("long"))
+    # one row for each range, far below any limit of a broadcast
+    return ordered.join(F.broadcast(offsets), part == F.col("__part")).withColumn("ordinal", place).drop("__at", "__part", "__before")
+
+
 def _packed(docs: DataFrame, text: str) -> DataFrame:
     """Each row as one struct beside its identity, so that no column name can clash."""
     return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row"), F.col("doc_id").alias("__id"), text_digest(text).alias("__sha"))

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, repeat_rows, text_digest
+from .common import checkpointed, repeat_rows, text_digest, with_ordinal
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
@@ -26,18 +26,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def ordinals(df: DataFrame, column: str) -> DataFrame:
-    """df, of distinct values, with a column ordinal: 0 for the least, in code point order, null last.
-
-    The sort is by ranges; only the number of rows of each range comes to the driver.
-    """
-    ordered = checkpointed(df.repartitionByRange(F.col(column).asc_nulls_last()).sortWithinPartitions(F.col(column).asc_nulls_last()).withColumn("__at", F.monotonically_increasing_id()))
-    part = F.shiftright("__at", 33)
-    counts = sorted((r["part"], r["n"]) for r in ordered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
-    offset, total = F.lit(0).cast("long"), 0
-    for p, n in counts:
-        offset = F.when(part == p, F.lit(total).cast("long")).otherwise(offset)
-        total += n
-    return ordered.withColumn("ordinal", offset + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1).cast("long"))).drop("__at")
+    """df, of distinct values, with a column ordinal: 0 for the least, in code point order, null last."""
+    return with_ordinal(df, F.col(column).asc_nulls_last())
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
