@@ -384,6 +384,13 @@ class Model:
         self.base = total + DELTA * (distinct + 1)
         self.total = total
 
+    @classmethod
+    def of(cls, plain: dict) -> Model:
+        """The model of these attributes."""
+        model = cls.__new__(cls)
+        model.__dict__.update(plain)
+        return model
+
     def log10(self, before: np.ndarray, cls: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(log10 probability, log10 unigram) of words of these classes and counts behind these classes; an unseen word has count 0, and class classes + 1 when it stands before."""
         single = (n + DELTA) / self.base
@@ -419,10 +426,11 @@ def train(docs: DataFrame) -> tuple[DataFrame, DataFrame, Model]:
 
 def score(coded: DataFrame, tails: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each coded row; see class_scores()."""
-    shared = coded.sparkSession.sparkContext.broadcast(model)
+    # a broadcast goes without its class, which executors need not have; tasks bring that along
+    shared = coded.sparkSession.sparkContext.broadcast(vars(model))
 
     def of_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = Model.of(shared.value)
         end = len(m.counts) - 1
         for rows, ids, starts in _tokens(batches):
             before = np.r_[end, ids[:-1]]
@@ -435,7 +443,7 @@ def score(coded: DataFrame, tails: DataFrame, model: Model) -> DataFrame:
             yield pa.record_batch([rows.column("row"), rows.column("doc_id"), rows.column("held_out"), sizes, pa.array(sums[2].astype(np.int64)), pa.array(sums[1]), pa.array(sums[0])], names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "likely"])
 
     def of_tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = Model.of(shared.value)
         for batch in batches:
             before, symbol, after = (batch.column(c).to_numpy().astype(np.int64) for c in ("before", "symbol", "after"))
             n = batch.column("n").to_numpy()

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 from operator import itemgetter
 from zlib import crc32
 
@@ -37,7 +36,6 @@ def collapsed(text: bytes) -> bytes:
     return _SPACES.sub(b" ", text.translate(_SIGNS)).strip(b" ")
 
 
-@lru_cache(maxsize=64)
 def run_pattern(words: int) -> regex.Pattern:
     """A run of so many whole words of a collapsed text."""
     return regex.compile(rb"(?<![^ ])[^ ]++(?: [^ ]++){%d}(?![^ ])" % (words - 1))

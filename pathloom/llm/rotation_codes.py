@@ -14,7 +14,6 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,12 +33,18 @@ MOVE = 2048
 BLOCK, PAIRS = 8192, 1 << 20
 
 
-@lru_cache(maxsize=256)
+#: Rotations that a task has drawn, by seed, dimensions and number.
+_DRAWN: dict[tuple[int, int, int], np.ndarray] = {}
+
+
 def rotation(dim: int, number: int, seed: int = SEED) -> np.ndarray:
     """A random orthogonal matrix; number tells those of one seed apart."""
-    rng = np.random.default_rng([seed, dim, number])
-    q, r = np.linalg.qr(rng.normal(size=(dim, dim)))
-    return q * np.sign(np.diag(r))
+    if (seed, dim, number) not in _DRAWN:
+        if len(_DRAWN) > 256:
+            _DRAWN.clear()
+        q, r = np.linalg.qr(np.random.default_rng([seed, dim, number]).normal(size=(dim, dim)))
+        _DRAWN[seed, dim, number] = q * np.sign(np.diag(r))
+    return _DRAWN[seed, dim, number]
 
 
 def plan_tables(count: int, dim: int, cosine: float = COSINE, reach: float = REACH, move: int = MOVE) -> tuple[int, int]:
