@@ -28,6 +28,8 @@ from .common import sliced, text_digest
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose ids a task keeps, bytes of one index, and bytes of a word that is relaxed along with others; longer ones have a heap each.
 KEPT_WORDS, INDEX_BYTES, TOGETHER = 500_000, 1 << 18, 48
+#: Bytes of a word that are relaxed at once where pieces cross each of its places.
+RUN_BYTES = 1 << 14
 #: A word: spaces and what follows them, or a sign that no piece holds. No piece has a space behind another character.
 WORD = re.compile(rb"[\n\t]| +[^ \n\t]*|[^ \n\t]+")
 MARK = "▁".encode()
@@ -88,6 +90,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.fronts: dict[bytes, int] = {}
         self.flat = np.zeros(0, dtype=np.int32)
         self.starts = np.zeros(1, dtype=np.int64)
 
@@ -113,10 +116,15 @@ class Encoder:
         return np.concatenate(starts), np.concatenate(found)
 
     def parts(self, word: bytes) -> list[bytes]:
-        """A word cut where no piece could cross, read by windows; a window grows only where pieces cross each of its places."""
-        out, at, window = [], 0, INDEX_BYTES
+        """A word cut where its segmentation has a boundary: where no piece could cross, and in long runs without such a place by sure_cuts()."""
+        out, at, run = [], 0, None
         while at < len(word):
-            data = word[at : at + window]
+            data = word[at : at + INDEX_BYTES]
+            if data == run and at + len(data) < len(word):
+                own, used = self.sure_cuts(word, at, len(word), len(data))
+                out += own
+                at += used
+                continue
             start, piece = self.edges(data)
             crossed = np.zeros(len(data) + 1, dtype=np.int64)
             np.add.at(crossed, start + 1, 1)
@@ -127,14 +135,93 @@ class Encoder:
             free = (np.cumsum(crossed)[: len(data)] == 0) & lead
             cuts = np.flatnonzero(free)
             cuts = cuts[(cuts > 0) & (cuts <= last)]
-            if not whole and not len(cuts):
-                window *= 2
-                continue
             ends = [*cuts.tolist(), len(data)] if whole else cuts.tolist()
-            out += [data[i:j] for i, j in zip([0, *ends], ends, strict=False)]
-            at, window = at + ends[-1], INDEX_BYTES
+            if not ends:
+                # nothing is free here: the run goes on, at most to the end of the word
+                run = data
+                own, used = self.sure_cuts(word, at, len(word), len(data))
+                out += own
+                at += used
+                continue
+            for i, j in zip([0, *ends], ends, strict=False):
+                out += [data[i:j]] if j - i <= RUN_BYTES else self.sure_cuts(data[i:j], 0, j - i, j - i)[0]
+            at += ends[-1]
         return out
 
+    def sure_cuts(self, data: bytes, begin: int, end: int, least: int) -> tuple[list[bytes], int]:
+        """(parts, bytes used): data from begin cut at boundaries of its segmentation, least bytes or until end at which a boundary is known."""
+        out, at, window = [], begin, RUN_BYTES
+        while at < end and at - begin < least:
+            part = data[at : min(end, at + window)]
+            if at + len(part) == end:
+                used = len(part)
+            else:
+                if part not in self.fronts:
+                    if len(self.fronts) >= 64:
+                        self.fronts.clear()
+                    self.fronts[part] = self.front(part)
+                used = self.fronts[part]
+            if used:
+                out.append(part[:used])
+                at, window = at + used, RUN_BYTES
+            else:
+                window *= 2
+        return out, at - begin
+
+    def front(self, data: bytes) -> int:
+        """A place up to which data is segmented in the same way whatever follows it, and a boundary then; 0 if none is known.
+
+        What follows is unknown from the front on, but for the least end of the symbol there, as symbols only grow. A symbol next to the front may be joined
+        with what is behind it as soon as its turn comes by the best piece that begins with it and reaches that end or further; if it still
+        stands there by then, the front moves before it. Joins before the front are sure.
+        """
+        start, piece = self.edges(data)
+        stop = start + self.lengths[piece]
+        lead = np.flatnonzero(np.append((np.frombuffer(data, dtype=np.uint8) & 0xC0) != 0x80, True))
+        places = lead[lead <= len(data) - self.depth].tolist()
+        if len(places) < 2:
+            return 0
+        front = places[-1]
+        least = int(lead[len(places)])
+        rank: dict[tuple[int, int], int] = {}
+        reach: dict[int, list[tuple[int, int]]] = {}
+        early = start < front
+        for s, e, r in zip(start[early].tolist(), stop[early].tolist(), piece[early].tolist(), strict=True):
+            rank[s, e] = r
+            reach.setdefault(s, []).append((e, r))
+        following = dict(zip(places, places[1:], strict=False))
+        before = dict(zip(places[1:], places, strict=False))
+        queue = [(r, s, e, False) for (s, e), r in rank.items() if following.get(following[s]) == e]
+
+        def watch(s: int, e: int) -> None:
+            """The symbol from s to e stands at the front."""
+            further = min((r for x, r in reach.get(s, ()) if x >= least), default=None)
+            if further is not None:
+                heappush(queue, (further, s, e, True))
+
+        heapify(queue)
+        watch(before[front], front)
+        while queue:
+            r, s, e, open_end = heappop(queue)
+            if open_end:
+                if front == e and following.get(s) == e:
+                    front, least = s, e
+                    if not s:
+                        return 0
+                    watch(before[s], s)
+                continue
+            middle = following.get(s)
+            if middle is None or e > front or following.get(middle) != e:
+                continue
+            del following[middle]
+            following[s], before[e] = e, s
+            for x, y in ((before.get(s), e), (s, following.get(e))):
+                if x is not None and y is not None and y <= front and (x, y) in rank:
+                    heappush(queue, (rank[x, y], x, y, False))
+            if e == front:
+                watch(s, e)
+        return front
+
     def _best(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in order, number of ids of each word)."""
         joined = b"".join(words)
@@ -198,25 +285,31 @@ class Encoder:
         fresh = [w for w in dict.fromkeys(words) if w not in self.known]
         if not fresh:
             return
-        pieces_of, flat = [], []
+        number: dict[bytes, int] = {}
+        part_of, parts_each = [], []
         for w in fresh:
             own = [w] if len(w) <= TOGETHER else self.parts(w)
-            pieces_of.append(len(own))
-            flat += own
-        ids, counts, i = [self.flat], [], 0
-        while i < len(flat):
+            part_of += [number.setdefault(x, len(number)) for x in own]
+            parts_each.append(len(own))
+        parts, found, counts, i = list(number), [], [], 0
+        while i < len(parts):
             j, total = i, 0
-            while j < len(flat) and (j == i or total + len(flat[j]) <= INDEX_BYTES):
-                total += len(flat[j])
+            while j < len(parts) and (j == i or total + len(parts[j]) <= INDEX_BYTES):
+                total += len(parts[j])
                 j += 1
-            found, n = self._best(flat[i:j])
-            ids.append(found)
+            ids, n = self._best(parts[i:j])
+            found.append(ids)
             counts.append(n)
             i = j
         for w in fresh:
             self.known[w] = len(self.known)
-        total = np.add.reduceat(np.concatenate(counts), np.cumsum([0, *pieces_of[:-1]]))
-        self.flat = np.concatenate(ids)
+        # parts that repeat were relaxed once
+        n = np.concatenate(counts)
+        begins, order = np.cumsum(n) - n, np.array(part_of)
+        n, begins = n[order], begins[order]
+        ends = np.cumsum(n)
+        self.flat = np.concatenate([self.flat, np.concatenate(found)[np.repeat(begins - (ends - n), n) + np.arange(int(n.sum()))]])
+        total = np.add.reduceat(n, np.cumsum([0, *parts_each[:-1]]))
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(total)])
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -299,8 +392,8 @@ def token_digest(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     ids_xxh64 is the XXH64 (hex) of the ids as 32-bit little-endian numbers; decoded_sha256 that of the
     text decoded from them. Null counts as empty: no tokens. Repeated rows come each time, an empty
-    table gives no rows, and no column but doc_id and text is read. A text without spaces is cut where no piece could
-    cross, so that an index stays small. Ids and texts themselves come from encode() and decode().
+    table gives no rows, and no column but doc_id and text is read. A text without spaces is cut where its segmentation is
+    sure to have a boundary, every RUN_BYTES or so, so that an index stays small whatever the text; what repeats is relaxed once. Ids and texts themselves come from encode() and decode().
     """
     import hashlib
 

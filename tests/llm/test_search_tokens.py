@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -123,6 +124,31 @@ def test_long_words_are_cut_where_no_piece_crosses(text, monkeypatch):
     assert encoder.encode([text.encode()])[0].tolist() == MODEL.encode(text)
 
 
+def test_long_runs_are_cut_where_the_segmentation_is_sure(monkeypatch):
+    """Ids of words in which pieces cross each place are the model's, whatever the windows."""
+    monkeypatch.setattr(suffix_pieces, "RUN_BYTES", 96)
+    rng, cut = random.Random(1), 0
+    for _ in range(300):
+        signs = rng.choice(["a", "ab", "= ", "a=", "日本", "abc -", "e ", "-_=", "lo", "01", " "])
+        text = "".join(rng.choice(signs) for _ in range(rng.randrange(100, 900))) if rng.random() < 0.6 else rng.choice(["ab", "abc", "lol", "haha", "==-", "日本", "  a"]) * rng.randrange(50, 300)
+        monkeypatch.setattr(suffix_pieces, "INDEX_BYTES", rng.choice([256, 1 << 18]))
+        encoder = suffix_pieces.Encoder(*VOCABULARY)
+        assert encoder.encode([text.encode()])[0].tolist() == MODEL.encode(text)
+        cut += len(encoder.fronts)
+    assert cut > 100
+
+
+@pytest.mark.parametrize("sign", [" ", "=", "a", "ab"])
+def test_megabytes_of_one_sign(sign):
+    tracemalloc.start()
+    text = sign * (4_000_000 // len(sign))
+    ids = suffix_pieces.Encoder(*VOCABULARY).encode([text.encode()])[0]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids.tolist() == MODEL.encode(text)
+    assert most < 500 << 20
+
+
 def test_suffix_array_finds_every_occurrence():
     data = words(3, 200).encode() + "приветствие приветствие".encode()
     pieces = [b"w", b"w1", b" w", "приветствие".encode(), "приве".encode(), b"absent", b"wabsentabsent"]
