@@ -30,7 +30,7 @@ DEVIATIONS, REACH = 4.0, 0.999
 #: Moving one more vector to a table costs as much as comparing it with so many others.
 MOVE = 2048
 #: Vectors of one task's square; a fuller bucket is compared in squares of two blocks. Pairs estimated at a time.
-BLOCK, PAIRS = 8192, 1 << 20
+BLOCK, PAIRS = 2048, 1 << 20
 
 
 #: Rotations that a task has drawn, by seed, dimensions and number.
