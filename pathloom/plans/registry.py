@@ -664,6 +664,19 @@ def search_stream(spark, sf_dir):
     return spark.read.schema(rows.schema).parquet(f"{folder}/out/*").select(*ELEM)
 
 
+@query(f"SELECT {ELEM_SQL} FROM bgp_elems WHERE elem_type = 'A' AND peer_asn IN (64500, 64502, 64504) ORDER BY seq LIMIT 150", "bgp_elems")
+def search_stream_capped(spark, sf_dir):
+    """A search over a stream that ends once 150 elements are found, in the middle of a batch; later files are not read."""
+    folder = scratch(spark, "capped")
+    rows = elems(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    for part in ("seq < 300", "seq >= 300 AND seq < 600", "seq >= 600"):
+        rows.where(part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = streams.element_stream(spark, f"{folder}/in", rows.schema, 1)
+    wanted = RouteFilters(elem_type="A", peer_asns=["64500", "64502", "64504"])
+    streams.search_stream(stream, wanted, lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"), f"{folder}/marks", most=150).awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{folder}/out/*").select(*ELEM)
+
+
 @query(_last_sql() + f" SELECT {_ROUTE}, origin_asn FROM last WHERE r = 1 AND elem_type = 'A'", "rib_dumps", "bgp_elems")
 def rib_stream(spark, sf_dir):
     """Updates as a stream onto a dump: the table after the last batch is that of the replay."""

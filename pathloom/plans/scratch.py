@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -20,3 +20,11 @@ def scratch(spark: SparkSession, name: str) -> str:
         # local Spark alone: nobody else reads it, so it goes with the process
         atexit.register(shutil.rmtree, shared, ignore_errors=True)
     return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut in the folder of spark.checkpoint.dir, partitions and their order kept; one of our own only as in scratch()."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or scratch(spark, "checkpoints"))
+    return df.checkpoint(eager=True)

@@ -1,4 +1,5 @@
 import datetime
+import time
 import json
 
 import pytest
@@ -132,3 +133,25 @@ def test_search_stream(spark, tmp_path):
     query = streams.search_stream(streams.element_stream(spark, str(tmp_path / "in"), rows.schema, 2), wanted, lambda batch, n: got.extend(r["seq"] for r in batch.collect()), str(tmp_path / "marks"))
     query.awaitTermination()
     assert sorted(got) == [i for i in range(10, 100) if i % 3 and i % 5 in (1, 2)]
+
+
+@pytest.mark.parametrize("again", [False, True])
+def test_capped_stream(spark, tmp_path, again):
+    """Exactly so many rows over all batches and runs of a checkpoint; files behind the cap are never read."""
+    rows = spark.range(100).selectExpr("id AS seq", "timestamp_seconds(id) AS ts", "'A' AS elem_type", "id % 2 AS peer_asn")
+    for n in range(5):
+        rows.where(F.col("seq").between(20 * n, 20 * n + 19)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.02)
+    files = sorted((tmp_path / "in").glob("*.parquet"), key=lambda p: p.stat().st_mtime_ns)
+    for f in files[3:]:
+        f.write_bytes(b"PAR1 no file PAR1")  # whoever reads these fails
+    stream = lambda: streams.element_stream(spark, str(tmp_path / "in"), rows.schema, 1)
+    got = {}
+
+    def run(most):
+        query = streams.search_stream(stream(), RouteFilters(peer_asns=["1"]), lambda batch, n: got.update({n: [r["seq"] for r in batch.collect()]}), str(tmp_path / "marks"), most)
+        query.awaitTermination()
+
+    for _ in range(1 + again):
+        run(25)
+    assert sorted(sum(got.values(), [])) == list(range(1, 51, 2))

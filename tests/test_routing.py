@@ -109,17 +109,57 @@ def test_state_stream_equals_replay(spark, tmp_path):
     state.follow(streams.element_stream(spark, str(tmp_path / "in"), u.schema, 1), str(tmp_path / "marks")).awaitTermination()
     want = rib.snapshot(rib.events_of(b.drop("elem_type"), u), ["origin_asns"])
     assert state.batches == 3
-    few = streams.RoutingState(spark, str(tmp_path / "few"), ["origin_asns"], parts=3, keep_marks=1000)
+    few = streams.RoutingState(spark, str(tmp_path / "few"), ["origin_asns"], fanout=2, keep_marks=1000)
     few.start(first)
     few.apply(u.where("seq <= 100"), 0)
     few.apply(u.where("seq > 100").limit(1), 1)
-    written = few._places(2)
-    assert sorted(written) == [0, 1, 2] and sorted(set(written.values())) in ([1, 2], [0, 1, 2]) and list(written.values()).count(2) == 1
-    few.apply(u.where("seq > 100"), 1)
+    few.apply(u.where("seq > 100"), 1)  # a batch that runs again
     few.apply(u, 2)
     row = lambda df: sorted(str([r[c] for c in [*key, "origin_asns"]]) for r in df.collect())
     assert row(state.table()) == row(want) == row(few.table())
-    assert few.unused(3) and not set(few.unused(3)) & {few._rows(n) for n in few._places(3).values()}
+    assert row(few.table(1)) == row(rib.snapshot(rib.events_of(b.drop("elem_type"), u.where("seq <= 100")), ["origin_asns"]))
+    assert few.unused(3) and not set(few.unused(3)) & {few._run(r[0]) for r in few.runs(3)}
+
+
+def _bytes_of(path):
+    return sum(p.stat().st_size for p in path.rglob("*.parquet"))
+
+
+def test_a_batch_writes_what_it_holds(spark, tmp_path):
+    """What a batch writes doesn't grow with the table; runs are merged, and every row is rewritten a few times at most."""
+    columns = "collector string, peer_ip string, peer_asn long, prefix string, seq long, origin_asns array<long>, elem_type string"
+    table = spark.range(60_000).selectExpr("'c' AS collector", "'p' AS peer_ip", "id % 7 AS peer_asn", "concat('10.', id) AS prefix", "CAST(-1 AS long) AS seq", "array(id) AS origin_asns")
+    small, large = (streams.RoutingState(spark, str(tmp_path / n), ["origin_asns"], fanout=4) for n in ("small", "large"))
+    small.start(table.where("seq = -1 AND origin_asns[0] < 6000"))
+    large.start(table)
+    rows = 0
+    for n in range(20):
+        batch = spark.createDataFrame([("c", "p", i % 7, f"10.{i}", 100 * n + i, [n], "W" if (i + n) % 5 == 0 else "A") for i in range(n, n + 30)], columns)
+        for state in (small, large):
+            state.apply(batch, n)
+        rows = max(rows, len(large.runs(n + 1)))
+    base = _bytes_of(tmp_path / "large" / "runs" / "base-000000000")
+    written = _bytes_of(tmp_path / "large" / "runs") - base
+    assert large.runs(20)[0] == ("base-000000000", -1, 60_000) and written < 0.6 * base and rows <= 1 + 3 * 3
+    assert abs(written - (_bytes_of(tmp_path / "small" / "runs") - _bytes_of(tmp_path / "small" / "runs" / "base-000000000"))) < 0.05 * written
+    assert large.table().count() == 60_000 - 10 and small.table().count() == 6000 - 10
+
+
+def test_state_goes_on_from_its_checkpoint(spark, tmp_path):
+    base, updates = random_events(6)
+    b, u = spark.createDataFrame(base, EVENTS), spark.createDataFrame(updates, EVENTS)
+    first = rib.snapshot(rib.events_of(b.drop("elem_type"), u.limit(0)), ["origin_asns"]).withColumn("seq", F.lit(-1).cast("long"))
+    read = lambda: streams.element_stream(spark, str(tmp_path / "in"), u.schema, 1)
+    u.where("seq <= 60").coalesce(1).write.parquet(str(tmp_path / "in"))
+    state = streams.RoutingState(spark, str(tmp_path / "state"), ["origin_asns"])
+    state.start(first)
+    state.follow(read(), str(tmp_path / "marks")).awaitTermination()
+    u.where("seq > 60").repartition(2).write.mode("append").parquet(str(tmp_path / "in"))
+    later = streams.RoutingState(spark, str(tmp_path / "state"), ["origin_asns"]).resume(state.batches)
+    later.follow(read(), str(tmp_path / "marks")).awaitTermination()
+    want = rib.snapshot(rib.events_of(b.drop("elem_type"), u), ["origin_asns"])
+    row = lambda df: sorted(str((r["peer_ip"], r["prefix"], r["path_id"], r["origin_asns"])) for r in df.collect())
+    assert later.batches == 3 and row(later.table()) == row(want)
 
 
 def test_ordering_and_statistics(spark):
