@@ -31,6 +31,16 @@ def names(core: DataFrame, as2org: DataFrame, peeringdb: DataFrame) -> DataFrame
     return rows.select("asn", best.alias("as_name")).where("as_name IS NOT NULL")
 
 
+def described(asns: DataFrame, core: DataFrame, as2org: DataFrame, peeringdb: DataFrame) -> DataFrame:
+    """asns (asn, distinct) with as_name, the name that names() gives, and country; null where there is none. The tables are joined to these ASes alone."""
+    c = core.select(F.col("asn").alias("__c"), F.col("name").alias("__core"), "country")
+    a = as2org.select(F.col("asn").alias("__a"), F.col("name").alias("__as2org"), F.col("org_name").alias("__org"))
+    p = peeringdb.select(F.col("asn").alias("__p"), F.col("name").alias("__pdb"), F.col("name_long").alias("__long"), F.col("aka").alias("__aka"))
+    rows = asns.select("asn").join(c, F.col("asn") == F.col("__c"), "left").join(a, F.col("asn") == F.col("__a"), "left").join(p, F.col("asn") == F.col("__p"), "left")
+    best = preferred_name(F.col("__aka"), F.col("__long"), F.col("__pdb"), F.col("__org"), F.col("__as2org"), F.col("__core"))
+    return rows.select("asn", best.alias("as_name"), "country")
+
+
 def with_name(rows: DataFrame, name_table: DataFrame, asn: str, out: str) -> DataFrame:
     """rows with the preferred name of the AS in a column; null where there is none."""
     return rows.join(name_table.select(F.col("asn").alias("__n"), F.col("as_name").alias(out)), F.col(asn) == F.col("__n"), "left").drop("__n")

@@ -237,12 +237,10 @@ def relation(pairs: DataFrame, edges: DataFrame) -> DataFrame:
 def ip_lookup(addresses: DataFrame, data: Datasets) -> DataFrame:
     """Each address (ip) with its longest prefix, origin, name, country and state; addresses without a prefix have nulls."""
     queries = addresses.select("ip").distinct().withColumn("query", host_prefix(F.col("ip")))
-    pairs = data.pfx2as.select("prefix", "origin_asn")
-    # state, name and country depend on the pair alone, and there are fewer pairs than addresses
-    known = rov.validated(pairs.distinct(), data.roas)
-    country = data.core.select(F.col("asn").alias("__c"), "country")
-    known = asinfo.with_name(known, data.names(), "origin_asn", "as_name").join(country, F.col("origin_asn") == F.col("__c"), "left")
-    known = known.select(F.col("prefix").alias("__p"), F.col("origin_asn").alias("__o"), "state", "as_name", "country")
-    hits = match.longest(queries.select("query").distinct(), pairs)
-    hits = hits.join(known, (F.col("matched_prefix") == F.col("__p")) & F.col("origin_asn").eqNullSafe(F.col("__o")), "left").drop("__p", "__o")
-    return queries.join(hits, "query", "left").drop("query")
+    hits = match.longest(queries, data.pfx2as.select("prefix", "origin_asn")).drop("query")
+    # state, name and country depend on the pair alone: only pairs that were met are looked up
+    met = hits.select(F.col("matched_prefix").alias("__p"), F.col("origin_asn").alias("__o")).distinct()
+    about = asinfo.described(met.select(F.col("__o").alias("asn")).distinct(), data.core, data.as2org, data.peeringdb)
+    known = rov.validated(met, data.roas, "__p", "__o").join(about, F.col("__o") == F.col("asn"), "left").select("__p", "__o", "state", "as_name", "country")
+    named = hits.join(known, (F.col("matched_prefix") == F.col("__p")) & F.col("origin_asn").eqNullSafe(F.col("__o")), "left").drop("__p", "__o")
+    return queries.select("ip").join(named, "ip", "left")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions import scalars
-from pathloom.operators import as2rel, asinfo, aspa, filters, match, reports, rib, rov, search
+from pathloom.operators import as2rel, asinfo, aspa, filters, match, reports, rib, rov, search, sweep
 from pathloom.operators.filters import RouteFilters
 from pathloom.sources import ingest
 from pathloom.sources.views import dumps, elems, sql_with, view
@@ -206,6 +206,20 @@ def pfx2as_longest(spark, sf_dir):
     return match.longest(_elem_prefixes(spark, sf_dir), view(spark, sf_dir, "pfx2as"))
 
 
+@query(
+    f"SELECT seq, query, matched_prefix, origin_asn FROM (SELECT q.seq, q.query, p.prefix AS matched_prefix, p.origin_asn, rank() OVER (PARTITION BY q.seq ORDER BY p.len DESC) AS r FROM {_keyed('(SELECT seq, prefix AS query FROM bgp_elems)', 'query')} q JOIN {_keyed('pfx2as')} p ON {_CONTAINS.format(a='q', b='p')}) x WHERE r = 1",
+    "bgp_elems", "pfx2as",
+)
+def elems_longest_sweep(spark, sf_dir):
+    """The longest match of every element by one ordered pass, repeated prefixes included."""
+    return sweep.longest(view(spark, sf_dir, "bgp_elems").select("seq", F.col("prefix").alias("query")), view(spark, sf_dir, "pfx2as"))
+
+
+@query(f"SELECT q.query, p.prefix AS matched_prefix, p.origin_asn FROM {_keyed(_ELEM_PREFIXES, 'query')} q JOIN {_keyed('pfx2as')} p ON {_CONTAINS.format(a='q', b='p')}", "bgp_elems", "pfx2as")
+def pfx2as_covering_sweep(spark, sf_dir):
+    return sweep.covering(_elem_prefixes(spark, sf_dir), view(spark, sf_dir, "pfx2as"))
+
+
 @query(f"SELECT q.query, p.prefix AS matched_prefix, string_agg(CAST(p.origin_asn AS STRING), ',' ORDER BY p.origin_asn) AS origin_asns FROM {_keyed(_ELEM_PREFIXES, 'query')} q JOIN {_keyed('pfx2as')} p ON {_CONTAINS.format(a='q', b='p')} GROUP BY 1, 2", "bgp_elems", "pfx2as")
 def pfx2as_covering(spark, sf_dir):
     return match.grouped(match.covering(_elem_prefixes(spark, sf_dir), view(spark, sf_dir, "pfx2as"))).withColumn("origin_asns", _text("origin_asns"))
