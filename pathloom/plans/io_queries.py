@@ -11,6 +11,7 @@ from pathloom.functions import scalars
 from pathloom.operators import as2rel, asinfo, match, reports, rib, rov, search
 from pathloom.operators.filters import RouteFilters
 from pathloom.sources import ingest
+from pathloom.sources.store import ElementStore
 from pathloom.sources.views import dumps, elems, view
 
 from . import runs
@@ -338,6 +339,23 @@ def run_search(spark, sf_dir):
     found = runs.search_files(spark, _files(spark, sf_dir), wanted, ["rrc00", "rrc02"])
     return found.elements.select(F.col("med").alias("seq"), "collector", "prefix")
 
+@query("SELECT seq, collector, prefix FROM bgp_elems WHERE ts >= TIMESTAMP '2024-01-05 06:00:00' AND ts <= TIMESTAMP '2024-01-08 12:00:00' AND elem_type = 'A' AND collector IN ('rrc00', 'rrc02')", "bgp_elems")
+def run_search_store(spark, sf_dir):
+    """The same search in a store, whose partitions the catalog's rows select."""
+    catalog = _files(spark, sf_dir).where("data_type = 'updates'")
+    store = ElementStore(spark, scratch(spark, "store"))
+    store.add(catalog)
+    wanted = RouteFilters(start_ts="2024-01-05T06:00:00Z", end_ts="2024-01-08T12:00:00Z", elem_type="a")
+    found = runs.search_files(spark, catalog, wanted, ["rrc00", "rrc02"], store=store)
+    return found.elements.select(F.col("med").alias("seq"), "collector", "prefix")
+
+
+@query("SELECT seq, collector, prefix FROM bgp_elems WHERE elem_type = 'A' AND peer_asn IN (64501, 64502) ORDER BY day(ts), collector, seq LIMIT 400", "bgp_elems")
+def run_search_first(spark, sf_dir):
+    """The first 400 matching elements in the order of files; files behind them are not opened."""
+    found = runs.search_first(spark, _files(spark, sf_dir), RouteFilters(elem_type="a", peer_asns=["64501", "64502"]), 400)
+    return found.elements.select(F.col("med").alias("seq"), "collector", "prefix")
+
 
 @query("SELECT 'A' AS type, peer_ip, prefix, as_path FROM bgp_elems WHERE elem_type = 'A' AND peer_asn = 64503", "bgp_elems")
 def run_parse(spark, sf_dir):

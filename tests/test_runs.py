@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pathloom.operators.filters import RouteFilters
 from pathloom.plans import runs
 from pathloom.sources import ingest
+from pathloom.sources.store import ElementStore
 
 DAY = datetime.datetime(2024, 1, 1)
 
@@ -35,6 +36,14 @@ def catalog(spark, tmp_path_factory):
     return spark.createDataFrame(rows, "collector_id string, data_type string, ts_start timestamp, ts_end timestamp, url string, rough_size long, exact_size long")
 
 
+@pytest.fixture(scope="module")
+def store(spark, catalog, tmp_path_factory):
+    found = ElementStore(spark, str(tmp_path_factory.mktemp("store") / "elements"))
+    found.add(catalog.where("data_type = 'rib'"))
+    found.add(catalog.where("data_type = 'updates'"))
+    return found
+
+
 def table(df):
     return sorted((r["rib_ts"].hour, r["prefix"], r["origin_asns"][0]) for r in df.collect())
 
@@ -53,6 +62,60 @@ def test_tables_at_instants(spark, catalog):
         runs.routing_tables(spark, catalog, [F.lit(at(-1))], RouteFilters(), ["origin_asns"])
 
 
+def test_a_store_gives_what_the_files_give(spark, catalog, store):
+    instants = [F.lit(at(h)) for h in (3, 6, 10)]
+    for wanted in (RouteFilters(), RouteFilters(origin_asns=["6"])):
+        of_files, of_store = (runs.routing_tables(spark, catalog, instants, wanted, ["origin_asns"], store=s) for s in (None, store))
+        for a, b in zip(of_files, of_store, strict=True):
+            rows = lambda df: sorted(str(sorted(r.asDict().items())) for r in df.drop("seq", "place", "file").collect())
+            assert rows(a.select(sorted(a.columns))) == rows(b.select(sorted(a.columns)))
+    wanted = RouteFilters(start_ts="2024-01-01T02:00:00Z", end_ts="2024-01-01T05:00:00Z", elem_type="a")
+    of_files, of_store = (runs.search_files(spark, catalog, wanted, store=s).elements for s in (None, store))
+    rows = lambda df: sorted((r["file"], r["place"], r["prefix"]) for r in df.collect())
+    assert rows(of_files) == rows(of_store) != []
+
+
+def test_other_partitions_of_a_store_are_not_opened(spark, tmp_path, monkeypatch):
+    """The catalog says at run time which partitions are read: the files of others may be broken, and no path is collected."""
+    rows = []
+    for day in range(6):
+        for collector in ("c", "d"):
+            path = str(tmp_path / f"{collector}{day}")
+            spark.createDataFrame([elem(24 * day + 1, "A", f"10.{day}.0.0/16", 5, collector)], ingest.ELEM_SCHEMA).coalesce(1).write.parquet(path)
+            rows.append((collector, "updates", at(24 * day), at(24 * day + 23), str(next((tmp_path / f"{collector}{day}").glob("part-*.parquet"))), 1, 1))
+    spark.createDataFrame(rows, "collector_id string, data_type string, ts_start timestamp, ts_end timestamp, url string, rough_size long, exact_size long").write.parquet(str(tmp_path / "catalog"))
+    catalog = spark.read.parquet(str(tmp_path / "catalog"))
+    store = ElementStore(spark, str(tmp_path / "store"))
+    store.add(catalog)
+    for f in (tmp_path / "store").rglob("*.parquet"):
+        if "collector_id=c" not in str(f) or not ("file_day=2024-01-03" in str(f) or "file_day=2024-01-04" in str(f)):
+            f.write_bytes(b"PAR1 broken PAR1")
+    monkeypatch.setattr(type(catalog), "collect", lambda self: pytest.fail("a selection came to the driver"))
+    found = runs.search_files(spark, catalog, RouteFilters(start_ts="2024-01-03T00:00:00Z", end_ts="2024-01-04T22:00:00Z"), ["c"], store=store).elements
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.undo()
+    assert sorted(r["prefix"] for r in found.collect()) == ["10.2.0.0/16", "10.3.0.0/16"]
+
+
+def test_first_elements_of_many_files(spark, tmp_path):
+    """Exactly so many, in the order of files and elements; the files behind are never opened."""
+    rows = []
+    for n in range(9):
+        path = tmp_path / f"f{n}"
+        spark.createDataFrame([elem(n, "A" if i % 2 else "W", f"10.{n}.{i}.0/24", 5) for i in range(10)], ingest.ELEM_SCHEMA).coalesce(1).write.parquet(str(path))
+        file = next(path.glob("part-*.parquet"))
+        if n >= 7:
+            file.write_bytes(b"PAR1 broken PAR1")
+        rows.append(("c", "updates", at(n), at(n + 1), str(file), 1, 1))
+    catalog = spark.createDataFrame(rows[::-1], "collector_id string, data_type string, ts_start timestamp, ts_end timestamp, url string, rough_size long, exact_size long")
+    found = runs.search_first(spark, catalog, RouteFilters(elem_type="a"), 18)
+    want = [f"10.{n}.{i}.0/24" for n in range(9) for i in range(10) if i % 2][:18]
+    assert sorted(r["prefix"] for r in found.elements.collect()) == sorted(want) and found.files.count() == 7
+    assert runs.search_first(spark, catalog.where("ts_start < '2024-01-01 02:30:00'"), RouteFilters(elem_type="w"), 100).elements.count() == 15
+    assert runs.search_first(spark, catalog, RouteFilters(), 0).elements.count() == 0
+    assert runs.search_first(spark, catalog, RouteFilters(start_ts="2030-01-01"), 5).elements.count() == 0
+
+
 def test_search_and_parse(spark, catalog):
     found = runs.search_files(spark, catalog, RouteFilters(start_ts="2024-01-01T02:00:00Z", end_ts="2024-01-01T05:00:00Z", elem_type="a"))
     assert sorted((r["prefix"], r["origin_asns"][0]) for r in found.elements.collect()) == [("11.0.0.0/8", 5), ("12.0.0.0/8", 5), ("12.0.0.0/8", 6)]
