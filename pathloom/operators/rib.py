@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .asof import count_before, last_before
+
 # How old a base dump may be, and what makes a route; where several dumps are replayed at once, each has routes of its own.
 LOOK_BACK_DAYS = 30
 ROUTE = ("collector", "peer_ip", "peer_asn", "prefix", "path_id", "dump_ts")
@@ -19,16 +21,22 @@ def route_key(events: DataFrame) -> list[str]:
     return [c for c in ROUTE if c in events.columns]
 
 
-def base_dumps(catalog: DataFrame, instants: list[Column], days: int = LOOK_BACK_DAYS) -> DataFrame:
-    """(collector_id, rib_ts, dump_ts, url): for each collector of the catalog and each of the instants (literals) the last dump at or before it.
+def base_dumps(catalog: DataFrame, instants: list[Column] | DataFrame, days: int = LOOK_BACK_DAYS) -> DataFrame:
+    """(collector_id, rib_ts, dump_ts, url): for each collector of the catalog and each of the instants (literals, or a table with rib_ts) the last dump at or before it.
 
-    Only dumps of the days before count; where there is none the row has nulls, see require_dumps().
+    Only dumps of the days before count; where there is none the row has nulls, see require_dumps(). Dumps and instants meet in one pass in the order of time.
     """
     dumps = catalog.where("data_type = 'rib'").select("collector_id", F.col("ts_start").alias("dump_ts"), "url")
-    wanted = catalog.select("collector_id").distinct().withColumn("rib_ts", F.explode(F.array_distinct(F.array(*instants))))
-    near = wanted.join(dumps, ["collector_id"]).where((F.col("dump_ts") <= F.col("rib_ts")) & (F.col("dump_ts") >= F.col("rib_ts") - F.expr(f"INTERVAL {days} DAYS")))
-    last = near.groupBy("collector_id", "rib_ts").agg(F.max_by(F.struct("dump_ts", "url"), F.struct("dump_ts", "url")).alias("d"))
-    return wanted.join(last, ["collector_id", "rib_ts"], "left").select("collector_id", "rib_ts", F.col("d.dump_ts").alias("dump_ts"), F.col("d.url").alias("url"))
+    collectors = catalog.select("collector_id").distinct()
+    if isinstance(instants, DataFrame):
+        # instants as an array, so that each collector takes them in without a cross join
+        listed = instants.agg(F.sort_array(F.collect_set("rib_ts")).alias("all"))
+        wanted = collectors.withColumn("__one", F.lit(1)).join(listed.withColumn("__one", F.lit(1)), "__one").select("collector_id", F.explode("all").alias("rib_ts"))
+    else:
+        wanted = collectors.withColumn("rib_ts", F.explode(F.array_distinct(F.array(*instants))))
+    found = last_before(wanted, dumps, ["collector_id"], "rib_ts", "dump_ts", ["dump_ts", "url"])
+    near = F.col("dump_ts") >= F.col("rib_ts") - F.expr(f"INTERVAL {days} DAYS")
+    return found.select("collector_id", "rib_ts", F.when(near, F.col("dump_ts")).alias("dump_ts"), F.when(near, F.col("url")).alias("url"))
 
 
 def require_dumps(selected: DataFrame) -> DataFrame:
@@ -71,11 +79,21 @@ def _sorted_instants(instants: list | str) -> Column:
     return F.col(instants) if isinstance(instants, str) else F.array(*instants)
 
 
-def stamped(events: DataFrame, instants: list | str, column: str = "ts") -> DataFrame:
-    """events with rib_ts: the first of the instants at or after the event; base rows get the first; later events go."""
+#: Instants of one replay, at most.
+MOST_INSTANTS = 1 << 20
+
+
+def _interval(events: DataFrame, instants: list | str, column: str) -> DataFrame:
+    """events with __i, the place of the first instant at or after them (0 for base rows); later events go."""
     at = _sorted_instants(instants)
-    first = F.when(F.col("phase") == 0, F.get(at, F.lit(0))).otherwise(F.get(F.filter(at, lambda i: i >= F.col(column)), F.lit(0)))
-    return events.withColumn("rib_ts", first).where("rib_ts IS NOT NULL")
+    most = MOST_INSTANTS if isinstance(instants, str) else len(instants)
+    place = F.when(F.col("phase") == 0, F.lit(0)).otherwise(count_before(at, F.col(column), most))
+    return events.withColumn("__i", place).where(F.col("__i") < F.size(at))
+
+
+def stamped(events: DataFrame, instants: list | str, column: str = "ts") -> DataFrame:
+    """events with rib_ts: the first of the instants at or after the event, found by halving; base rows get the first; later events go."""
+    return _interval(events, instants, column).withColumn("rib_ts", F.get(_sorted_instants(instants), F.col("__i"))).drop("__i")
 
 
 def snapshots(events: DataFrame, values: list[str], instants: list | str) -> DataFrame:
@@ -86,10 +104,12 @@ def snapshots(events: DataFrame, values: list[str], instants: list | str) -> Dat
     """
     key = route_key(events)
     row = F.struct("elem_type", "is_match", *values)
-    folded = stamped(events, instants).groupBy(*key, "rib_ts").agg(F.max_by(row, F.struct("phase", "seq")).alias("last"), F.any_value(_sorted_instants(instants)).alias("__at"))
-    until = F.lead("rib_ts").over(Window.partitionBy(*key).orderBy("rib_ts"))
-    spans = folded.withColumn("until", until).where((F.col("last.elem_type") == "A") & F.coalesce(F.col("last.is_match"), F.lit(False)))
-    lasting = F.filter("__at", lambda i: (i >= F.col("rib_ts")) & (F.col("until").isNull() | (i < F.col("until"))))
+    carried = [F.any_value(F.col(instants)).alias("__at")] if isinstance(instants, str) else []
+    folded = _interval(events, instants, "ts").groupBy(*key, "__i").agg(F.max_by(row, F.struct("phase", "seq")).alias("last"), *carried)
+    at = F.col("__at") if carried else _sorted_instants(instants)
+    until = F.coalesce(F.lead("__i").over(Window.partitionBy(*key).orderBy("__i")), F.size(at))
+    spans = folded.withColumn("__until", until).where((F.col("last.elem_type") == "A") & F.coalesce(F.col("last.is_match"), F.lit(False)))
+    lasting = F.slice(at, F.col("__i") + 1, F.col("__until") - F.col("__i"))
     return spans.withColumn("rib_ts", F.explode(lasting)).select("rib_ts", *key, *[F.col(f"last.{v}").alias(v) for v in values])
 
 

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pathloom.operators import as2rel, asinfo, aspa, reports, rib, search
+from pathloom.operators import as2rel, asinfo, asof, aspa, reports, rib, search
 from pathloom.operators.filters import RouteFilters
 from pathloom.streaming import streams
 
@@ -82,6 +82,46 @@ def test_table_at_the_dump_is_the_dump(spark):
     assert at.count() == len({e[2:7] for e in base})
 
 
+def test_last_before(spark):
+    r = random.Random(3)
+    left = [(i, r.choice("abc"), r.choice([None, r.randrange(400_000)])) for i in range(300)]
+    right = [(r.choice("abd"), r.choice([None, r.randrange(400_000), 5000]), r.randrange(50)) for _ in range(120)]
+    q = spark.createDataFrame(left, "id int, k string, t long").withColumn("t", F.timestamp_seconds("t"))
+    d = spark.createDataFrame(right, "k string, u long, v int").withColumn("u", F.timestamp_seconds("u"))
+    want = {}
+    for i, k, t in left:
+        near = [(u, v) for x, u, v in right if x == k and u is not None and t is not None and u <= t]
+        want[i] = max(near)[1] if near else None
+    for width in (1000, 86_400, 10_000_000):
+        assert {x["id"]: x["v"] for x in asof.last_before(q, d, ["k"], "t", "u", ["v"], width).collect()} == want
+    assert asof.last_before(q.limit(0), d, ["k"], "t", "u", ["v"]).count() == 0
+    assert asof.last_before(q, d.limit(0), ["k"], "t", "u", ["v"]).where("v IS NOT NULL").count() == 0
+
+
+def test_ten_thousand_instants(spark):
+    """Stamping and dump selection at many instants: same results as one instant at a time, by halving and one ordered pass."""
+    r = random.Random(4)
+    instants = sorted(r.sample(range(1, 1_000_000), 10_000))
+    stamps = spark.createDataFrame([(instants,)], "s array<long>").select(F.transform("s", F.timestamp_seconds).alias("instants"))
+    events = [(r.randrange(3), "A" if r.random() < 0.7 else "W", f"10.{r.randrange(6)}.0.0/16", n, sorted(r.sample(range(1, 1_000_100), 400))[n]) for n in range(400)]
+    df = spark.createDataFrame(events, "peer_asn int, elem_type string, prefix string, seq int, s long").withColumn("ts", F.timestamp_seconds("s")).withColumn("phase", F.lit(1)).withColumn("is_match", F.lit(True))
+    df = df.join(F.broadcast(stamps.withColumn("one", F.lit(1))), F.col("phase") == F.col("one")).drop("one")
+    got = {x["seq"]: x["at"] for x in rib.stamped(df, "instants").select("seq", F.unix_seconds("rib_ts").alias("at")).collect()}
+    assert got == {e[3]: next(i for i in instants if i >= e[4]) for e in events if e[4] <= instants[-1]}
+    found = rib.snapshots(df, ["seq"], "instants").groupBy(F.unix_seconds("rib_ts").alias("at")).agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = {x["at"]: x["n"] for x in found}
+    for at in (instants[0], instants[17], instants[5000], instants[-1]):
+        last = {}
+        for peer, kind, prefix, n, t in sorted(events, key=lambda e: e[3]):
+            if t <= at:
+                last[peer, prefix] = kind
+        assert counts.get(at, 0) == sum(k == "A" for k in last.values())
+    catalog = spark.createDataFrame([(c, "rib", t, f"{c}{t}") for c in "cd" for t in range(0, 1_000_000, 7000)], "collector_id string, data_type string, s long, url string").withColumn("ts_start", F.timestamp_seconds("s"))
+    wanted = spark.createDataFrame([(i,) for i in instants], "s long").select(F.timestamp_seconds("s").alias("rib_ts"))
+    dumps = rib.base_dumps(catalog, wanted).select("collector_id", F.unix_seconds("rib_ts").alias("at"), "url").collect()
+    assert len(dumps) == 20_000 and all(x["url"] == f"{x['collector_id']}{x['at'] // 7000 * 7000}" for x in dumps)
+
+
 def test_dump_selection(spark):
     catalog = spark.createDataFrame([("c", "rib", 10, 10, "c10"), ("c", "rib", 20, 20, "c20"), ("d", "rib", 15, 15, "d15"), ("c", "updates", 18, 21, "u1"), ("c", "updates", 30, 31, "u2"), ("c", "updates", 1, 5, "u0")], "collector_id string, data_type string, s long, e long, url string")
     at = lambda c: F.timestamp_seconds(F.col(c) * 86400)
