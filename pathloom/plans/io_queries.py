@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions import scalars
-from pathloom.operators import as2rel, asinfo, match, reports, rib, rov, search
+from pathloom.operators import as2rel, asinfo, match, reports, rib, roa_history, rov, search
 from pathloom.operators.filters import RouteFilters
 from pathloom.sources import ingest
 from pathloom.sources.store import ElementStore
@@ -182,6 +182,29 @@ def roa_snapshots(spark, sf_dir):
     return day.select(F.lit("day").alias("kind"), "prefix", "origin_asn").union(latest.select(F.lit("latest").alias("kind"), "prefix", "origin_asn"))
 
 
+@query("SELECT kind, prefix, origin_asn FROM (SELECT DISTINCT 'day' AS kind, prefix, max_length, origin_asn FROM dated_roas WHERE date = '2024-01-06' AND source = 'rpkispools' AND collector = 'sobornost' UNION ALL SELECT DISTINCT 'latest', prefix, max_length, origin_asn FROM dated_roas WHERE source = 'ripe' AND date = (SELECT max(date) FROM dated_roas WHERE source = 'ripe')) x", "dated_roas")
+def roa_snapshots_intervals(spark, sf_dir):
+    """The ROAs of a day and of the newest day, from intervals of validity."""
+    held = roa_history.intervals(view(spark, sf_dir, "dated_roas"))
+    day = roa_history.at_day(held, "2024-01-06").where("source = 'rpkispools' AND collector = 'sobornost'")
+    return day.select(F.lit("day").alias("kind"), "prefix", "origin_asn").union(held.where("source = 'ripe' AND until IS NULL").select(F.lit("latest").alias("kind"), "prefix", "origin_asn"))
+
+
+_RIPE = "(SELECT DISTINCT prefix, max_length, origin_asn, date FROM dated_roas WHERE source = 'ripe')"
+_OWN_DAY = f"(SELECT e.*, (SELECT max(d.date) FROM {_RIPE} d WHERE d.date <= e.day) AS roa_day FROM (SELECT DISTINCT prefix, origin_asn, strftime(ts, '%Y-%m-%d') AS day FROM bgp_elems WHERE elem_type = 'A') e)"
+
+
+@query(
+    f"SELECT a.prefix, a.origin_asn, a.day, CASE WHEN bool_or(r.origin_asn = a.origin_asn AND a.len <= r.max_length) THEN 'valid' WHEN count(r.origin_asn) > 0 THEN 'invalid' ELSE 'not_found' END AS state FROM {_keyed(_OWN_DAY)} a LEFT JOIN {_keyed(_RIPE)} r ON r.date = a.roa_day AND {_CONTAINS.format(a='a', b='r')} GROUP BY 1, 2, 3",
+    "dated_roas", "bgp_elems",
+)
+def rov_at_own_day(spark, sf_dir):
+    """Announcements validated against the ROAs of their own day."""
+    pairs = view(spark, sf_dir, "bgp_elems").where("elem_type = 'A'").select("prefix", "origin_asn", F.date_format("ts", "yyyy-MM-dd").alias("day")).distinct()
+    held = roa_history.intervals(view(spark, sf_dir, "dated_roas")).where("source = 'ripe'")
+    return roa_history.validated_at(pairs, held)
+
+
 @query("SELECT asn, name, country FROM asinfo_core WHERE asn IN (SELECT asn2 FROM as2rel)", "asinfo_core", "as2rel")
 def asinfo_records_of(spark, sf_dir):
     return asinfo.records_of(view(spark, sf_dir, "asinfo_core"), view(spark, sf_dir, "as2rel").select(F.col("asn2").alias("asn")))
