@@ -100,10 +100,10 @@ def with_key(df: DataFrame, prefix: str = "prefix", into: str = "key") -> DataFr
     return rows.select(*[F.col(f"`{c}`") for c in df.columns], F.col(f).alias(f"{into}_family"), hi.alias(f"{into}_hi"), lo.alias(f"{into}_lo"), F.col(n).alias(f"{into}_len"))
 
 
-def ancestors(into: str, lengths: Iterable[tuple[int, int]]) -> Column:
-    """Keys of all prefixes of the given (family, length) pairs that contain the key, itself included."""
+def ancestors(into: str | Column, lengths: Iterable[tuple[int, int]]) -> Column:
+    """Keys of all prefixes of the given (family, length) pairs that contain the key (a struct, or columns into_family and so on), itself included."""
     lengths = sorted(set(lengths))
-    family, hi, lo, own = (F.col(f"{into}_{k}") for k in KEY)
+    family, hi, lo, own = (F.col(f"{into}_{k}") if isinstance(into, str) else into[k] for k in KEY)
     found = None
     for f in (4, 6):
         of = [n for g, n in lengths if g == f]

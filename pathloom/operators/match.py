@@ -7,6 +7,7 @@ other side has, so that every match is a hash match.
 from __future__ import annotations
 
 import ipaddress
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -124,10 +125,41 @@ def listed_prefixes(rows: DataFrame, wanted: list[str], include_super: bool = Fa
     return keyed.where(~found if negated else found).select(*[F.col(f"`{c}`") for c in rows.columns])
 
 
+#: Bits of the bitmap of a list's keys, and the bits that each key sets; 512 KB, whatever the list.
+FILTER_BITS, FILTER_WORDS = 22, 1 << 16
+
+
+def _positions(key: list[Column]) -> list[Column]:
+    h = F.xxhash64(*key)
+    mask = F.lit((1 << FILTER_BITS) - 1).cast("bigint")
+    return [h.bitwiseAND(mask), F.shiftrightunsigned(h, FILTER_BITS).bitwiseAND(mask)]
+
+
+def _bit(position: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), position.bitwiseAND(F.lit(63).cast("bigint")).cast("int"))
+
+
+def key_bitmap(keys: DataFrame, into: str) -> Column:
+    """A bitmap of the keys in columns into_family and so on, as a literal: its words, FILTER_WORDS at most, come to the driver and go out with the tasks."""
+    places = keys.select(F.explode(F.array(*_positions([F.col(f"{into}_{k}") for k in KEY]))).alias("p"))
+    words = [0] * FILTER_WORDS
+    for r in places.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(_bit(F.col("p"))).alias("bits")).collect():
+        words[r["word"]] = r["bits"]
+    # as text, since a literal array would be put together element by element; it is read once, when the plan is made
+    return F.from_json(F.lit(json.dumps(words)), "array<bigint>")
+
+
+def _maybe(bitmap: Column, key: list[Column]) -> Column:
+    """Whether a key may be among those of a bitmap; false for sure, true but for one in so many others."""
+    hits = [F.get(bitmap, F.shiftright(p, 6).cast("int")).bitwiseAND(_bit(p)) != 0 for p in _positions(key)]
+    return hits[0] & hits[1]
+
+
 def filter_prefixes(rows: DataFrame, wanted: DataFrame, include_super: bool = False, include_sub: bool = False, negated: bool = False, prefix: str = "prefix") -> DataFrame:
     """The rows whose prefix is in wanted (column prefix), is a super-prefix of one there, or a sub-prefix, as asked; or no such row, negated.
 
-    Rows whose own prefix has no key are left out either way.
+    A bitmap of the list's keys is the first predicate; only rows that pass it are joined with the list, the others don't move. Rows
+    whose own prefix has no key are left out either way.
     """
     table = rows.withColumn("__row_prefix", F.col(prefix))
     keyed = with_key(table, "__row_prefix", "r").drop("__row_prefix")
@@ -137,13 +169,22 @@ def filter_prefixes(rows: DataFrame, wanted: DataFrame, include_super: bool = Fa
         up = w.unionByName(supers).distinct()
     else:
         up = w
-    flagged = keyed.join(up.select(*[F.col(f"w_{k}").alias(f"u_{k}") for k in KEY], F.lit(True).alias("__up")), _same("r", "u"), "left").drop(*[f"u_{k}" for k in KEY])
+    upper = key_bitmap(up, "w")
+    lengths, listed = (lengths_present(wanted), key_bitmap(w, "w")) if include_sub else ([], None)
+
+    def may_hit(key: Column) -> Column:
+        hit = _maybe(upper, [key[k] for k in KEY])
+        return hit | F.exists(ancestors(key, lengths), lambda a: _maybe(listed, [a[k] for k in KEY])) if include_sub else hit
+
+    # the key is bound once; as columns its expression would be repeated for each of the conditions
+    maybe = F.exists(F.array(F.struct(*[F.col(f"r_{k}").alias(k) for k in KEY])), may_hit)
+    passed = keyed.where(maybe)
+    flagged = passed.join(up.select(*[F.col(f"w_{k}").alias(f"u_{k}") for k in KEY], F.lit(True).alias("__up")), _same("r", "u"), "left").drop(*[f"u_{k}" for k in KEY])
     hit = F.coalesce("__up", F.lit(False))
     if include_sub:
-        lengths = lengths_present(wanted)
-        pairs = _exploded(keyed.select(*[f"r_{k}" for k in KEY]).distinct(), "r", lengths, "a")
+        pairs = _exploded(passed.select(*[f"r_{k}" for k in KEY]).distinct(), "r", lengths, "a")
         below = pairs.join(w, _same("a", "w"), "left_semi").select(*[F.col(f"r_{k}").alias(f"b_{k}") for k in KEY]).distinct().withColumn("__down", F.lit(True))
         flagged = flagged.join(below, _same("r", "b"), "left").drop(*[f"b_{k}" for k in KEY])
         hit = hit | F.coalesce("__down", F.lit(False))
-    kept = flagged.where(~hit if negated else hit)
-    return kept.select(*rows.columns)
+    kept = flagged.where(~hit if negated else hit).select(*rows.columns)
+    return kept.unionByName(keyed.where(~maybe).select(*rows.columns)) if negated else kept

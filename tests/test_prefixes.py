@@ -119,3 +119,50 @@ def test_no_rows(spark):
     assert match.longest(q, t).count() == match.covered(q, t).count() == match.search_union(q, t).count() == 0
     roas = spark.createDataFrame([], "prefix string, max_length int, origin_asn long, ta string")
     assert rov.validated(q.select(F.col("query").alias("prefix"), F.lit(1).alias("origin_asn")), roas).first()["state"] == "not_found"
+
+
+@pytest.mark.parametrize("up,down,negated", [(False, False, False), (True, False, False), (False, True, False), (True, True, False), (True, True, True), (False, False, True)])
+def test_long_lists_join_only_what_their_bitmap_passes(spark, up, down, negated):
+    r = random.Random(9)
+    net = lambda: str(ipaddress.ip_network((r.choice([0x0A000000, 0xC0A80000]) + r.getrandbits(16) * 64, r.choice([12, 16, 20, 24, 28, 32])), strict=False)) if r.random() < 0.7 else str(ipaddress.ip_network((0x20010DB8 << 96 | r.getrandbits(10) << 80, r.choice([29, 32, 44, 48, 64])), strict=False))
+    rows, wanted = [(i, net()) for i in range(3000)] + [(-1, "none"), (-2, None)], [net() for _ in range(60)]
+    df = spark.createDataFrame(rows, "id int, prefix string")
+    found = match.filter_prefixes(df, spark.createDataFrame([(x,) for x in wanted], "prefix string"), up, down, negated)
+    nets = [ipaddress.ip_network(x) for x in wanted]
+    want = []
+    for i, p in rows[:-2]:
+        n = ipaddress.ip_network(p)
+        same = [x for x in nets if x.version == n.version]
+        hit = n in same or (up and any(x.subnet_of(n) for x in same)) or (down and any(n.subnet_of(x) for x in same))
+        want += [i] * (hit != negated)
+    assert sorted(x["id"] for x in found.collect()) == sorted(want)
+
+
+def test_unmatched_rows_do_not_move(spark):
+    """Of 20,000 rows three are on the list: no exchange gets more than a few of the rows."""
+    df = spark.range(20_000).select(F.format_string("10.%d.%d.0/24", F.floor(F.col("id") / 250) % 250, F.col("id") % 250).alias("prefix"), "id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = match.filter_prefixes(df, spark.createDataFrame([("10.3.4.0/24",), ("10.9.9.0/24",)], "prefix string"), include_sub=True)
+        assert found.count() == 2 and found.distinct().count() == 2
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "exists(array(" in plan.replace("struct(", "(").replace("named_", "")
+        moved = _most_moved(found._jdf.queryExecution().executedPlan())
+        assert 0 < moved < 200
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def _most_moved(plan):
+    """The most rows that an exchange of the executed plan wrote."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return _most_moved(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return _most_moved(plan.plan())
+    own = [0]
+    if name == "ShuffleExchangeExec":
+        own.append(plan.metrics().apply("shuffleRecordsWritten").value())
+    children = plan.children()
+    return max(own + [_most_moved(children.apply(i)) for i in range(children.size())])
