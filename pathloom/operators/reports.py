@@ -155,6 +155,11 @@ def inspect_prefixes(queries: DataFrame, data: Datasets) -> DataFrame:
     return asinfo.with_name(rows, data.names(), "origin_asn", "as_name").join(country, F.col("origin_asn") == F.col("__c"), "left").drop("__c")
 
 
+def inspect_kept_names(names: DataFrame, index, most: int) -> DataFrame:
+    """What inspect_names() gives, from a kept index (sources.name_index.NameIndex) and without a scan of names."""
+    return first_with_flag(index.search(names), ["input"], ["asn"], most)
+
+
 def inspect_names(names: DataFrame, data: Datasets, most: int) -> DataFrame:
     """ASes with each text (input) in one of the names that searches look at: the first by number, true totals, whether cut.
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
 import re
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,12 +12,15 @@ from pyspark.sql import functions as F
 from pathloom.functions import scalars
 from pathloom.operators import as2rel, asinfo, match, reports, rib, roa_history, rov, search
 from pathloom.operators.filters import RouteFilters
+from pathloom.operators.running import RunningStatistics
 from pathloom.sources import ingest
+from pathloom.sources.name_index import NameIndex
+from pathloom.sources.snapshots import SnapshotStore
 from pathloom.sources.store import ElementStore
 from pathloom.sources.views import dumps, elems, view
 
 from . import runs
-from .registry import _CONTAINS, _EVENTS, _INSTANTS, _NAME_VIEWS, _NAMES, _ROUTE, _SIDES, BASE_TS, ELEM, ELEM_SQL, INSTANTS, LAST_TS, _catalog, _data, _keyed, _names, _ntz, _routes, _states_sql, query
+from .registry import _CONTAINS, _EVENTS, _INSTANTS, _NAME_VIEWS, _NAMES, _ROUTE, _SIDES, BASE_TS, ELEM, ELEM_SQL, INSTANTS, LAST_TS, _catalog, _data, _keyed, _names, _ntz, _routes, _states_sql, query, same_rows_as
 from .scratch import scratch
 
 # --- elements and sinks ------------------------------------------------------------------------------
@@ -414,3 +419,41 @@ def run_files_of_matches(spark, sf_dir):
     found = runs.search_files(spark, _files(spark, sf_dir), RouteFilters(elem_type="w"))
     by_file = search.matching_files(found.elements)
     return by_file.groupBy(F.regexp_extract("file", "__c=([^/]+)/", 1).alias("file_collector")).agg(F.sum("matched").cast("long").alias("matched"))
+
+
+# --- what is kept from run to run ------------------------------------------------------------------------
+
+
+@same_rows_as("inspect_name")
+def inspect_name_kept(spark, sf_dir):
+    """Names searched for in a kept index, which a third of the ASes reached by an update."""
+    data, index = _data(spark, sf_dir), NameIndex(spark, scratch(spark, "names"))
+    third = data.core.where(F.col("asn") % 3 == 0)
+    # until the update these are there with another name
+    index.build(data.core.where(F.col("asn") % 3 != 0).unionByName(third.withColumn("name", F.lit("building furniture"))), data.as2org, data.peeringdb)
+    index.update(third, data.core, data.as2org, data.peeringdb)
+    return reports.inspect_kept_names(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.lower("c_mktsegment").alias("input")), index, 5)
+
+
+@same_rows_as("search_stats_by_collector")
+def search_stats_running(spark, sf_dir):
+    """Statistics of a search that grew by three batches, one of which came twice."""
+    found = RouteFilters(elem_type="a", as_path_regex=" 6460[0-9] ").apply(elems(spark, sf_dir))
+    kept = RunningStatistics(spark, scratch(spark, "statistics"))
+    for number in (0, 1, 1, 2):
+        kept.add(found.where(F.col("seq") % 3 == number), number)
+    return kept.totals()
+
+
+@same_rows_as("rib_stream")
+def rib_from_kept_table(spark, sf_dir):
+    """The table at the last instant, replayed from a kept table between the dump and it."""
+    seconds = lambda text: int(datetime.datetime.fromisoformat(text).replace(tzinfo=datetime.timezone.utc).timestamp())
+    columns = ["collector", "peer_ip", "peer_asn", "prefix"]
+    base = dumps(spark, sf_dir).where(F.col("dump_ts") == _ntz(BASE_TS)).groupBy(*columns).agg(F.max_by("origin_asns", "seq").alias("origin_asns"))
+    at = F.timestamp_seconds(F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS timestamp_ntz))"))
+    updates = elems(spark, sf_dir).where((F.col("ts") > _ntz(BASE_TS)) & (F.col("ts") <= _ntz(LAST_TS))).withColumn("ts", at)
+    store = SnapshotStore(spark, f"kept_{uuid.uuid4().hex}", scratch(spark, "kept"), ("origin_asns",), 8)
+    store.write(base, seconds(BASE_TS))
+    store.extend(updates, (seconds(BASE_TS) + seconds(LAST_TS)) // 2)
+    return _routes(store.replayed(updates, seconds(LAST_TS)))

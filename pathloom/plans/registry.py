@@ -31,6 +31,17 @@ def query(sql: str, *views: str) -> Callable[[Query], Query]:
     return register
 
 
+def same_rows_as(name: str) -> Callable[[Query], Query]:
+    """Register a query that gives the rows of another in another way."""
+
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        _SQL[f.__name__] = _SQL[name]
+        return f
+
+    return register
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
