@@ -342,6 +342,54 @@ def as2rel_search(spark, sf_dir):
     return found.select("asn1", "asn2", "asn2_name", "as2_upstream", "connected_text")
 
 
+_FOUND = "asn1, asn2, as_name AS asn2_name, connected, as1_upstream, as2_upstream"
+_COUNTED = "SELECT asn1, asn2, coalesce(max(CASE WHEN rel = 0 THEN peers_count END), 0) AS connected, CAST(coalesce(sum(CASE WHEN rel = 1 THEN peers_count END), 0) AS BIGINT) AS as1_upstream, CAST(coalesce(sum(CASE WHEN rel = -1 THEN peers_count END), 0) AS BIGINT) AS as2_upstream FROM sides"
+
+
+@query(f", {_SIDES}, {_NAMES}, a AS ({_COUNTED} WHERE asn1 = 64700 AND asn2 = 64600 GROUP BY 1, 2) SELECT {_FOUND} FROM a LEFT JOIN names ON asn = asn2", "as2rel", *_NAME_VIEWS)
+def as2rel_search_pair(spark, sf_dir):
+    """The search's branch for two ASes, with names."""
+    return as2rel.search(view(spark, sf_dir, "as2rel"), [64700, 64600], _names(spark, sf_dir)).select("asn1", "asn2", "asn2_name", "connected", "as1_upstream", "as2_upstream")
+
+
+@query(f", {_SIDES}, {_NAMES}, a AS ({_COUNTED} WHERE asn1 < asn2 AND asn1 IN (64600, 64601, 64605, 64702, 64704) AND asn2 IN (64600, 64601, 64605, 64702, 64704) GROUP BY 1, 2), m AS (SELECT max(peers_count) AS most FROM as2rel) SELECT {_FOUND} FROM a LEFT JOIN names ON asn = asn2, m WHERE connected * 100.0 / most >= 15", "as2rel", *_NAME_VIEWS)
+def as2rel_search_many(spark, sf_dir):
+    """The search's branch for more than two ASes, with names and a bar on visibility."""
+    found = as2rel.search(view(spark, sf_dir, "as2rel"), [64600, 64601, 64605, 64702, 64704], _names(spark, sf_dir), min_percent=15.0)
+    return found.select("asn1", "asn2", "asn2_name", "connected", "as1_upstream", "as2_upstream")
+
+
+@query(
+    f", u AS (SELECT CASE WHEN rel = -1 THEN asn1 ELSE asn2 END AS customer_asn, CASE WHEN rel = -1 THEN asn2 ELSE asn1 END AS upstream_asn, peers_count FROM as2rel WHERE rel IN (-1, 1)), {_NAMES}, x AS (SELECT customer_asn, max(CASE WHEN upstream_asn = 64600 THEN peers_count END) AS visibility FROM u GROUP BY 1 HAVING count(DISTINCT upstream_asn) = 1 AND max(CASE WHEN upstream_asn = 64600 THEN peers_count END) >= floor(0.1 * (SELECT max(peers_count) FROM as2rel))) SELECT customer_asn, visibility, as_name AS customer_name FROM x LEFT JOIN names ON asn = customer_asn",
+    "as2rel", *_NAME_VIEWS,
+)
+def as2rel_search_sole_upstream(spark, sf_dir):
+    """The search's branch for customers of one upstream, with names."""
+    return as2rel.search(view(spark, sf_dir, "as2rel"), [64600], _names(spark, sf_dir), min_percent=10.0, sole_upstream=True)
+
+
+@query(
+    """, i AS (SELECT DISTINCT lower(substr(name, 1, n)) AS input FROM countries, (SELECT unnest([1, 2, 4, 6]) AS n) UNION SELECT lower(substr(code, 1, 1)) FROM countries UNION SELECT lower(substr(name, 4)) FROM countries UNION SELECT 'zz'),
+ near AS (SELECT i.input, count(c.code) AS hits, count(CASE WHEN lower(c.name) = i.input THEN 1 END) AS names, max(CASE WHEN lower(c.name) = i.input THEN c.code END) AS name_code, max(CASE WHEN lower(c.code) = i.input THEN c.code END) AS own, max(c.code) AS one
+   FROM i LEFT JOIN countries c ON contains(lower(c.name), i.input) OR lower(c.code) = i.input GROUP BY 1),
+ r AS (SELECT input, hits, CASE WHEN names = 1 THEN name_code WHEN own IS NOT NULL THEN own WHEN hits = 1 THEN one WHEN hits = 0 AND length(input) = 2 THEN upper(input) END AS code FROM near)
+ SELECT input, code, CASE WHEN code IS NOT NULL THEN 'resolved' WHEN hits = 0 THEN 'unknown' ELSE 'ambiguous' END AS state FROM r""",
+    "countries",
+)
+def country_resolution_parts(spark, sf_dir):
+    """Beginnings of names: several countries have some, one country others, and two letters that nothing knows are a code."""
+    table = view(spark, sf_dir, "countries")
+    parts = [F.lower(F.substring("name", 1, n)) for n in (1, 2, 4, 6)] + [F.lower(F.substring("code", 1, 1)), F.lower(F.expr("substring(name, 4)")), F.lit("zz")]
+    return asinfo.resolve_countries(table.select(F.explode(F.array(*parts)).alias("input")).distinct(), table)
+
+
+@same_rows_as("inspect_name")
+def inspect_forced_name(spark, sf_dir):
+    """Inputs that are read as names, whatever they look like."""
+    inputs = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.lower("c_mktsegment").alias("input")).distinct()
+    return reports.inspect(inputs, _data(spark, sf_dir), 5, "name")["name"]
+
+
 # --- whole runs over files -----------------------------------------------------------------------------------------
 
 
