@@ -160,18 +160,25 @@ class Grammar:
         """(place, marks with context) of each match of a clause, along the one path that the machine accepts."""
         known = self.clauses.get(marks)
         if known is None:
-            paths = [(s, []) for s in self.machine.starts]
+            # a path's matches are linked backwards, so that a long clause takes as many steps as it has words
+            paths = [(s, None) for s in self.machine.starts]
             for place, x in enumerate(marks):
                 moved = []
                 for state, found in paths:
                     arc = self.machine.arcs.get((state, x))
                     if arc is not None:
-                        moved.append((arc[0], [*found, (place, arc[1])] if arc[1] & (INSULT | THREAT) else found))
+                        moved.append((arc[0], (found, place, arc[1]) if arc[1] & (INSULT | THREAT) else found))
                 paths = moved
-            (known,) = (found for state, found in paths if state in self.machine.finals)
-            if len(self.clauses) > KEPT_WORDS:
-                self.clauses.clear()
-            self.clauses[marks] = known
+            (last,) = (found for state, found in paths if state in self.machine.finals)
+            known = []
+            while last is not None:
+                last, place, out = last
+                known.append((place, out))
+            known.reverse()
+            if len(marks) <= KEPT_CLAUSE:
+                if len(self.clauses) > KEPT_WORDS:
+                    self.clauses.clear()
+                self.clauses[marks] = known
         return known
 
     def features(self, text: bytes) -> list[float]:
