@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions.prefix import host_prefix, is_v6, prefix_length
 from pathloom.functions.scalars import parse_asn, query_type, truncated_name
+from pathloom.plans.scratch import stored
 
 from . import as2rel, asinfo, aspa, match, rov
 
@@ -242,7 +243,8 @@ def relation(pairs: DataFrame, edges: DataFrame) -> DataFrame:
 def ip_lookup(addresses: DataFrame, data: Datasets) -> DataFrame:
     """Each address (ip) with its longest prefix, origin, name, country and state; addresses without a prefix have nulls."""
     queries = addresses.select("ip").distinct().withColumn("query", host_prefix(F.col("ip")))
-    hits = match.longest(queries, data.pfx2as.select("prefix", "origin_asn")).drop("query")
+    # read three times: for the pairs that were met, for their ASes, and in the end
+    hits = stored(match.longest(queries, data.pfx2as.select("prefix", "origin_asn")).drop("query"))
     # state, name and country depend on the pair alone: only pairs that were met are looked up
     met = hits.select(F.col("matched_prefix").alias("__p"), F.col("origin_asn").alias("__o")).distinct()
     about = asinfo.described(met.select(F.col("__o").alias("asn")).distinct(), data.core, data.as2org, data.peeringdb)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pathloom.plans.scratch import checkpointed
+from pathloom.plans.scratch import stored
 
 #: Columns whose distinct values are counted, and the names of the counts.
 DISTINCT = {"prefix": "prefixes", "peer_asn": "peers"}
@@ -20,7 +20,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def _numbered(values: DataFrame, first: int) -> DataFrame:
     """values with code: first, first + 1, ... in no order; parts number their own rows and move by the sizes of the parts before."""
-    rows = checkpointed(values.withColumn("__at", F.monotonically_increasing_id()))
+    rows = stored(values.withColumn("__at", F.monotonically_increasing_id()))
     part = F.shiftright("__at", 33)
     sizes = rows.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -53,7 +53,7 @@ class RunningStatistics:
         """Take in a batch; number counts from 0."""
         values = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("value")) for c in DISTINCT]))
         pairs = elems.select("collector", values.alias("v")).select("collector", "v.*").where("value IS NOT NULL").distinct()
-        pairs = checkpointed(pairs)
+        pairs = stored(pairs)
         met = pairs.select("kind", "value").distinct()
         old = self._codes(number)
         first = 0

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.operators import asinfo
-from pathloom.plans.scratch import checkpointed
+from pathloom.plans.scratch import stored
 
 LONGEST, PARTS = 3, 16
 _POSTINGS = "gram string, text string, asn bigint, name string, country string, generation int, part int"
@@ -73,7 +73,7 @@ class NameIndex:
         known = _only(counts, runs, "__part").join(runs, (F.col("part") == F.col("__part")) & (F.col("gram") == F.col("__own"))).groupBy("input", "__i", "__own").agg(F.sum("n").alias("n"))
         # a run without postings has no row: a text that has one is in no name
         every = known.groupBy("input", "__i").agg(F.min(F.struct("n", "__own")).alias("r"), F.count(F.lit(1)).alias("met"))
-        rarest = checkpointed(every.where(F.col("met") == F.size(own)).select("input", "__i", F.col("r.__own").alias("__key"), _part(F.col("r.__own")).alias("__at")))
+        rarest = stored(every.where(F.col("met") == F.size(own)).select("input", "__i", F.col("r.__own").alias("__key"), _part(F.col("r.__own")).alias("__at")))
         postings = self.spark.read.schema(_POSTINGS).parquet(f"{self.path}/postings")
         hits = _only(postings, rarest, "__at").join(rarest, (F.col("part") == F.col("__at")) & (F.col("gram") == F.col("__key"))).where(F.contains("text", F.col("__i")))
         newest = self.spark.read.schema("asn bigint, generation int").parquet(f"{self.path}/newest").groupBy(F.col("asn").alias("__asn")).agg(F.max("generation").alias("__newest"))
