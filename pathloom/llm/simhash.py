@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate, repeat
 
 import numpy as np
@@ -17,10 +18,10 @@ from .common import checkpointed, keep_one_row_each, sliced, text_digest
 from .components import stars
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 2
-#: The tree that deals fingerprints out: about so many in a leaf, so many leaves at least, and the sample that it is built on.
-LEAF_ROWS, LEAST_DEPTH, SAMPLE = 16_384, 6, 16_384
-#: Points of a leaf beyond which it is dealt anew.
-LEAF_MOST = 4 * LEAF_ROWS
+#: The tree that deals fingerprints out: about so many in a leaf, so many levels at least, the levels that grow at once, and the sample that they grow on.
+LEAF_ROWS, LEAST_DEPTH, GROWN, SAMPLE = 16_384, 6, 9, 16_384
+#: Points of a leaf beyond which it grows on, and bits that number the leaves of one growth.
+LEAF_MOST, LEAF_BITS = 4 * LEAF_ROWS, 10
 
 
 def fingerprint(text: bytes) -> int:
@@ -52,17 +53,64 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(emit, "doc_id long, text_sha256 string, fp long")
 
 
+def _packed(tree: list[tuple[int, int, int, int]]) -> bytes:
+    return np.array([[np.uint64(v).view(np.int64) if i == 0 else v for i, v in enumerate(row)] for row in tree], dtype=np.int64).tobytes()
+
+
+def _unpacked(raw: bytes) -> list[tuple[int, int, int, int]]:
+    return [(int(np.int64(v).view(np.uint64)), r, i, o) for v, r, i, o in np.frombuffer(raw, dtype=np.int64).reshape(-1, 4).tolist()]
+
+
+def _grown(dealt: DataFrame, heavy: DataFrame, radius: int, leaf_rows: int, level: int) -> tuple[DataFrame, DataFrame]:
+    """((leaf, fp) of heavy's leaves dealt to their own subtrees, (leaf) of those that no vantage point parts); heavy has leaf and n.
+
+    Each leaf's subtree grows on a sample of its own. It travels with its leaf's points: they are dealt to as many tasks as their number asks for, each of
+    which gets the subtree first, so that no task holds more than one subtree and a batch of points.
+    """
+    own = heavy.select(F.col("leaf").alias("__leaf"), "n")
+    rows = dealt.join(own, F.col("leaf") == F.col("__leaf")).drop("__leaf")
+    sampled = rows.where(F.pmod(F.xxhash64("fp", F.lit(level)), F.lit(1 << 30)) < F.lit(SAMPLE) * F.lit(float(1 << 30)) / F.col("n"))
+
+    def plant(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        n = int(part["n"].iloc[0])
+        depth = min(GROWN, max(1, int(np.ceil(np.log2(n / leaf_rows)))))
+        tree = vp_tree.build(np.sort(part["fp"].to_numpy()).view(np.uint64), depth, radius)
+        return pd.DataFrame({"leaf": [key[0]], "n": [n], "tree": [_packed(tree)]})
+
+    trees = checkpointed(sampled.groupBy("leaf").applyInPandas(plant, "leaf long, n long, tree binary"))
+    parted = trees.where(F.length("tree") > 0)
+    tasks = F.ceil(F.col("n") / (4 * leaf_rows)).cast("int")
+    seeds = parted.select("leaf", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("task"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("fp"), "tree")
+    points = rows.join(parted.select(F.col("leaf").alias("__leaf")), F.col("leaf") == F.col("__leaf"), "left_semi")
+    points = points.select("leaf", F.pmod(F.xxhash64("fp"), tasks).cast("int").alias("task"), F.lit(1).alias("kind"), "fp", F.lit(None).cast("binary").alias("tree"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree: list = []
+        for batch in filter(len, batches):
+            kind, leaf, fp = (batch.column(c).to_numpy() for c in ("kind", "leaf", "fp"))
+            begins = np.flatnonzero(kind == 0).tolist()
+            for i, j in zip([0, *begins], [*begins, len(batch)], strict=True):
+                if kind[i] == 0:
+                    tree = _unpacked(batch.column("tree")[i].as_py())
+                    i += 1
+                if j > i:
+                    below, index = vp_tree.shards(tree, fp[i:j].view(np.uint64), radius)
+                    yield pa.record_batch([pa.array((leaf[i:j][index] << LEAF_BITS) + below + 1, pa.int64()), pa.array(fp[i:j][index], pa.int64())], names=["leaf", "fp"])
+
+    ordered = seeds.unionByName(points).repartition("leaf", "task").sortWithinPartitions("leaf", "task", "kind")
+    return ordered.mapInArrow(deal, "leaf long, fp long"), heavy.join(parted.select(F.col("leaf").alias("__leaf")), F.col("leaf") == F.col("__leaf"), "left_anti").select("leaf")
+
+
 def link_edges(points: DataFrame, radius: int = RADIUS, leaf_rows: int = LEAF_ROWS, least_depth: int = LEAST_DEPTH, leaf_most: int = LEAF_MOST) -> DataFrame:
     """(a, b): edges that join all fingerprints of points (distinct, column fp) within radius of each other, chains included.
 
-    A tree on a sample of bounded size deals every fingerprint to its leaf and, next to a boundary, to
-    the leaves across it; each leaf is searched by a tree of its own, and gives a point and the least point of its
-    group there. A leaf of more than leaf_most points, which no vantage point could part, is not one task: its points
-    are dealt by what they share, see dense_edges().
+    A tree deals every fingerprint to its leaf and, next to a boundary, to the leaves across it. It grows by GROWN levels at a time, each
+    leaf of more than leaf_most points on a sample of its own, until no such leaf can be parted; so its depth goes with the number of points. Each leaf is
+    searched by a tree of its own, and gives a point and the least point of its group there. A leaf of more than leaf_most points that no vantage point parts
+    is not one task: its points are dealt by what they share, see dense_edges().
     """
     spark = points.sparkSession
-    count = points.count()
-    depth = max(least_depth, int(np.ceil(np.log2(max(1, count) / leaf_rows))))
+    depth = min(GROWN, max(least_depth, int(np.ceil(np.log2(max(1, points.count()) / leaf_rows)))))
     sample = [r["fp"] for r in points.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
     tree = spark.sparkContext.broadcast(vp_tree.build(np.array(sample, dtype=np.int64).view(np.uint64), depth, radius))
 
@@ -78,13 +126,23 @@ def link_edges(points: DataFrame, radius: int = RADIUS, leaf_rows: int = LEAF_RO
         moved = root != np.arange(len(fp))
         return pd.DataFrame({"a": fp[moved], "b": fp[root[moved]]})
 
-    dealt = checkpointed(points.select("fp").mapInArrow(deal, "leaf long, fp long"))
-    # leaves are at most as many as the sample has rows
-    dense = [r["leaf"] for r in dealt.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf_most).collect()]
-    if not dense:
-        return dealt.groupBy("leaf").applyInPandas(search, "a long, b long")
-    edges = dealt.where(~F.col("leaf").isin(dense)).groupBy("leaf").applyInPandas(search, "a long, b long")
-    return edges.union(dense_edges(dealt.where(F.col("leaf").isin(dense)).select("fp").distinct(), radius, leaf_rows))
+    dealt, edges, dense = checkpointed(points.select("fp").mapInArrow(deal, "leaf long, fp long")), [], []
+    for level in range(63 // LEAF_BITS):
+        heavy = checkpointed(dealt.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf_most))
+        if heavy.isEmpty():
+            break
+        wide = heavy.select(F.col("leaf").alias("__leaf"))
+        edges.append(dealt.join(wide, F.col("leaf") == F.col("__leaf"), "left_anti").groupBy("leaf").applyInPandas(search, "a long, b long"))
+        grown, whole = _grown(dealt, heavy, radius, leaf_rows, level)
+        dense.append(dealt.join(whole.select(F.col("leaf").alias("__leaf")), F.col("leaf") == F.col("__leaf"), "left_semi").select("fp"))
+        dealt = checkpointed(grown)
+    else:
+        dense.append(dealt.select("fp"))
+        dealt = dealt.limit(0)
+    edges.append(dealt.groupBy("leaf").applyInPandas(search, "a long, b long"))
+    if dense:
+        edges.append(dense_edges(reduce(DataFrame.union, dense).distinct(), radius, leaf_rows))
+    return reduce(DataFrame.union, edges)
 
 
 def dense_edges(points: DataFrame, radius: int, group_rows: int = LEAF_ROWS) -> DataFrame:

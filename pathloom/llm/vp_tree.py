@@ -44,11 +44,12 @@ def build(sample: np.ndarray, depth: int, r: int) -> list[tuple[int, int, int, i
             d = distances(points, vantage)
             radius = int(np.sort(d)[len(d) // 2])
             for cut in (radius - 1, radius):
-                cost = max((d <= cut + r).sum(), (d > cut).sum())
-                if best is None or cost < best[0]:
-                    best = (cost, int(vantage), cut, d)
-        cost, vantage, radius, d = best
-        if cost > 0.95 * len(points):
+                inner, outer = int((d <= cut + r).sum()), int((d > cut).sum())
+                if best is None or max(inner, outer) < best[0]:
+                    best = (max(inner, outer), inner + outer, int(vantage), cut, d)
+        most, both, vantage, radius, d = best
+        # a vantage point that parts little, or has most points on both sides, costs more than it saves
+        if most > 0.95 * len(points) or both > 1.5 * len(points):
             return leaf()
         at = len(rows)
         rows.append([vantage, radius, 0, 0])

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -185,6 +186,28 @@ def test_edges_over_leaves(spark):
         assert {star.get(p, p) for p in members} == {min(members)}
 
 
+def test_the_tree_grows_with_the_points(spark, monkeypatch):
+    """Leaves that are too full grow subtrees on samples of their own, over several levels; points that can be parted never leave the tree."""
+    rng = np.random.default_rng(9)
+    random_points = rng.integers(0, 1 << 63, 6000, dtype=np.uint64)
+    near = [int(p) ^ (1 << int(a)) ^ (1 << int(b)) for p, a, b in zip(random_points[:1500], rng.integers(0, 64, 1500), rng.integers(0, 64, 1500), strict=True)]
+    points = np.unique(np.r_[random_points, np.array(near, dtype=np.uint64)])
+    df = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp long")
+    of = plain_components([int(p) for p in points])
+    groups = defaultdict(set)
+    for p, c in zip(points.view(np.int64).tolist(), of, strict=True):
+        groups[c].add(p)
+    levels = []
+    inner = simhash._grown
+    monkeypatch.setattr(simhash, "_grown", lambda *a: levels.append(a[-1]) or inner(*a))
+    monkeypatch.setattr(simhash, "GROWN", 2)
+    monkeypatch.setattr(simhash, "dense_edges", lambda rest, *a: rest.selectExpr("fp AS a", "fp AS b").where(F.expr("raise_error(concat('left the tree: ', fp)) IS NULL")))
+    star = {r["a"]: r["b"] for r in stars(simhash.link_edges(df, leaf_rows=200, least_depth=1, leaf_most=800)).collect()}
+    assert len(levels) >= 2
+    for members in groups.values():
+        assert {star.get(p, p) for p in members} == {min(members)}
+
+
 @pytest.mark.parametrize("kind", ["ball", "chain"])
 def test_dense_leaves_are_dealt_anew(spark, kind):
     """Points that no vantage point parts: all within a few bits of one centre, or a chain of steps of two bits."""
