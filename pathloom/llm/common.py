@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -104,6 +105,39 @@ def with_ordinal(df: DataFrame, *order: Column) -> DataFrame:
     return ordered.join(F.broadcast(offsets), part == F.col("__part")).withColumn("ordinal", place).drop("__at", "__part", "__before")
 
 
+#: Words of 64 bits of a filter of members; 512 KB, whatever it holds.
+FILTER_WORDS = 1 << 16
+
+
+def member_filter(members: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A test that every value of a column passes, and but a few other values do: for rows that a join would move only to drop them.
+
+    It is a bitmap of two bits for each value, whose words, FILTER_WORDS at most, come to the driver and go out with the tasks.
+    """
+    bits = 6 + FILTER_WORDS.bit_length() - 1
+
+    def places(value: Column) -> list[Column]:
+        h = F.xxhash64(value)
+        mask = F.lit((1 << bits) - 1).cast("long")
+        return [h.bitwiseAND(mask), F.shiftrightunsigned(h, bits).bitwiseAND(mask)]
+
+    def bit(place: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+
+    words = [0] * FILTER_WORDS
+    rows = members.select(F.explode(F.array(*places(F.col(column)))).alias("p"))
+    for r in rows.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(bit(F.col("p"))).alias("bits")).collect():
+        words[r["word"]] = r["bits"]
+    # as text, since a literal array would be put together element by element; it is read once, when the plan is made
+    bitmap = F.from_json(F.lit(json.dumps(words)), "array<long>")
+
+    def passes(value: Column) -> Column:
+        first, second = (F.get(bitmap, F.shiftright(p, 6).cast("int")).bitwiseAND(bit(p)) != 0 for p in places(value))
+        return first & second
+
+    return passes
+
+
 def _packed(docs: DataFrame, text: str) -> DataFrame:
     """Each row as one struct beside its identity, so that no column name can clash."""
     return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row"), F.col("doc_id").alias("__id"), text_digest(text).alias("__sha"))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, sliced, stored, with_ordinal
+from .common import checkpointed, member_filter, sliced, stored, with_ordinal
 
 K, BLOCK = 10, 128
 #: Bytes of text in a shard, items that a task searches for together, and parts in which heaps are merged first.
@@ -253,7 +253,9 @@ def search(index: DataFrame, items: DataFrame, k: int = K, key: str = "item_id",
     wanted = rows.mapInArrow(split, "number long, term binary").groupBy("number", "term").agg(F.count(F.lit(1)).alias("times"))
     wanted = checkpointed(wanted.withColumn("block", F.floor(F.col("number") / ITEMS)))
     used = wanted.select(F.col("term").alias("__term"), "block").distinct()
-    relevant = stored(index.drop("ids", "id_known", "sizes", "n_docs", "n_terms").join(used, F.col("term") == F.col("__term")).drop("__term"))
+    # lists of other terms stay where they are
+    listed = index.where(F.col("term").isNotNull() & member_filter(used, "__term")(F.col("term")))
+    relevant = stored(listed.drop("ids", "id_known", "sizes", "n_docs", "n_terms").join(used, F.col("term") == F.col("__term")).drop("__term"))
     # a block of items sees each list once
     df = relevant.groupBy("term", "block").agg(F.sum("df").alias("df")).groupBy("term").agg(F.max("df").alias("df"))
     weight = F.floor(1000 * F.log(F.lit(2.0 * docs + 2) / (2 * F.col("df") + 1)))

@@ -7,9 +7,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pathloom.llm import importance, lexical_index, rotation_codes
-from pathloom.llm.common import with_ordinal
+from pathloom.llm.common import member_filter, with_ordinal
 from tests.llm.conftest import words
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -159,6 +160,15 @@ def test_search_of_odd_tables(spark, odd_docs, no_docs):
     assert lexical_index.ranked_documents(odd_docs, items.limit(0)).count() == 0
 
 
+def test_a_filter_of_members_passes_them_all(spark):
+    members = spark.range(5000).selectExpr("CAST(concat('w', id) AS binary) AS t")
+    passes = member_filter(members, "t")
+    others = spark.range(5000, 105_000).selectExpr("CAST(concat('w', id) AS binary) AS t")
+    assert members.where(passes(F.col("t"))).count() == 5000
+    assert others.where(passes(F.col("t"))).count() < 100
+    assert others.where(member_filter(members.limit(0), "t")(F.col("t"))).count() == 0
+
+
 # --- near-duplicate vectors ---------------------------------------------------------------------------
 
 
