@@ -36,8 +36,8 @@ REACH = 3
 STRIP = ".,;:!?\"'()[]{}<>*#$%&|_-"
 #: A colon ends no clause, as what is reported often follows one.
 CLAUSE_END = (b".", b"!", b"?", b";")
-#: Words with their marks that a task keeps.
-KEPT_WORDS = 400_000
+#: Words with their marks that a task keeps, and words of the clauses that it keeps.
+KEPT_WORDS, KEPT_CLAUSE = 400_000, 64
 
 # Closed-class words, verbs of threat and common insults of the four languages.
 TARGETS = frozenset("you your yours he she they him her them this that these those is are du dein ihr sie er ihn ist sind bist tu ton vous votre il elle ils toi est sont es tú tu usted él ella ellos eres son".split())

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 import re
 import zlib
 from collections import Counter
@@ -194,6 +195,17 @@ def test_toxic_documents_held_out(spark):
         assert sum(clean) <= max(0.025 * len(clean), 2)
 
 
+def test_a_very_long_clause_takes_as_many_steps_as_words():
+    """120,000 insults without a full stop: twice the words take about twice the time, and the clause isn't kept."""
+    grammar, took = toxicity.Grammar({"moron": 4.0}), []
+    for n in (30_000, 120_000):
+        began = time.perf_counter()
+        arcs = dict(zip(toxicity.ARCS, grammar.features(b"moron " * n), strict=True))
+        took.append(time.perf_counter() - began)
+        assert max(arcs.values()) > 1 and arcs["negated"] == 0
+    assert took[1] < 8 * took[0] + 0.2 and not grammar.clauses
+
+
 def test_scores_are_the_grammar_s(spark):
     """Every score against patterns, features and the logistic sum worked out here from the labelled rows."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
