@@ -1,6 +1,7 @@
 import math
 import random
 import time
+from pathlib import Path
 import re
 import zlib
 from collections import Counter
@@ -550,6 +551,21 @@ def test_licences_by_brute_force(spark):
     assert all(any(x[5] for x in got[i]) for i, _ in extra)
 
 
+@pytest.mark.skipif(not Path("/usr/share/common-licenses/LGPL-2").exists(), reason="the texts are those of the system")
+def test_no_wrong_family_is_confirmed_in_whole_licences(spark):
+    own = {"Apache-2.0": "apache", "BSD": "bsd", "GPL-1": "gpl", "GPL-2": "gpl", "GPL-3": "gpl", "LGPL-2": "lgpl", "LGPL-2.1": "lgpl", "MPL-2.0": "mpl"}
+    others = ("Artistic", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "LGPL-3", "MPL-1.1")
+    texts = [(i, n, Path(f"/usr/share/common-licenses/{n}").read_text()) for i, n in enumerate([*own, *others])]
+    name = {i: n for i, n, _ in texts}
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = license_scan.train(base)
+    found = license_scan.license_paragraphs(spark.createDataFrame([(i, t) for i, _, t in texts], "doc_id long, text string"), model)
+    confirmed = {name[r["doc_id"]]: {x["family"] for x in r["licenses"] if x["confirmed"]} for r in found.collect()}
+    assert {n: confirmed[n] for n in own} == {n: {f} for n, f in own.items()}
+    # families without notices of their own here are unknown, or those that the text itself names
+    assert all(confirmed[n] <= {"LGPL-3": {"lgpl"}, "GFDL-1.3": {"gpl"}}.get(n, set()) for n in others)
+
+
 def test_wrapped_licences(spark):
     import textwrap
 
