@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder where spark.checkpoint.dir says; a local one only where Spark itself is local and none is set."""
+    """A new folder where spark.checkpoint.dir says, deleted when the driver ends; a local one only where Spark itself is local and none is set."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared is None:
         if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
@@ -19,7 +19,10 @@ def scratch(spark: SparkSession, name: str) -> str:
         shared = tempfile.mkdtemp(prefix="pathloom-")
         # local Spark alone: nobody else reads it, so it goes with the process
         atexit.register(shutil.rmtree, shared, ignore_errors=True)
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
