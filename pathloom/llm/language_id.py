@@ -141,9 +141,12 @@ class Scorer:
                 self.known[w] = len(self.known)
         self.scores = np.vstack(rows)
         index = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
-        total = np.vstack([np.zeros((1, self.scores.shape[1])), np.cumsum(self.scores[index], axis=0)])
-        ends = np.cumsum(counts)
-        return total[ends] - total[ends - np.array(counts)]
+        # each text is summed by itself, so that its score doesn't depend on its neighbours
+        total = np.zeros((len(texts), self.scores.shape[1]))
+        full = np.flatnonzero(counts)
+        if len(full):
+            total[full] = np.add.reduceat(self.scores[index], (np.cumsum(counts) - counts)[full], axis=0)
+        return total
 
 
 def predict(docs: DataFrame, model) -> DataFrame:

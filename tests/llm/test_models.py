@@ -475,6 +475,16 @@ def test_exchange_raises_the_likelihood():
 # --- licences -----------------------------------------------------------------------------------------
 
 
+def test_a_score_does_not_depend_on_neighbours():
+    """Sums over texts of a slice are, to the last digit, those of each text alone."""
+    trie = lattice.build_trie([b" a", b"a", b"b", b" b", b"ab", b" ab", b"c", b" "])
+    probability = np.random.default_rng(1).dirichlet(np.ones(300), 3).T
+    texts = [b"ab a b", b"", b"c ab" * 50, b" ", b"b b b a", b""]
+    together = language_id.Scorer(trie, probability).of_texts(texts)
+    alone = np.vstack([language_id.Scorer(trie, probability).of_texts([t]) for t in texts])
+    assert (together == alone).all() and (together[[1, 3, 5]] == 0).all() and (together[[0, 2, 4]] < 0).all()
+
+
 def test_licences(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = license_scan.train(docs)
