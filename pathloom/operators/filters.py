@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from .match import filter_prefixes, listed_prefixes
 
 #: Prefixes up to this many are a predicate; longer lists become a table for joins. AS numbers of a country up to this many are one too.
-INLINE, INLINE_ASNS = 1000, 50_000
+INLINE, INLINE_ASNS = 1000, 1000
 # Seconds of the units that a duration may name.
 UNITS = {"s": 1, "sec": 1, "m": 60, "min": 60, "h": 3600, "hour": 3600, "hours": 3600, "d": 86400, "day": 86400, "days": 86400, "w": 604800}
 # The fields of an element in their order, and peers that send a whole table of IPv4 or IPv6.

@@ -280,6 +280,7 @@ def rov_state(spark, sf_dir):
     return rov.validated(view(spark, sf_dir, "pfx2as"), view(spark, sf_dir, "roas"))
 
 
+# The reasons in words are those of rov.VALID, rov.NOT_FOUND, rov.TOO_LONG and rov.WRONG_ASN.
 @query(
     _states_sql("""SELECT prefix, origin_asn, state, CASE state WHEN 'valid' THEN 'ROA exists with matching ASN and valid prefix length' WHEN 'not_found' THEN 'No covering ROA found'
   ELSE CASE WHEN own THEN concat('Prefix length ', CAST(len AS STRING), ' exceeds max_length in covering ROAs') ELSE concat('ASN ', CAST(origin_asn AS STRING), ' not authorized; authorized ASNs: ', asns) END END AS reason FROM states"""),

@@ -13,6 +13,7 @@ from pathloom.functions.prefix import prefix_key
 from pathloom.functions.scalars import origin_code, path_asns, time_of_path
 from pathloom.operators import rov
 
+# The fields of each data format.
 ELEM_SCHEMA = (
     "timestamp double, elem_type string, collector string, peer_ip string, peer_asn bigint, prefix string, path_id bigint, next_hop string, as_path string,"
     " origin_asns array<bigint>, origin string, local_pref bigint, med bigint, communities array<string>, atomic boolean, aggr_asn bigint, aggr_ip string"
@@ -132,6 +133,7 @@ def _carried(rows: DataFrame, value: Column, out: str) -> DataFrame:
 
 def _headers(lines: DataFrame) -> DataFrame:
     """The first header row of each file among its first 64 lines: its place and columns, and the peer of the preamble."""
+    # The words of a dump's header and preamble.
     names = (("c_next", "Next Hop"), ("c_metric", "Metric"), ("c_pref", "LocPrf"), ("c_weight", "Weight"), ("c_path", "Path"))
     places = lines.where("seq < 64").withColumns({c: _word_place(F.col("line"), n) for c, n in names})
     is_header = F.col("line").rlike(r"(^|\s)Next Hop(\s|$)") & (F.col("c_next") > 0) & (F.col("c_next") < F.col("c_metric")) & (F.col("c_metric") < F.col("c_pref")) & (F.col("c_pref") < F.col("c_weight")) & (F.col("c_weight") < F.col("c_path"))
