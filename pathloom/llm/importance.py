@@ -50,17 +50,24 @@ def run_spans(text: bytes, least: int = LEAST_RUN, most: int = MOST_RUN) -> Iter
 def run_buckets(text: bytes, least: int = LEAST_RUN, most: int = MOST_RUN, buckets: int = BUCKETS) -> np.ndarray:
     """The bucket of each run, in the order of run_spans()."""
     found = [np.fromiter(map(crc32, map(itemgetter(0), run_pattern(n).finditer(text, overlapped=True))), dtype=np.uint32) for n in range(least, most + 1)]
-    return np.concatenate(found) % np.uint32(buckets)
+    return (np.concatenate(found) % np.uint32(buckets)).astype(bucket_type(buckets))
+
+
+def bucket_type(buckets: int) -> type:
+    """What a bucket's number is stored as: two bytes are enough for most."""
+    return np.uint16 if buckets <= 1 << 16 else np.uint32
 
 
 def _counted(texts: DataFrame, least: int, most: int, buckets: int) -> np.ndarray:
     """How often each bucket occurs in the runs column of texts; tasks add up what they read, so that only sums move."""
 
+    kind = bucket_type(buckets)
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, dtype=np.int64)
         for batch in batches:
             for raw in batch.column("runs").to_pylist():
-                total += np.bincount(np.frombuffer(raw, dtype=np.uint32), minlength=buckets)
+                total += np.bincount(np.frombuffer(raw, dtype=kind), minlength=buckets)
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["bucket", "n"])
 
@@ -72,7 +79,7 @@ def _counted(texts: DataFrame, least: int, most: int, buckets: int) -> np.ndarra
 
 
 def hashed_runs(docs: DataFrame, columns: list[str], least: int = LEAST_RUN, most: int = MOST_RUN, buckets: int = BUCKETS) -> DataFrame:
-    """columns of docs, n_words, n_features and runs (the bucket of every run, four bytes each), stored: texts are scanned once."""
+    """columns of docs, n_words, n_features and runs (the bucket of every run, see bucket_type()), stored: texts are scanned once."""
     kept = docs.select(*columns, "text")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,11 +128,11 @@ def resample(
     aim = hashed_runs(target.select("text"), [], least, most, buckets)
     # a number for each bucket
     gains = rows.sparkSession.sparkContext.broadcast(bucket_gains(_counted(rows, least, most, buckets), _counted(aim, least, most, buckets)))
-    kept = ["doc_id", "text_sha256", "n_words", "n_features"]
+    kept, kind = ["doc_id", "text_sha256", "n_words", "n_features"], bucket_type(buckets)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            weights = [int(gains.value[np.frombuffer(raw, dtype=np.uint32)].sum()) for raw in batch.column("runs").to_pylist()]
+            weights = [int(gains.value[np.frombuffer(raw, dtype=kind)].sum()) for raw in batch.column("runs").to_pylist()]
             yield pa.record_batch([*[batch.column(c) for c in kept], pa.array(weights, pa.int64())], names=[*kept, "weight"])
 
     weighed = rows.mapInArrow(weigh, "doc_id long, text_sha256 string, n_words long, n_features long, weight long")

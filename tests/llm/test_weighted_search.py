@@ -45,9 +45,9 @@ def texts(seed, n):
     return [" ".join(r.choice(["Alpha", "béta", "GAMMA_x", "d-e", "ÀÉ", "w" + str(r.randrange(50))]) for _ in range(r.randrange(60))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("case", ["plain", "runs", "few buckets"])
+@pytest.mark.parametrize("case", ["plain", "runs", "few buckets", "many buckets"])
 def test_resampling_is_brute_force_s(spark, case):
-    options = {"plain": {}, "runs": {"least": 1, "most": 3}, "few buckets": {"least": 2, "most": 2, "buckets": 7, "percent": 35}}[case]
+    options = {"plain": {}, "runs": {"least": 1, "most": 3}, "few buckets": {"least": 2, "most": 2, "buckets": 7, "percent": 35}, "many buckets": {"buckets": 1_000_000}}[case]
     docs = [*enumerate(texts(1, 300)), (7, "again " * 40), (7, "again " * 40), (None, words(5, 200)), (400, None), (401, ""), (402, " ._ "), (403, words(6, 20000)), (404, "a" * 200_000)]
     target = [*texts(2, 20), None, ""]
     df = spark.createDataFrame([(i, t, 1, 2.5) for i, t in docs], "doc_id long, text string, rank int, score double").repartition(5)
