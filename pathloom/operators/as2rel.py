@@ -11,6 +11,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .asinfo import only
+
 
 def symmetric(edges: DataFrame) -> DataFrame:
     """Each edge from both its ends, the sign of the relation turned for the second."""
@@ -34,18 +36,18 @@ def aggregated(sided: DataFrame) -> DataFrame:
 
 def neighbours(edges: DataFrame, asns: DataFrame) -> DataFrame:
     """Aggregated neighbours of each AS of asns (column asn), from its side."""
-    return aggregated(symmetric(edges).join(asns.select(F.col("asn").alias("asn1")).distinct(), "asn1", "left_semi"))
+    return aggregated(only(symmetric(edges), asns, "asn1"))
 
 
 def pair(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """Aggregated counts of pairs (asn1, asn2), from the side of asn1; unknown pairs give no row."""
-    return aggregated(symmetric(edges).join(pairs.select("asn1", "asn2").distinct(), ["asn1", "asn2"], "left_semi"))
+    # no semi join, for the reason that asinfo.only() gives
+    return aggregated(symmetric(edges).join(pairs.select("asn1", "asn2").distinct(), ["asn1", "asn2"]))
 
 
 def pairs_among(edges: DataFrame, asns: DataFrame) -> DataFrame:
     """Aggregated counts of all connected pairs of a list of ASes, the smaller AS first."""
-    some = asns.select("asn").distinct()
-    sided = symmetric(edges).where("asn1 < asn2").join(some.select(F.col("asn").alias("asn1")), "asn1", "left_semi").join(some.select(F.col("asn").alias("asn2")), "asn2", "left_semi")
+    sided = only(only(symmetric(edges).where("asn1 < asn2"), asns, "asn1"), asns, "asn2")
     return aggregated(sided).where("connected > 0 OR as1_upstream > 0 OR as2_upstream > 0")
 
 
@@ -104,7 +106,7 @@ def single_homed(edges: DataFrame, upstream: int, min_percent: float | None = No
 
 def connectivity(edges: DataFrame, asns: DataFrame) -> DataFrame:
     """(asn, kind, neighbour, peers_count) of each relation of each AS: upstream, peer, downstream."""
-    sided = symmetric(edges).join(asns.select(F.col("asn").alias("asn1")).distinct(), "asn1", "left_semi")
+    sided = only(symmetric(edges), asns, "asn1")
     kind = F.when(F.col("rel") == -1, "upstream").when(F.col("rel") == 0, "peer").otherwise("downstream")
     return sided.select(F.col("asn1").alias("asn"), kind.alias("kind"), F.col("asn2").alias("neighbour"), "peers_count")
 

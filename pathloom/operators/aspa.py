@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .asinfo import with_name
+from .asinfo import only, with_name
 
 
 def providers(aspas: DataFrame) -> DataFrame:
@@ -14,13 +14,12 @@ def providers(aspas: DataFrame) -> DataFrame:
 
 
 def of_customers(aspas: DataFrame, asns: DataFrame) -> DataFrame:
-    return providers(aspas.join(asns.select(F.col("asn").alias("customer_asn")).distinct(), "customer_asn", "left_semi"))
+    return providers(only(aspas, asns, "customer_asn"))
 
 
 def of_providers(aspas: DataFrame, asns: DataFrame) -> DataFrame:
     """Whole lists of every customer that names one of the providers."""
-    some = aspas.join(asns.select(F.col("asn").alias("provider_asn")).distinct(), "provider_asn", "left_semi").select("customer_asn").distinct()
-    return providers(aspas.join(some, "customer_asn", "left_semi"))
+    return of_customers(aspas, only(aspas, asns, "provider_asn").select(F.col("customer_asn").alias("asn")))
 
 
 def enriched(aspas: DataFrame, name_table: DataFrame, core: DataFrame) -> DataFrame:

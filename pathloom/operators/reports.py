@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,19 +60,23 @@ def first_with_flag(rows: DataFrame, by: list[str], order: list, most: int) -> D
     return ranked.where(F.col("rank") <= most).join(total, same).drop(*[f"__{c}" for c in by]).withColumn("truncated", F.col("total") > most)
 
 
+def roa_counts(roas: DataFrame, asns: DataFrame) -> DataFrame:
+    """ROAs of each AS that has any: all, IPv4, IPv6."""
+    v6 = is_v6(F.col("prefix"))
+    return asinfo.only(roas, asns, "origin_asn").groupBy("origin_asn").agg(F.count(F.lit(1)).alias("roas"), F.count_if(~v6).alias("ipv4"), F.count_if(v6).alias("ipv6"))
+
+
 def roa_summary(roas: DataFrame, asns: DataFrame) -> DataFrame:
     """ROAs of each AS: all, IPv4, IPv6; ASes without any have zeros."""
     some = asns.select("asn").distinct()
-    of = roas.join(some.select(F.col("asn").alias("origin_asn")), "origin_asn", "left_semi")
-    v6 = is_v6(F.col("prefix"))
-    counts = of.groupBy("origin_asn").agg(F.count(F.lit(1)).alias("roas"), F.count_if(~v6).alias("ipv4"), F.count_if(v6).alias("ipv6"))
+    counts = roa_counts(roas, some)
     filled = some.join(counts, F.col("asn") == F.col("origin_asn"), "left").drop("origin_asn")
     return filled.fillna(0, ["roas", "ipv4", "ipv6"])
 
 
 def roa_first(roas: DataFrame, asns: DataFrame, most: int) -> DataFrame:
     """The first ROAs of each AS by prefix, with its true total and whether it was cut."""
-    of = roas.join(asns.select(F.col("asn").alias("origin_asn")).distinct(), "origin_asn", "left_semi")
+    of = asinfo.only(roas, asns, "origin_asn")
     return first_with_flag(of, ["origin_asn"], ["prefix", "max_length", "ta"], most)
 
 
@@ -112,7 +117,8 @@ def inspect_asns(asns: DataFrame, data: Datasets, top: int = 5, sections: tuple[
     """
     if unknown := set(sections) - set(SECTIONS):
         raise ValueError(f"unknown sections {sorted(unknown)}; there are {', '.join(SECTIONS)}")
-    some, names = asns.select("asn").distinct(), data.names()
+    # names and edges are read several times
+    some, names = asns.select("asn").distinct(), stored(data.names())
     rows = asinfo.with_name(some, names, "asn", "as_name").join(data.core.select("asn", "country"), "asn", "left")
 
     def listed(of: DataFrame, by: str, order: list[str], out: str) -> DataFrame:
@@ -121,12 +127,13 @@ def inspect_asns(asns: DataFrame, data: Datasets, top: int = 5, sections: tuple[
 
     parts = []
     if "connectivity" in sections:
-        counts = as2rel.connectivity_counts(data.edges, some, top)
+        edges = stored(data.edges)
+        counts = as2rel.connectivity_counts(edges, some, top)
         parts.append(counts.groupBy(F.col("asn").alias("__of")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "n")))).alias("neighbours")))
-        named = asinfo.with_name(as2rel.connectivity_top(data.edges, some, top), names, "neighbour", "neighbour_name")
+        named = asinfo.with_name(as2rel.connectivity_top(edges, some, top), names, "neighbour", "neighbour_name")
         parts.append(listed(named.select("asn", "kind", "rank", "neighbour", "neighbour_name", "peers_count"), "asn", ["kind", "rank"], "top_neighbours"))
     if "roas" in sections:
-        parts.append(roa_summary(data.roas, some).select(F.col("asn").alias("__of"), F.struct("roas", "ipv4", "ipv6").alias("roas")))
+        parts.append(roa_counts(data.roas, some).select(F.col("origin_asn").alias("__of"), F.struct("roas", "ipv4", "ipv6").alias("roas")))
         parts.append(listed(roa_first(data.roas, some, top).select("origin_asn", "rank", "prefix", "max_length", "ta", "truncated"), "origin_asn", ["rank"], "first_roas"))
     if "providers" in sections:
         own = aspa.of_customers(data.aspas, some)
@@ -134,13 +141,18 @@ def inspect_asns(asns: DataFrame, data: Datasets, top: int = 5, sections: tuple[
         named = asinfo.with_name(own.select("customer_asn", F.explode("provider_asns").alias("provider_asn")), names, "provider_asn", "provider_name")
         parts.append(listed(named, "customer_asn", ["provider_asn"], "providers"))
     if "announced" in sections:
-        labelled = labelled_prefixes(data).join(some.select(F.col("asn").alias("origin_asn")), "origin_asn", "left_semi")
+        labelled = asinfo.only(labelled_prefixes(data), some, "origin_asn")
         summary = announced_summary(labelled)
         parts.append(summary.select(F.col("origin_asn").alias("__of"), F.struct(*[c for c in summary.columns if c != "origin_asn"]).alias("announced")))
         parts.append(listed(announced_first(labelled, top).select("origin_asn", "rank", "prefix", "validation", "truncated"), "origin_asn", ["rank"], "first_announced"))
-    for part in parts:
-        rows = rows.join(part, F.col("asn") == F.col("__of"), "left").drop("__of")
-    return rows
+    if not parts:
+        return rows
+    # sections are stored one by one and meet in one aggregation: in one plan the aggregations and sorts of all of them lie in the same task
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(stored, parts))
+    found = every.groupBy("__of").agg(*[F.first(c, ignorenulls=True).alias(c) for c in every.columns if c != "__of"])
+    rows = rows.join(found, F.col("asn") == F.col("__of"), "left").drop("__of")
+    none = F.struct(*[F.lit(0).cast("bigint").alias(c) for c in ("roas", "ipv4", "ipv6")])
+    return rows.withColumn("roas", F.coalesce("roas", none)) if "roas" in sections else rows
 
 
 def inspect_prefixes(queries: DataFrame, data: Datasets) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions.prefix import host_prefix, lengths_present, prefix_length, with_key
 
+from .asinfo import only
 from .match import _bare, _exploded, _same, covering
 
 
@@ -62,7 +63,7 @@ def lookup(roas: DataFrame, prefixes: DataFrame | None = None, asns: DataFrame |
     """ROAs by prefixes (column query) and ASes (column asn), either or both; in order of prefix."""
     found = roas.withColumnRenamed("prefix", "roa_prefix") if prefixes is None else covering_roas(prefixes, roas).drop("query").distinct()
     if asns is not None:
-        found = found.join(asns.select(F.col("asn").alias("origin_asn")).distinct(), "origin_asn", "left_semi")
+        found = only(found, asns, "origin_asn")
     return found.select(F.col("roa_prefix").alias("prefix"), "max_length", "origin_asn", "ta").orderBy("prefix", "origin_asn", "max_length")
 
 

@@ -272,3 +272,43 @@ def test_relationships(spark):
     aspas = spark.createDataFrame([(1, 3), (1, 2), (2, 3)], "customer_asn long, provider_asn long")
     assert {r[0]: r[1] for r in aspa.providers(aspas).collect()} == {1: [2, 3], 2: [3]}
     assert {r[0]: r[1] for r in aspa.of_providers(aspas, spark.createDataFrame([(2,)], "asn long")).collect()} == {1: [2, 3]}
+
+
+def test_rows_of_some_ases_are_taken_behind_the_aggregation_that_makes_a_table(spark):
+    """A semi join would be moved below it, where all rows of an AS come to one task."""
+    links = spark.createDataFrame([(1, 2, -1, k) for k in range(30)] + [(3, 1, 0, 5)], "a long, b long, rel int, route long").repartition(4)
+    edges = links.groupBy(F.col("a").alias("asn1"), F.col("b").alias("asn2"), "rel").agg(F.count(F.lit(1)).alias("paths_count"), F.countDistinct("route").alias("peers_count"))
+    aspas = links.select(F.col("a").alias("customer_asn"), F.col("b").alias("provider_asn")).distinct()
+    asns = spark.range(1, 3).select(F.col("id").alias("asn"))
+    pairs = asns.select(F.col("asn").alias("asn1"), (F.col("asn") + 1).alias("asn2"))
+    found = [as2rel.neighbours(edges, asns), as2rel.pair(edges, pairs), as2rel.pairs_among(edges, asns), as2rel.connectivity(edges, asns), aspa.of_customers(aspas, asns), aspa.of_providers(aspas, asns), asinfo.records_of(edges.withColumn("asn", F.col("asn1")), asns)]
+    for df in found:
+        lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+        joins = [i for i, line in enumerate(lines) if "Join " in line]
+        assert joins
+        for i in joins:
+            # the rows of the table's source, not their aggregate, would be the join's side
+            side = next(j for j in range(i + 1, len(lines)) if lines[j].lstrip(" :+-").startswith(("Aggregate", "Union", "Join", "LogicalRDD", "Range", "Repartition")))
+            assert lines[side].lstrip(" :+-").startswith(("Aggregate", "Union", "Join")), "\n".join(lines)
+            assert depth[side] > depth[i]
+    assert [(r["asn1"], r["asn2"], r["as2_upstream"]) for r in found[0].where("asn2 = 2").collect()] == [(1, 2, 30)]
+    assert [tuple(r) for r in found[4].collect()] == [(1, [2])]
+
+
+def test_inspected_ases_without_sections(spark):
+    """Sections meet in one aggregation: an AS without any has zeros of ROAs and nulls; one section alone has its own columns."""
+    table = spark.createDataFrame
+    data = reports.Datasets(
+        table([("10.0.0.0/16", 1)], "prefix string, origin_asn long"), table([("10.0.0.0/16", 16, 1, "ta")], "prefix string, max_length int, origin_asn long, ta string"), table([(1, 2)], "customer_asn long, provider_asn long"),
+        table([(1, 2, -1, 4, 3)], "asn1 long, asn2 long, rel int, paths_count long, peers_count long"), table([(1, "one", "N1"), (9, "nine", None)], "asn long, name string, country string"),
+        table([], "asn long, name string, org_id string, org_name string, country string"), table([], "asn long, name string, name_long string, aka string"),
+    )
+    rows = {r["asn"]: r.asDict(recursive=True) for r in reports.inspect_asns(table([(1,), (9,), (1,)], "asn long"), data).collect()}
+    assert set(rows) == {1, 9}
+    assert rows[9]["roas"] == {"roas": 0, "ipv4": 0, "ipv6": 0} and rows[9]["as_name"] == "nine" and rows[9]["neighbours"] is None and rows[9]["providers"] is None and rows[9]["announced"] is None
+    assert rows[1]["roas"] == {"roas": 1, "ipv4": 1, "ipv6": 0} and rows[1]["neighbours"] == {"upstream": 1} and rows[1]["provider_asns"] == [2] and rows[1]["announced"]["valid"] == 1
+    assert [t["neighbour"] for t in rows[1]["top_neighbours"]] == [2] and [r["prefix"] for r in rows[1]["first_roas"]] == ["10.0.0.0/16"]
+    one = reports.inspect_asns(table([(9,)], "asn long"), data, sections=("roas",))
+    assert one.columns == ["asn", "as_name", "country", "roas", "first_roas"] and one.first()["roas"]["roas"] == 0
+    assert reports.inspect_asns(table([(9,)], "asn long"), data, sections=()).columns == ["asn", "as_name", "country"]
