@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,8 @@ from pathloom.operators import asinfo
 from pathloom.plans.scratch import stored
 
 LONGEST, PARTS = 3, 16
+#: Postings that a task sorts and writes, about.
+FILE_ROWS = 1_000_000
 _POSTINGS = "gram string, text string, asn bigint, name string, country string, generation int, part int"
 
 
@@ -33,7 +36,8 @@ def _only(table: DataFrame, asked: DataFrame, part: str) -> DataFrame:
 class NameIndex:
     """Postings of every run of one to three characters of the names that searches look at, with the name itself, and how many each run has.
 
-    Both are in partitions by hash of the run. An update appends the postings of the ASes that changed, as a generation of their own; of an AS only
+    Both are in partitions by hash of the run; postings of a partition are dealt to files by AS, so many that a task has about FILE_ROWS
+    of them however many there are. An update appends the postings of the ASes that changed, as a generation of their own; of an AS only
     those of its newest generation count. build() starts anew.
     """
 
@@ -42,10 +46,16 @@ class NameIndex:
 
     def _write(self, core: DataFrame, as2org: DataFrame, peeringdb: DataFrame, generation: int, mode: str) -> None:
         rows = asinfo.searched_names(core, as2org, peeringdb)
-        texts = rows.select("asn", "name", "country", F.explode(F.array_distinct("__texts")).alias("text"))
+        # read twice
+        texts = stored(rows.select("asn", "name", "country", F.explode(F.array_distinct("__texts")).alias("text")))
+        # a text has at most so many runs of each length as characters
+        most = texts.agg(F.sum(LONGEST * F.char_length("text"))).first()[0] or 0
+        files = max(1, math.ceil(most / FILE_ROWS / PARTS))
         grams = texts.withColumn("gram", F.explode(F.array_distinct(F.concat(*[_runs(F.col("text"), n) for n in range(1, LONGEST + 1)]))))
         kept = grams.select("gram", "text", "asn", "name", "country", F.lit(generation).alias("generation"), _part(F.col("gram")).alias("part"))
-        kept.repartition("part").sortWithinPartitions("part", "gram").write.mode(mode).partitionBy("part").parquet(f"{self.path}/postings")
+        # a run that most names have is in as many files as its partition
+        dealt = kept.repartitionById(PARTS * files, (F.col("part") * files + F.pmod(F.xxhash64("asn"), F.lit(files))).cast("int"))
+        dealt.sortWithinPartitions("part", "gram").write.mode(mode).partitionBy("part").parquet(f"{self.path}/postings")
         counts = self.spark.read.schema(_POSTINGS).parquet(f"{self.path}/postings").where(F.col("generation") == generation).groupBy("part", "gram").agg(F.count(F.lit(1)).alias("n"))
         counts.repartition("part").write.mode(mode).partitionBy("part").parquet(f"{self.path}/counts")
 

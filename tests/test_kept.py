@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from pathloom.operators import asinfo, search
 from pathloom.operators.running import RunningStatistics
+from pathloom.sources import name_index
 from pathloom.sources.name_index import NameIndex, _part
 
 
@@ -65,3 +66,19 @@ def test_a_search_opens_its_partitions_alone(spark, tmp_path):
                 f.write_bytes(b"PAR1 broken PAR1")
                 broken += 1
     assert broken > 20 and sorted(x["asn"] for x in index.search(asked).collect()) == want
+
+
+def test_postings_are_dealt_to_files_by_their_number(spark, tmp_path, monkeypatch):
+    """A task sorts a bounded number of postings, however many a partition or a run has."""
+    core, org, pdb = names(spark, 5, 400)
+    monkeypatch.setattr(name_index, "FILE_ROWS", 100)
+    index = NameIndex(spark, str(tmp_path / "names"))
+    index.build(core, org, pdb)
+    rows = spark.read.parquet(f"{index.path}/postings").withColumn("file", F.input_file_name())
+    sizes = [r["count"] for r in rows.groupBy("file").count().collect()]
+    often = rows.where("gram = 'a'")
+    assert often.select("file").distinct().count() > 4 and often.count() > 200
+    assert max(sizes) < 300
+    asked = spark.createDataFrame([("a",), ("an",), ("bä",)], "input string")
+    want = [(t, r["asn"]) for t in ("a", "an", "bä") for r in asinfo.text_search(core, org, pdb, t).collect()]
+    assert sorted((r["input"], r["asn"]) for r in index.search(asked).collect()) == sorted(want)
