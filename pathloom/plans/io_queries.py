@@ -400,7 +400,7 @@ def _files(spark, sf_dir):
     base = _full(dumps(spark, sf_dir).withColumn("ts", F.col("dump_ts")).withColumn("elem_type", F.lit("A"))).withColumn("__c", F.col("collector")).withColumn("day", F.dayofmonth(F.timestamp_seconds("timestamp")))
     found = []
     for kind, table in (("updates", rows), ("rib", base)):
-        table.repartition("__c", "day").sortWithinPartitions("med").write.partitionBy("__c", "day").parquet(f"{folder}/{kind}")
+        table.repartition("__c", "day").sortWithinPartitions("__c", "day", "med").write.partitionBy("__c", "day").parquet(f"{folder}/{kind}")
         paths = spark.read.parquet(f"{folder}/{kind}").inputFiles()
         found += [(re.search(r"__c=([^/]+)", p)[1], kind, int(re.search(r"day=(\d+)", p)[1]), p) for p in paths]
     days = spark.createDataFrame(found, "collector_id string, data_type string, day int, url string")

@@ -117,10 +117,10 @@ def routing_tables(
     selected = rib.require_dumps(rib.base_dumps(catalog, instants))
     groups = selected.groupBy("collector_id", "dump_ts").agg(F.sort_array(F.collect_set("rib_ts")).alias("instants"), F.max("rib_ts").alias("last_ts"))
     dumps = selected.select("collector_id", "dump_ts", "url").distinct().join(groups, ["collector_id", "dump_ts"])
-    base = _ordered(_read(spark, dumps, form, "rib", store, "dump_ts"), dumps.select("url", F.col("dump_ts").alias("start"), "dump_ts", "instants", "last_ts"))
+    base = _ordered(_read(spark, dumps, form, "rib", store, "dump_ts"), dumps.select("url", F.col("dump_ts").alias("start"), "dump_ts", "instants", "last_ts"), store is None)
     files = rib.update_files(catalog, selected).join(groups, ["collector_id", "dump_ts"])
     changes = _read(spark, files, form, "updates", store)
-    changes = base.limit(0) if changes is None else _ordered(changes, files.select("url", F.col("ts_start").alias("start"), "dump_ts", "instants", "last_ts"))
+    changes = base.limit(0) if changes is None else _ordered(changes, files.select("url", F.col("ts_start").alias("start"), "dump_ts", "instants", "last_ts"), store is None)
     changes = changes.where((F.col("ts") > F.col("dump_ts")) & (F.col("ts") <= F.col("last_ts")))
     safe = replace(wanted, start_ts=None, end_ts=None, duration=None)
     events = rib.events_of(safe.safe(base).drop("elem_type", "last_ts"), safe.safe(changes).drop("last_ts"), safe.announce_predicate())
@@ -132,8 +132,12 @@ def routing_tables(
     return rib.snapshots(events, values, "instants").drop("dump_ts"), rib.update_log(events, "instants", first).drop("dump_ts", "instants")
 
 
-def _ordered(elems: DataFrame, files: DataFrame) -> DataFrame:
-    """elems with seq, the start of their file in seconds and then their place in it, and what else files has of their file; once for each row of files."""
+def _ordered(elems: DataFrame, files: DataFrame, listed: bool) -> DataFrame:
+    """elems with seq, the start of their file in seconds and then their place in it, and what else files has of their file; once for each row of files.
+
+    Where paths were listed on the driver files are broadcast: Spark, which knows no size of them, would share all elements instead and take the rows of files through a task or two.
+    """
     of = files.distinct().withColumn("__start", F.col("start").cast("timestamp").cast("long")).drop("start")
-    joined = elems.withColumn("__key", plain_path(F.col("file"))).join(of.withColumn("__key", plain_path(F.col("url"))).drop("url"), "__key")
+    of = of.withColumn("__key", plain_path(F.col("url"))).drop("url")
+    joined = elems.withColumn("__key", plain_path(F.col("file"))).join(F.broadcast(of) if listed else of, "__key")
     return joined.withColumn("seq", F.struct(F.col("__start").alias("start"), F.col("place").alias("place"))).drop("__key", "__start", "place")

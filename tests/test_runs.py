@@ -126,3 +126,11 @@ def test_search_and_parse(spark, catalog):
     paths = [r["url"] for r in catalog.where("data_type = 'updates'").collect()]
     rows = runs.parse_files(spark, paths, RouteFilters(elem_type="w"), "type,prefix", "prefix", True).collect()
     assert [tuple(r) for r in rows] == [("W", "13.0.0.0/8"), ("W", "10.0.0.0/8"), ("W", "10.0.0.0/8")]
+
+
+def test_files_not_elements_are_shared(spark, catalog):
+    """Elements of few bytes were broadcast, and the rows of files took them through a task or two."""
+    routes, _ = runs.routing_tables(spark, catalog, [F.lit(at(3)), F.lit(at(10))], RouteFilters(), ["origin_asns"])
+    joins = [line for line in routes._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [__key#" in line]
+    assert len(joins) == 2 and all("BroadcastHashJoin" in line and "BuildRight" in line for line in joins)
+    assert table(routes.where(F.hour("rib_ts") == 3)) == [(3, "11.0.0.0/8", 6), (3, "12.0.0.0/8", 6)]
